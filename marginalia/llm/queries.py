@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, simhash
+from . import cotraining, decontamination, line_dedup, packing, simhash
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -22,6 +22,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark passage found in a document, with its place and edits."""
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's line counts and the digest of its kept text."""
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
@@ -34,10 +39,18 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calibrated views, the combined score and the decision for each document."""
+    docs = table(spark, sf_dir, "documents")
+    return cotraining.score(docs, cotraining.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash": op4_simhash,
+    "op7_quality_cotraining": op7_quality_cotraining,
 }
 #: Operators that SQL can express; the others are tested against brute force.
 ORACLE: dict[str, str] = {"op3_line_dedup": line_dedup.OP3_SQL}
