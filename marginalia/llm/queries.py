@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, decontamination, line_dedup, packing, simhash
+from . import cotraining, decontamination, fingerprints, line_dedup, packing, simhash
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -39,6 +39,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of each text and its edited form, with their likeness."""
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The calibrated views, the combined score and the decision for each document."""
     docs = table(spark, sf_dir, "documents")
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash": op4_simhash,
+    "op6_fingerprints": op6_fingerprints,
     "op7_quality_cotraining": op7_quality_cotraining,
 }
 #: Operators that SQL can express; the others are tested against brute force.
