@@ -28,43 +28,90 @@ from .common import batches_of, settle
 
 CAPACITY, END_ID = 4096, 1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Entries of a worker's cache from a space-separated word to its ids.
-CACHE_WORDS = 300_000
-LONGEST_CACHED = 48
+#: Entries of each generation of a worker's caches, and the longest word they hold.
+CACHE_WORDS, LONGEST_CACHED = 400_000, 48
 ROUNDS, RATE = 8, 0.5
 _WORDS = re.compile("[^ \t\n\r\x0b\x0c]+")
+#: Python's split() takes these for white space, the pre-tokenizer doesn't.
+_ODD = re.compile("[\x1c-\x1f]")
+_L, _N = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: The pre-tokenizer's pattern for lower-cased Latin-1 texts.
+_TOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_L}{_N}\x09-\x0d\x20\x85\xa0]+")
+
+_RUN = re.compile(f"[{_L}]+")
+
+
+class Recent:
+    """A bounded cache of two generations: what was used lately survives."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Keys to learn; afterwards ``young`` has all the others."""
+        if len(self.young) > self.size:
+            self.young, self.old = {}, self.young
+        young, old, out = self.young, self.old, []
+        for k in keys - young.keys():
+            if k in old:
+                young[k] = old[k]
+            else:
+                out.append(k)
+        return out
 
 
 class WordIds:
-    """Ids as bytes, word by word.
+    """Ids as little-endian bytes, token by token.
 
-    The pre-tokenizer never lets a token cross ASCII white space, so the ids of
-    a text are the ids of its words in order.
+    The ids of a text are those of its pre-tokens in order. In Latin-1 texts,
+    where the normaliser only lower-cases, a pattern finds the pre-tokens; in
+    others white space, which no token crosses, parts the words. Each part is
+    tokenized once while it stays in the cache.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, new = {}, list(words)
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def one(self, word: str) -> bytes:
-        got = self.known.get(word)
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes() if got is None else got
+        self.tokenizer, self.known = Tokenizer.from_file(path), Recent(CACHE_WORDS)
+        vocab = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def plain(self, words: list[str]) -> list[bytes]:
+        """Ids of each of ``words`` by the tokenizer itself."""
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _runs(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only: encoded together, cut where a word ends."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4") if words else np.zeros(0, "<u4")
+        ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+        if len(ends) != len(words):
+            return self.plain(words)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def _parts(self, text: str) -> list[str]:
+        if "<|" not in text:
+            try:
+                return _TOKENS.findall(text.lower() if text.isascii() else text.encode("latin-1").decode("latin-1").lower())
+            except UnicodeEncodeError:
+                pass
+        return _WORDS.findall(text) if _ODD.search(text) else text.split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_WORDS.findall(t) for t in texts]
-        self.learn({w for words in split for w in words if len(w) <= LONGEST_CACHED})
-        one, known = self.one, self.known
-        return [b"".join([known[w] if w in known else one(w) for w in words]) for words in split]
+        split = [self._parts(t) for t in texts]
+        every = set().union(*split)
+        long = [w for w in every if len(w) > LONGEST_CACHED]
+        new = self.known.missing(every.difference(long))
+        known = self.known.young
+        runs = [t for t in new if _RUN.fullmatch(t)]
+        rest = [t for t in new if not _RUN.fullmatch(t)]
+        for i in range(0, len(runs), 2000):
+            known.update(zip(runs[i : i + 2000], self._runs(runs[i : i + 2000]), strict=True))
+        known.update(zip(rest, self.plain(rest), strict=True))
+        if long:
+            known = known | dict(zip(long, self.plain(long), strict=True))
+        return [b"".join(map(known.__getitem__, parts)) for parts in split]
 
 
 _loaded: dict[str, WordIds] = {}
