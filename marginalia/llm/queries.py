@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, decontamination, fingerprints, line_dedup, packing, simhash
+from . import cotraining, decontamination, fingerprints, line_dedup, packing, secret_scan, simhash
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -50,6 +50,13 @@ def op7_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.score(docs, cotraining.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate with its score; the candidate itself only as a digest."""
+    out = secret_scan.scan(table(spark, sf_dir, "documents"))
+    shown = F.sha2("candidate", 256).alias("candidate_sha256")
+    return out.select("doc_id", "finding", F.char_length("candidate").alias("length"), shown, "score", "secret")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
@@ -57,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op6_fingerprints": op6_fingerprints,
     "op7_quality_cotraining": op7_quality_cotraining,
+    "op8_secret_scan": op8_secret_scan,
 }
 #: Operators that SQL can express; the others are tested against brute force.
 ORACLE: dict[str, str] = {"op3_line_dedup": line_dedup.OP3_SQL}
