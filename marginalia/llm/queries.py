@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, decontamination, fingerprints, line_dedup, packing, secret_scan, simhash
+from . import cotraining, decontamination, fingerprints, line_dedup, packing, quote_links, secret_scan, simhash, url_trust, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -39,6 +39,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of every page; block sizes and digests."""
+    out = warc.build_derivatives(table(spark, sf_dir, "pages"))
+    headers = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("headers"))))
+    columns = ["page_id", "type", "record_id", "refers_to", "target_uri", "source_payload_digest", "block_digest"]
+    return out.select(*columns, headers.alias("headers"), F.octet_length("block").cast("long").alias("block_length"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of each text and its edited form, with their likeness."""
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
@@ -57,14 +65,28 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "finding", F.char_length("candidate").alias("length"), shown, "score", "secret")
 
 
+def op9_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's host, path, rule and verdict, with its host's trust and distrust."""
+    out = url_trust.judge(table(spark, sf_dir, "pages"))
+    return out.withColumns({"trust": F.round("trust", 9), "distrust": F.round("distrust", 9)})
+
+
+def op10_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each message without its quotes, with the message it answers, thread and depth."""
+    return quote_links.format_chat(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash": op4_simhash,
+    "op5_warc_derivatives": op5_warc_derivatives,
     "op6_fingerprints": op6_fingerprints,
     "op7_quality_cotraining": op7_quality_cotraining,
     "op8_secret_scan": op8_secret_scan,
+    "op9_url_trust": op9_url_trust,
+    "op10_quote_links": op10_quote_links,
 }
 #: Operators that SQL can express; the others are tested against brute force.
 ORACLE: dict[str, str] = {"op3_line_dedup": line_dedup.OP3_SQL}
