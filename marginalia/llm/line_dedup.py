@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, ascii_lower
+from .common import ASCII_SPACE, ascii_lower, settle
 
 MIN_CHARS, MIN_DOCS = 20, 3
 
@@ -35,11 +35,15 @@ def dropped_positions(texts: DataFrame, min_chars: int = MIN_CHARS, min_docs: in
         .where(F.char_length("key") >= min_chars)
         .select("id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
     )
+    lines = settle(lines, "lines")  # texts are split and hashed once
     # The first grouping makes (line, document) pairs, so one hot line is
     # spread over its documents; the second adds up partial counts.
     repeated = (
         lines.select("h1", "h2", "id").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
     )
+    # Read from a table, both sides of the join arrive by plain exchanges, so
+    # adaptive execution can split a hot line's rows.
+    repeated = settle(repeated, "repeated-lines")
     return (
         lines.join(repeated, ["h1", "h2"])
         .where("id <> keeper")
