@@ -1,0 +1,296 @@
+"""Text scalars as Column expressions; Arrow UDFs only where Unicode needs them."""
+
+from __future__ import annotations
+
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Fixed values of the tokenizer: Han and kana, and Hangul, as regex ranges.
+CJK = r"\x{3005}\x{3007}\x{3040}-\x{309f}\x{30a1}-\x{30fa}\x{30fc}-\x{30ff}\x{31f0}-\x{31ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3134f}"
+HANGUL = r"\x{ac00}-\x{d7a3}"
+STEM_PREFIX, STEM_MIN, STEM_MARK = 5, 6, "~"
+
+
+def _accent_map() -> tuple[str, str]:
+    """Latin letters (below U+0250, U+1E00 to U+1EFF) whose base is one character."""
+    pairs = []
+    for code in [*range(0x80, 0x250), *range(0x1E00, 0x1F00)]:
+        base = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if not unicodedata.combining(c))
+        if len(base) == 1 and base != chr(code):
+            pairs.append((chr(code), base))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_ACCENTED, _PLAIN = _accent_map()
+#: Text of these characters alone is folded exactly by built-in functions.
+_NATIVE = r"^[\x00-\x7f\xa1-\xa7\xa9\xab-\xae\xb0\xb1\xb6\xb7\xbb\xbf-\xff\x{0100}-\x{012f}\x{3041}-\x{3096}\x{30a1}-\x{30fa}\x{30fc}\x{4e00}-\x{9fff}\x{ac00}-\x{d7a3}\x{0430}-\x{044f}]*$"
+
+
+def _unicode_fold(text: Column) -> Column:
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+
+    return F.pandas_udf(run, "string")(text)
+
+
+def lower_fold(text: Column, exact: bool = True) -> Column:
+    """NFKC and case folding.
+
+    Built-in functions do it for text of verified characters. With ``exact``,
+    other rows, and only these, go through an Arrow UDF.
+    """
+    native = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    if not exact:
+        return native
+    other = _unicode_fold(F.when(~text.rlike(_NATIVE), text))
+    return F.coalesce(other, native)
+
+
+def strip_latin_accents(text: Column) -> Column:
+    """Accents off Latin letters only; other scripts keep their marks."""
+    return F.translate(text, _ACCENTED, _PLAIN)
+
+
+def tokens(text: Column, exact: bool = True) -> Column:
+    """Search tokens in order.
+
+    Words lose Latin accents and, with six letters or more, add a five-letter
+    stem with ``~``; Hangul runs add their bigrams; Han and kana runs give
+    characters and bigrams. Null text gives no tokens.
+    """
+    folded = strip_latin_accents(lower_fold(F.coalesce(text, F.lit("")), exact))
+    runs = F.regexp_extract_all(folded, F.lit(rf"(?U)([{CJK}]+|[{HANGUL}]+|[\p{{L}}\p{{N}}&&[^{CJK}{HANGUL}]]+)"), F.lit(1))
+
+    def grams(run: Column, size: int) -> Column:
+        n = F.char_length(run)
+        return F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(run, i, F.lit(size)))
+
+    def of(run: Column) -> Column:
+        n = F.char_length(run)
+        none = F.array().cast("array<string>")
+        pairs = F.when(n > 1, grams(run, 2)).otherwise(none)
+        stem = F.array(run, F.concat(F.substring(run, 1, STEM_PREFIX), F.lit(STEM_MARK)))
+        return (
+            F.when(run.rlike(f"^[{CJK}]"), F.concat(grams(run, 1), pairs))
+            .when(run.rlike(f"^[{HANGUL}]"), F.concat(F.array(run), pairs))
+            .when((n >= STEM_MIN) & run.rlike(r"^\p{L}+$"), stem)
+            .otherwise(F.array(run))
+        )
+
+    return F.flatten(F.transform(runs, of))
+
+
+def script(token: Column) -> Column:
+    """hangul, cjk, latin (any other letters) or '' (digits)."""
+    return F.when(token.rlike(f"^[{HANGUL}]"), "hangul").when(token.rlike(f"^[{CJK}]"), "cjk").when(token.rlike(r"^\p{Nd}+$"), "").otherwise("latin")
+
+
+def counts_in_length(token: Column) -> Column:
+    """False for single Han or kana characters, which their bigrams repeat."""
+    return ~((F.char_length(token) == 1) & (script(token) == "cjk"))
+
+
+def slug(title: Column) -> Column:
+    """File name and link slug; composed characters are expected (NFC)."""
+    kept = F.regexp_replace(F.lower(F.btrim(title)), r"(?U)[^\w\s-]", "")
+    out = F.regexp_replace(F.regexp_replace(kept, r"(?U)[\s_-]+", "-"), "^-+|-+$", "")
+    return F.when(F.coalesce(out, F.lit("")) == "", "note").otherwise(out)
+
+
+def path_key(rel: Column) -> Column:
+    """Key of a file whose stem a newer file holds: its path without .md."""
+    stem = F.regexp_replace(rel, r"(?i)\.md$", "")
+    return F.when(F.contains(stem, F.lit("/")), stem).otherwise(F.concat(F.lit("./"), stem))
+
+
+def mostly_cjk(text: Column) -> Column:
+    """At least half of the letters are Han or kana."""
+    letters = F.char_length(F.regexp_replace(text, r"[^\p{L}]", ""))
+    own = F.char_length(F.regexp_replace(text, f"[^{CJK}]", ""))
+    return (letters > 0) & (2 * own >= letters)
+
+
+def utf16_length(text: Column) -> Column:
+    return (F.octet_length(F.encode(text, "UTF-16LE")) / 2).cast("int")
+
+
+def clip_utf16(text: Column, units: int) -> Column:
+    """The longest prefix of at most ``units`` UTF-16 units, no half characters."""
+    short = F.substring(text, 1, units)
+    ends = F.transform(F.sequence(F.lit(0), F.char_length(short)), lambda i: F.substring(short, F.lit(1), i))
+    fits = F.filter(ends, lambda s: utf16_length(s) <= units)
+    return F.when(utf16_length(short) <= units, short).otherwise(F.element_at(fits, -1))
+
+
+def squeeze(text: Column) -> Column:
+    """White space runs as one space, none at the ends."""
+    return F.btrim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
+def excerpt(body: Column, terms: Column, before: int = 70, units: int = 200) -> Column:
+    """From 70 characters before the first hit of a term, at most 200 UTF-16 units."""
+    plain = squeeze(body)
+    low = F.lower(plain)
+    at = F.array_min(F.filter(F.transform(F.filter(terms, lambda t: F.char_length(t) > 1), lambda t: F.instr(low, t)), lambda p: p > 0))
+    start = F.greatest(F.lit(1), F.coalesce(at, F.lit(1)) - before)
+    return clip_utf16(F.substring(plain, start, F.char_length(plain)), units)
+
+
+def best_passage(body: Column, weighted: Column, size: int = 1500, stride: int = 300) -> Column:
+    """The window with the greatest sum of term weights; the first of equals.
+
+    ``weighted``: array of (term, weight); windows start each ``stride``.
+    """
+    n = F.char_length(body)
+    starts = F.sequence(F.lit(0), F.greatest(n - size, F.lit(0)), F.lit(stride))
+
+    def scored(s: Column) -> Column:
+        chunk = F.lower(F.substring(body, s + 1, F.lit(size)))
+        score = F.aggregate(weighted, F.lit(0.0), lambda a, t: a + F.when(F.contains(chunk, t["term"]), t["weight"]).otherwise(0.0))
+        return F.struct(F.round(score, 9).alias("score"), (-s).alias("back"))
+
+    best = F.array_max(F.transform(starts, scored))
+    return F.when(n <= size, body).otherwise(F.substring(body, -best["back"] + 1, F.lit(size)))
+
+
+def chunks(title: Column, body: Column, size: int = 400) -> Column:
+    """Paragraph-aligned chunks of about ``size`` characters; each repeats the title."""
+    trimmed = F.transform(F.split(body, "\n\n", -1), lambda p: F.btrim(p, F.lit(" \t\n\r\x0b\x0c")))
+    cut = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.char_length(p) - 1) / size).cast("int")), lambda i: F.substring(p, i * size + 1, F.lit(size)))
+    parts = F.flatten(F.transform(F.filter(trimmed, lambda p: p != ""), cut))
+    start = F.struct(F.array().cast("array<string>").alias("done"), title.alias("now"), F.lit(True).alias("fresh"))
+
+    def add(a: Column, p: Column) -> Column:
+        full = ~a["fresh"] & (F.char_length(a["now"]) + F.char_length(p) > size)
+        done = F.when(full, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"])
+        return F.struct(done.alias("done"), F.concat(F.when(full, title).otherwise(a["now"]), F.lit("\n"), p).alias("now"), F.lit(False).alias("fresh"))
+
+    return F.aggregate(parts, start, add, lambda a: F.concat(a["done"], F.array(a["now"])))
+
+
+def one_line(text: Column) -> Column:
+    """Control characters and line ends as single spaces."""
+    return squeeze(F.regexp_replace(text, r"[\x00-\x1f\x7f\x{2028}\x{2029}]+", " "))
+
+
+def yaml_quoted(text: Column) -> Column:
+    return F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+
+
+def yaml_list(values: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(F.transform(values, yaml_quoted), ", "), F.lit("]"))
+
+
+def xml_escape(text: Column) -> Column:
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(raw), F.lit(safe))
+    return text
+
+
+def token_estimate(text: Column) -> Column:
+    """Tokens as UTF-8 bytes over four, rounded up."""
+    return F.ceil(F.octet_length(text) / 4).cast("long")
+
+
+WIKILINK = r"\[\[([^\]|#]+)(?:[|#][^\]]*)?\]\]"
+TYPED_LINK = r"\[\[\s*(project|person|entity)\s*:\s*([^\[\]\r\n|#]+?)(?:[|#][^\[\]\r\n]*)?\s*\]\]"
+
+
+def wikilinks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(WIKILINK), F.lit(1))
+
+
+def typed_wikilinks(text: Column) -> Column:
+    """(namespace, target) in order."""
+    both = F.arrays_zip(F.regexp_extract_all(text, F.lit(TYPED_LINK), F.lit(1)).alias("n"), F.regexp_extract_all(text, F.lit(TYPED_LINK), F.lit(2)).alias("t"))
+    return F.transform(both, lambda x: F.struct(x["n"].alias("namespace"), F.btrim(x["t"]).alias("target")))
+
+
+def iso_dates(text: Column) -> Column:
+    """Real calendar dates in text, sorted and distinct."""
+    found = F.regexp_extract_all(text, F.lit(r"(?<!\d)([0-9]{4}-[0-9]{2}-[0-9]{2})(?!\d)"), F.lit(1))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda d: F.try_to_date(d).isNotNull() & (d > "0000-99"))))
+
+
+def iso_date(value: Column) -> Column:
+    """The calendar date of a strict ISO date or date and time, or null."""
+    v = F.btrim(value)
+    whole = F.when(v.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(v))
+    timed = F.when(v.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9:.,+Z-]+$") & F.try_to_timestamp(v).isNotNull(), F.try_to_date(F.substring(v, 1, 10)))
+    return F.date_format(F.coalesce(whole, timed), "yyyy-MM-dd")
+
+
+#: Fixed values: (language, character ranges of the script that shows it).
+SCRIPT_LANGUAGES = (
+    ("ko", r"\x{ac00}-\x{d7a3}\x{1100}-\x{11ff}\x{3130}-\x{318f}"),
+    ("ja", r"\x{3040}-\x{30ff}"),
+    ("ru", r"\x{0400}-\x{052f}"),
+    ("ar", r"\x{0600}-\x{06ff}\x{0750}-\x{077f}"),
+    ("hi", r"\x{0900}-\x{097f}"),
+    ("he", r"\x{05d0}-\x{05ea}"),
+    ("el", r"\x{0370}-\x{03ff}"),
+    ("th", r"\x{0e00}-\x{0e7f}"),
+    ("ka", r"\x{10a0}-\x{10ff}"),
+)
+
+
+def script_language(text: Column, least: int = 4) -> Column:
+    """The language of the only non-Latin script with four characters or more, or null."""
+    seen = [F.when(F.char_length(F.regexp_replace(text, f"[^{r}]", "")) >= least, F.lit(lang)) for lang, r in SCRIPT_LANGUAGES]
+    strong = F.filter(F.array(*seen), lambda x: x.isNotNull())
+    return F.when(F.size(strong) == 1, strong[0])
+
+
+#: Secrets that recall never shows.
+SECRET = (
+    r"(?i)(?:-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"
+    r"|\b(?:sk-|ghp_|github_pat_)[A-Za-z0-9_-]{16,}"
+    r"|\bBearer\s+[A-Za-z0-9._~+/-]{12,}"
+    r"|\b(?:password|api[_-]?key|token|secret)\s*[:=]\s*[\"']?[^\s\"']{8,})"
+)
+
+
+def redact(text: Column) -> Column:
+    return F.regexp_replace(text, SECRET, "[redacted]")
+
+
+#: Words that carry no subject.
+FUNCTION_WORDS = (
+    "a an the and or as at by for from in into of on onto to with about after before between during through under over when while if then than "
+    "that this these those what how why where which who whom whose i me my we our you your he his she her it its they their is am are was were be "
+    "been being do does did have has had can could may might must shall should will would"
+).split()
+
+
+def task_terms(text: Column, exact: bool = True) -> Column:
+    """Distinct tokens without stems and function words, with English base forms."""
+    own = F.array_distinct(F.filter(tokens(text, exact), lambda t: ~t.endswith(STEM_MARK) & ~t.isin(FUNCTION_WORDS)))
+
+    def variants(t: Column) -> Column:
+        cut = lambda n: F.substring(t, F.lit(1), F.char_length(t) - n)
+        doubled = lambda n: F.when(cut(n).rlike(r"([bdglmnprt])\1$"), cut(n + 1))
+        plain = t.rlike("^[a-z]+$")
+        made = F.array(
+            F.when(t.rlike("(ies|ied)$"), F.concat(cut(3), F.lit("y"))),
+            F.when(t.endswith("ing"), cut(3)), F.when(t.endswith("ing"), doubled(3)),
+            F.when(t.endswith("ed"), cut(2)), F.when(t.endswith("ed"), doubled(2)),
+            F.when(t.endswith("s") & ~t.rlike("(ss|us|is)$"), cut(1)),
+        )
+        return F.concat(F.array(t), F.when(plain, F.filter(made, lambda v: F.char_length(v) >= 4)).otherwise(F.array().cast("array<string>")))
+
+    return F.array_distinct(F.flatten(F.transform(own, variants)))
+
+
+def normalized(text: Column) -> Column:
+    """Identity form: folded, white space collapsed."""
+    return squeeze(lower_fold(text))
+
+
+def fence(raw: Column, language: str = "") -> Column:
+    """The text in a fence longer than any run of backticks in it."""
+    longest = F.coalesce(F.array_max(F.transform(F.regexp_extract_all(raw, F.lit("(`+)"), F.lit(1)), F.char_length)), F.lit(0))
+    mark = F.repeat(F.lit("`"), F.greatest(F.lit(3), longest + 1))
+    return F.concat(mark, F.lit(language + "\n"), raw, F.when(raw.endswith("\n"), "").otherwise("\n"), mark, F.lit("\n"))
