@@ -82,7 +82,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     fine = max(1, -(-n // (ROWS_A_RANGE * BOUNDS)))
     coarse = _search(F.col("doc_id"), bounds)
     low, high = F.element_at(F.array(*map(F.lit, bounds)), coarse + 1), F.element_at(F.array(*map(F.lit, [*bounds[1:], bounds[-1] + 1])), coarse + 1)
-    share = (F.col("doc_id").cast("double") - low) / (high.cast("double") - low) * fine
+    share = (F.col("doc_id").cast("double") - low) / F.greatest(F.lit(1.0), high.cast("double") - low) * fine
     cut = F.least(F.lit(fine - 1), F.greatest(F.lit(0), F.floor(share))).cast("int") if fine > 1 else F.lit(0)
     pid = F.when(F.col("doc_id").isNull(), -1).otherwise(coarse * fine + cut)
     # One row a range: BOUNDS * fine at most.

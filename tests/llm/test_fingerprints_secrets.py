@@ -1,0 +1,112 @@
+"""Sketch fingerprints and secret scans against plain Python."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+
+from pyspark.sql import functions as F
+
+from marginalia.llm import fingerprints, secret_scan
+
+
+def brute(docs):
+    order = sorted(range(len(docs)), key=lambda k: (docs[k][0] is not None, docs[k][0] or 0))
+    out = {}
+    sets = lambda t: set(t.split("\n"))
+    near = lambda a, b: len(sets(a) & sets(b)) / len(sets(a) | sets(b))
+    for at, k in enumerate(order):
+        a, b = docs[k][1] or "", docs[order[(at + 1) % len(order)]][1] or ""
+        half = len(a) // 2
+        e = a[: len(a) - half] + b[:half]
+        out[docs[k][0]] = (len(a), hashlib.sha256(e.encode()).hexdigest(), round(near(a, e), 9), round(near(a, b), 9))
+    return out
+
+
+def measured(rows):
+    return {r.doc_id: (r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in rows}
+
+
+def test_likeness_equals_set_difference(spark):
+    rng = random.Random(1)
+    pool = [f"paragraph é {i} 中" for i in range(60)]
+    docs = [(i * 7 - 50, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 40)))) for i in range(120)]
+    docs += [(2000, None), (2001, ""), (2002, "\n"), (2003, docs[0][1]), (2**62, docs[0][1]), (3000, "\n".join(f"p{i}" for i in range(3000)))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as uid", "'x' as next_text", "2 as h", "3 as kinds")
+    rows = fingerprints.fingerprint_edits(frame).collect()
+    assert measured(rows) == brute(docs)
+    by = {r.doc_id: r for r in rows}
+    assert by[2003].fingerprint == by[2**62].fingerprint == by[-50].fingerprint
+    assert by[2000].fingerprint == by[2001].fingerprint
+    assert len({r.fingerprint for r in rows}) == len({frozenset((t or "").split("\n")) for _, t in docs})
+
+
+def test_sketches_peel_at_one_size(spark):
+    keys = list(range(100, 104))
+    pairs = spark.createDataFrame([(1, [("k", keys, keys[:2] + [7])]), (2, [("k", keys, keys)]), (3, [("k", list(range(500)), [])])], "uid long, kinds array<struct<kind:string,a:array<long>,b:array<long>>>")
+    rows = {r.uid: r for r in fingerprints.differences(pairs, 1).collect()}
+    assert (rows[1].ok, rows[1].only_a, rows[1].only_b) == (True, 2, 1)
+    assert (rows[2].ok, rows[2].only_a, rows[2].only_b) == (True, 0, 0)
+    assert not rows[3].ok  # 48 cells can't hold 500 differences
+    retried = {r.uid: r.likeness for r in fingerprints.likeness(pairs).collect()}
+    assert retried == {1: 2 / 5, 2: 1.0, 3: 0.0}
+
+
+def test_next_of_nulls_repeats_one_and_none(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    assert fingerprints.fingerprint_edits(frame([])).count() == 0
+    one = fingerprints.fingerprint_edits(frame([(4, "abcd\nef")])).first()
+    assert one.n_chars == 7 and one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(b"abcdabc").hexdigest()
+    rows = fingerprints.fingerprint_edits(frame([(1, "a\nb"), (1, "a\nb"), (None, "n"), (None, None), (5, "q")])).collect()
+    assert len(rows) == 5 and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
+
+
+def test_next_across_ranges(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "ROWS_A_RANGE", 2)
+    monkeypatch.setattr(fingerprints, "BOUNDS", 4)
+    ids = sorted(random.Random(2).sample(range(10**6), 97)) + [2**60]
+    frame = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
+    got = {r.doc_id: r.next_text for r in fingerprints.with_next(frame).collect()}
+    assert got == {i: f"t{n}" for i, n in zip(ids, [*ids[1:], ids[0]], strict=True)}
+
+
+# -- secrets -----------------------------------------------------------------------
+
+
+def test_forest_on_held_out_findings(spark):
+    found = secret_scan.labelled_findings(spark)
+    held = F.pmod(F.xxhash64("candidate"), F.lit(4)) == 0
+    model = secret_scan.train(found.where(~held))
+    right = model.transform(secret_scan.features(found.where(held))).select(F.avg((F.col("prediction") == F.col("label")).cast("int"))).first()[0]
+    assert right > 0.97
+
+
+def test_scan_finds_secrets_and_drops_look_alikes(spark):
+    token, other = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "4785380592391139"
+    text = f'some words token = "{token}" more words {other} and mail someone.92@mail2.example.com, commit {token[::-1]} end'
+    rows = [(1, text, "src0", 5), (1, text, "src0", 5), (2, None, None, 5), (3, "", "s", 5), (None, f"secret: {token}", None, 5), (5, "x" * 300_000, "s", 5), (6, "a1" * 100_000, "s", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, length int")
+    got = secret_scan.scan(docs).collect()
+    first = sorted((r.finding, r.candidate, r.secret) for r in got if r.doc_id == 1)
+    assert first == sorted([(0, token, True), (1, other, False), (2, "someone.92@mail2.example.com", False), (3, token[::-1], False)] * 2)
+    assert [r.secret for r in got if r.doc_id is None] == [True]
+    assert len([r for r in got if r.doc_id == 6]) == 1 and not [r for r in got if r.doc_id in (2, 3, 5)]
+    assert secret_scan.scan(docs.limit(0)).count() == 0
+
+
+def test_candidates_equal_brute_force(spark):
+    import re
+
+    rng = random.Random(3)
+    parts = ["word ", "abcdefghijklmnopqrst ", "A1b2C3d4E5f6G7h8 ", "1234567890123456,", 'key="zz9zz9zz9zz9zz9z9"', "\n", "é"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.candidate, r.before) for r in secret_scan.candidates(docs).collect())
+    want = []
+    for i, t in enumerate(texts):
+        end = 0
+        for m in re.finditer(r"[A-Za-z0-9+/_=.@~-]{16,}", t):
+            if re.search("[0-9]", m[0]):
+                want.append((i, m[0], t[end : m.start()][-48:].lower()))
+            end = m.end()
+    assert got == sorted(want)
