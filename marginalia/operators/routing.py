@@ -47,8 +47,8 @@ def match(routes: DataFrame, tasks: DataFrame) -> DataFrame:
 
 def register(routes: DataFrame, new: DataFrame) -> DataFrame:
     """Routes with the new ones appended; a known (trigger, document) keeps its place."""
-    last = F.coalesce(routes.agg(F.max("seq")).first()[0], F.lit(-1)) if routes.limit(1).count() else F.lit(-1)
-    added = new.withColumn("seq", F.col("seq") + last + 1)
+    last = routes.agg(F.max("seq")).first()[0]
+    added = new.withColumn("seq", F.col("seq") + (0 if last is None else last + 1))
     return routes.unionByName(added.select(*routes.columns)).groupBy("trigger", "document").agg(F.min("seq").alias("seq")).select(*routes.columns)
 
 

@@ -1,0 +1,181 @@
+"""Note files as tables: scan, header, entry rows, imports, exports."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import labels as L
+from ..operators.index import hidden_or_cache, newest_per_key
+
+_NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?")
+
+
+def scan(spark: SparkSession, root: str) -> DataFrame:
+    """(key, stem, rel, zone, mtime, size, content) of visible Markdown files under ``root``.
+
+    The newest file of a stem keeps it as key; others get path keys. Hidden and
+    cache folders are left out.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    base = root.rstrip("/").removeprefix("file://").removeprefix("file:")
+    rel = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9+.-]+:/*", "/"), "^" + re.escape(base) + "/", "")
+    rows = files.select(rel.alias("rel"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
+    rows = rows.where(F.lower("rel").endswith(".md") & ~hidden_or_cache(F.col("rel")))
+    stem = F.regexp_replace(F.regexp_extract("rel", "([^/]+)$", 1), r"(?i)\.md$", "")
+    return newest_per_key(rows.withColumn("stem", stem).withColumn("zone", F.regexp_extract("rel", "^(.*)/[^/]*$", 1)))
+
+
+def split_header(text: Column) -> tuple[Column, Column]:
+    """(header, body) at the first ``---`` block; no block, an empty header."""
+    pattern = r"(?s)^\x{feff}?---[ \t]*\r?\n(.*?)(?:^|(?<=\n))---[ \t]*(?:\r?\n|$)(.*)$"
+    has = text.rlike(pattern)
+    return F.when(has, F.regexp_extract(text, pattern, 1)).otherwise(""), F.when(has, F.regexp_extract(text, pattern, 2)).otherwise(text)
+
+
+def field(header: Column, name: str) -> Column:
+    """A flat header field's text without quotes, or null."""
+    raw = F.btrim(F.regexp_extract(header, rf"(?m)^{name}:[ \t]*(.*?)[ \t]*\r?$", 1))
+    bare = F.regexp_replace(raw, "^\"(.*)\"$|^'(.*)'$", "$1$2")
+    return F.when(bare != "", bare)
+
+
+def items(header: Column, name: str) -> Column:
+    """A flat header list, inline or in ``- `` lines."""
+    inline = F.regexp_extract(header, rf"(?m)^{name}:[ \t]*\[(.*)\][ \t]*\r?$", 1)
+    block = F.regexp_extract(header, rf"(?m)^{name}:[ \t]*\r?\n((?:[ \t]*- .*(?:\r?\n|$))+)", 1)
+    clean = lambda x: F.btrim(F.regexp_replace(F.btrim(x), "^[\"']|[\"']$", ""))
+    parts = F.when(inline != "", F.transform(F.split(inline, ","), clean)).otherwise(F.transform(F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]*- (.*?)\r?$"), F.lit(1)), clean))
+    return F.filter(parts, lambda x: x != "")
+
+
+def entries(files: DataFrame, exact: bool = True) -> DataFrame:
+    """Note rows of scanned files; what can't be read falls back to defaults."""
+    text = F.decode("content", "UTF-8")
+    text = F.regexp_replace(text, "\r\n?", "\n")
+    header, body = split_header(text)
+    rows = files.select("key", "rel", "zone", "mtime", "size", "stem", text.alias("text"), header.alias("header"), body.alias("body"))
+    h = F.col("header")
+    tags = F.coalesce(items(h, "tags"), F.array().cast("array<string>"))
+    summary = F.filter(F.transform(F.split("body", "\n"), F.btrim), lambda x: (x != "") & ~x.startswith("#"))
+    title = F.coalesce(field(h, "title"), F.col("stem"))
+    out = rows.select(
+        "key", title.alias("title"), "rel", "zone", F.coalesce(field(h, "type"), F.lit("topic")).alias("type"), tags.alias("tags"),
+        F.coalesce(L.read_inline(h), F.array().cast("array<string>")).alias("labels"),
+        F.array_sort(F.array_distinct(T.wikilinks(F.col("text")))).alias("links"),
+        F.coalesce(field(h, "created"), F.lit("")).alias("created"), F.coalesce(field(h, "updated"), F.lit("")).alias("updated"),
+        F.coalesce(F.expr("try_cast(regexp_extract(header, '(?m)^confidence:[ \\\\t]*([0-9.-]+)', 1) AS DOUBLE)"), F.lit(0.5)).alias("confidence"),
+        F.coalesce(field(h, "polarity"), F.lit("positive")).alias("polarity"), field(h, "expires_at").alias("expires_at"),
+        F.substring(F.coalesce(F.get(summary, F.lit(0)), F.lit("")), 1, 120).alias("summary"), "mtime", "size", "body",
+    )
+    return out.withColumn("indexed", F.concat_ws(" ", "title", F.array_join("tags", " "), "body"))
+
+
+def scalar(raw: str):
+    """A header scalar: quoted text, null, booleans, strict numbers, or text."""
+    v = raw.strip()
+    if len(v) >= 2 and v[0] == v[-1] and v[0] in "\"'":
+        return re.sub(r"\\(.)", r"\1", v[1:-1]) if v[0] == '"' else v[1:-1].replace("''", "'")
+    if v.lower() in ("", "null", "~"):
+        return None
+    if v.lower() in ("true", "false"):
+        return v.lower() == "true"
+    if _NUMBER.fullmatch(v):
+        return float(v) if "." in v else int(v)
+    if v[0] == "[" and v[-1] == "]":
+        return [scalar(x) for x in inline_items(v[1:-1])]
+    return v
+
+
+def inline_items(text: str) -> list[str]:
+    """Items of an inline list; commas inside quotes and brackets don't part them."""
+    found = re.findall(r"""((?:"(?:[^"\\]|\\.)*"|'[^']*'|\[[^\]]*\]|[^,"'\[])+)""", text)
+    return [x.strip() for x in found if x.strip()]
+
+
+def parse_header(header: str) -> dict:
+    """The header's nested mapping: scalars, inline lists, indented maps and lists; bad lines are skipped."""
+    lines = [(len(x) - len(x.lstrip()), x.strip()) for x in header.splitlines() if x.strip() and not x.strip().startswith("#")]
+
+    def block(i: int, depth: int):
+        out: dict | list = [] if i < len(lines) and lines[i][1].startswith("- ") else {}
+        while i < len(lines) and lines[i][0] >= depth:
+            pad, line = lines[i]
+            if isinstance(out, list) != line.startswith("- "):
+                if pad == depth and isinstance(out, list):
+                    break
+                i += 1
+                continue
+            if isinstance(out, list):
+                item = line[2:].strip()
+                pair = re.match(r"([\w-]+):(?:\s+(.*))?$", item)
+                if pair:
+                    lines[i] = (pad + 2, item)
+                    value, i = block(i, pad + 2)
+                else:
+                    value, i = scalar(item), i + 1
+                out.append(value)
+                continue
+            pair = re.match(r"([^:]+):(?:\s+(.*))?$", line)
+            if not pair:
+                i += 1
+                continue
+            if pair[2]:
+                out[pair[1].strip()], i = scalar(pair[2]), i + 1
+            elif i + 1 < len(lines) and (lines[i + 1][0] > pad or lines[i + 1][0] == pad and lines[i + 1][1].startswith("- ")):
+                out[pair[1].strip()], i = block(i + 1, lines[i + 1][0])
+            else:
+                out[pair[1].strip()], i = None, i + 1
+        return out, i
+
+    got = block(0, lines[0][0])[0] if lines else {}
+    return got if isinstance(got, dict) else {}
+
+
+def header_json(header: Column) -> Column:
+    """The whole header as JSON, by an Arrow UDF (for ``parse_json``)."""
+    import json
+
+    def run(headers: pd.Series) -> pd.Series:
+        return headers.map(lambda h: json.dumps(parse_header(h or ""), ensure_ascii=False, default=str))
+
+    return F.pandas_udf(run, "string")(header)
+
+
+def import_candidates(files: DataFrame) -> DataFrame:
+    """(path, target, body, problem) of .md, .txt and .json files (path, content).
+
+    Text and JSON are fenced verbatim; names that differ only in case collide.
+    """
+    text = F.decode("content", "UTF-8")
+    kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))
+    rows = files.select("path", kind.alias("kind"), text.alias("text")).where(F.col("kind").isin("md", "txt", "json"))
+    target = F.concat(F.regexp_replace(F.regexp_extract("path", "([^/]+)$", 1), r"\.[A-Za-z]+$", ""), F.lit(".md"))
+    body = F.when(F.col("kind") == "md", F.col("text")).when(F.col("kind") == "json", T.fence(F.col("text"), "json")).otherwise(T.fence(F.col("text")))
+    broken = (F.col("kind") == "json") & F.try_parse_json("text").isNull()
+    rows = rows.select("path", target.alias("target"), body.alias("body"), broken.alias("broken")).withColumn("fold", F.lower("target"))
+    twice = rows.groupBy("fold").agg(F.count("*").alias("n"))
+    return rows.join(twice, "fold").select("path", "target", "body", F.when(F.col("n") > 1, "duplicate target").when(F.col("broken"), "invalid JSON").alias("problem"))
+
+
+def write_notes(notes: DataFrame, path: str) -> None:
+    """The index as a table, partitioned by zone; an existing one is an error."""
+    notes.withColumn("format_version", F.lit(1)).write.mode("errorifexists").partitionBy("zone").parquet(path)
+
+
+def read_notes(spark: SparkSession, path: str, version: int = 1) -> DataFrame | None:
+    """The stored index, or None where its format is another one (rebuild then)."""
+    df = spark.read.parquet(path)
+    if "format_version" not in df.columns or df.where(F.col("format_version") != version).limit(1).count():
+        return None
+    return df.drop("format_version")
+
+
+def export_markdown(notes: DataFrame) -> DataFrame:
+    """(rel, content): described Markdown files, as text for any sink."""
+    head = F.concat(F.lit("---\ntitle: "), T.yaml_quoted(F.col("title")), F.lit("\ntype: "), F.col("type"), F.lit("\nlabels: "), T.yaml_list(F.col("labels")), F.lit("\n---\n\n"))
+    return notes.select("rel", F.concat(head, "body").alias("content"))
