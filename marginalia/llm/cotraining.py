@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle
+
 LABELLED, POOL, HELD_OUT = 5000, 4000, 0.25
 ROUNDS, SHARE = 4, 0.1
 #: Rows are rejected below this probability of being good.
@@ -86,12 +88,12 @@ def sigmoid(x):
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 300) -> np.ndarray:
     """Weights (bias last) of a class-balanced logistic regression, by Nesterov steps."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())).astype(x.dtype)
-    rate = 1 / (0.25 * float((weight * (x**2).sum(1)).sum()) + l2)
-    w = ahead = np.zeros(x.shape[1], x.dtype)
+    rate = 1 / (0.25 * float((weight * (np.einsum("ij,ij->i", x, x) + 1)).sum()) + l2)
+    w = ahead = np.zeros(x.shape[1] + 1, x.dtype)
     for i in range(steps):
-        grad = x.T @ (weight * (sigmoid(x @ ahead) - y).astype(x.dtype)) + l2 * ahead
+        off = weight * (sigmoid(_score(x, ahead)) - y).astype(x.dtype)
+        grad = np.append(x.T @ off, off.sum()) + l2 * ahead
         new = ahead - rate * grad
         ahead = new + (i / (i + 3)) * (new - w)
         w = new
@@ -140,32 +142,48 @@ def _platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 0.0) / size), float(b)
 
 
-def cotrain(text: np.ndarray, page: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_page: np.ndarray, rounds: int = ROUNDS, share: float = SHARE) -> Model:
-    """Exchange confident pseudo-labels over rounds, then calibrate on held-out rows."""
-    held = np.arange(len(y)) % round(1 / HELD_OUT) == 0
-    own = [(text[~held], y[~held].astype(np.float32)), (page[~held], y[~held].astype(np.float32))]
-    pools, free = (pool_text, pool_page), np.ones(len(pool_text), bool)
-    good = float((y[~held] == 1).mean())
-    l2 = (1e-5, 1e-5)
-    weights = [logistic(x, t, l) for (x, t), l in zip(own, l2, strict=True)]
+def cotrain(views: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, held_y: np.ndarray, rounds: int = ROUNDS, share: float = SHARE) -> Model:
+    """Exchange confident pseudo-labels over rounds, then calibrate on held-out rows.
+
+    ``views``: for each view its rows and its held-out rows. Rows hold the
+    labelled ones (``y``) first and then the pool; pool rows that a view is
+    taught move up to its labelled ones, in place.
+    """
+    n, size = len(y), len(views[0][0]) - len(y)
+    good, l2 = float((y == 1).mean()), 1e-5
+    labels = [y.astype(np.float32), y.astype(np.float32)]
+    at = [np.arange(size), np.arange(size)]  # the pool row behind each place
+    place = [np.arange(size), np.arange(size)]  # and the reverse
+    free = np.ones(size, bool)
+    fit_view = lambda k: logistic(views[k][0][: len(labels[k])], labels[k], l2)
+    weights = [fit_view(0), fit_view(1)]
     for _ in range(rounds):
-        taken = []
+        taught = []
         for k in (0, 1):
-            score = np.where(free, _score(pools[k], weights[k]), np.nan)
-            order = np.argsort(score)[: int(free.sum())]
-            n = int(len(pools[k]) * share / rounds)
-            low, high = order[: round(n * (1 - good))], order[len(order) - round(n * good) :]
-            low, high = low[score[low] < 0], high[score[high] > 0]
-            taken.append((np.concatenate((low, high)), np.concatenate((np.zeros(len(low)), np.ones(len(high))))))
-        for k, (rows, label) in enumerate(taken):  # what view k is sure of teaches the other
-            x, t = own[1 - k]
-            own[1 - k] = np.vstack((x, pools[1 - k][rows])), np.concatenate((t, label)).astype(np.float32)
-            free[rows] = False
-        weights = [logistic(x, t, l) for (x, t), l in zip(own, l2, strict=True)]
-    check = y[held]
-    calibration = tuple(_platt(_score(v[held], w), check) for v, w in zip((text, page), weights, strict=True))
-    odds = np.stack([np.clip(_score(v[held], w) * c[0] + c[1], -6, 6) for v, w, c in zip((text, page), weights, calibration, strict=True)], 1)
-    mix = logistic(odds, check.astype(float), 1e-3)
+            score = _score(views[k][0][n:], weights[k])[place[k]]
+            order = np.argsort(np.where(free, score, np.inf), kind="stable")[: int(free.sum())]
+            m = int(size * share / rounds)
+            low, high = order[: round(m * (1 - good))], order[len(order) - round(m * good) :]
+            taught.append([(r, 0.0) for r in low[score[low] < 0]] + [(r, 1.0) for r in high[score[high] > 0]])
+        for k, own in enumerate(taught):  # what view k is sure of teaches the other
+            x, o = views[1 - k][0], 1 - k
+            for r, label in own:
+                to, now = len(labels[o]) - n, place[o][r]
+                if now < to:
+                    continue  # taught before
+                x[[n + to, n + now]] = x[[n + now, n + to]]
+                other = at[o][to]
+                at[o][to], at[o][now], place[o][r], place[o][other] = r, other, to, now
+                labels[o] = np.append(labels[o], np.float32(label))
+                free[r] = False
+        weights = [fit_view(0), fit_view(1)]
+    calibration = tuple(_platt(_score(v[1], w), held_y) for v, w in zip(views, weights, strict=True))
+    odds = np.stack([np.clip(_score(v[1], w) * c[0] + c[1], -6, 6) for v, w, c in zip(views, weights, calibration, strict=True)], 1)
+    mix = logistic(odds, held_y.astype(float), 1e-3)
+    if mix[:2].min() < 0:  # evidence of a view never counts against itself
+        only = int(mix[:2].argmax())
+        alone = logistic(odds[:, [only]], held_y.astype(float), 1e-3)
+        mix = np.array([alone[0] * (only == 0), alone[0] * (only == 1), alone[1]])
     return Model(weights[0], weights[1], calibration, tuple(float(x) for x in mix))
 
 
@@ -192,16 +210,28 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     # Samples of fixed size, whatever the table: the smallest hashes of each kind.
     sample = chosen.where("y is not null").orderBy("rank", "id").limit(labelled).unionByName(chosen.where("y is null").orderBy("rank", "id").limit(pool))
     texts = docs.select("doc_id", "text", _column(docs, "source").alias("source"), _column(docs, "lang").alias("lang"))
-    rows = _features(texts.join(F.broadcast(sample), texts["doc_id"] == sample["id"]).select("rank", "y", "text", "source", "lang")).collect()
-    rows.sort(key=lambda r: (r["rank"], bytes(r["t"])))
-    given, free = [r for r in rows if r["y"] is not None], [r for r in rows if r["y"] is None]
-    y = np.array([r["y"] for r in given])
-    held = np.arange(len(y)) % round(1 / HELD_OUT) == 0
-    if not all(len(set(part.tolist())) == 2 for part in (y[held], y[~held])):
-        return float(y.mean()) if len(y) else 1.0
-    text = lambda own: np.array([np.frombuffer(r["t"], np.float16) for r in own], np.float32).reshape(-1, DIMS)
-    page = lambda own: np.array([np.frombuffer(r["p"], np.float32) for r in own], np.float32).reshape(-1, SLOTS)
-    return cotrain(text(given), page(given), y, text(free), page(free))
+    features = settle(_features(texts.join(F.broadcast(sample), texts["doc_id"] == sample["id"]).select("rank", "y", "text", "source", "lang")), "features")
+    # Fixed numbers of fixed-size rows; they come one file at a time.
+    rows = [(r["rank"], r["y"], bytes(r["t"]), bytes(r["p"])) for r in features.toLocalIterator()]
+    rows.sort(key=lambda r: (r[0], r[2]))
+    given = [r for r in rows if r[1] is not None]
+    held, seen = [r for i, r in enumerate(given) if i % round(1 / HELD_OUT) == 0], [r for i, r in enumerate(given) if i % round(1 / HELD_OUT)]
+    if any(len({r[1] for r in part}) < 2 for part in (held, seen)):
+        return float(np.mean([r[1] for r in given])) if given else 1.0
+    kept = seen + [r for r in rows if r[1] is None]
+    del rows, given
+    y, held_y = np.array([r[1] for r in seen]), np.array([r[1] for r in held])
+    del seen
+
+    def stacked(own: list, key: int, kind: type, width: int) -> np.ndarray:
+        out = np.empty((len(own), width), np.float32)
+        for i, r in enumerate(own):
+            out[i] = np.frombuffer(r[key], kind)
+        return out
+
+    views = [(stacked(kept, *v), stacked(held, *v)) for v in ((3, np.float32, SLOTS), (2, np.float16, DIMS))][::-1]
+    del kept, held
+    return cotrain(views, y, held_y)
 
 
 def score(docs: DataFrame, model: Model | float, threshold: float = THRESHOLD) -> DataFrame:
