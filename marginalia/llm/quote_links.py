@@ -5,9 +5,9 @@ before the text). Quoted lines of all levels are normalised and hashed, and
 joined to the earliest message of the conversation that wrote such a line itself.
 A message replies to the message that its outermost quotes match most often (the
 later one on ties); without a match to the message before it, and the first of
-a conversation to none. Threads and depths follow from these links by pointer
-doubling, so a conversation as long as the table takes logarithmic rounds and no
-single task. (thread, turn) orders a conversation so that replies follow what
+a conversation to none. Threads and depths follow from these links by runs in
+blocks of turns and pointer doubling over their heads, so a conversation as long
+as the table takes logarithmic rounds and no single task. (thread, turn) orders a conversation so that replies follow what
 they answer.
 
 Defined cases: null text is empty; messages of a null conv_id or turn are kept
@@ -67,22 +67,37 @@ def link_quotes(messages: DataFrame) -> DataFrame:
 
 
 def threads(parents: DataFrame, rounds: int = 64) -> DataFrame:
-    """(conv_id, turn, reply_to, thread, depth) from (conv_id, turn, reply_to).
+    """(conv_id, turn, reply_to, thread, depth) from (conv_id, turn, at, before, reply_to).
 
-    Each round doubles how far up a message looks; rounds end when all have
-    reached a message that answers nothing.
+    Messages that answer the one before them hang in runs; a window over a block
+    of ``BLOCK`` places finds the head of each run, so only heads (answers by
+    quote, first messages, one a block) look further up. Each round doubles how
+    far a head looks, until all have reached a message that answers nothing.
     """
-    # jump: the message reached so far, null once the root is passed.
-    now = settle(parents.select("conv_id", "turn", "reply_to", F.col("reply_to").alias("jump"), F.coalesce("reply_to", "turn").alias("thread"), F.when(F.col("reply_to").isNull(), 0).otherwise(1).cast("long").alias("depth")), "threads")
+    within = Window.partitionBy("conv_id", "block").orderBy("at")
+    free = F.col("reply_to").isNull() | (F.col("reply_to") != F.col("before")) | (F.col("place") == 1)
+    rows = parents.withColumn("block", F.floor(F.col("at") / BLOCK)).withColumn("place", F.row_number().over(within))
+    last = F.last(F.when(free, F.struct("turn", "place")), ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("h", last).select("conv_id", "turn", "reply_to", F.col("h.turn").alias("head"), (F.col("place") - F.col("h.place")).cast("long").alias("below"))
+    rows = settle(rows, "runs")
+    upper = rows.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("head").alias("jump"), (F.col("below") + 1).alias("depth"))
+    heads = rows.where("turn = head").select("conv_id", "head", "reply_to")
+    # jump: the head reached so far, null once the root is passed.
+    now = heads.join(upper, (F.col("conv_id") == F.col("c")) & (F.col("reply_to") == F.col("t")), "left")
+    now = settle(now.select("conv_id", "head", "jump", F.coalesce("jump", "head").alias("thread"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth")), "heads")
     for _ in range(rounds):
-        if not now.where("jump is not null").limit(1).count():
+        open_ = now.where("jump is not null")
+        if not open_.limit(1).count():
             break
-        up = now.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("jump").alias("j"), F.col("thread").alias("r"), F.col("depth").alias("d"))
-        on = now.join(up, (F.col("conv_id") == F.col("c")) & (F.col("jump") == F.col("t")), "left")
-        now = settle(on.select("conv_id", "turn", "reply_to", F.col("j").alias("jump"), F.coalesce("r", "thread").alias("thread"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth")), "threads")
+        up = now.select(F.col("conv_id").alias("c"), F.col("head").alias("t"), F.col("jump").alias("j"), F.col("thread").alias("r"), F.col("depth").alias("d"))
+        on = open_.join(up, (F.col("conv_id") == F.col("c")) & (F.col("jump") == F.col("t")))
+        moved = on.select("conv_id", "head", F.col("j").alias("jump"), F.col("r").alias("thread"), (F.col("depth") + F.col("d")).alias("depth"))
+        now = settle(moved.unionByName(now.where("jump is null")), "heads")
     else:
         raise RuntimeError("threads did not settle")
-    return now.drop("jump")
+    tops = now.select(F.col("conv_id").alias("c"), F.col("head").alias("t"), "thread", "depth")
+    out = rows.join(tops, (F.col("conv_id") == F.col("c")) & (F.col("head") == F.col("t")))
+    return out.select("conv_id", "turn", "reply_to", "thread", (F.col("depth") + F.col("below")).alias("depth"))
 
 
 def previous(turns: DataFrame, top: int) -> DataFrame:
@@ -113,8 +128,8 @@ def format_chat(conversations: DataFrame) -> DataFrame:
     low, high = keys.agg(F.min("turn"), F.max("turn")).first()
     low = low or 0
     order = previous(keys.select("conv_id", (F.col("turn") - low).alias("at"), F.col("turn").alias("value")), (high or 0) - low)
-    order = order.select("conv_id", F.col("value").alias("turn"), "before")
-    parents = settle(order.join(replies, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("quoted_turn", "before").alias("reply_to"), F.coalesce("linked_lines", F.lit(0)).alias("linked_lines")), "parents")
+    order = order.select("conv_id", "at", F.col("value").alias("turn"), "before")
+    parents = settle(order.join(replies, ["conv_id", "turn"], "left").select("conv_id", "turn", "at", "before", F.coalesce("quoted_turn", "before").alias("reply_to"), F.coalesce("linked_lines", F.lit(0)).alias("linked_lines")), "parents")
     linked = threads(parents).join(parents.select("conv_id", "turn", "linked_lines"), ["conv_id", "turn"])
     lines = split_lines(F.col("text"))
     quoted = F.size(F.filter(lines, lambda x: x["level"] > 0)).cast("long")
