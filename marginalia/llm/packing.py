@@ -16,6 +16,7 @@ columns are not read.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -28,51 +29,132 @@ from .common import batches_of, settle
 
 CAPACITY, END_ID = 4096, 1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Entries of each generation of a worker's caches, and the longest word they hold.
-CACHE_WORDS, LONGEST_CACHED = 400_000, 48
+#: Parts that a worker keeps the ids of, and slots of their hash table (a power of two).
+KNOWN_PARTS, SLOT_BITS, KNOWN_IDS = 450_000, 20, 1 << 24
+CHARS_AT_ONCE = 1_000_000
 ROUNDS, RATE = 8, 0.5
 _WORDS = re.compile("[^ \t\n\r\x0b\x0c]+")
 #: Python's split() takes these for white space, the pre-tokenizer doesn't.
 _ODD = re.compile("[\x1c-\x1f]")
-_L, _N = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
-#: The pre-tokenizer's pattern for lower-cased Latin-1 texts.
-_TOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_L}{_N}\x09-\x0d\x20\x85\xa0]+")
+_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+_BYTES, SHORT, _MIX = 8, 23, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9)
+_MASKS = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
+
+
+def _classes() -> np.ndarray:
+    """The pre-tokenizer's class of each lower-cased Latin-1 character."""
+    out = np.full(256, _OTHER, np.uint8)
+    for c in range(256):
+        kind = unicodedata.category(chr(c))[0]
+        if chr(c) in "\t\n\x0b\x0c\r \x85\xa0":
+            out[c] = _SPACE
+        elif kind in "LN":
+            out[c] = _LETTER if kind == "L" else _NUMBER
+    return out
 
-_RUN = re.compile(f"[{_L}]+")
 
+_CLASS = _classes()
 
-class Recent:
-    """A bounded cache of two generations: what was used lately survives."""
 
-    def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
+def spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the pre-tokens of lower-cased Latin-1 bytes.
 
-    def missing(self, keys: set[str]) -> list[str]:
-        """Keys to learn; afterwards ``young`` has all the others."""
-        if len(self.young) > self.size:
-            self.young, self.old = {}, self.young
-        young, old, out = self.young, self.old, []
-        for k in keys - young.keys():
-            if k in old:
-                young[k] = old[k]
-            else:
-                out.append(k)
+    Runs of letters, single numbers, runs of anything else, and contractions
+    ('s 't 'm 'd 're 've 'll) where such a run starts with their apostrophe.
+    """
+    kind = _CLASS[raw]
+    before = np.concatenate((np.zeros(1, np.uint8), kind[:-1]))
+    start = (kind != _SPACE) & ((kind != before) | (kind == _NUMBER))
+    at = np.flatnonzero((raw == 39) & start)
+    if len(at):
+        one, two = (raw[np.minimum(at + i, len(raw) - 1)] * (at + i < len(raw)) for i in (1, 2))
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        pair = one.astype(np.uint16) * 256 + two
+        long = np.isin(pair, [256 * x[0] + x[1] for x in (b"re", b"ve", b"ll")])
+        for found, size in ((short, 2), (long, 3)):
+            p = at[found]
+            start[p + 1] = False
+            rest = p[p + size < len(raw)] + size
+            start[rest[kind[rest] == _LETTER]] = True
+    edge = np.flatnonzero(start | ((kind == _SPACE) & (before != _SPACE)))
+    ends = np.append(edge[1:], len(raw))
+    own = start[edge]
+    return edge[own], ends[own]
+
+
+class IdTable:
+    """An exact hash table from parts to their ids, in numpy.
+
+    Parts of at most 23 bytes are three words, with the length in the last byte;
+    longer ones, which are few, are in a dictionary.
+    """
+
+    def __init__(self):
+        size = 1 << SLOT_BITS
+        self.keys, self.entry = np.zeros((3, size), np.uint64), np.full(size, -1, np.int32)
+        self.first, self.size, self.ids = np.zeros(KNOWN_PARTS, np.int64), np.zeros(KNOWN_PARTS, np.int64), np.zeros(1 << 20, "<u4")
+        self.long: dict[bytes, int] = {}
+        self.n = self.used = 0
+
+    def slots(self, keys: list[np.ndarray]) -> np.ndarray:
+        h = keys[0] * np.uint64(_MIX[0])
+        for k, m in ((keys[1], _MIX[1]), (keys[2], _MIX[2])):
+            h = (h ^ (h >> np.uint64(32))) + k * np.uint64(m)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(_MIX[3])
+        return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def find(self, keys: list[np.ndarray]) -> np.ndarray:
+        """The entry of each key, -1 where it has none."""
+        out, todo, slot = np.full(len(keys[0]), -1, np.int64), np.arange(len(keys[0])), self.slots(keys)
+        while len(todo):
+            got = self.entry[slot]
+            same = got >= 0
+            for mine, own in zip(self.keys, keys, strict=True):
+                same &= mine[slot] == own[todo]
+            out[todo[same]] = got[same]
+            on = (got >= 0) & ~same
+            todo, slot = todo[on], (slot[on] + 1) & ((1 << SLOT_BITS) - 1)
         return out
 
+    def add(self, parts: list[bytes], ids: list[bytes]) -> None:
+        """Enter new parts with their ids."""
+        entries = np.arange(self.n, self.n + len(parts))
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros(len(self.ids), "<u4")))
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.size[entries], self.first[entries] = size, self.used + np.cumsum(size) - size
+        self.n, self.used = self.n + len(parts), self.used + len(flat)
+        short = [i for i, p in enumerate(parts) if len(p) <= SHORT]
+        self.long.update((p, int(e)) for p, e in zip(parts, entries, strict=True) if len(p) > SHORT)
+        own = np.frombuffer(b"".join(parts[i].ljust(SHORT, b"\0") + bytes([len(parts[i])]) for i in short), "<u8").reshape(-1, 3).T
+        keys, entries = [np.ascontiguousarray(k) for k in own], entries[short]
+        slot, todo = self.slots(keys), np.arange(len(short))
+        while len(todo):
+            free = todo[self.entry[slot[todo]] < 0]
+            put = free[np.unique(slot[free], return_index=True)[1]]
+            self.entry[slot[put]] = entries[put]
+            for mine, k in zip(self.keys, keys, strict=True):
+                mine[slot[put]] = k[put]
+            todo = np.setdiff1d(todo, put, assume_unique=True)
+            slot[todo] = (slot[todo] + 1) & ((1 << SLOT_BITS) - 1)
+
 
 class WordIds:
-    """Ids as little-endian bytes, token by token.
+    """Ids of texts as little-endian bytes, each distinct part tokenized once.
 
     The ids of a text are those of its pre-tokens in order. In Latin-1 texts,
-    where the normaliser only lower-cases, a pattern finds the pre-tokens; in
-    others white space, which no token crosses, parts the words. Each part is
-    tokenized once while it stays in the cache.
+    where the normaliser only lower-cases, numpy finds the pre-tokens of many
+    texts at a time and looks their ids up; in others white space, which no
+    token crosses, parts the words.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), Recent(CACHE_WORDS)
+        self.tokenizer, self.table = Tokenizer.from_file(path), IdTable()
+        self.words: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -81,7 +163,7 @@ class WordIds:
         """Ids of each of ``words`` by the tokenizer itself."""
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _runs(self, words: list[str]) -> list[bytes]:
+    def runs(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters only: encoded together, cut where a word ends."""
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4") if words else np.zeros(0, "<u4")
         ends = (np.flatnonzero(self.last[ids]) + 1) * 4
@@ -90,28 +172,81 @@ class WordIds:
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
-    def _parts(self, text: str) -> list[str]:
-        if "<|" not in text:
-            try:
-                return _TOKENS.findall(text.lower() if text.isascii() else text.encode("latin-1").decode("latin-1").lower())
-            except UnicodeEncodeError:
-                pass
-        return _WORDS.findall(text) if _ODD.search(text) else text.split()
+    def learn(self, parts: list[bytes]) -> None:
+        letters = [p for p in parts if _CLASS[p[0]] == _LETTER]
+        rest = [p for p in parts if _CLASS[p[0]] != _LETTER]
+        for i in range(0, len(letters), 2000):
+            own = letters[i : i + 2000]
+            self.table.add(own, self.runs([p.decode("latin-1") for p in own]))
+        self.table.add(rest, self.plain([p.decode("latin-1") for p in rest]))
+
+    def _entries(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The table's entry of each part of ``raw``, learned where it is new."""
+        size = ends - starts
+        eights = np.ndarray((len(raw) + 3 * _BYTES,), "<u8", raw + b"\0" * 4 * _BYTES, 0, (1,))
+        keys = [eights[starts + _BYTES * i] & _MASKS[np.clip(size - _BYTES * i, 0, _BYTES)] for i in range(3)]
+        keys[2] = (keys[2] & _MASKS[_BYTES - 1]) | (np.minimum(size, SHORT + 1).astype(np.uint64) << np.uint64(56))
+        out = self.table.find(keys)
+        far = np.flatnonzero(size > SHORT)
+        for i in far.tolist():
+            out[i] = self.table.long.get(raw[starts[i] : ends[i]], -1)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            parts = [raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+            distinct = sorted(set(parts))
+            if self.table.n + len(distinct) > KNOWN_PARTS or self.table.used > KNOWN_IDS:
+                self.table = IdTable()
+                if len(distinct) < len(size):  # what was known is gone, too
+                    return self._entries(raw, starts, ends)
+            known = {p: self.table.n + i for i, p in enumerate([p for p in distinct if _CLASS[p[0]] == _LETTER] + [p for p in distinct if _CLASS[p[0]] != _LETTER])}
+            self.learn(distinct)
+            out[new] = [known[p] for p in parts]
+        return out
+
+    def _latin(self, texts: list[str]) -> list[bytes]:
+        """Ids of Latin-1 texts; at most ``KNOWN_PARTS`` characters go at a time."""
+        raw = "\n".join(texts).lower().encode("latin-1")
+        starts, ends = spans(np.frombuffer(raw, np.uint8))
+        pieces, step = [np.zeros(0, "<u4")], KNOWN_PARTS // 2
+        count = np.zeros(len(starts) + 1, np.int64)
+        for i in range(0, len(starts), step):
+            entry = self._entries(raw, starts[i : i + step], ends[i : i + step])
+            size, first = self.table.size[entry], self.table.first[entry]
+            upto = np.cumsum(size)
+            count[i + 1 : i + 1 + len(size)] = count[i] + upto
+            pieces.append(self.table.ids[np.repeat(first - upto + size, size) + np.arange(int(upto[-1]))])
+        ids = np.concatenate(pieces)
+        bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        at = count[np.searchsorted(starts, bounds)]
+        return [ids[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+    def _any(self, text: str) -> bytes:
+        words = _WORDS.findall(text) if _ODD.search(text) else text.split()
+        new = sorted(set(words) - self.words.keys())
+        if len(self.words) + len(new) > KNOWN_PARTS:
+            self.words, new = {}, sorted(set(words))
+        self.words.update(zip(new, self.plain(new), strict=True))
+        return b"".join(map(self.words.__getitem__, words))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._parts(t) for t in texts]
-        every = set().union(*split)
-        long = [w for w in every if len(w) > LONGEST_CACHED]
-        new = self.known.missing(every.difference(long))
-        known = self.known.young
-        runs = [t for t in new if _RUN.fullmatch(t)]
-        rest = [t for t in new if not _RUN.fullmatch(t)]
-        for i in range(0, len(runs), 2000):
-            known.update(zip(runs[i : i + 2000], self._runs(runs[i : i + 2000]), strict=True))
-        known.update(zip(rest, self.plain(rest), strict=True))
-        if long:
-            known = known | dict(zip(long, self.plain(long), strict=True))
-        return [b"".join(map(known.__getitem__, parts)) for parts in split]
+        out: list[bytes] = [b""] * len(texts)
+        latin = []
+        for i, t in enumerate(texts):
+            if "<|" not in t and (t.isascii() or _is_latin(t)):
+                latin.append(i)
+            else:
+                out[i] = self._any(t)
+        for i, ids in zip(latin, self._latin([texts[i] for i in latin]), strict=True):
+            out[i] = ids
+        return out
+
+
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 _loaded: dict[str, WordIds] = {}
@@ -126,9 +261,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
         words, end = _loaded[tokenizer], np.array([END_ID], "<u4").tobytes()
         for pdf in batches:
             out = []
-            for i in range(0, len(pdf), 250):
-                part = pdf.iloc[i : i + 250]
-                for doc, ids in zip(part["doc_id"], words.encode([t or "" for t in part["text"]]), strict=True):
+            texts = [t or "" for t in pdf["text"]]
+            run = np.cumsum([len(t) for t in texts]) // CHARS_AT_ONCE
+            for i in np.unique(run):
+                at = np.flatnonzero(run == i)
+                for doc, ids in zip(pdf["doc_id"].iloc[at], words.encode(texts[at[0] : at[-1] + 1]), strict=True):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at : at + 4 * capacity]

@@ -32,13 +32,34 @@ def test_ids_are_the_tokenizers():
     from tokenizers import Tokenizer
 
     rng, plain = random.Random(5), Tokenizer.from_file(TOKENIZER)
-    letters = list("aBéßÿµª²½'’ \t\n\x0b\x1c\x85\xa0　<|>中Σςİé̀-_.,!?0５Ⅷ😀st're'll") + ["<|endoftext|>", "'s", "ﬁ", "ΑΣ "]
+    letters = list("aBéßÿµª²½'’ \t\n\x00\x0b\x1c\x85\xa0　<|>中Σςİé̀-_.,!?0５Ⅷ😀st're'll") + ["<|endoftext|>", "'s", "ﬁ", "ΑΣ "]
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 50))) for _ in range(1500)]
+    texts += ["a" * n + "!" * n for n in range(20, 28)] + ["!", "!\x00", "!\x00\x00", "'s's 'Re'VE''s x'll'", "'", "x'"]
     made = packing.WordIds(TOKENIZER).encode(texts)
     for text, ids in zip(texts, made, strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_each_part_is_learned_once():
+    words = packing.WordIds(TOKENIZER)
+    text = " ".join("abcdefghijklmnopqrstuvwxyz"[:n] + "!?" for n in range(1, 27))
+    words.encode([text])
+    known = words.table.n
+    words.encode([text, "x " + text])
+    assert known == 27 and words.table.n == 28
+
+
+def test_ids_with_a_small_table(monkeypatch):
+    """What the table forgets is learned again."""
+    monkeypatch.setattr(packing, "KNOWN_PARTS", 64)
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 30) for _ in range(rng.randint(0, 25))) for _ in range(200)]
+    small = packing.WordIds(TOKENIZER)
+    for i in range(0, 200, 10):
+        for text, ids in zip(texts[i : i + 10], small.encode(texts[i : i + 10]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == small.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_pack_is_whole_and_gapless(spark):
     from tokenizers import Tokenizer
 
