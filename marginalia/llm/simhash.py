@@ -285,7 +285,8 @@ def keep_representatives(docs: DataFrame, method: Method = NEAR) -> DataFrame:
     """
     found = classes(docs, method).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
     kept = settle(found.withColumnRenamed("doc_id", "kept_id"), "simhash-kept")
-    joined = lambda rows: docs.join(rows, docs["doc_id"] == rows["kept_id"], "left_semi")
+    # The kept ids grow with the table: one plan at every size, never a broadcast.
+    joined = lambda rows: docs.join(rows.hint("shuffle_hash"), docs["doc_id"] == rows["kept_id"], "left_semi")
     out = joined(kept).unionByName(docs.where("doc_id is null"))
     if kept.where("rows > 1").limit(1).count():  # two documents under one id
         out = joined(kept.where("rows = 1")).unionByName(joined(kept.where("rows > 1")).dropDuplicates(["doc_id"])).unionByName(docs.where("doc_id is null"))
