@@ -8,9 +8,19 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` over all cores where it comes in fewer partitions than half of them.
+
+    A large table has more partitions than cores and is left alone.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if 2 * docs.rdd.getNumPartitions() <= cores else docs
+
+
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
     """(doc_id, term, tf). Terms are counted within the row's own task first."""
-    terms = docs.select(F.col(id_col).alias("doc_id"), F.explode(T.tokens(F.col(text_col), exact)).alias("term"))
+    rows = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    terms = rows.select("doc_id", F.explode(T.tokens(F.col("text"), exact)).alias("term"))
     return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
