@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dynamics, evaluate, gate, index, labels, pairs, rank, recall, records, rerank, routing, sections, vector
+from ..operators import control, dynamics, evaluate, gate, index, labels, pairs, rank, recall, records, rerank, routing, sections, vector
 from .tables import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -707,3 +707,46 @@ def set_difference(s, d):
     return table(s, d, "customer").select(F.col("c_custkey").alias("key")).join(table(s, d, "orders").select(F.col("o_custkey").alias("key")), "key", "left_anti")
 
 
+
+
+@query("capture_dedupe", """WITH r AS (SELECT event_type AS scope, user_id AS capture_id, CAST("value" AS BIGINT) % 3 AS payload, ts FROM events)
+SELECT scope, capture_id, arg_min(payload, struct_pack(t := ts, p := payload)) AS payload, count(DISTINCT payload) > 1 AS conflict FROM r GROUP BY 1, 2""")
+def capture_dedupe(s, d):
+    rows = table(s, d, "events").select(F.col("event_type").alias("scope"), F.col("user_id").alias("capture_id"), (F.rint("value").cast("long") % 3).alias("payload"), F.col("ts").alias("recorded_at"))
+    return records.dedupe_captures(rows)
+
+
+@query("reference_closure", """WITH RECURSIVE e AS (SELECT s_suppkey AS src, s_suppkey // 2 AS dst FROM supplier UNION ALL SELECT s_suppkey, (s_suppkey * 7) % 50 FROM supplier),
+r AS (SELECT 97 AS document UNION SELECT dst FROM e JOIN r ON e.src = r.document) SELECT CAST(document AS BIGINT) AS document FROM r""")
+def reference_closure(s, d):
+    k = table(s, d, "supplier").select("s_suppkey")
+    half = k.select(F.col("s_suppkey").alias("src"), F.floor(F.col("s_suppkey") / 2).cast("long").alias("dst"))
+    edges = half.unionByName(k.select(F.col("s_suppkey").alias("src"), (F.col("s_suppkey") * 7 % 50).alias("dst")))
+    return sections.closure(edges, s.createDataFrame([(97,)], "document long")).select("document")
+
+
+@query("sampled_df", """SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(substr("text", 1, 400)), '[\\p{L}\\p{N}_]+')) AS term FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 4000)) GROUP BY 1""")
+def sampled_df(s, d):
+    return rerank.sampled_df(table(s, d, "documents"))
+
+
+@query("gold_ranks", """WITH h AS (SELECT o_custkey AS query_id, o_orderkey AS doc_id, o_orderpriority = '1-URGENT' AS sib, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders),
+k AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM h WHERE NOT sib),
+g AS (SELECT o_custkey AS query_id, min(o_orderkey) AS doc_id FROM orders GROUP BY 1)
+SELECT g.query_id, min(CASE WHEN place <= 5 THEN place END) AS rank FROM g LEFT JOIN k USING (query_id, doc_id) GROUP BY 1""")
+def gold_ranks(s, d):
+    orders = table(s, d, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("doc_id"), "o_totalprice", "o_orderpriority")
+    hits = rank.top_k(orders, 1 << 30, [F.col("o_totalprice").desc(), F.col("doc_id")]).select("query_id", "doc_id", "rank")
+    gold = orders.groupBy("query_id").agg(F.min("doc_id").alias("doc_id"))
+    return evaluate.gold_ranks(hits, gold, orders.where("o_orderpriority = '1-URGENT'").select("query_id", "doc_id"), 5)
+
+
+@query("onboarding_topics", """SELECT topic, list("key" ORDER BY "key") AS "keys" FROM (SELECT p_partkey AS "key", CASE WHEN p_size % 5 = 0 THEN lower(p_brand) WHEN p_size % 5 = 1 THEN split_part(p_type, ' ', 1) ELSE 'fact' END AS topic FROM part) GROUP BY 1""")
+def onboarding_topics(s, d):
+    none = F.array().cast("array<string>")
+    size = F.col("p_size") % 5
+    notes = table(s, d, "part").select(
+        F.col("p_partkey").alias("key"), F.when(size == 0, F.array(F.concat(F.lit("topic:"), F.lower("p_brand")))).otherwise(none).alias("labels"), none.alias("tags"),
+        F.when(size == 1, F.concat(F.split_part("p_type", F.lit(" "), F.lit(1)), F.lit("/x.md"))).otherwise("x.md").alias("rel"), F.lit("fact").alias("type"),
+    )
+    return control.onboarding_topics(notes)
