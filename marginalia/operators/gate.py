@@ -10,7 +10,7 @@ from .index import archived, normal_zone
 # Fixed values of the gate.
 ARCHIVE_FRACTION, ARCHIVE_MIN = 0.2, 2
 DENSE_PER_MOVER, DENSE_PER_PLAN = 10, 500
-PROTECTED_TYPES = ("person", "preference", "project")
+PROTECTED_TYPES = ("identity", "preference")
 
 
 def protected() -> Column:

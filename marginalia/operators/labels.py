@@ -15,7 +15,7 @@ def normal_label(label: Column) -> Column:
     at = F.instr(label, F.lit(":"))
     namespace = F.lower(F.btrim(F.substring(label, F.lit(1), at - 1)))
     value = F.btrim(F.substring(label, at + 1, F.length(label)))
-    good = (at > 0) & namespace.rlike(NAMESPACE) & (value != "") & ~label.rlike(r"[\x00-\x1f\x7f]")
+    good = (at > 0) & namespace.rlike(NAMESPACE) & (value != "") & ~label.rlike(r"[\x00-\x1f\x7f-\x9f\x{2028}\x{2029}]")
     return F.when(good, F.struct(namespace.alias("namespace"), value.alias("value")))
 
 

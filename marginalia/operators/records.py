@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 #: Headings that open a section family of a transcript.
-SECTIONS = {"decisions": "decisions", "open questions": "open_questions", "next steps": "next_steps", "blockers": "blockers", "files": "files", "summary": "summary"}
+SECTIONS = {"decisions": "decisions", "open items": "open_items", "open questions": "open_questions", "next step": "next_step", "links": "links"}
 
 
 def latest(records: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -77,12 +77,12 @@ def transcript_sections(messages: DataFrame, names: dict[str, str] = SECTIONS) -
     mark = F.col("raw").rlike("^ {0,3}(```|~~~)")
     rows = rows.withColumn("mark", mark).withColumn("marks", F.sum(mark.cast("int")).over(w)).where("not mark and marks % 2 = 0")
     stripped = F.btrim(F.col("raw"))
-    heading = F.regexp_extract(stripped, r"^(?:#{1,6}\s+|\*\*)?([A-Za-z][A-Za-z ]{1,40}?)\s*(?::\*\*|\*\*:?|:|\s#*)?$", 1)
-    is_heading = stripped.rlike(r"^#{1,6}\s+\S") | (stripped.rlike(r"^(\*\*)?[A-Za-z][A-Za-z ]{1,40}:(\*\*)?$"))
+    heading = F.regexp_extract(stripped, r"^#{1,6}\s+(.+?)\s*#*\s*$", 1)
+    is_heading = heading != ""
     lookup = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])
     named = F.when(is_heading, F.coalesce(lookup[F.lower(heading)], F.lit("")))
     opened = rows.where(stripped != "").withColumn("family", F.last(named, ignorenulls=True).over(w)).withColumn("head", is_heading)
-    item = F.regexp_replace(stripped, r"^(?:[-*+]|\d+[.)])\s+", "")
+    item = F.regexp_replace(stripped, r"^(?:[-*+]|\d+[.)])\s*(?=\S)", "")
     kept = opened.where("not head and family <> ''").select("conv_id", "family", F.struct("turn", "line", item.alias("item")).alias("x"))
     return kept.groupBy("conv_id", "family").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["item"]).alias("items"))
 

@@ -73,5 +73,5 @@ def pairwise_order(answers: DataFrame) -> DataFrame:
 def sampled_df(docs: DataFrame, sample: int = 4000) -> DataFrame:
     """(term, df) over the first ``sample`` documents by id, title and 400 characters each."""
     head = docs.orderBy("doc_id").limit(sample)
-    words = F.regexp_extract_all(F.lower(F.substring(F.coalesce("text", F.lit("")), 1, 400)), F.lit(r"(?U)(\w+)"), F.lit(1))
+    words = F.regexp_extract_all(F.lower(F.substring(F.coalesce("text", F.lit("")), 1, 400)), F.lit(r"([a-z0-9\x{ac00}-\x{d7a3}]{2,})"), F.lit(1))
     return head.select("doc_id", F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))

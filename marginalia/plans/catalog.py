@@ -566,14 +566,14 @@ def _notes(s, d):
     zone = F.when(F.col("c_nationkey") % 4 == 0, "").when(F.col("c_nationkey") % 4 == 1, "_archive/old").otherwise(F.col("c_mktsegment"))
     links = F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
     return c.select(
-        F.col("c_custkey").alias("key"), zone.alias("zone"), F.when(F.col("c_custkey") % 10 == 0, "person").otherwise("topic").alias("type"),
+        F.col("c_custkey").alias("key"), zone.alias("zone"), F.when(F.col("c_custkey") % 10 == 0, "preference").otherwise("topic").alias("type"),
         F.when(F.col("c_acctbal") < 0, "negative").otherwise("positive").alias("polarity"), links.alias("links"), F.length("c_name").cast("long").alias("size"),
         (F.col("c_custkey") % 7).cast("long").alias("access_count"), F.lit(None).cast("timestamp").alias("last_access"), F.col("c_custkey").cast("double").alias("mtime"),
     )
 
 
-_NOTES = """WITH n AS (SELECT c_custkey AS "key", CASE WHEN c_nationkey % 4 = 0 THEN '' WHEN c_nationkey % 4 = 1 THEN '_archive/old' ELSE c_mktsegment END AS "zone", c_custkey % 10 = 0 AS person, c_acctbal < 0 AS neg, c_custkey % 3 = 0 AS linked, length(c_name) AS size, c_custkey % 7 AS uses FROM customer),
-p AS (SELECT *, neg OR person OR ("zone" <> '' AND NOT starts_with("zone", '_archive') AND linked) AS prot FROM n)
+_NOTES = """WITH n AS (SELECT c_custkey AS "key", CASE WHEN c_nationkey % 4 = 0 THEN '' WHEN c_nationkey % 4 = 1 THEN '_archive/old' ELSE c_mktsegment END AS "zone", c_custkey % 10 = 0 AS preferred, c_acctbal < 0 AS neg, c_custkey % 3 = 0 AS linked, length(c_name) AS size, c_custkey % 7 AS uses FROM customer),
+p AS (SELECT *, neg OR preferred OR ("zone" <> '' AND NOT starts_with("zone", '_archive') AND linked) AS prot FROM n)
 """
 
 
@@ -725,7 +725,7 @@ def reference_closure(s, d):
     return sections.closure(edges, s.createDataFrame([(97,)], "document long")).select("document")
 
 
-@query("sampled_df", """SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(substr("text", 1, 400)), '[\\p{L}\\p{N}_]+')) AS term FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 4000)) GROUP BY 1""")
+@query("sampled_df", """SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(substr("text", 1, 400)), '[a-z0-9\\x{ac00}-\\x{d7a3}]{2,}')) AS term FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 4000)) GROUP BY 1""")
 def sampled_df(s, d):
     return rerank.sampled_df(table(s, d, "documents"))
 

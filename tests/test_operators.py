@@ -158,7 +158,7 @@ def test_gate(spark):
 
 
 def test_retire(spark):
-    rows = [(f"k{i}", 10, datetime(2024, 1, 1 + i), 0, 0.0, "z", "person", "positive", []) for i in range(6)]
+    rows = [(f"k{i}", 10, datetime(2024, 1, 1 + i), 0, 0.0, "z", "preference", "positive", []) for i in range(6)]
     notes = frame(spark, rows, "key string, size long, last_access timestamp, access_count long, mtime double, zone string, type string, polarity string, links array<string>")
     assert [r.key for r in gate.retire(notes, 4, 10**9, 10).orderBy("place").collect()] == ["k0", "k1"]
     assert [r.key for r in gate.retire(notes, 100, 35, 10).orderBy("place").collect()] == ["k0", "k1", "k2"]
@@ -169,10 +169,10 @@ def test_records(spark):
     rows = frame(spark, [("s", 1, 5), ("s", 2, 5), ("s", 3, 4), ("s", 4, 9), ("t", 1, 1)], "scope string, n int, stamp long")
     got = [(r.scope, r.n, r.bumped) for r in records.bump_stamps(rows, ["scope"], "n", "stamp").orderBy("scope", "n").collect()]
     assert got == [("s", 1, 5), ("s", 2, 6), ("s", 3, 7), ("s", 4, 9), ("t", 1, 1)]
-    text = "# Decisions\n- use it\n1. again\n```\n# Blockers\n- hidden\n```\nNotes:\nskipped\n**Next steps:**\nplain"
-    talk = frame(spark, [(1, 0, "user", text), (1, 1, "system", "# Decisions\nno"), (1, 2, "assistant", "Blockers:\n* none")], "conv_id long, turn long, role string, text string")
+    text = "# Decisions\n- use it\n1. again\n```\n# Links\n- hidden\n```\n## Notes\nskipped\n### Next Step ##\nplain"
+    talk = frame(spark, [(1, 0, "user", text), (1, 1, "system", "# Decisions\nno"), (1, 2, "assistant", "# open items\n* none")], "conv_id long, turn long, role string, text string")
     got = {r.family: r["items"] for r in records.transcript_sections(talk).collect()}
-    assert got == {"decisions": ["use it", "again"], "next_steps": ["plain"], "blockers": ["none"]}
+    assert got == {"decisions": ["use it", "again"], "next_step": ["plain"], "open_items": ["none"]}
     lines = records.line_offsets(frame(spark, [(1, "é\nab\n\nc")], "doc_id long, text string")).orderBy("line").collect()
     assert [(r.start, r.length) for r in lines] == [(0, 3), (3, 3), (6, 1), (7, 1)]
 
