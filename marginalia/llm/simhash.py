@@ -12,6 +12,11 @@ forests.
 The comparison is exact and so grows with the square of the distinct
 fingerprints, less what the skips save.
 
+With a wanted similarity, links within the radius are candidates only. Groups of
+candidates are cut into blocks, and pairs of blocks compared by the exact
+Jaccard index of the shingle sets; only what that confirms is joined. A group's
+rows are read once a block of it.
+
 Defined cases: null or wordless texts have the fingerprint zero, linked like any
 other; a row without doc_id is returned without a component (null) and links
 nothing; repeated rows stay repeated; an empty table gives an empty table; other
@@ -35,6 +40,10 @@ SEED = 42
 SPREAD = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 #: Fingerprints a tile holds at most, while there are fewer than 2000 tiles' worth of them.
 TILE = 16_384
+#: Rows and shingles of a block of a candidate group, until it has MOST_BLOCKS of them.
+BLOCK_ROWS, BLOCK_SHINGLES, MOST_BLOCKS = 4096, 1_000_000, 64
+#: Sets of fewer shingles than this need the radius ``short``.
+SHORT = 5
 SUB = 256
 #: Length classes for the ratio skip: class k holds counts from GROWTH**k.
 GROWTH = 1.05
@@ -46,19 +55,22 @@ class Method:
 
     shingle: words in a shingle. words: 64-bit words in a fingerprint. radius:
     most differing bits of a link. distinct: whether a repeated shingle counts
-    once. ratio: least ratio of shingle counts (0: any).
+    once. ratio: least Jaccard index of the shingle sets, which bounds the ratio
+    of their counts (0: the radius alone decides). short: radius where a set has
+    fewer than SHORT shingles.
     """
 
     shingle: int = 5
     words: int = 4
-    radius: int = 48
+    radius: int = 72
     distinct: bool = True
     ratio: float = 0.8
+    short: int = 80
 
 
 #: The query's contract: 4-word shingles with repeats, 64 bits, radius 4.
-CONTRACT = Method(shingle=4, words=1, radius=4, distinct=False, ratio=0.0)
-#: Five words; a similarity of 0.8 differs in 39 of 256 bits on average, and 48 is 1.6 deviations above.
+CONTRACT = Method(shingle=4, words=1, radius=4, distinct=False, ratio=0.0, short=4)
+#: Five words; a similarity of 0.8 differs in at most 41 of 256 bits on average, 48 for 4 against 5 shingles; both radii are 5 deviations above.
 NEAR = Method()
 
 
@@ -185,8 +197,8 @@ def _subtiles(fps: np.ndarray, skip: bool) -> list[tuple[int, int, np.ndarray, n
     return out
 
 
-def link_tiles(fps: np.ndarray, tile_of: np.ndarray, pairs: list[tuple[int, int]], method: Method) -> Forest:
-    """Compare the tile pairs; rows are sorted by tile."""
+def link_tiles(fps: np.ndarray, tile_of: np.ndarray, pairs: list[tuple[int, int]], method: Method, short: int = 0) -> Forest:
+    """Compare the tile pairs; rows are sorted by tile. Tiles below ``short`` have the wider radius."""
     forest = Forest(len(fps))
     ids, first = np.unique(tile_of, return_index=True)
     bounds = dict(zip(ids.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(fps)], strict=True), strict=True))
@@ -204,10 +216,11 @@ def link_tiles(fps: np.ndarray, tile_of: np.ndarray, pairs: list[tuple[int, int]
         if i not in bounds or j not in bounds:
             continue
         (at_i, lo_i, hi_i), (at_j, lo_j, hi_j) = cut(i), cut(j)
+        radius = method.short if min(i, j) < short else method.radius
         for k, (s, e) in enumerate(at_i):
             gap = np.maximum(0, np.maximum(lo_j - hi_i[k], lo_i[k] - hi_j)).sum(1)
             own = fps[s:e]
-            for m in np.flatnonzero(gap <= method.radius).tolist():
+            for m in np.flatnonzero(gap <= radius).tolist():
                 s2, e2 = at_j[m]
                 if i == j and s2 < s:
                     continue
@@ -215,7 +228,7 @@ def link_tiles(fps: np.ndarray, tile_of: np.ndarray, pairs: list[tuple[int, int]
                 bits = np.bitwise_count(own[:, None, 0] ^ other[None, :, 0])
                 for w in range(1, method.words):
                     bits = bits + np.bitwise_count(own[:, None, w] ^ other[None, :, w]).astype(np.uint16)
-                hit = bits <= method.radius
+                hit = bits <= radius
                 if i == j and s2 == s:
                     if hit.sum() == len(own):  # each row meets itself only
                         continue
@@ -234,6 +247,7 @@ def links(distinct: DataFrame, method: Method, parts: int | None = None, tile: i
     total = sum(sizes.values())
     parts = parts or int(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), total // 200_000))
     classes, dealt = plan_tiles(sizes, method, parts, tile)
+    short = sum(n for c, (_, n) in classes.items() if method.ratio and GROWTH**c < SHORT)  # the first tiles
     wanted: dict[int, set[int]] = {}
     for p, pairs in dealt.items():
         for ij in pairs:
@@ -259,20 +273,101 @@ def links(distinct: DataFrame, method: Method, parts: int | None = None, tile: i
             halves = np.bitwise_count(keys[:, 0].copy().view(np.uint16).reshape(-1, 4))
             order = np.lexsort((node, *halves.T, tile_of))
             keys, tile_of, node = np.ascontiguousarray(keys[order]), tile_of[order], node[order]
-            root = link_tiles(keys, tile_of, dealt.get(int(part), []), method).root
+            root = link_tiles(keys, tile_of, dealt.get(int(part), []), method, short).root
             on = np.flatnonzero(root != np.arange(len(root)))
             yield pd.DataFrame({"a": node[on], "b": node[root[on]]})
 
     return placed.repartitionById(parts, F.col("part")).mapInPandas(run, "a long, b long")
 
 
+# -- exact similarity ----------------------------------------------------------
+
+
+def link_similar(fps: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, method: Method) -> Forest:
+    """Link rows of ``left`` and ``right`` whose sets are similar; pairs of one tree are not tested again."""
+    forest, n = Forest(len(fps)), np.array([len(x) for x in sets], np.int64)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts, own = np.cumsum(n) - n, np.zeros(len(ids), bool)
+    reach = max(method.radius, method.short)
+    for p in left.tolist():
+        others = right[forest.root[right] != forest.root[p]]
+        bits = np.bitwise_count(fps[others] ^ fps[p]).sum(1, dtype=np.int64)
+        near = others[(bits <= reach) & (np.minimum(n[others], n[p]) >= method.ratio * np.maximum(n[others], n[p]) - 1e-9)]
+        if not len(near):
+            continue
+        ends = np.cumsum(n[near])
+        at = np.arange(ends[-1]) + np.repeat(starts[near] - ends + n[near], n[near])
+        mine = ids[starts[p] : starts[p] + n[p]]
+        own[mine] = True
+        common = np.add.reduceat(own[ids[at]], ends - n[near], dtype=np.int64)
+        own[mine] = False
+        good = near[common >= method.ratio * (n[p] + n[near] - common) - 1e-9]
+        if len(good):
+            forest.link(np.full(len(good), p), good)
+    return forest
+
+
+def verified(docs: DataFrame, distinct: DataFrame, groups: DataFrame, method: Method, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Spanning forests (a, b) of the exact links within ``groups`` (node, component) of candidates."""
+    spark, names = docs.sparkSession, [f"w{i}" for i in range(method.words)]
+    members = distinct.join(groups, "node")
+    cells = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES))
+    cut = members.groupBy("component").agg(F.least(cells, F.lit(MOST_BLOCKS)).cast("int").alias("blocks"), F.sum("n").alias("shingles"))
+    cut = settle(cut, "simhash-groups")
+    total = cut.agg(F.sum(F.col("shingles") * F.col("blocks"))).first()[0] or 0
+    parts = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 2_000_000))
+    rows = members.join(cut.drop("shingles"), "component").select("node", "component", "blocks", *names)
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(rows.hint("shuffle_hash"), "node")
+
+    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = [np.unique(shingle_hashes(t or "", method.shingle)) for t in pdf["text"]]
+            made = np.array([fingerprint(t, method)[0] for t in pdf["text"]], np.uint64).reshape(-1, method.words).view(np.int64)
+            # Another text under the same doc_id is not this row's.
+            own = (made == pdf[names].to_numpy(np.int64)).all(1)
+            yield pdf.drop(columns="text").assign(shingles=[x.tobytes() for x in sets])[own]
+
+    schema = "node long, component long, blocks int, " + ", ".join(f"{n} long" for n in names) + ", shingles binary"
+    # Each pair of a group's blocks is a unit.
+    block, other = F.pmod(F.xxhash64("node", *names), F.col("blocks").cast("long")).cast("int"), F.col("other")
+    dealt = (
+        texts.mapInPandas(shingled, schema)
+        .withColumn("block", block)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("node", "component", "block", F.least("block", other).alias("i"), F.greatest("block", other).alias("j"), *names, "shingles")
+        .repartition(parts, "component", "i", "j")
+    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = [b for b in batches if len(b)]
+        if not got:
+            return
+        for (_, i, j), unit in pd.concat(got, ignore_index=True).groupby(["component", "i", "j"]):
+            unit = unit.sort_values(["node", *names])
+            fps = unit[names].to_numpy(np.int64).view(np.uint64).reshape(-1, method.words)
+            sets = [np.frombuffer(x, np.uint64) for x in unit["shingles"]]
+            block, node = unit["block"].to_numpy(), unit["node"].to_numpy()
+            root = link_similar(np.ascontiguousarray(fps), sets, np.flatnonzero(block == i), np.flatnonzero(block == j), method).root
+            on = np.flatnonzero(root != np.arange(len(root)))
+            if len(on):
+                yield pd.DataFrame({"a": node[on], "b": node[root[on]]})
+
+    return dealt.mapInPandas(run, "a long, b long")
+
+
 def classes(docs: DataFrame, method: Method = CONTRACT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, w0 .., n, component_id): each document with the smallest doc_id it reaches."""
     names = [f"w{i}" for i in range(method.words)]
     with batches_of(docs.sparkSession, 1000):
         prints = settle(fingerprints(docs, method, id_col, text_col), "simhash")
     distinct = settle(prints.where("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("node"), F.max("n").alias("n")), "simhash-distinct")
-    found = components(links(distinct, method))
+    if method.ratio:
+        # Sets too small to reach the similarity unless equal link nothing.
+        groups = components(links(distinct.where((F.col("n") + 1) * method.ratio <= F.col("n") + 1e-9), method))
+        with batches_of(docs.sparkSession, 1000):
+            found = components(verified(docs, distinct, groups, method, id_col, text_col))
+    else:
+        found = components(links(distinct, method))
     rooted = distinct.join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("component"))
     out = prints.join(rooted, names, "left")
     return out.select("doc_id", *names, "n", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))

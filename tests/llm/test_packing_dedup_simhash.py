@@ -233,6 +233,30 @@ def test_near_copies_go_and_clean_documents_stay(spark):
     assert sorted(str(r.doc_id) for r in simhash.keep_representatives(twice).collect()) == ["0", "1", "2", "None"]
 
 
+@pytest.mark.parametrize("rows", [4096, 3])
+def test_near_links_are_the_exact_similarity(spark, monkeypatch, rows):
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", rows)
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts, gone = [], set()
+    # Shingles, those of them kept at a change of the end; 0.8, 0.782, 0.7.
+    for n, kept in [(90, 80), (90, 79), (85, 70)] * 20:
+        own = [word() for _ in range(n + 4)]
+        texts += [" ".join(own), " ".join(own[: kept + 4] + [word() for _ in range(n - kept)])]
+        if kept / (2 * n - kept) >= 0.8:
+            gone.add(len(texts) - 1)
+    for _ in range(40):  # 4 against 5 shingles
+        own = [word() for _ in range(9)]
+        texts += [" ".join(own), " ".join(own[:8])]
+        gone.add(len(texts) - 1)
+    # A group in which only some links hold: neighbours share 0.8, others less.
+    own = [word() for _ in range(94 + 10 * 11)]
+    texts += [" ".join(own[10 * i : 10 * i + 94]) for i in range(12)]
+    gone |= set(range(len(texts) - 11, len(texts)))
+    docs = documents(spark, texts)
+    assert {r.doc_id for r in simhash.keep_representatives(docs).collect()} == set(range(len(texts))) - gone
+
+
 def test_one_large_group(spark):
     rng = random.Random(6)
     text = " ".join(f"w{i}" for i in range(400))
