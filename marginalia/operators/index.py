@@ -17,7 +17,7 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs.repartition(cores) if 2 * docs.rdd.getNumPartitions() <= cores else docs
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact: bool = True) -> DataFrame:
     """(doc_id, term, tf). Terms are counted within the row's own task first."""
     rows = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     terms = rows.select("doc_id", F.explode(T.tokens(F.col("text"), exact)).alias("term"))
@@ -55,7 +55,7 @@ def refresh_plan(scan: DataFrame, index: DataFrame) -> DataFrame:
     return a.join(b, F.col("a.key") == F.col("b.key"), "full_outer").select(F.coalesce("a.key", "b.key").alias("key"), action.alias("action"))
 
 
-def upsert_postings(post: DataFrame, changed: DataFrame, exact: bool = False, text_col: str = "text") -> DataFrame:
+def upsert_postings(post: DataFrame, changed: DataFrame, exact: bool = True, text_col: str = "text") -> DataFrame:
     """``post`` with the documents of ``changed`` indexed anew; null text deletes."""
     kept = post.join(changed.select("doc_id"), "doc_id", "left_anti")
     return kept.unionByName(postings(changed.where(F.col(text_col).isNotNull()), exact=exact).select(*post.columns))

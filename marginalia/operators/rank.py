@@ -23,12 +23,12 @@ BROADCAST_TERMS = 200_000
 PLACES = 6
 
 
-def query_terms(queries: DataFrame, exact: bool = False) -> DataFrame:
+def query_terms(queries: DataFrame, exact: bool = True) -> DataFrame:
     """(query_id, term, weight 1.0), distinct."""
     return queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text"), exact))).alias("term")).withColumn("weight", F.lit(1.0))
 
 
-def expansion_terms(expansions: DataFrame, literal: DataFrame, exact: bool = False) -> DataFrame:
+def expansion_terms(expansions: DataFrame, literal: DataFrame, exact: bool = True) -> DataFrame:
     """(query_id, term, weight): highest tier of each term the query lacks.
 
     ``expansions``: (query_id, tier, text).

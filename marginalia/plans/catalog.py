@@ -83,7 +83,7 @@ def _queries(s, d):
 
 @query("tokenize_terms", sql("SELECT term, CAST(sum(tf) AS BIGINT) AS occurrences FROM post GROUP BY 1", "toks"))
 def tokenize_terms(s, d):
-    terms = table(s, d, "documents").select(F.explode(T.tokens(F.col("text"), False)).alias("term"))
+    terms = table(s, d, "documents").select(F.explode(T.tokens(F.col("text"))).alias("term"))
     return terms.groupBy("term").agg(F.count("*").alias("occurrences"))
 
 

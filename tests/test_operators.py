@@ -230,3 +230,16 @@ def test_recall(spark):
     assert got == {0: None, 1: "unoffered-or-protected", 2: "already-surfaced-or-duplicate", 3: "addresses-agent", 4: "secret-like", 5: None, 6: "cap"}
     hits = frame(spark, [("x " * 300 + "café beta " + "y " * 200, ["cafe", "beta"])], "text string, terms array<string>")
     assert "café beta" in recall.snippets(hits).first().snippet
+
+
+def test_operators_fold_by_default(spark):
+    rows = [(1, "ﬁnal ＡＰＩ Ⅷ ① cafés ΟΔΟΣ"), (2, "final API viii 1 cafés οδοσ"), (3, "plain words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    terms = lambda df, key: {k: {r.term for r in df.collect() if r[key] == k} for k in (1, 2)}
+    post = terms(index.postings(docs), "doc_id")
+    assert post[1] == post[2] and {"final", "api", "viii", "1", "cafes", "οδοσ"} == post[1]
+    asked = terms(rank.query_terms(docs.withColumnRenamed("doc_id", "query_id")), "query_id")
+    assert asked[1] == asked[2] == post[1]
+    sets = {r.doc_id: r.terms for r in pairs.token_sets(docs).collect()}
+    assert sets[1] == sets[2]
+    assert {(r.doc_id, r.class_id) for r in pairs.exact_duplicates(docs).collect()} == {(1, 1), (2, 1)}
