@@ -1,6 +1,8 @@
 """Secret scans: candidates judged by a random forest, DataFrame functions only.
 
-A candidate is a run of at least 16 key-like characters with a digit. Its
+A candidate is a run of at least 16 key-like characters with a digit, or a value
+of at least 8 characters assigned to a secret's name or after Bearer. A name
+that '=' joins to its value is not part of the candidate. Its
 features: length, transitions between character classes, shares of classes,
 distinct characters, dictionary coverage, hints in the path, and hints among the
 words just before it. The forest is trained (in the JVM) from labelled findings
@@ -10,8 +12,9 @@ addresses and placeholders.
 Whole texts are scanned with one regular expression, without a shuffle.
 
 Defined cases: null or empty text has no candidates; a null path has no hints;
-repeated rows give their findings again; a null doc_id is kept; candidates of
-letters only are not findings; an empty table gives no rows; other columns are
+repeated rows give their findings again; a null doc_id is kept; runs of letters
+only are candidates after a secret's name alone; an unquoted value right after
+'=' ends at '&'; an empty table gives no rows; other columns are
 not read. Labelled findings with a null candidate or label are ignored; fewer
 than two classes is an error.
 """
@@ -27,7 +30,19 @@ LEAST, THRESHOLD = 16, 0.5
 TREES, DEPTH, SEED = 24, 8, 7
 #: Labelled findings that the built-in set holds.
 FINDINGS = 6000
-CANDIDATE = rf"[A-Za-z0-9+/_=.@~-]{{{LEAST},}}+"
+SHORTEST = 8
+RUN = "A-Za-z0-9+/_.@~-"
+#: Names whose values are candidates whatever their characters.
+NAME = "(?:token|secret(?:[_-]?key)?|passw(?:or)?d|passwd|pwd|api.?key|access.?key|private.?key|authorization|credentials?|signature)"
+_SPACED = rf"{NAME}[\"']?\s{{0,2}}[:=]\s{{1,2}}[\"']?|{NAME}[\"']?\s{{0,2}}[:=][\"']|bearer\s"
+_JOINED = rf"{NAME}[\"']?\s{{0,2}}[:=]"
+_AHEAD = rf"(?<=[:=\s\"'])(?=[^\s\"'<>]{{{SHORTEST}}})"
+VALUE = (
+    rf"{_AHEAD}(?<=(?i:{_SPACED}))(?!(?i:bearer)\s)[^\s\"'<>]{{{SHORTEST - 1},}}[^\s\"'<>.,;:)\]}}]"
+    rf"|{_AHEAD}(?<=(?i:{_JOINED}))[^\s\"'<>&]{{{SHORTEST - 1},}}[^\s\"'<>&.,;:)\]}}]"
+)
+CANDIDATE = rf"{VALUE}|(?<![{RUN}])(?=[={RUN}]{{{LEAST}}})(?![{RUN}]{{0,64}}?(?i:{NAME})=)[={RUN}]{{{LEAST},}}+"
+ASSIGNED = f"({_SPACED}|{_JOINED})$"
 #: Fixed word lists. Words that names and placeholders are made of:
 DICTIONARY = (
     "about account address admin agent amount answer archive article author backup batch block board book branch build button cache campaign card "
@@ -56,12 +71,12 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, finding, candidate, before, path): ``before`` has the 48 characters before it."""
     path = F.col(path_col).cast("string") if path_col and path_col in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), path.alias("path"))
-    found = rows.select("doc_id", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("own"), "text").where(F.exists("own", lambda c: c.rlike("[0-9]")))
+    found = rows.select("doc_id", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("own"), "text").where(F.size("own") > 0)
     zipped = found.select("doc_id", "path", F.arrays_zip(F.col("own").alias("candidate"), F.slice(F.split("text", CANDIDATE, -1), 1, F.size("own")).alias("before")).alias("z"))
     return (
         zipped.select("doc_id", "path", F.posexplode("z").alias("finding", "f"))
         .select("doc_id", "finding", F.col("f.candidate").alias("candidate"), F.lower(F.right(F.col("f.before"), F.lit(48))).alias("before"), "path")
-        .where(F.col("candidate").rlike("[0-9]"))
+        .where((F.col("candidate").rlike("[0-9]") & (F.char_length("candidate") >= LEAST)) | F.col("before").rlike(ASSIGNED))
     )
 
 
@@ -122,10 +137,15 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     tells = pick(10, ["commit ", "sha256:", "checksum = ", "md5 ", "etag ", "revision: ", "uuid=", "digest: ", "build ", "file "])
     idle = F.concat(word(11), F.lit(" "), word(12), pick(13, [" ", " ", ": ", " = ", ' "']))
     number_before = pick(14, ["order ", "phone ", "card ", "", "invoice: ", "call ", "token "])
+    letters = F.regexp_replace(plain, "[0-9]", "k")
+    short = F.substring(plain, F.lit(1), number(30, 8, 15))
+    marked = F.concat(F.substring(plain, 1, 5), pick(31, ["!", "#", "$", "&", "%"]), F.substring(plain, F.lit(6), number(32, 3, 9)), pick(33, ["!", "#", "", "*", "?"]))
     options = [  # candidate, before, label; each makes an equal share
         (upper(hexed), asks, 1), (upper(hexed), asks, 1), (plain, asks, 1), (mixed, asks, 1),
         (F.concat(pick(15, ["AKIA", "ASIA"]), F.substring(F.upper(plain), 1, 16)), idle, 1),
         (F.concat(pick(16, ["ghp_", "sk_live_", "glpat-", "npm_"]), F.substring(F.concat(plain, plain), 1, 36)), idle, 1),
+        (short, asks, 1), (marked, asks, 1), (letters, asks, 1), (F.substring(letters, F.lit(1), number(34, 10, 24)), asks, 1),
+        (F.concat(word(35), sep, word(36)), asks, 0), (F.concat(word(37), sep, word(38), sep, word(39)), asks, 0),
         (upper(hexed), tells, 0), (upper(hexed), F.concat(idle, tells), 0), (uuid, F.concat(idle, pick(17, ["id=", "uuid: ", "session "])), 0),
         (F.substring(digits, F.lit(1), number(18, 16, 19)), F.concat(idle, number_before), 0),
         (named, idle, 0), (named, asks, 0),
@@ -137,7 +157,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     kind = F.pmod(F.col("id"), F.lit(len(options)))
     made = F.element_at(F.array(*[F.struct(F.rpad(c, 16, "0").alias("short"), c.alias("candidate"), F.lower(b).alias("before"), F.lit(y).alias("label")) for c, b, y in options]), (kind + 1).cast("int"))
     rows = spark.range(0, n, 1, 1).select(made.alias("m"), pick(29, ["src0", "src1", "docs", "config", "tests/data", "web"]).alias("path"))
-    made = rows.select(F.when(F.char_length("m.candidate") < LEAST, F.col("m.short")).otherwise(F.col("m.candidate")).alias("candidate"), "m.before", "path", "m.label")
+    made = rows.select(F.when(F.char_length("m.candidate") < SHORTEST, F.col("m.short")).otherwise(F.col("m.candidate")).alias("candidate"), "m.before", "path", "m.label")
     return settle(made, "labelled-findings")
 
 

@@ -94,6 +94,21 @@ def test_scan_finds_secrets_and_drops_look_alikes(spark):
     assert secret_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_values_after_names(spark):
+    wanted = {
+        'password = "hT7!pQz2#x"': "hT7!pQz2#x", "db_password: Zk4$wq9&Lm": "Zk4$wq9&Lm", "pwd='x7Rt9Qw2'": "x7Rt9Qw2",
+        "api_key=Zx81kQm4Lp0vRt27Ybn3": "Zx81kQm4Lp0vRt27Ybn3", "MY_SERVICE_ACCESS_KEY=Zx81kQm4Lp0vRt27Ybn3": "Zx81kQm4Lp0vRt27Ybn3",
+        "see http://h.net/a?token=qW3eRt5yUi7oP9aSdFgH&page=2": "qW3eRt5yUi7oP9aSdFgH", "secret: QxkWvzRtpLmNbhJgKd": "QxkWvzRtpLmNbhJgKd",
+        "Authorization: Bearer xKq82LmZp4vRt7Wn": "xKq82LmZp4vRt7Wn", 'token: "kQzWxvRtpLmB"': "kQzWxvRtpLmB",
+    }
+    idle = ["password: required field", "the secret of success is patience", "x" * 100_000, "a=" * 50_000, "password = " + "z!" * 50_000]
+    docs = spark.createDataFrame(list(enumerate([f"some words {t} and more" for t in [*wanted, *idle]])), "doc_id long, text string")
+    rows = secret_scan.scan(docs).collect()
+    secrets = {(r.doc_id, r.candidate) for r in rows if r.secret and r.doc_id < len(wanted)}
+    assert secrets == set(enumerate(wanted.values()))
+    assert not [r for r in rows if r.secret and r.doc_id in (len(wanted), len(wanted) + 1)]
+
+
 def test_candidates_equal_brute_force(spark):
     import re
 
