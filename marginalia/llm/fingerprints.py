@@ -1,7 +1,8 @@
 """Document fingerprints: invertible Bloom lookup sketches, DataFrame functions only.
 
-A text's fingerprint holds its distinct paragraphs (lines) as 64-bit digests in
-``CELLS`` cells. A digest goes to one cell of each of three subtables; a cell
+A text's fingerprint holds its distinct paragraphs as 64-bit digests in
+``CELLS`` cells. A paragraph is a line, or a piece of a longer one: from LEAST
+characters on it ends after a word of a certain last character, at MOST anyway. A digest goes to one cell of each of three subtables; a cell
 keeps a count, the exclusive-or of its digests and that of their check words.
 Cells of two versions subtract; peeling then recovers the digests that only one
 side holds: a cell of count 1 or -1 whose check word fits names a digest, which
@@ -30,11 +31,15 @@ CELLS, GROWTH, PEELS, LEVELS = 12, 4, 5, 14
 #: Percentile bounds of doc_id on the driver, and finest cuts between two.
 BOUNDS, ROWS_A_RANGE = 256, 200_000
 CHECK = 99
+#: Characters of a piece of a long line, and where it ends.
+LEAST, MOST = 192, 768
+PIECE = rf"(?s).{{{LEAST},{MOST - 2}}}?[.,;:!?edst]\s|.{{1,{MOST}}}"
 
 
 def digests(text):
     """Distinct 64-bit digests of the paragraphs of a text."""
-    return F.array_distinct(F.transform(F.split(text, "\n", -1), lambda p: F.xxhash64(p)))
+    pieces = lambda p: F.when(F.char_length(p) <= LEAST, F.array(p)).otherwise(F.regexp_extract_all(p, F.lit(PIECE), F.lit(0)))
+    return F.array_distinct(F.transform(F.flatten(F.transform(F.split(text, "\n", -1), pieces)), lambda p: F.xxhash64(p)))
 
 
 def cell_of(key, table: int, cells: int, level: int):

@@ -41,6 +41,22 @@ def test_likeness_equals_set_difference(spark):
     assert len({r.fingerprint for r in rows}) == len({frozenset((t or "").split("\n")) for _, t in docs})
 
 
+def test_long_lines_share_their_kept_half(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghinorstu") for _ in range(rng.randint(2, 9)))
+    texts = [" ".join(word() for _ in range(n)) for n in (100, 200, 400, 3000)] + ["y" * 5000, "zq" * 4000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in fingerprints.fingerprint_edits(docs).collect()}
+    # At least the first half is kept: with equal shares a likeness near 1/3.
+    assert all(rows[i].near_edited > 0.1 and rows[i].near_next == 0 for i in range(4))
+    assert rows[2].near_edited > 0.25 and rows[3].near_edited > 0.25
+    # Words put in early: later pieces are met again.
+    moved = spark.createDataFrame([(0, texts[3]), (1, "some words " + texts[3])], "doc_id long, text string")
+    assert fingerprints.fingerprint_edits(moved).orderBy("doc_id").first().near_next > 0.5
+    pieces = docs.select(F.size(fingerprints.digests(F.col("text"))).alias("n")).collect()
+    assert max(r.n for r in pieces) > 50
+
+
 def test_sketches_peel_at_one_size(spark):
     keys = list(range(100, 104))
     pairs = spark.createDataFrame([(1, [("k", keys, keys[:2] + [7])]), (2, [("k", keys, keys)]), (3, [("k", list(range(500)), [])])], "uid long, kinds array<struct<kind:string,a:array<long>,b:array<long>>>")
