@@ -5,8 +5,13 @@
    corpus) goes to the driver, where multiplicative weights price the lengths,
    an unbounded knapsack dynamic program finds the best configuration around
    each length, and the fractional counts are rounded to whole sequences.
-3. Each piece gets its rank within its length; the rank picks the sequence and
-   the offset from the rounded plan.
+3. Each piece has its rank among the pieces of its length that its task cut, and
+   the counts of earlier tasks before it; that rank picks the sequence and the
+   offset from the rounded plan. Counts travel, no piece is sorted to be ranked.
+
+Every round of the linear program gives a lower bound on the sequences (its
+prices, scaled so that no configuration is worth more than 1, are feasible for
+the dual). Rounds end once the rounded plan is within ``GAP`` of the best bound.
 
 Defined cases: a null text is empty (one closing token); null or repeated
 doc_ids are packed row by row; an empty table gives an empty table; other
@@ -22,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,9 +36,12 @@ from .common import batches_of, settle
 CAPACITY, END_ID = 4096, 1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Parts that a worker keeps the ids of, and slots of their hash table (a power of two).
-KNOWN_PARTS, SLOT_BITS, KNOWN_IDS = 450_000, 20, 1 << 24
-CHARS_AT_ONCE = 1_000_000
-ROUNDS, RATE = 8, 0.5
+KNOWN_PARTS, SLOT_BITS, KNOWN_IDS = 200_000, 19, 1 << 22
+CHARS_AT_ONCE = 400_000
+#: Rounds of the linear program at most, how fast prices move, and the gap to the bound that ends it.
+ROUNDS, RATE, GAP = 256, 0.1, 0.002
+#: A configuration worth less than the best one by this share counts e times less in a round.
+SOFT = 0.01
 _WORDS = re.compile("[^ \t\n\r\x0b\x0c]+")
 #: Python's split() takes these for white space, the pre-tokenizer doesn't.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -252,13 +261,24 @@ def _is_latin(text: str) -> bool:
 _loaded: dict[str, WordIds] = {}
 
 
+def word_ids(path: str) -> WordIds:
+    """The worker's own :class:`WordIds`, kept from task to task."""
+    if path not in _loaded:
+        _loaded[path] = WordIds(path)
+    return _loaded[path]
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each piece: (doc_id, piece, start, length, ids_crc32)."""
+    """One row for each piece: (doc_id, piece, start, length, ids_crc32, part, rank).
+
+    ``part`` is the task that cut the piece and ``rank`` counts the pieces of this
+    length that it had cut before. They hold once the rows are written.
+    """
+    columns = ("doc_id", "piece", "start", "length", "ids_crc32", "rank")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if tokenizer not in _loaded:
-            _loaded[tokenizer] = WordIds(tokenizer)
-        words, end = _loaded[tokenizer], np.array([END_ID], "<u4").tobytes()
+        words, end = word_ids(tokenizer), np.array([END_ID], "<u4").tobytes()
+        part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for pdf in batches:
             out = []
             texts = [t or "" for t in pdf["text"]]
@@ -269,12 +289,14 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at : at + 4 * capacity]
-                        out.append((doc, k, at // 4, len(own) // 4, zlib.crc32(own)))
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            made = pd.DataFrame({n: list(c) for n, c in zip(("doc_id", "piece", "start", "length", "ids_crc32"), cols, strict=True)})
-            yield made.astype({"doc_id": "Int64", "piece": "int32", "start": "int64", "length": "int64", "ids_crc32": "int64"})
+                        n = len(own) // 4
+                        out.append((doc, k, at // 4, n, zlib.crc32(own), seen[n]))
+                        seen[n] += 1
+            cols = list(zip(*out, strict=True)) or [()] * len(columns)
+            made = pd.DataFrame({n: list(c) for n, c in zip(columns, cols, strict=True)}).assign(part=part)
+            yield made.astype({"doc_id": "Int64", "piece": "int32", **dict.fromkeys((*columns[2:], "part"), "int64")})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut, f"{PIECES}, rank long, part long")
 
 
 def best_values(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -292,42 +314,23 @@ def best_values(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple
     return best, first
 
 
-def _filled(room: int, first: np.ndarray, lengths: np.ndarray) -> dict[int, int]:
-    out: dict[int, int] = {}
-    while room > 0 and first[room] != -1:
-        k = int(first[room])
-        if k < 0:
-            room -= 1
-            continue
-        out[k] = out.get(k, 0) + 1
-        room -= int(lengths[k])
-    return out
-
+def fillings(lengths: np.ndarray, first: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(seed, item, times): around each length the best filling of the rest, by seed and item."""
+    rooms = np.arange(capacity + 1)
+    used = np.maximum.accumulate(np.where(first == -2, 0, rooms))  # where a room's unused tokens end
+    used[first[used] < 0] = 0
+    seed = np.arange(len(lengths))
+    room, found = used[capacity - lengths], [seed * len(lengths) + seed]
+    while len(seed):
+        seed, room = seed[room > 0], room[room > 0]
+        found.append(seed * len(lengths) + first[room])
+        room = used[room - lengths[first[room]]]
+    key, times = np.unique(np.concatenate(found), return_counts=True)
+    return key // len(lengths), key % len(lengths), times
 
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, rate: float = RATE) -> list[tuple[dict[int, int], int]]:
-    """Configurations ({length index: times}, sequences) that use up ``counts`` exactly.
 
-    ``lengths`` ascend. In each round the dynamic program prices every room;
-    around each length the best filling makes a configuration, weighted to
-    cover that length once. Lengths covered more than their share get cheaper,
-    others dearer. Rounding takes configurations from the longest seed down
-    as often as the remaining counts allow, then closes the rest by best fit.
-    """
-    prices = lengths / capacity
-    share: dict[tuple, float] = {}
-    for _ in range(rounds):
-        _, first = best_values(lengths, prices, capacity)
-        cover = np.zeros(len(lengths))
-        for k, length in enumerate(lengths):
-            own = _filled(capacity - int(length), first, lengths)
-            own[k] = own.get(k, 0) + 1
-            times = counts[k] / own[k]
-            key = tuple(sorted(own.items(), reverse=True))
-            share[key] = share.get(key, 0.0) + times / rounds
-            for i, a in own.items():
-                cover[i] += a * times
-        over = np.clip(cover / np.maximum(counts, 1) - np.median(cover / np.maximum(counts, 1)), -4, 4)
-        prices = np.clip(prices * np.exp(-rate * over / 4), lengths / capacity * 0.25, lengths / capacity * 4)
+def rounded(share: dict[tuple, float], lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Whole sequences from fractional ones: their whole parts, full ones as often as they go, the rest by best fit."""
     left, plan = counts.astype(np.int64).copy(), []
 
     def take(own: dict[int, int], most: int) -> None:
@@ -337,10 +340,12 @@ def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rou
                 left[i] -= n * a
             plan.append((own, n))
 
-    full = lambda key: sum(a * int(lengths[i]) for i, a in key)
-    for key in sorted(share, key=lambda key: (-key[0][0], -full(key), key)):
-        if full(key) >= capacity - capacity // 512:
-            take(dict(key), int(np.ceil(share[key])))
+    for key in sorted(share, key=lambda key: (-share[key], key)):
+        take(dict(key), int(share[key]))
+    full = {key: sum(a * int(lengths[i]) for i, a in key) for key in share}
+    for key in sorted(share, key=lambda key: (-key[0][0], -full[key], key)):
+        if full[key] >= capacity - capacity // 512:
+            take(dict(key), int(left.max()))
     while left.any():
         top, room, own = int(np.flatnonzero(left)[-1]), capacity, {}
         used = np.zeros(len(lengths), np.int64)
@@ -355,6 +360,46 @@ def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rou
     return plan
 
 
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, rate: float = RATE, gap: float = GAP) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """Configurations ({length index: times}, sequences) that use up ``counts`` exactly, and a lower bound.
+
+    ``lengths`` ascend. Each round prices every room by the dynamic program and
+    takes the best filling around each length, weighted by how little its worth
+    is below the best one. Prices of lengths that these cover more than once are
+    multiplied down, others up. Any prices over the worth of the best filling are
+    feasible for the dual and give a lower bound. After 1, 2, 4, ... rounds the
+    mean of the rounds since the last time is rounded; the best plan so far is
+    final once it is within ``gap`` of the bound.
+    """
+    m, n = len(lengths), counts.astype(float)
+    prices, share, since = lengths / capacity, {}, 0
+    least, plan, size = 1, [], None
+    for done in range(1, rounds + 1):
+        best, first = best_values(lengths, prices, capacity)
+        worth = best[capacity]
+        least = max(least, int(np.ceil(float(n @ prices) / worth - 1e-6)))
+        seed, item, times = fillings(lengths, first, capacity)
+        value = np.bincount(seed, times * prices[item], m) / worth
+        weight = np.exp(-np.minimum((1 - value) / SOFT, 50)) * n / times[seed == item]
+        weight *= least / weight.sum()
+        cover = np.bincount(item, times * weight[seed], m) / n
+        prices = prices * np.exp(rate * (1 - np.minimum(cover, 3)) / (1 + done / 16))
+        edges = np.searchsorted(seed, np.arange(m + 1))
+        for k in np.flatnonzero(weight > 1e-6).tolist():
+            own = slice(edges[k], edges[k + 1])
+            key = tuple(zip(item[own][::-1].tolist(), times[own][::-1].tolist(), strict=True))
+            share[key] = share.get(key, 0.0) + float(weight[k])
+        if done & (done - 1) == 0 or done == rounds:
+            made = rounded({key: x / (done - since) for key, x in share.items()}, lengths, counts, capacity)
+            share, since = {}, done
+            now = sum(x for _, x in made)
+            if size is None or now < size:
+                plan, size = made, now
+            if size <= least * (1 + gap):
+                break
+    return plan, least
+
+
 def segments(lengths: np.ndarray, plan: list[tuple[dict[int, int], int]], capacity: int) -> dict[int, np.ndarray]:
     """For each length, rows (first rank, first sequence, pieces a sequence, first offset) in rank order."""
     ranks, out, base = np.zeros(len(lengths), np.int64), {}, 0
@@ -373,20 +418,18 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str
     spark = docs.sparkSession
     with batches_of(spark, 1000):
         cut = settle(pieces(docs, tokenizer, capacity, id_col, text_col), "pieces")
-    n = cut.count()
-    # Ranks are taken within (length, salt): a length that a third of all
-    # pieces share is spread over the salts.
-    salts = max(256, n // 50_000)
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = sizes.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    rows = cut.groupBy("length").agg(F.count("*").alias("n")).orderBy("length").collect()  # one row a length, capacity at most
+    sizes = settle(cut.groupBy("length", "part").agg(F.count("*").alias("n")), "piece-counts")
+    # A row a task: a length that a third of all pieces share has no more.
+    earlier = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
+    before = sizes.select("length", "part", earlier.alias("before"))
+    rows = sizes.groupBy("length").agg(F.sum("n").alias("n")).orderBy("length").collect()  # one row a length, capacity at most
     lengths, counts = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
-    table = segments(lengths, solve(lengths, counts, capacity) if len(rows) else [], capacity)
+    # Rows for each length in each configuration of the plan, whatever the corpus.
+    shared = spark.sparkContext.broadcast(segments(lengths, solve(lengths, counts, capacity)[0] if len(rows) else [], capacity))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        seq, off = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+        table, seq, off = shared.value, np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
         own_length, own_rank = length.to_numpy(), rank.to_numpy()
         for one in np.unique(own_length):
             at, rows = own_length == one, table[int(one)]
@@ -396,7 +439,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str
             off[at] = s[:, 3] + (r - s[:, 0]) % s[:, 2] * one
         return pd.DataFrame({"sequence_id": seq, "offset": off})
 
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("rank", F.row_number().over(within) - 1).join(before, ["length", "salt"])
-    placed = ranked.withColumn("place", place("length", (F.col("rank") + F.col("before")).cast("long")))
+    placed = cut.join(before, ["length", "part"]).withColumn("place", place("length", F.col("rank") + F.col("before")))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "place.sequence_id", "place.offset")

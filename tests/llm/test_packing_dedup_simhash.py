@@ -86,7 +86,8 @@ def test_solve_uses_up_every_count():
     for n in (1, 5, 400):
         lengths = np.sort(rng.choice(np.arange(1, 4097), n, replace=False))
         counts = rng.integers(1, 50, n)
-        plan = packing.solve(lengths, counts)
+        plan, least = packing.solve(lengths, counts)
+        assert least <= sum(n for _, n in plan)
         used = np.zeros(n, np.int64)
         for own, times in plan:
             assert sum(a * lengths[i] for i, a in own.items()) <= 4096
@@ -95,6 +96,27 @@ def test_solve_uses_up_every_count():
         assert (used == counts).all()
 
 
+def test_solve_reaches_known_optima_and_its_bound():
+    # Perfect fillings exist: 1948 + 2148, and 1000 + 1500 + 1596; best fit alone needs more.
+    plan, least = packing.solve(np.array([1000, 1500, 1596, 1948, 2148]), np.full(5, 30_000))
+    assert least == sum(n for _, n in plan) == 60_000
+    # Only three of these fit, whatever their volume: the prices must find the bound.
+    lengths = np.arange(1100, 1500, 2)
+    plan, least = packing.solve(lengths, np.full(len(lengths), 90))
+    assert least > lengths.sum() * 90 / 4096 * 1.04 and sum(n for _, n in plan) <= 1.01 * least
+
+
+def test_pack_over_many_partitions(spark):
+    texts = [("a few words " * (i % 7)).strip() for i in range(900)]
+    rows = packing.pack(documents(spark, texts).repartition(37), TOKENIZER).collect()
+    at = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == at.get(r.sequence_id, 0)
+        at[r.sequence_id] = r.offset + r.length
+    assert len(rows) == 900 and max(at.values()) <= 4096
+    assert len(at) == -(-sum(r.length for r in rows) // 4096)
+
+
 def test_pack_empty_nulls_and_clashing_columns(spark):
     assert packing.pack(documents(spark, []), TOKENIZER).count() == 0
     odd = spark.createDataFrame([(None, "x", 1, "s", 7), (None, "x", 1, "s", 7), (3, None, 2, None, 8)], "doc_id long, text string, length int, sequence_id string, salt int")
