@@ -6,22 +6,27 @@ characters on it ends after a word of a certain last character, at MOST anyway.
 keeps a count, the exclusive-or of its digests and that of their check words.
 Cells of two versions subtract; peeling then recovers the digests that only one
 side holds: a cell of count 1 or -1 whose check word fits names a digest, which
-is taken out of its other cells, and so on. Where cells remain, the sketches are
-built again ``GROWTH`` times larger and the pair is retried, until none fails.
+is taken out of its other cells, and so on. Where cells remain, the sketches of
+that pair are built again, with three cells for each digest that can differ, and
+``GROWTH`` times more each time that fails, until none does.
 The likeness is the Jaccard index of the two digest sets, from their sizes and
 the recovered differences.
 
-Peeling works on (pair, cell) rows: a round is two groupings within one
-partition, so memory is bounded however long a text is.
+Fingerprints of ``CELLS`` cells subtract and peel within their row. Larger
+sketches are (pair, cell) rows, of which only those that hold something exist: a
+round of peeling is two groupings within one partition, so memory is bounded
+however long a text is.
 
 Defined cases: null text is empty (one empty paragraph); the order of documents
 is doc_id ascending (nulls first), then a hash of the text; repeated rows are
 documents of their own; a single document is its own next; an empty table gives
-an empty table; other columns are not read.
+an empty table; other columns are not read. Peeling that still fails after
+``LEVELS`` retries (two digests in the same three cells each time) is an error.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,9 +35,11 @@ from .common import settle
 CELLS, GROWTH, PEELS, LEVELS = 12, 4, 5, 14
 #: Percentile bounds of doc_id on the driver, and finest cuts between two.
 BOUNDS, ROWS_A_RANGE = 256, 200_000
+#: Digests in a partition of larger sketches.
+DIGESTS_A_PART = 100_000
 CHECK = 99
 #: Characters of a piece of a long line, and where it ends.
-LEAST, MOST = 192, 768
+LEAST, MOST = 96, 384
 PIECE = rf"(?s).{{{LEAST},{MOST - 2}}}?[.,;:!?edst]\s|.{{1,{MOST}}}"
 
 
@@ -42,24 +49,50 @@ def digests(text):
     return F.array_distinct(F.transform(F.flatten(F.transform(F.split(text, "\n", -1), pieces)), lambda p: F.xxhash64(p)))
 
 
-def cell_of(key, table: int, cells: int, level: int):
-    """The key's cell in one of the three subtables."""
-    third = cells // 3
-    return (F.pmod(F.xxhash64(key, F.lit(table), F.lit(level)), F.lit(third)) + F.lit(table * third)).cast("long")
+def cell_of(key, table: int, third, level):
+    """The key's cell in one of the three subtables of ``third`` cells."""
+    return (F.pmod(F.xxhash64(key, F.lit(table), level), third) + third * table).cast("long")
 
 
-def fingerprint(keys):
-    """The sketch of a digest array as text: count, then the cells in order."""
-    placed = F.transform(keys, lambda k: F.struct(k.alias("k"), F.xxhash64(k, F.lit(CHECK)).alias("c"), *[cell_of(k, t, CELLS, 0).alias(f"p{t}") for t in range(3)]))
+def sketch(keys):
+    """The ``CELLS`` cells (n, k, c) of a digest array."""
+    third = CELLS // 3
+    at = lambda k, t: cell_of(k, t, F.lit(third), F.lit(0)).alias(f"p{t}")
+    placed = F.transform(keys, lambda k: F.struct(k.alias("k"), F.xxhash64(k, F.lit(CHECK)).alias("c"), *[at(k, t) for t in range(3)]))
 
     def cell(j: int):
-        at = f"p{j // (CELLS // 3)}"
-        start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
-        add = lambda a, s: F.when(s[at] == j, F.struct((a["n"] + 1).alias("n"), a["k"].bitwiseXOR(s["k"]).alias("k"), a["c"].bitwiseXOR(s["c"]).alias("c"))).otherwise(a)
-        own = lambda a: F.concat(F.lpad(F.hex(a["n"]), 4, "0"), F.lpad(F.hex(a["k"]), 16, "0"), F.lpad(F.hex(a["c"]), 16, "0"))
-        return F.aggregate(placed, start, add, own)
+        start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
+        add = lambda a, s: F.struct((a["n"] + 1).alias("n"), a["k"].bitwiseXOR(s["k"]).alias("k"), a["c"].bitwiseXOR(s["c"]).alias("c"))
+        return F.aggregate(F.filter(placed, lambda s: s[f"p{j // third}"] == j), start, add)
+
+    return F.array(*[cell(j) for j in range(CELLS)])
 
-    return F.lower(F.concat_ws(".", F.hex(F.size(keys)), *[cell(j) for j in range(CELLS)]))
+
+def fingerprint(keys):
+    """The sketch of a digest array as text: count, then the cells in order."""
+    shown = F.transform(sketch(keys), lambda a: F.concat(F.lpad(F.hex(a["n"]), 4, "0"), F.lpad(F.hex(a["k"]), 16, "0"), F.lpad(F.hex(a["c"]), 16, "0")))
+    return F.lower(F.concat_ws(".", F.hex(F.size(keys)), shown))
+
+
+def peeled(a, b):
+    """(ok, only_a, only_b): the sketches ``a`` and ``b`` subtracted and peeled within the row."""
+    cell = lambda n, k, c: F.struct(n.alias("n"), k.alias("k"), c.alias("c"))
+    minus = lambda x, y: cell(x["n"] - y["n"], x["k"].bitwiseXOR(y["k"]), x["c"].bitwiseXOR(y["c"]))
+    state = lambda cells, only_a, only_b: F.struct(cells.alias("cells"), only_a.alias("only_a"), only_b.alias("only_b"))
+    third = F.lit(CELLS // 3)
+
+    def step(now, _):
+        pure = F.filter(now["cells"], lambda x: (F.abs(x["n"]) == 1) & (F.xxhash64(x["k"], F.lit(CHECK)) == x["c"]))
+        named = F.transform(F.slice(pure, 1, 1), lambda x: F.struct(x.alias("x"), F.array(*[cell_of(x["k"], t, third, F.lit(0)) for t in range(3)]).alias("at")))
+        out = lambda s, p: state(
+            F.transform(s["cells"], lambda x, j: F.when(F.array_contains(p["at"], j.cast("long")), minus(x, p["x"])).otherwise(x)),
+            s["only_a"] + (p["x"]["n"] > 0).cast("long"), s["only_b"] + (p["x"]["n"] < 0).cast("long"),
+        )
+        return F.aggregate(named, now, out)
+
+    zero = F.lit(0).cast("long")
+    done = lambda s: F.struct(F.forall(s["cells"], lambda x: (x["n"] == 0) & (x["k"] == 0) & (x["c"] == 0)).alias("ok"), s["only_a"].alias("only_a"), s["only_b"].alias("only_b"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(CELLS)), state(F.zip_with(a, b, minus), zero, zero), step, done)
 
 
 # -- the next document --------------------------------------------------------
@@ -74,7 +107,7 @@ def _search(col, bounds: list[int], at: int = 0):
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with next_text, the text of the next document.
+    """``docs`` (doc_id, text, a: its digests) with next_text and next_a, those of the next document.
 
     Contiguous ranges of ids go to one task each, with a copy of the row that
     follows; texts are exchanged once.
@@ -82,72 +115,77 @@ def with_next(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     keyed = docs.withColumn("h", F.xxhash64("text"))
     ids = keyed.select("doc_id", "h")
-    n, bounds = ids.agg(F.count("*"), F.percentile_approx("doc_id", [i / BOUNDS for i in range(BOUNDS + 1)], 10_000)).first()
+    n, named, bounds = ids.agg(F.count("*"), F.count("doc_id"), F.percentile_approx("doc_id", [i / BOUNDS for i in range(BOUNDS + 1)], 10_000)).first()
     bounds = sorted(set(bounds or [0]))
     fine = max(1, -(-n // (ROWS_A_RANGE * BOUNDS)))
     coarse = _search(F.col("doc_id"), bounds)
     low, high = F.element_at(F.array(*map(F.lit, bounds)), coarse + 1), F.element_at(F.array(*map(F.lit, [*bounds[1:], bounds[-1] + 1])), coarse + 1)
     share = (F.col("doc_id").cast("double") - low) / F.greatest(F.lit(1.0), high.cast("double") - low) * fine
     cut = F.least(F.lit(fine - 1), F.greatest(F.lit(0), F.floor(share))).cast("int") if fine > 1 else F.lit(0)
-    pid = F.when(F.col("doc_id").isNull(), -1).otherwise(coarse * fine + cut)
+    # Rows without an id come first, in ranges of their hash.
+    blank = -(-(n - named) // ROWS_A_RANGE)
+    by_hash = F.greatest(F.lit(0), F.least(F.lit(blank - 1), F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * blank))).cast("int") - blank
+    pid = F.when(F.col("doc_id").isNull(), by_hash).otherwise(coarse * fine + cut)
     # One row a range: BOUNDS * fine at most.
     firsts = ids.groupBy(pid.alias("pid")).agg(F.min(F.struct("doc_id", "h")).alias("k")).orderBy("pid").collect()
     back = [(firsts[i - 1]["pid"], r["k"]["doc_id"], r["k"]["h"]) for i, r in enumerate(firsts)]
-    copies = F.broadcast(spark.createDataFrame(back, "before int, first_id long, first_h long"))
+    columns = [pa.array([r[i] for r in back], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.int64()))]
+    copies = F.broadcast(spark.createDataFrame(pa.table(columns, ["before", "first_id", "first_h"])))
     at = keyed.join(copies, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h")), "left")
     own, copy = F.struct(pid.alias("pid"), F.lit(0).alias("copy")), F.struct(F.col("before").alias("pid"), F.lit(1).alias("copy"))
-    dealt = at.select("doc_id", "h", "text", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, copy))).alias("to"))
-    dealt = dealt.select("doc_id", "h", "text", "to.pid", "to.copy")
+    dealt = at.select("doc_id", "h", "text", "a", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, copy))).alias("to"))
+    dealt = dealt.select("doc_id", "h", "text", "a", "to.pid", "to.copy")
     following = Window.partitionBy("pid").orderBy("copy", "doc_id", "h")
-    return dealt.withColumn("next_text", F.lead("text").over(following)).where("copy = 0").select("doc_id", "text", "next_text")
+    both = dealt.withColumns({"next_text": F.lead("text").over(following), "next_a": F.lead("a").over(following)})
+    return both.where("copy = 0").select("doc_id", "text", "a", "next_text", "next_a")
 
 
-# -- subtract and peel ---------------------------------------------------------
+# -- larger sketches -------------------------------------------------------------
 
 
-def _contribution(kind, key, sign, cells: int, level: int):
+def _contribution(key, sign, level):
     """The three cell rows of one digest."""
     check = F.xxhash64(key, F.lit(CHECK))
-    return [F.struct(kind.alias("kind"), F.lit(0).alias("type"), cell_of(key, t, cells, level).alias("k"), sign.cast("long").alias("n"), key.alias("x"), check.alias("c")) for t in range(3)]
+    return [F.struct(F.lit(0).alias("type"), cell_of(key, t, F.col("third"), level).alias("k"), sign.cast("long").alias("n"), key.alias("x"), check.alias("c")) for t in range(3)]
 
 
-def differences(pairs: DataFrame, level: int) -> DataFrame:
+def differences(pairs: DataFrame, level: int, parts: int) -> DataFrame:
     """(uid, kind, ok, only_a, only_b): digests that peeling recovers on each side.
 
-    ``pairs``: (uid, kinds: array of (kind, a, b)). ok is false where cells remain.
+    ``pairs``: (uid, kind, third, a, b), with ``third`` cells in each subtable.
+    ok is false where cells remain.
     """
-    cells = CELLS * GROWTH**level
-    spread = pairs.repartition("uid").select("uid", F.explode("kinds").alias("p"))
-    signed = spread.select(
-        "uid", F.col("p.kind").alias("kind"),
+    salt = F.lit(level)
+    signed = pairs.repartition(parts, "uid", "kind").select(
+        "uid", "kind", "third",
         F.explode(F.concat(
             F.array(F.struct(F.lit(0).alias("s"), F.lit(0).cast("long").alias("d"))),
-            F.transform("p.a", lambda d: F.struct(F.lit(1).alias("s"), d.alias("d"))),
-            F.transform("p.b", lambda d: F.struct(F.lit(-1).alias("s"), d.alias("d"))),
+            F.transform("a", lambda d: F.struct(F.lit(1).alias("s"), d.alias("d"))),
+            F.transform("b", lambda d: F.struct(F.lit(-1).alias("s"), d.alias("d"))),
         )).alias("e"),
     )
-    kind, sign, key = F.col("kind"), F.col("e.s"), F.col("e.d")
+    pair, sign, key = ["uid", "kind", "third"], F.col("e.s"), F.col("e.d")
     # One row of type 9 keeps a pair whose cells all cancel.
     zero = F.lit(0).cast("long")
-    marker = F.struct(kind.alias("kind"), F.lit(9).alias("type"), zero.alias("k"), zero.alias("n"), zero.alias("x"), zero.alias("c"))
-    rows = signed.select("uid", F.explode(F.when(sign == 0, F.array(marker)).otherwise(F.array(*_contribution(kind, key, sign, cells, level)))).alias("r"))
+    marker = F.struct(F.lit(9).alias("type"), zero.alias("k"), zero.alias("n"), zero.alias("x"), zero.alias("c"))
+    rows = signed.select(*pair, F.explode(F.when(sign == 0, F.array(marker)).otherwise(F.array(*_contribution(key, sign, salt)))).alias("r"))
 
     def grouped(df: DataFrame) -> DataFrame:
-        out = df.select("uid", "r.*").groupBy("uid", "kind", "type", "k").agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("c").alias("c"))
+        out = df.select(*pair, "r.*").groupBy(*pair, "type", "k").agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("c").alias("c"))
         return out.where("type <> 0 or n <> 0 or x <> 0 or c <> 0")
 
     rows = grouped(rows)
     for _ in range(PEELS):
         # A pure cell names its digest (type 1); a digest named twice counts once.
-        same = F.struct("kind", "type", "k", "n", "x", "c")
+        same = F.struct("type", "k", "n", "x", "c")
         pure = (F.col("type") == 0) & (F.abs("n") == 1) & (F.xxhash64("x", F.lit(CHECK)) == F.col("c"))
-        named = F.struct("kind", F.lit(1).alias("type"), F.col("x").alias("k"), "n", "x", "c")
-        rows = rows.select("uid", F.explode(F.when(pure, F.array(same, named)).otherwise(F.array(same))).alias("r")).select("uid", "r.*")
-        rows = rows.groupBy("uid", "kind", "type", "k").agg(F.max("n").alias("n"), F.max("x").alias("x"), F.max("c").alias("c"))
+        named = F.struct(F.lit(1).alias("type"), F.col("x").alias("k"), "n", "x", "c")
+        rows = rows.select(*pair, F.explode(F.when(pure, F.array(same, named)).otherwise(F.array(same))).alias("r")).select(*pair, "r.*")
+        rows = rows.groupBy(*pair, "type", "k").agg(F.max("n").alias("n"), F.max("x").alias("x"), F.max("c").alias("c"))
         # It leaves its cells and is kept as recovered (type 2).
-        gone = _contribution(F.col("kind"), F.col("x"), -F.col("n"), cells, level)
-        kept = F.struct("kind", F.lit(2).alias("type"), "k", "n", "x", "c")
-        rows = grouped(rows.select("uid", F.explode(F.when(F.col("type") == 1, F.array(*gone, kept)).otherwise(F.array(same))).alias("r")))
+        gone = _contribution(F.col("x"), -F.col("n"), salt)
+        kept = F.struct(F.lit(2).alias("type"), "k", "n", "x", "c")
+        rows = grouped(rows.select(*pair, F.explode(F.when(F.col("type") == 1, F.array(*gone, kept)).otherwise(F.array(same))).alias("r")))
     return rows.groupBy("uid", "kind").agg(
         (F.sum((F.col("type") == 0).cast("int")) == 0).alias("ok"),
         F.sum(((F.col("type") == 2) & (F.col("n") > 0)).cast("long")).alias("only_a"),
@@ -155,22 +193,22 @@ def differences(pairs: DataFrame, level: int) -> DataFrame:
     )
 
 
-def likeness(pairs: DataFrame) -> DataFrame:
-    """(uid, kind, likeness) of each pair, by sketches as large as each needs."""
-    out, left = None, pairs
-    for level in range(LEVELS):
-        done = settle(differences(left, level), f"differences-{level}")
+def retried(pairs: DataFrame) -> DataFrame:
+    """(uid, kind, only_a, only_b) of (uid, kind, a, b), by sketches as large as each needs."""
+    spark, out = pairs.sparkSession, None
+    size = F.size("a") + F.size("b")
+    left = pairs.withColumn("third", F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(size, F.lit(CELLS)).cast("double")))).cast("long"))
+    for level in range(1, LEVELS + 1):
+        total = left.agg(F.sum(size)).first()[0] or 0
+        parts = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // DIGESTS_A_PART))
+        done = settle(differences(left, level, parts), f"differences-{level}")
         good = done.where("ok").select("uid", "kind", "only_a", "only_b")
         out = good if out is None else out.unionByName(good)
-        failed = done.where("not ok").groupBy("uid").agg(F.collect_set("kind").alias("again"))
-        if not done.where("not ok").limit(1).count():
-            break
-        left = pairs.join(failed, "uid").select("uid", F.filter("kinds", lambda p: F.array_contains("again", p["kind"])).alias("kinds"))
-    else:
-        raise RuntimeError(f"peeling still failed with {CELLS * GROWTH ** (LEVELS - 1)} cells")
-    sizes = pairs.select("uid", F.explode(F.transform("kinds", lambda p: F.struct(p["kind"].alias("kind"), F.size(p["a"]).alias("a"), F.size(p["b"]).alias("b")))).alias("p"))
-    sizes = sizes.select("uid", "p.*")
-    return sizes.join(out, ["uid", "kind"]).select("uid", "kind", ((F.col("a") - F.col("only_a")) / (F.col("a") + F.col("only_b"))).alias("likeness"))
+        failed = done.where("not ok").select("uid", "kind")
+        if not failed.limit(1).count():
+            return out
+        left = settle(left.join(failed, ["uid", "kind"]).withColumn("third", F.col("third") * GROWTH), "again")
+    raise RuntimeError(f"peeling still failed after {LEVELS} retries")
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,13 +222,19 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n, half = F.char_length("text").cast("long"), F.floor(F.char_length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.char_length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
-    both = with_next(texts).select("doc_id", n.alias("n_chars"), "text", "next_text", edited.alias("edited"))
-    made = both.select(
-        F.monotonically_increasing_id().alias("uid"), "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-        digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("e"), digests(F.col("next_text")).alias("b"),
-    )
-    made = settle(made, "digests")  # fixes uid
-    kinds = F.array(F.struct(F.lit("edited").alias("kind"), F.col("a").alias("a"), F.col("e").alias("b")), F.struct(F.lit("next").alias("kind"), F.col("a").alias("a"), F.col("b").alias("b")))
-    found = likeness(made.select("uid", kinds.alias("kinds")))
-    wide = found.groupBy("uid").agg(F.max(F.when(F.col("kind") == "edited", F.col("likeness"))).alias("near_edited"), F.max(F.when(F.col("kind") == "next", F.col("likeness"))).alias("near_next"))
+    both = with_next(texts.withColumn("a", digests(F.col("text")))).select("doc_id", n.alias("n_chars"), "a", F.col("next_a").alias("b"), edited.alias("edited"))
+    both = both.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "a", digests(F.col("edited")).alias("e"), "b")
+    made = settle(both, "digests")  # fixes uid
+    cells = made.select("uid", "a", "e", "b", sketch(F.col("a")).alias("sa"), sketch(F.col("e")).alias("se"), sketch(F.col("b")).alias("sb"))
+    # More digests on one side than cells can name never peel.
+    far = lambda x: F.abs(F.size("a") - F.size(x)) > CELLS
+    failed = F.struct(F.lit(False).alias("ok"), F.lit(0).cast("long").alias("only_a"), F.lit(0).cast("long").alias("only_b"))
+    first = lambda x: F.when(far(x), failed).otherwise(peeled(F.col("sa"), F.col(f"s{x}")))
+    kinds = [F.struct(F.lit(kind).alias("kind"), F.col(x).alias("b"), first(x).alias("d")) for kind, x in (("edited", "e"), ("next", "b"))]
+    tried = cells.select("uid", "a", F.explode(F.array(*kinds)).alias("p")).select("uid", "p.kind", "p.d", F.size("a").alias("n_a"), F.size("p.b").alias("n_b"), F.when(~F.col("p.d.ok"), F.col("a")).alias("a"), F.when(~F.col("p.d.ok"), F.col("p.b")).alias("b"))
+    tried = settle(tried, "first-sketches")
+    found = retried(tried.where("not d.ok").select("uid", "kind", "a", "b"))
+    ended = tried.where("d.ok").select("uid", "kind", "n_a", "n_b", "d.only_a", "d.only_b").unionByName(tried.where("not d.ok").select("uid", "kind", "n_a", "n_b").join(found, ["uid", "kind"]))
+    like = (F.col("n_a") - F.col("only_a")) / (F.col("n_a") + F.col("only_b"))
+    wide = ended.groupBy("uid").agg(F.max(F.when(F.col("kind") == "edited", like)).alias("near_edited"), F.max(F.when(F.col("kind") == "next", like)).alias("near_next"))
     return made.join(wide, "uid").select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("a")).alias("fingerprint"), fingerprint(F.col("e")).alias("edited_fingerprint"), "near_edited", "near_next")

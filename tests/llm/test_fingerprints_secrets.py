@@ -59,13 +59,25 @@ def test_long_lines_share_their_kept_half(spark):
 
 def test_sketches_peel_at_one_size(spark):
     keys = list(range(100, 104))
-    pairs = spark.createDataFrame([(1, [("k", keys, keys[:2] + [7])]), (2, [("k", keys, keys)]), (3, [("k", list(range(500)), [])])], "uid long, kinds array<struct<kind:string,a:array<long>,b:array<long>>>")
-    rows = {r.uid: r for r in fingerprints.differences(pairs, 1).collect()}
+    pairs = spark.createDataFrame([(1, "k", 16, keys, keys[:2] + [7]), (2, "k", 16, keys, keys), (3, "k", 16, list(range(500)), [])], "uid long, kind string, third long, a array<long>, b array<long>")
+    rows = {r.uid: r for r in fingerprints.differences(pairs, 1, 3).collect()}
     assert (rows[1].ok, rows[1].only_a, rows[1].only_b) == (True, 2, 1)
     assert (rows[2].ok, rows[2].only_a, rows[2].only_b) == (True, 0, 0)
     assert not rows[3].ok  # 48 cells can't hold 500 differences
-    retried = {r.uid: r.likeness for r in fingerprints.likeness(pairs).collect()}
-    assert retried == {1: 2 / 5, 2: 1.0, 3: 0.0}
+    again = {r.uid: (r.only_a, r.only_b) for r in fingerprints.retried(pairs.drop("third")).collect()}
+    assert again == {1: (2, 1), 2: (0, 0), 3: (500, 0)}
+    within = pairs.select("uid", fingerprints.peeled(fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b"))).alias("d"))
+    rows = {r.uid: r.d for r in within.collect()}
+    assert tuple(rows[1]) == (True, 2, 1) and tuple(rows[2]) == (True, 0, 0) and not rows[3].ok
+
+
+def test_rows_without_ids_go_by_ranges_of_their_hash(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "ROWS_A_RANGE", 10)
+    texts = [f"line {i}" for i in range(95)]
+    frame = spark.createDataFrame([(None, t) for t in texts] + [(1, "one"), (2, "two")], "doc_id long, text string")
+    order = [r.text for r in frame.where("doc_id is null").orderBy(F.xxhash64("text")).collect()] + ["one", "two"]
+    got = {r.text: r.next_text for r in fingerprints.with_next(frame.withColumn("a", fingerprints.digests(F.col("text")))).collect()}
+    assert got == dict(zip(order, order[1:] + order[:1], strict=True))
 
 
 def test_next_of_nulls_repeats_one_and_none(spark):
@@ -82,7 +94,7 @@ def test_next_across_ranges(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "BOUNDS", 4)
     ids = sorted(random.Random(2).sample(range(10**6), 97)) + [2**60]
     frame = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
-    got = {r.doc_id: r.next_text for r in fingerprints.with_next(frame).collect()}
+    got = {r.doc_id: r.next_text for r in fingerprints.with_next(frame.withColumn("a", fingerprints.digests(F.col("text")))).collect()}
     assert got == {i: f"t{n}" for i, n in zip(ids, [*ids[1:], ids[0]], strict=True)}
 
 
