@@ -60,12 +60,13 @@ def sketch(keys):
     at = lambda k, t: cell_of(k, t, F.lit(third), F.lit(0)).alias(f"p{t}")
     placed = F.transform(keys, lambda k: F.struct(k.alias("k"), F.xxhash64(k, F.lit(CHECK)).alias("c"), *[at(k, t) for t in range(3)]))
 
-    def cell(j: int):
+    def cell(own, j: int):
         start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
         add = lambda a, s: F.struct((a["n"] + 1).alias("n"), a["k"].bitwiseXOR(s["k"]).alias("k"), a["c"].bitwiseXOR(s["c"]).alias("c"))
-        return F.aggregate(F.filter(placed, lambda s: s[f"p{j // third}"] == j), start, add)
+        return F.aggregate(F.filter(own, lambda s: s[f"p{j // third}"] == j), start, add)
 
-    return F.array(*[cell(j) for j in range(CELLS)])
+    # Placed once for all cells.
+    return F.transform(F.array(placed), lambda own: F.array(*[cell(own, j) for j in range(CELLS)]))[0]
 
 
 def fingerprint(keys):
@@ -223,18 +224,21 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     n, half = F.char_length("text").cast("long"), F.floor(F.char_length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.char_length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
     both = with_next(texts.withColumn("a", digests(F.col("text")))).select("doc_id", n.alias("n_chars"), "a", F.col("next_a").alias("b"), edited.alias("edited"))
-    both = both.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "a", digests(F.col("edited")).alias("e"), "b")
-    made = settle(both, "digests")  # fixes uid
-    cells = made.select("uid", "a", "e", "b", sketch(F.col("a")).alias("sa"), sketch(F.col("e")).alias("se"), sketch(F.col("b")).alias("sb"))
-    # More digests on one side than cells can name never peel.
-    far = lambda x: F.abs(F.size("a") - F.size(x)) > CELLS
+    both = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "a", digests(F.col("edited")).alias("e"), "b")
+    cells = both.select("*", sketch(F.col("a")).alias("sa"), sketch(F.col("e")).alias("se"), sketch(F.col("b")).alias("sb"))
     failed = F.struct(F.lit(False).alias("ok"), F.lit(0).cast("long").alias("only_a"), F.lit(0).cast("long").alias("only_b"))
-    first = lambda x: F.when(far(x), failed).otherwise(peeled(F.col("sa"), F.col(f"s{x}")))
-    kinds = [F.struct(F.lit(kind).alias("kind"), F.col(x).alias("b"), first(x).alias("d")) for kind, x in (("edited", "e"), ("next", "b"))]
-    tried = cells.select("uid", "a", F.explode(F.array(*kinds)).alias("p")).select("uid", "p.kind", "p.d", F.size("a").alias("n_a"), F.size("p.b").alias("n_b"), F.when(~F.col("p.d.ok"), F.col("a")).alias("a"), F.when(~F.col("p.d.ok"), F.col("p.b")).alias("b"))
-    tried = settle(tried, "first-sketches")
-    found = retried(tried.where("not d.ok").select("uid", "kind", "a", "b"))
-    ended = tried.where("d.ok").select("uid", "kind", "n_a", "n_b", "d.only_a", "d.only_b").unionByName(tried.where("not d.ok").select("uid", "kind", "n_a", "n_b").join(found, ["uid", "kind"]))
-    like = (F.col("n_a") - F.col("only_a")) / (F.col("n_a") + F.col("only_b"))
-    wide = ended.groupBy("uid").agg(F.max(F.when(F.col("kind") == "edited", like)).alias("near_edited"), F.max(F.when(F.col("kind") == "next", like)).alias("near_next"))
-    return made.join(wide, "uid").select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("a")).alias("fingerprint"), fingerprint(F.col("e")).alias("edited_fingerprint"), "near_edited", "near_next")
+    # More digests on one side than cells can name never peel.
+    first = lambda x: F.when(F.abs(F.size("a") - F.size(x)) > CELLS, failed).otherwise(peeled(F.col("sa"), F.col(f"s{x}")))
+    made = cells.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "n_chars", "edited_sha256", "a", "e", "b", first("e").alias("d_e"), first("b").alias("d_b"))
+    made = settle(made, "digests")  # fixes uid
+    kinds = [F.struct(F.lit(x).alias("kind"), F.col(x).alias("b")) for x in ("e", "b")]
+    left = F.filter(F.array(*kinds), lambda p: F.when(p["kind"] == "e", ~F.col("d_e.ok")).otherwise(~F.col("d_b.ok")))
+    found = retried(made.select("uid", "a", F.explode(left).alias("p")).select("uid", "p.kind", "a", "p.b"))
+    only = lambda x, side: F.max(F.when(F.col("kind") == x, F.col(f"only_{side}"))).alias(f"{x}_only_{side}")
+    joined = made.join(found.groupBy("uid").agg(*[only(x, side) for x in ("e", "b") for side in ("a", "b")]), "uid", "left")
+
+    def like(x: str):
+        of = lambda side: F.when(F.col(f"d_{x}.ok"), F.col(f"d_{x}.only_{side}")).otherwise(F.col(f"{x}_only_{side}"))
+        return (F.size("a") - of("a")) / (F.size("a") + of("b"))
+
+    return joined.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("a")).alias("fingerprint"), fingerprint(F.col("e")).alias("edited_fingerprint"), like("e").alias("near_edited"), like("b").alias("near_next"))

@@ -418,7 +418,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str
     spark = docs.sparkSession
     with batches_of(spark, 1000):
         cut = settle(pieces(docs, tokenizer, capacity, id_col, text_col), "pieces")
-    sizes = settle(cut.groupBy("length", "part").agg(F.count("*").alias("n")), "piece-counts")
+    sizes = cut.groupBy("length", "part").agg(F.count("*").alias("n"))
     # A row a task: a length that a third of all pieces share has no more.
     earlier = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
     before = sizes.select("length", "part", earlier.alias("before"))
