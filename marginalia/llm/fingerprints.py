@@ -6,16 +6,17 @@ characters on it ends after a word of a certain last character, at MOST anyway.
 keeps a count, the exclusive-or of its digests and that of their check words.
 Cells of two versions subtract; peeling then recovers the digests that only one
 side holds: a cell of count 1 or -1 whose check word fits names a digest, which
-is taken out of its other cells, and so on. Where cells remain, the sketches of
-that pair are built again, with three cells for each digest that can differ, and
+is taken out of its other cells, and so on. Where cells remain, that pair is
+tried again with larger sketches: the digests are dealt by hash over blocks of
+some BLOCK digests, each block a sketch of three times ``THIRD`` cells, and
 ``GROWTH`` times more each time that fails, until none does.
 The likeness is the Jaccard index of the two digest sets, from their sizes and
 the recovered differences.
 
-Fingerprints of ``CELLS`` cells subtract and peel within their row. Larger
-sketches are (pair, cell) rows, of which only those that hold something exist: a
-round of peeling is two groupings within one partition, so memory is bounded
-however long a text is.
+Fingerprints of ``CELLS`` cells subtract and peel within their row. The cells of
+larger sketches are rows, of which only those that hold something exist, until
+each block's are put together and peeled: memory is bounded however long a text
+is.
 
 Defined cases: null text is empty (one empty paragraph); the order of documents
 is doc_id ascending (nulls first), then a hash of the text; repeated rows are
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
-CELLS, GROWTH, PEELS, LEVELS = 12, 4, 5, 14
+CELLS, BLOCK, THIRD, GROWTH, LEVELS = 12, 4, 32, 4, 10
+#: Rounds of peeling; what is left then counts as failed.
+PEELS = 6
 #: Percentile bounds of doc_id on the driver, and finest cuts between two.
 BOUNDS, ROWS_A_RANGE = 256, 200_000
 #: Digests in a partition of larger sketches.
@@ -75,25 +78,32 @@ def fingerprint(keys):
     return F.lower(F.concat_ws(".", F.hex(F.size(keys)), shown))
 
 
-def peeled(a, b):
-    """(ok, only_a, only_b): the sketches ``a`` and ``b`` subtracted and peeled within the row."""
-    cell = lambda n, k, c: F.struct(n.alias("n"), k.alias("k"), c.alias("c"))
-    minus = lambda x, y: cell(x["n"] - y["n"], x["k"].bitwiseXOR(y["k"]), x["c"].bitwiseXOR(y["c"]))
+def peeled(cells, third, level):
+    """(ok, only_a, only_b): subtracted ``cells`` (at, n, k, c) peeled within the row."""
+    cell = lambda x, p: F.struct(x["at"].alias("at"), (x["n"] - p["n"]).alias("n"), x["k"].bitwiseXOR(p["k"]).alias("k"), x["c"].bitwiseXOR(p["c"]).alias("c"))
     state = lambda cells, only_a, only_b: F.struct(cells.alias("cells"), only_a.alias("only_a"), only_b.alias("only_b"))
-    third = F.lit(CELLS // 3)
+    sided = lambda own, n: F.size(F.filter(own, lambda p: p["n"] == n)).cast("long")
 
     def step(now, _):
         pure = F.filter(now["cells"], lambda x: (F.abs(x["n"]) == 1) & (F.xxhash64(x["k"], F.lit(CHECK)) == x["c"]))
-        named = F.transform(F.slice(pure, 1, 1), lambda x: F.struct(x.alias("x"), F.array(*[cell_of(x["k"], t, third, F.lit(0)) for t in range(3)]).alias("at")))
-        out = lambda s, p: state(
-            F.transform(s["cells"], lambda x, j: F.when(F.array_contains(p["at"], j.cast("long")), minus(x, p["x"])).otherwise(x)),
-            s["only_a"] + (p["x"]["n"] > 0).cast("long"), s["only_b"] + (p["x"]["n"] < 0).cast("long"),
-        )
-        return F.aggregate(named, now, out)
+        # A digest named by several of its cells counts once.
+        named = F.array_distinct(F.transform(pure, lambda x: F.struct(x["n"].alias("n"), x["k"].alias("k"), x["c"].alias("c"), F.array(*[cell_of(x["k"], t, third, level) for t in range(3)]).alias("of"))))
+        without = lambda own: F.filter(
+            F.transform(now["cells"], lambda x: F.aggregate(own, x, lambda y, p: F.when(F.array_contains(p["of"], y["at"]), cell(y, p)).otherwise(y))),
+            lambda x: (x["n"] != 0) | (x["k"] != 0) | (x["c"] != 0),
+        )
+        bound = F.transform(F.array(named), lambda own: state(without(own), now["only_a"] + sided(own, 1), now["only_b"] + sided(own, -1)))
+        return F.when(F.size(now["cells"]) == 0, now).otherwise(bound[0])
 
     zero = F.lit(0).cast("long")
-    done = lambda s: F.struct(F.forall(s["cells"], lambda x: (x["n"] == 0) & (x["k"] == 0) & (x["c"] == 0)).alias("ok"), s["only_a"].alias("only_a"), s["only_b"].alias("only_b"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(CELLS)), state(F.zip_with(a, b, minus), zero, zero), step, done)
+    done = lambda s: F.struct((F.size(s["cells"]) == 0).alias("ok"), s["only_a"].alias("only_a"), s["only_b"].alias("only_b"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(PEELS)), state(cells, zero, zero), step, done)
+
+
+def subtracted(a, b):
+    """The cells (at, n, k, c) of sketch ``a`` less those of ``b`` that are not empty."""
+    cells = F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda z, j: F.struct(j.cast("long").alias("at"), (z["a"]["n"] - z["b"]["n"]).alias("n"), z["a"]["k"].bitwiseXOR(z["b"]["k"]).alias("k"), z["a"]["c"].bitwiseXOR(z["b"]["c"]).alias("c")))
+    return F.filter(cells, lambda x: (x["n"] != 0) | (x["k"] != 0) | (x["c"] != 0))
 
 
 # -- the next document --------------------------------------------------------
@@ -144,63 +154,30 @@ def with_next(docs: DataFrame) -> DataFrame:
 # -- larger sketches -------------------------------------------------------------
 
 
-def _contribution(key, sign, level):
-    """The three cell rows of one digest."""
-    check = F.xxhash64(key, F.lit(CHECK))
-    return [F.struct(F.lit(0).alias("type"), cell_of(key, t, F.col("third"), level).alias("k"), sign.cast("long").alias("n"), key.alias("x"), check.alias("c")) for t in range(3)]
-
-
 def differences(pairs: DataFrame, level: int, parts: int) -> DataFrame:
     """(uid, kind, ok, only_a, only_b): digests that peeling recovers on each side.
 
-    ``pairs``: (uid, kind, third, a, b), with ``third`` cells in each subtable.
-    ok is false where cells remain.
+    ``pairs``: (uid, kind, a, b). ok is false where cells remain; a pair without
+    any difference has no row.
     """
-    salt = F.lit(level)
-    signed = pairs.repartition(parts, "uid", "kind").select(
-        "uid", "kind", "third",
-        F.explode(F.concat(
-            F.array(F.struct(F.lit(0).alias("s"), F.lit(0).cast("long").alias("d"))),
-            F.transform("a", lambda d: F.struct(F.lit(1).alias("s"), d.alias("d"))),
-            F.transform("b", lambda d: F.struct(F.lit(-1).alias("s"), d.alias("d"))),
-        )).alias("e"),
-    )
-    pair, sign, key = ["uid", "kind", "third"], F.col("e.s"), F.col("e.d")
-    # One row of type 9 keeps a pair whose cells all cancel.
-    zero = F.lit(0).cast("long")
-    marker = F.struct(F.lit(9).alias("type"), zero.alias("k"), zero.alias("n"), zero.alias("x"), zero.alias("c"))
-    rows = signed.select(*pair, F.explode(F.when(sign == 0, F.array(marker)).otherwise(F.array(*_contribution(key, sign, salt)))).alias("r"))
-
-    def grouped(df: DataFrame) -> DataFrame:
-        out = df.select(*pair, "r.*").groupBy(*pair, "type", "k").agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("c").alias("c"))
-        return out.where("type <> 0 or n <> 0 or x <> 0 or c <> 0")
-
-    rows = grouped(rows)
-    for _ in range(PEELS):
-        # A pure cell names its digest (type 1); a digest named twice counts once.
-        same = F.struct("type", "k", "n", "x", "c")
-        pure = (F.col("type") == 0) & (F.abs("n") == 1) & (F.xxhash64("x", F.lit(CHECK)) == F.col("c"))
-        named = F.struct(F.lit(1).alias("type"), F.col("x").alias("k"), "n", "x", "c")
-        rows = rows.select(*pair, F.explode(F.when(pure, F.array(same, named)).otherwise(F.array(same))).alias("r")).select(*pair, "r.*")
-        rows = rows.groupBy(*pair, "type", "k").agg(F.max("n").alias("n"), F.max("x").alias("x"), F.max("c").alias("c"))
-        # It leaves its cells and is kept as recovered (type 2).
-        gone = _contribution(F.col("x"), -F.col("n"), salt)
-        kept = F.struct(F.lit(2).alias("type"), "k", "n", "x", "c")
-        rows = grouped(rows.select(*pair, F.explode(F.when(F.col("type") == 1, F.array(*gone, kept)).otherwise(F.array(same))).alias("r")))
-    return rows.groupBy("uid", "kind").agg(
-        (F.sum((F.col("type") == 0).cast("int")) == 0).alias("ok"),
-        F.sum(((F.col("type") == 2) & (F.col("n") > 0)).cast("long")).alias("only_a"),
-        F.sum(((F.col("type") == 2) & (F.col("n") < 0)).cast("long")).alias("only_b"),
-    )
+    third, salt = F.lit(THIRD * GROWTH ** (level - 1)), F.lit(level)
+    blocks = F.ceil((F.size("a") + F.size("b")) / BLOCK)
+    sides = F.concat(*[F.transform(x, lambda d, s=s: F.struct(F.lit(s).cast("long").alias("s"), d.alias("d"))) for x, s in (("a", 1), ("b", -1))])
+    dealt = pairs.repartition(parts, "uid", "kind").select("uid", "kind", blocks.alias("blocks"), F.explode(sides).alias("e"))
+    digest = F.col("e.d")
+    dealt = dealt.select("uid", "kind", F.pmod(F.xxhash64(digest, F.lit("block"), salt), "blocks").alias("block"), "e.s", "e.d", F.explode(F.array(*[cell_of(digest, t, third, salt) for t in range(3)])).alias("at"))
+    cells = dealt.groupBy("uid", "kind", "block", "at").agg(F.sum("s").alias("n"), F.bit_xor("d").alias("k"), F.bit_xor(F.xxhash64("d", F.lit(CHECK))).alias("c"))
+    cells = cells.where("n <> 0 or k <> 0 or c <> 0")
+    own = cells.groupBy("uid", "kind", "block").agg(F.collect_list(F.struct("at", "n", "k", "c")).alias("cells"))
+    done = own.select("uid", "kind", peeled(F.col("cells"), third, salt).alias("d"))
+    return done.groupBy("uid", "kind").agg(F.min("d.ok").alias("ok"), F.sum("d.only_a").alias("only_a"), F.sum("d.only_b").alias("only_b"))
 
 
 def retried(pairs: DataFrame) -> DataFrame:
-    """(uid, kind, only_a, only_b) of (uid, kind, a, b), by sketches as large as each needs."""
-    spark, out = pairs.sparkSession, None
-    size = F.size("a") + F.size("b")
-    left = pairs.withColumn("third", F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(size, F.lit(CELLS)).cast("double")))).cast("long"))
+    """(uid, kind, only_a, only_b) of (uid, kind, a, b), by sketches as large as each needs; none for equal sides."""
+    spark, out, left = pairs.sparkSession, None, pairs
     for level in range(1, LEVELS + 1):
-        total = left.agg(F.sum(size)).first()[0] or 0
+        total = left.agg(F.sum(F.size("a") + F.size("b"))).first()[0] or 0
         parts = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // DIGESTS_A_PART))
         done = settle(differences(left, level, parts), f"differences-{level}")
         good = done.where("ok").select("uid", "kind", "only_a", "only_b")
@@ -208,7 +185,7 @@ def retried(pairs: DataFrame) -> DataFrame:
         failed = done.where("not ok").select("uid", "kind")
         if not failed.limit(1).count():
             return out
-        left = settle(left.join(failed, ["uid", "kind"]).withColumn("third", F.col("third") * GROWTH), "again")
+        left = left.join(failed, ["uid", "kind"])
     raise RuntimeError(f"peeling still failed after {LEVELS} retries")
 
 
@@ -228,7 +205,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     cells = both.select("*", sketch(F.col("a")).alias("sa"), sketch(F.col("e")).alias("se"), sketch(F.col("b")).alias("sb"))
     failed = F.struct(F.lit(False).alias("ok"), F.lit(0).cast("long").alias("only_a"), F.lit(0).cast("long").alias("only_b"))
     # More digests on one side than cells can name never peel.
-    first = lambda x: F.when(F.abs(F.size("a") - F.size(x)) > CELLS, failed).otherwise(peeled(F.col("sa"), F.col(f"s{x}")))
+    first = lambda x: F.when(F.abs(F.size("a") - F.size(x)) > CELLS, failed).otherwise(peeled(subtracted(F.col("sa"), F.col(f"s{x}")), F.lit(CELLS // 3), F.lit(0)))
     made = cells.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "n_chars", "edited_sha256", "a", "e", "b", first("e").alias("d_e"), first("b").alias("d_b"))
     made = settle(made, "digests")  # fixes uid
     kinds = [F.struct(F.lit(x).alias("kind"), F.col(x).alias("b")) for x in ("e", "b")]
@@ -238,7 +215,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     joined = made.join(found.groupBy("uid").agg(*[only(x, side) for x in ("e", "b") for side in ("a", "b")]), "uid", "left")
 
     def like(x: str):
-        of = lambda side: F.when(F.col(f"d_{x}.ok"), F.col(f"d_{x}.only_{side}")).otherwise(F.col(f"{x}_only_{side}"))
+        of = lambda side: F.when(F.col(f"d_{x}.ok"), F.col(f"d_{x}.only_{side}")).otherwise(F.coalesce(F.col(f"{x}_only_{side}"), F.lit(0)))
         return (F.size("a") - of("a")) / (F.size("a") + of("b"))
 
     return joined.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("a")).alias("fingerprint"), fingerprint(F.col("e")).alias("edited_fingerprint"), like("e").alias("near_edited"), like("b").alias("near_next"))
