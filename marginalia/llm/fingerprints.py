@@ -162,7 +162,8 @@ def differences(pairs: DataFrame, level: int, parts: int) -> DataFrame:
     """
     third, salt = F.lit(THIRD * GROWTH ** (level - 1)), F.lit(level)
     blocks = F.ceil((F.size("a") + F.size("b")) / BLOCK)
-    sides = F.concat(*[F.transform(x, lambda d, s=s: F.struct(F.lit(s).cast("long").alias("s"), d.alias("d"))) for x, s in (("a", 1), ("b", -1))])
+    signed = lambda x, s: F.transform(x, lambda d: F.struct(F.lit(s).cast("long").alias("s"), d.alias("d")))
+    sides = F.concat(signed("a", 1), signed("b", -1))
     dealt = pairs.repartition(parts, "uid", "kind").select("uid", "kind", blocks.alias("blocks"), F.explode(sides).alias("e"))
     digest = F.col("e.d")
     dealt = dealt.select("uid", "kind", F.pmod(F.xxhash64(digest, F.lit("block"), salt), "blocks").alias("block"), "e.s", "e.d", F.explode(F.array(*[cell_of(digest, t, third, salt) for t in range(3)])).alias("at"))
