@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,30 +13,41 @@ from pyspark.sql import functions as F
 #: ASCII white space that the text contracts strip and split on.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Used only where the session names no shared folder (tests, one machine).
-LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/marginalia"
+#: Rows in a file of a small intermediate table.
+ROWS_A_FILE = 1_000_000
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that every executor shares, from ``spark.checkpoint.dir``."""
+    """The folder that every executor shares, from ``spark.checkpoint.dir``.
+
+    Without the setting one is made only for a driver that is its own executor;
+    on a cluster a folder of each machine would lose rows without an error.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (named or LOCAL_CHECKPOINTS).rstrip("/")
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{tempfile.gettempdir()}/marginalia-checkpoints"
 
 
-def write_table(df: DataFrame, name: str) -> str:
+def write_table(df: DataFrame, name: str, rows: int | None = None) -> str:
     """Write ``df`` as Parquet in the shared folder and return its path.
 
     A written table cuts the lineage: if an executor is lost later, readers
-    reread files instead of recomputing Python stages.
+    reread files instead of recomputing Python stages. With a bound on its
+    ``rows``, a small table gets few files instead of one a partition.
     """
     path = f"{work_dir(df.sparkSession)}/marginalia/{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.repartition(1 + rows // ROWS_A_FILE)
     df.write.parquet(path)
     return path
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """``df`` written by :func:`write_table` and read back with its schema."""
-    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name))
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name, rows))
 
 
 def drop_table(spark: SparkSession, path: str) -> None:
@@ -83,17 +96,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         sign = _signature(now)
         if sign[0] == 0 or sign == before:
             break
-        before = sign
+        before, most = sign, 2 * sign[0]
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large_path = write_table(large.where("a <> b").distinct(), "large-star")
+        large_path = write_table(large.where("a <> b").distinct(), "large-star", most)
         large = spark.read.parquet(large_path)
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a").select(
             F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")
         )
-        next_path = write_table(small.select("e.a", "e.b").where("a <> b").distinct(), "small-star")
+        next_path = write_table(small.select("e.a", "e.b").where("a <> b").distinct(), "small-star", most)
         drop_table(spark, path)
         drop_table(spark, large_path)
         path, now = next_path, spark.read.parquet(next_path)

@@ -180,7 +180,7 @@ def retried(pairs: DataFrame) -> DataFrame:
     for level in range(1, LEVELS + 1):
         total = left.agg(F.sum(F.size("a") + F.size("b"))).first()[0] or 0
         parts = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // DIGESTS_A_PART))
-        done = settle(differences(left, level, parts), f"differences-{level}")
+        done = settle(differences(left, level, parts), f"differences-{level}", total // 2)
         good = done.where("ok").select("uid", "kind", "only_a", "only_b")
         out = good if out is None else out.unionByName(good)
         failed = done.where("not ok").select("uid", "kind")
