@@ -157,14 +157,15 @@ def with_next(docs: DataFrame) -> DataFrame:
 def differences(pairs: DataFrame, level: int, parts: int) -> DataFrame:
     """(uid, kind, ok, only_a, only_b): digests that peeling recovers on each side.
 
-    ``pairs``: (uid, kind, a, b). ok is false where cells remain; a pair without
-    any difference has no row.
+    ``pairs``: (uid, a, others: array of (kind, b)). ok is false where cells
+    remain; a pair without any difference has no row.
     """
     third, salt = F.lit(THIRD * GROWTH ** (level - 1)), F.lit(level)
     blocks = F.ceil((F.size("a") + F.size("b")) / BLOCK)
     signed = lambda x, s: F.transform(x, lambda d: F.struct(F.lit(s).cast("long").alias("s"), d.alias("d")))
     sides = F.concat(signed("a", 1), signed("b", -1))
-    dealt = pairs.repartition(parts, "uid", "kind").select("uid", "kind", blocks.alias("blocks"), F.explode(sides).alias("e"))
+    own = pairs.repartition(parts, "uid").select("uid", "a", F.explode("others").alias("o")).select("uid", "o.kind", "a", "o.b")
+    dealt = own.select("uid", "kind", blocks.alias("blocks"), F.explode(sides).alias("e"))
     digest = F.col("e.d")
     dealt = dealt.select("uid", "kind", F.pmod(F.xxhash64(digest, F.lit("block"), salt), "blocks").alias("block"), "e.s", "e.d", F.explode(F.array(*[cell_of(digest, t, third, salt) for t in range(3)])).alias("at"))
     cells = dealt.groupBy("uid", "kind", "block", "at").agg(F.sum("s").alias("n"), F.bit_xor("d").alias("k"), F.bit_xor(F.xxhash64("d", F.lit(CHECK))).alias("c"))
@@ -175,18 +176,19 @@ def differences(pairs: DataFrame, level: int, parts: int) -> DataFrame:
 
 
 def retried(pairs: DataFrame) -> DataFrame:
-    """(uid, kind, only_a, only_b) of (uid, kind, a, b), by sketches as large as each needs; none for equal sides."""
+    """(uid, kind, only_a, only_b) of (uid, a, others), by sketches as large as each needs; none for equal sides."""
     spark, out, left = pairs.sparkSession, None, pairs
     for level in range(1, LEVELS + 1):
-        total = left.agg(F.sum(F.size("a") + F.size("b"))).first()[0] or 0
+        size = F.aggregate("others", F.lit(0), lambda n, o: n + F.size("a") + F.size(o["b"]))
+        total = left.agg(F.sum(size)).first()[0] or 0
         parts = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // DIGESTS_A_PART))
         done = settle(differences(left, level, parts), f"differences-{level}", total // 2)
         good = done.where("ok").select("uid", "kind", "only_a", "only_b")
         out = good if out is None else out.unionByName(good)
-        failed = done.where("not ok").select("uid", "kind")
+        failed = done.where("not ok").groupBy("uid").agg(F.collect_set("kind").alias("again"))
         if not failed.limit(1).count():
             return out
-        left = left.join(failed, ["uid", "kind"])
+        left = left.join(failed, "uid").select("uid", "a", F.filter("others", lambda o: F.array_contains("again", o["kind"])).alias("others"))
     raise RuntimeError(f"peeling still failed after {LEVELS} retries")
 
 
@@ -211,7 +213,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     made = settle(made, "digests")  # fixes uid
     kinds = [F.struct(F.lit(x).alias("kind"), F.col(x).alias("b")) for x in ("e", "b")]
     left = F.filter(F.array(*kinds), lambda p: F.when(p["kind"] == "e", ~F.col("d_e.ok")).otherwise(~F.col("d_b.ok")))
-    found = retried(made.select("uid", "a", F.explode(left).alias("p")).select("uid", "p.kind", "a", "p.b"))
+    found = retried(made.select("uid", "a", left.alias("others")).where(F.size("others") > 0))
     only = lambda x, side: F.max(F.when(F.col("kind") == x, F.col(f"only_{side}"))).alias(f"{x}_only_{side}")
     joined = made.join(found.groupBy("uid").agg(*[only(x, side) for x in ("e", "b") for side in ("a", "b")]), "uid", "left")
 

@@ -59,10 +59,11 @@ def test_long_lines_share_their_kept_half(spark):
 
 def test_sketches_peel_at_one_size(spark):
     keys = list(range(100, 104))
-    pairs = spark.createDataFrame([(1, "k", keys, keys[:2] + [7]), (2, "k", keys, keys), (3, "k", list(range(500)), [])], "uid long, kind string, a array<long>, b array<long>")
-    rows = {r.uid: r for r in fingerprints.differences(pairs, 1, 3).collect()}
+    pairs = spark.createDataFrame([(1, keys, keys[:2] + [7]), (2, keys, keys), (3, list(range(500)), [])], "uid long, a array<long>, b array<long>")
+    wide = pairs.select("uid", "a", F.array(F.struct(F.lit("k").alias("kind"), "b")).alias("others"))
+    rows = {r.uid: r for r in fingerprints.differences(wide, 1, 3).collect()}
     assert (rows[1].ok, rows[1].only_a, rows[1].only_b) == (True, 2, 1) and 2 not in rows
-    again = {r.uid: (r.only_a, r.only_b) for r in fingerprints.retried(pairs).collect()}
+    again = {r.uid: (r.only_a, r.only_b) for r in fingerprints.retried(wide).collect()}
     assert again == {1: (2, 1), 3: (500, 0)}
     cells = fingerprints.subtracted(fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b")))
     rows = {r.uid: r.d for r in pairs.select("uid", fingerprints.peeled(cells, F.lit(4), F.lit(0)).alias("d")).collect()}
@@ -74,7 +75,7 @@ def test_small_blocks_fail_and_are_retried(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "THIRD", 2)
     rng = random.Random(2)
     pairs = [(i, "k", [rng.getrandbits(60) for _ in range(200)], [rng.getrandbits(60) for _ in range(i)]) for i in range(20)]
-    frame = spark.createDataFrame(pairs, "uid long, kind string, a array<long>, b array<long>")
+    frame = spark.createDataFrame(pairs, "uid long, kind string, a array<long>, b array<long>").select("uid", "a", F.array(F.struct("kind", "b")).alias("others"))
     assert not all(r.ok for r in fingerprints.differences(frame, 1, 2).collect())
     assert {r.uid: (r.only_a, r.only_b) for r in fingerprints.retried(frame).collect()} == {i: (200, i) for i in range(20)}
 
