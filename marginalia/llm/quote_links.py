@@ -1,19 +1,23 @@
 """Chat formatting: quotations are linked to their messages and taken out.
 
 Each message is split into lines with a quote level (the number of ``>`` marks
-before the text). Quoted lines of all levels are normalised and hashed, and
-joined to the earliest message of the conversation that wrote such a line itself.
-A message replies to the message that its outermost quotes match most often (the
-later one on ties); without a match to the message before it, and the first of
-a conversation to none. Threads and depths follow from these links by runs in
-blocks of turns and pointer doubling over their heads, so a conversation as long
-as the table takes logarithmic rounds and no single task. (thread, turn) orders a conversation so that replies follow what
+before the text). Runs of lines of one level, with nothing blank between, are
+its passages, normalised so that case, white space and wrapping don't matter. A
+quoted passage is hashed and joined to the earliest message of the conversation
+that wrote it itself. One that nobody wrote as a whole is tried by its pairs of
+adjacent lines, so a part of a paragraph finds its writer, and a passage of one
+line by that line. A message replies to the message that its outermost passages
+match in most lines (the later one on ties); without a match to the message
+before it, and the first of a conversation to none. Threads and depths follow
+from these links by runs in blocks of turns and pointer doubling over their
+heads, so a conversation as long as the table takes logarithmic rounds and no
+single task. (thread, turn) orders a conversation so that replies follow what
 they answer.
 
 Defined cases: null text is empty; messages of a null conv_id or turn are kept
 and answer nothing; repeated (conv_id, turn) rows share their links and are each
-returned; quotes of nothing known are taken out and counted; lines of white
-space never link; an empty table gives an empty table; other columns are not
+returned; quotes of nothing known are taken out and counted; a passage that a
+message quotes twice at a level links once; lines of white space never link; an empty table gives an empty table; other columns are not
 read.
 """
 
@@ -53,17 +57,54 @@ def unquoted(lines):
     return F.btrim(F.array_join(F.transform(F.filter(lines, own), lambda x: x["line"]), "\n"), F.lit("\n"))
 
 
+#: What a link rests on, best first: the whole passage, two adjacent lines, one line.
+PASSAGE, PAIR, LINE = 0, 1, 2
+
+
+def passages(text):
+    """Array of (level, keys): runs of adjacent lines of one level that aren't blank, normalised."""
+    lines = F.transform(split_lines(text), lambda x: F.struct(x["level"].alias("level"), normal_line(x["line"]).alias("key")))
+
+    def cut(own):
+        before = lambda i: F.get(own, F.greatest(i - 1, F.lit(0)))
+        opens = lambda i: (F.get(own, i)["key"] != "") & ((i == 0) | (before(i)["key"] == "") | (before(i)["level"] != F.get(own, i)["level"]))
+        starts = F.filter(F.sequence(F.lit(0), F.size(own) - 1), opens)
+
+        def runs(at):
+            keys = lambda s, j: F.transform(F.filter(F.slice(own, s + 1, F.coalesce(F.get(at, j + 1), F.size(own)) - s), lambda x: x["key"] != ""), lambda x: x["key"])
+            return F.transform(at, lambda s, j: F.struct(F.get(own, s)["level"].alias("level"), keys(s, j).alias("keys")))
+
+        return F.flatten(F.transform(F.array(starts), runs))
+
+    return F.flatten(F.transform(F.array(lines), cut))
+
+
+def _units(level, keys):
+    """Array of (kind, key) that a passage can link by; quotes of one line alone go by lines."""
+    whole = F.array(F.struct(F.lit(PASSAGE).alias("kind"), F.array_join(keys, " ").alias("key")))
+    pairs = F.transform(F.slice(keys, 2, F.size(keys)), lambda k, i: F.struct(F.lit(PAIR).alias("kind"), F.concat(F.get(keys, i), F.lit("\n"), k).alias("key")))
+    lines = F.transform(F.when((level == 0) | (F.size(keys) == 1), keys).otherwise(F.slice(keys, 1, 0)), lambda k: F.struct(F.lit(LINE).alias("kind"), k.alias("key")))
+    return F.concat(whole, pairs, lines)
+
+
 def link_quotes(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, source, level, lines): quoted lines by the earlier message that wrote them."""
-    lines = messages.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(split_lines(F.coalesce("text", F.lit("")))).alias("l"))
-    hashed = lines.select("conv_id", "turn", "l.level", normal_line(F.col("l.line")).alias("key")).where("key <> ''")
-    hashed = hashed.select("conv_id", "turn", "level", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(5), "key").alias("h2"))
-    quoted = settle(hashed.where("level > 0").groupBy("conv_id", "turn", "level", "h1", "h2").agg(F.count("*").alias("n")), "quoted")
+    """(conv_id, turn, source, level, lines): quoted passages by the earlier message that wrote them."""
+    runs = messages.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(passages(F.coalesce("text", F.lit("")))).alias("r"))
+    whole = F.array_join("r.keys", "\n")
+    hashed = runs.select("conv_id", "turn", "r.level", F.size("r.keys").alias("size"), F.xxhash64(whole).alias("run1"), F.xxhash64(F.lit(3), whole).alias("run2"), F.explode(_units(F.col("r.level"), F.col("r.keys"))).alias("u"))
+    hashed = hashed.select("conv_id", "turn", "level", "size", "run1", "run2", "u.kind", F.xxhash64("u.key").alias("h1"), F.xxhash64(F.lit(5), "u.key").alias("h2"))
+    quoted = settle(hashed.where("level > 0").distinct(), "quoted")
     # Only keys that someone quotes, each once with its earliest writer.
-    wanted = quoted.select("conv_id", "h1", "h2").distinct()
-    first = hashed.where("level = 0").join(wanted, ["conv_id", "h1", "h2"], "left_semi").groupBy("conv_id", "h1", "h2").agg(F.min("turn").alias("source"))
-    linked = quoted.join(settle(first, "quoted-first"), ["conv_id", "h1", "h2"]).where("source < turn")
-    return linked.groupBy("conv_id", "turn", "source", "level").agg(F.sum("n").alias("lines"))
+    key = ["conv_id", "kind", "h1", "h2"]
+    wanted = quoted.select(*key).distinct()
+    first = hashed.where("level = 0").join(wanted, key, "left_semi").groupBy(*key).agg(F.min("turn").alias("source"))
+    linked = quoted.join(settle(first, "quoted-first"), key).where("source < turn")
+    run = ["conv_id", "turn", "level", "run1", "run2"]
+    counted = linked.groupBy(*run, "size", "kind", "source").agg(F.count("*").alias("n"))
+    # What a whole passage links to outdoes its parts.
+    best = counted.groupBy(*run).agg(F.min("kind").alias("kind"))
+    lines = F.when(F.col("kind") == PASSAGE, F.col("size")).when(F.col("kind") == PAIR, F.least(F.col("n") + 1, F.col("size"))).otherwise(1)
+    return counted.join(best, [*run, "kind"]).groupBy("conv_id", "turn", "source", "level").agg(F.sum(lines.cast("long")).alias("lines"))
 
 
 def threads(parents: DataFrame, rounds: int = 64) -> DataFrame:
@@ -133,7 +174,10 @@ def format_chat(conversations: DataFrame) -> DataFrame:
     linked = threads(parents).join(parents.select("conv_id", "turn", "linked_lines"), ["conv_id", "turn"])
     lines = split_lines(F.col("text"))
     quoted = F.size(F.filter(lines, lambda x: x["level"] > 0)).cast("long")
-    out = own.join(linked, ["conv_id", "turn"], "left")
+    # Messages without a conversation or a turn answer nothing and meet in no join.
+    known = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    alone = own.where(~known).withColumns({c: F.lit(None).cast("long") for c in ("reply_to", "thread", "depth", "linked_lines")})
+    out = own.where(known).join(linked, ["conv_id", "turn"], "left").unionByName(alone)
     return out.select(
         "conv_id", "turn", "role", "reply_to", F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).alias("depth"),
         quoted.alias("quoted_lines"), F.coalesce("linked_lines", F.lit(0)).alias("linked_lines"), unquoted(lines).alias("text"),

@@ -9,7 +9,10 @@ host is blocked if its distrust exceeds its trust by ``THRESHOLD`` of what a
 wholly blocked host without links has, and is allowed otherwise.
 
 Pages are reduced to counts a host and a pair of hosts before any join, so a
-host that holds a third of all pages costs partial sums only.
+host that holds a third of all pages costs partial sums only. Nothing is pruned:
+ranks are summed over links followed once, twice, and so on, until all that is
+still on its way, wherever it may end, is below ``TOLERANCE``; each step leaves
+at most ``DAMPING`` of it, so the number of steps follows from the seeds.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path,
 fits no rule and is allowed; null html links to nothing; a page that links twice
@@ -23,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, settle
+from .common import ascii_lower, drop_table, settle, write_table
 
 #: (verdict, host, path), as dealt.
 RULES = (
@@ -33,7 +36,7 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-DAMPING, STEPS, EPSILON, THRESHOLD = 0.85, 40, 1e-6, 0.5
+DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-6, 0.5
 #: Lineage is cut each so many steps.
 SETTLE_STEPS = 5
 LINK = r"""(?i)href\s*=\s*["']?\s*[a-z][a-z0-9+.-]*://([^/?#"'\s<>]+)"""
@@ -68,39 +71,47 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.where("dst <> host and host <> ''").groupBy(F.col("host").alias("src"), "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, steps: int = STEPS, epsilon: float = EPSILON) -> DataFrame:
-    """(host, rank): (1 - damping) * seed + damping * what the links bring.
+def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, rank): (1 - damping) * seed + damping * what the links bring, no rank off by more than ``tolerance``.
 
     ``seeds``: (host, seed); ``links``: (src, dst, n), shared out in proportion to n.
     """
+    spark = links.sparkSession
     out_sum = links.groupBy("src").agg(F.sum("n").alias("total"))
     share = settle(links.join(out_sum, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("w")), "shares")
+    reached = share.select("dst").distinct().count()
     start = seeds.where("seed > 0").select("host", (F.col("seed") * (1 - damping)).alias("rank"))
     ranks = wave = settle(start, "seeds")  # the series: seed, seed over one link, over two, ...
-    for step in range(steps if share.limit(1).count() else 0):
-        wave = wave.join(share, wave["host"] == share["src"]).groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("rank") * F.col("w")) * damping).alias("rank"))
-        wave = settle(wave.where(F.col("rank") > epsilon * (1 - damping)), "wave")
+    done, step = [], 0
+    while reached and (wave.agg(F.sum("rank")).first()[0] or 0.0) * damping / (1 - damping) > tolerance:
+        brought = wave.join(share, wave["host"] == share["src"]).groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("rank") * F.col("w")) * damping).alias("rank"))
+        done.append(write_table(brought, "wave", reached))
+        wave, step = spark.read.parquet(done[-1]), step + 1
         ranks = ranks.unionByName(wave)
-        if step % SETTLE_STEPS == SETTLE_STEPS - 1:
+        if step % SETTLE_STEPS == 0:
             ranks = settle(ranks.groupBy("host").agg(F.sum("rank").alias("rank")), "ranks")
-        if not wave.limit(1).count():
-            break
+            for path in done[:-1]:  # the last is still the wave
+                drop_table(spark, path)
+            done = done[-1:]
     return ranks.groupBy("host").agg(F.sum("rank").alias("rank"))
 
 
-def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, threshold: float = THRESHOLD) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) of every page."""
     own = pages.select(F.col("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     own = own.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     verdict = F.col("r.verdict")
     hosts = own.where("host <> ''").groupBy("host").agg(F.avg(F.coalesce((verdict == "allow").cast("double"), F.lit(0.0))).alias("allowed"), F.avg(F.coalesce((verdict == "block").cast("double"), F.lit(0.0))).alias("blocked"))
+    # Pages of no host are kept aside: they never meet in a join.
     hosts, links = settle(hosts, "hosts"), settle(host_links(own), "host-links")
-    trust = propagate(hosts.select("host", F.col("allowed").alias("seed")), links, damping).withColumnRenamed("rank", "trust")
+    trust = propagate(hosts.select("host", F.col("allowed").alias("seed")), links, damping, tolerance).withColumnRenamed("rank", "trust")
     back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = propagate(hosts.select("host", F.col("blocked").alias("seed")), back, damping).withColumnRenamed("rank", "distrust")
+    distrust = propagate(hosts.select("host", F.col("blocked").alias("seed")), back, damping, tolerance).withColumnRenamed("rank", "distrust")
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
     ranks = settle(hosts.select("host").join(trust, "host", "left").join(distrust, "host", "left").select("host", zero("trust"), zero("distrust")), "host-ranks")
-    judged = own.select("page_id", "host", "path", "r").join(ranks, "host", "left")
+    shown = own.select("page_id", "host", "path", "r")
+    unranked = shown.where("host = ''").withColumns({"trust": F.lit(None).cast("double"), "distrust": F.lit(None).cast("double")})
+    judged = shown.where("host <> ''").join(ranks, "host", "left").select("page_id", "host", "path", "r", "trust", "distrust").unionByName(unranked.select("page_id", "host", "path", "r", "trust", "distrust"))
     low = F.coalesce(F.col("distrust") - F.col("trust") >= threshold * (1 - damping), F.lit(False))
     final = F.coalesce(F.col("r.verdict"), F.when(low, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), final.alias("verdict"), zero("trust"), zero("distrust"))
