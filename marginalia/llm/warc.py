@@ -10,6 +10,10 @@ Records are rows (type, id, uri, date, headers, block); :func:`parse` and
 :func:`serialize` turn them from and into WARC/1.1 bytes, gzipped record by
 record.
 
+A response's chunks and content coding (gzip, deflate, zstd) are undone and its
+character set honoured; with another coding the conversion is empty and the
+metadata names it. Reading markup and files takes time linear in their size.
+
 Defined cases: a null url has no target URI; null html is an empty page with an
 empty conversion; repeated pages give repeated records of one identifier; a null
 page_id is kept; an empty table gives no records; other columns are not read.
@@ -18,6 +22,7 @@ page_id is kept; an empty table gives no records; other columns are not read.
 from __future__ import annotations
 
 import base64
+import codecs
 import gzip
 import hashlib
 import html as entities
@@ -25,6 +30,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,22 +38,94 @@ from pyspark.sql import functions as F
 
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122, URLs
 DATE = "2024-01-01T00:00:00Z"
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!doctype[^>]*>", re.I | re.S)
-_BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|table|tr|h[1-6]|article|section|nav|header|footer|blockquote|pre|title|hr|dd|dt|dl|form|body|html|head)\b[^>]*>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z][^>]*>")
+#: Fixed sets of element names: not shown, and ending a line.
+HIDDEN = frozenset("script style noscript template".split())
+BREAKS = frozenset("p div br li ul ol table tr h1 h2 h3 h4 h5 h6 article section nav header footer blockquote pre title hr dd dt dl form body html head".split())
+_NAME, _CLOSE_TITLE = re.compile(r"/?([a-zA-Z][^\s/>]*)"), re.compile("</title", re.I)
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in HIDDEN}
 _SPACE, _LINES = re.compile(r"[^\S\n]+"), re.compile(r"\s*\n\s*")
-_TITLE, _LANG = re.compile(r"<title\b[^>]*>(.*?)</title", re.I | re.S), re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I)
-_HREF = re.compile(r"<a\b[^>]*\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([\w-]+)", re.I)
+_HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Character references of so many digits name no character, and int() refuses them.
+_LONG_REFERENCE = re.compile("&#[0-9]{200,};?")
+_META, _CHARSET = re.compile(rb"<meta\b[^>]{0,500}?charset\s*=\s*[\"']?\s*([\w:.-]+)", re.I), re.compile(r"charset\s*=\s*[\"']?\s*([\w:.-]+)", re.I)
+_BOMS = ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"))
+#: Codecs of Python that no page is written in.
+_NO_CHARSET = frozenset("idna punycode raw_unicode_escape unicode_escape undefined mbcs oem".split())
+INFLATE_AT_ONCE = 1 << 16
 
 
 def sha1_digest(block: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
 
 
+def unescape(text: str) -> str:
+    return entities.unescape(_LONG_REFERENCE.sub("\ufffd", text))
+
+
+@dataclass
+class Page:
+    """What one pass over a page's markup finds."""
+
+    text: str
+    title: str
+    lang: str
+    links: list[str]
+
+
+def read_page(html: str) -> Page:
+    """Visible text (hidden parts out, block tags as line ends, entities decoded), title, language and links.
+
+    One pass from tag to tag: a tag ends at its next ``>``, and once something
+    is never closed it isn't looked for again, so time is linear in any markup.
+    """
+    out, links, title, lang, at, titled, closed = [], [], "", None, 0, False, True
+    while True:
+        start = html.find("<", at)
+        if start < 0:
+            break
+        out.append(html[at:start])
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            out.append(" ")
+            at = len(html) if end < 0 else end + 3
+            continue
+        end = html.find(">", start) if closed else -1
+        closed = end >= 0
+        name = _NAME.match(html, start + 1)
+        if not closed or not (name or html[start + 1 : start + 9].lower() == "!doctype"):
+            out.append("<")
+            at = start + 1
+            continue
+        at = end + 1
+        if not name:
+            out.append(" ")
+            continue
+        tag, opening = name[1].lower(), html[start + 1] != "/"
+        if opening and tag in HIDDEN:
+            over = _CLOSE[tag].search(html, at)
+            at = over.end() if over else len(html)
+            out.append(" ")
+            continue
+        if opening and tag == "a":
+            href = _HREF.search(html, start, end)
+            links += [href[href.lastindex]] if href else []
+        elif opening and tag == "html" and lang is None:
+            found = _LANG.search(html, start, end)
+            lang = found[1] if found else None
+        elif opening and tag == "title" and not titled:
+            over, titled = _CLOSE_TITLE.search(html, at), True
+            title = html[at : over.start()] if over else ""
+        if tag in BREAKS:
+            out.append("\n")
+    out.append(html[at:])
+    text = _LINES.sub("\n", _SPACE.sub(" ", unescape("".join(out)))).strip()
+    one = lambda x: re.sub(r"\s+", " ", unescape(x)).strip()
+    return Page(text, one(re.sub("<[^<>]*>", "", title)), lang or "", [one(x) for x in links])
+
+
 def plain_text(html: str) -> str:
-    """Visible text: hidden parts out, block tags as line ends, entities decoded."""
-    text = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", html)))
-    return _LINES.sub("\n", _SPACE.sub(" ", entities.unescape(text))).strip()
+    return read_page(html).text
 
 
 def record_id(*parts: object) -> str:
@@ -76,6 +154,77 @@ def http_payload(block: bytes) -> tuple[list[str], bytes]:
     return head.decode("latin-1").split("\r\n"), body
 
 
+def _dechunked(body: bytes) -> bytes:
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        try:
+            n = int(body[at:end].split(b";")[0].strip() or b"0", 16)
+        except ValueError:
+            return body if not out else b"".join(out)
+        if not n:
+            break
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+    return b"".join(out) if out else body
+
+
+def _inflated(body: bytes, coding: str) -> bytes | None:
+    """The body without one content coding; what a broken stream still gives; None if the coding is unknown."""
+    if coding in ("", "identity"):
+        return body
+    if coding == "zstd":
+        import zstandard
+
+        try:
+            return zstandard.ZstdDecompressor().decompressobj().decompress(body)
+        except zstandard.ZstdError:
+            return b""
+    if coding not in ("gzip", "x-gzip", "deflate"):
+        return None
+    raw = coding == "deflate" and (len(body) < 2 or body[0] & 15 != 8 or (body[0] * 256 + body[1]) % 31)
+    stream, out = zlib.decompressobj(-15 if raw else 47), []
+    try:
+        for i in range(0, len(body), INFLATE_AT_ONCE):
+            out.append(stream.decompress(body[i : i + INFLATE_AT_ONCE]))
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
+def _charset(label: str | None) -> str | None:
+    try:
+        found = codecs.lookup((label or "").strip().lower())
+    except (LookupError, ValueError):
+        return None
+    name = found.name.replace("-", "_")
+    if name in _NO_CHARSET or not found._is_text_encoding:
+        return None
+    # As browsers do: these labels mean the Windows code page.
+    return "cp1252" if name in ("iso8859_1", "ascii") else found.name
+
+
+def decoded(head: list[str], body: bytes) -> tuple[str, str]:
+    """The body as text, and the content coding that could not be undone.
+
+    Transfer and content codings go first; the character set is that of a byte
+    order mark, the Content-Type, a ``<meta>`` in the first 4096 bytes, or UTF-8.
+    """
+    fields = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in head[1:] if ":" in x)}
+    if fields.get("transfer-encoding", "").lower() == "chunked":
+        body = _dechunked(body)
+    for coding in reversed([x.strip().lower() for x in fields.get("content-encoding", "").split(",")]):
+        made = _inflated(body, coding)
+        if made is None:
+            return "", coding
+        body = made
+    for mark, name in _BOMS:
+        if body.startswith(mark):
+            return body[len(mark) :].decode(name, "replace"), ""
+    told, meta = _CHARSET.search(fields.get("content-type", "")), _META.search(body, 0, 4096)
+    name = _charset(told[1] if told else None) or _charset(meta[1].decode("latin-1") if meta else None) or "utf-8"
+    return body.decode(name, "replace"), ""
+
+
 def _derived(kind: str, source: dict[str, str], content_type: str, block: bytes) -> Record:
     headers = {"WARC-Type": kind, "WARC-Record-ID": record_id(kind, source["WARC-Record-ID"]), "WARC-Date": source.get("WARC-Date", DATE), "WARC-Refers-To": source["WARC-Record-ID"]}
     if "WARC-Target-URI" in source:
@@ -90,15 +239,14 @@ def derive(source: Record) -> tuple[Record, Record]:
     """The metadata and conversion records of a response."""
     _, headers, block = source
     head, payload = http_payload(block)
-    html = payload.decode("utf-8", "replace")
-    text = plain_text(html)
-    title, lang = _TITLE.search(html), _LANG.search(html)
-    links = ["".join(m) for m in _HREF.findall(html)]
+    html, unread = decoded(head, payload)
+    page = read_page(html)
     one = lambda x: re.sub(r"\s+", " ", x).strip()
-    fields = [("title", one(entities.unescape(_TAG.sub("", title[1]))) if title else ""), ("lang", lang[1] if lang else ""), ("textLength", str(len(text)))]
-    fields += [("http", one(x)) for x in head] + [("outlink", one(entities.unescape(x))) for x in links]
+    fields = [("title", page.title), ("lang", page.lang), ("textLength", str(len(page.text)))]
+    fields += [("unreadContentEncoding", unread)] * bool(unread)
+    fields += [("http", one(x)) for x in head] + [("outlink", x) for x in page.links]
     meta = "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8", "replace")
-    return _derived("metadata", headers, "application/warc-fields", meta), _derived("conversion", headers, "text/plain; charset=utf-8", text.encode("utf-8", "replace"))
+    return _derived("metadata", headers, "application/warc-fields", meta), _derived("conversion", headers, "text/plain; charset=utf-8", page.text.encode("utf-8", "replace"))
 
 
 def serialize(records: list[Record]) -> bytes:
@@ -110,21 +258,37 @@ def serialize(records: list[Record]) -> bytes:
     return b"".join(out)
 
 
+def _members(data: bytes) -> Iterator[bytes]:
+    """The members of gzipped data, each inflated in steps."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        stream, out = zlib.decompressobj(31), []
+        while not stream.eof:
+            if at >= len(view):
+                raise ValueError("a gzip member is cut off")
+            piece = view[at : at + INFLATE_AT_ONCE]
+            out.append(stream.decompress(piece))
+            at += len(piece) - len(stream.unused_data)
+        yield b"".join(out)
+
+
 def parse(data: bytes) -> Iterator[Record]:
-    """Records of WARC bytes, gzipped by record or plain."""
-    while data:
-        if data[:2] == b"\x1f\x8b":
-            member = zlib.decompressobj(31)
-            raw, data = member.decompress(data) + member.flush(), member.unused_data
+    """Records of WARC bytes, gzipped by record or plain, in one pass."""
+    if data[:2] == b"\x1f\x8b":
+        for raw in _members(data):
             yield from parse(raw)
-            continue
-        head, sep, rest = data.partition(b"\r\n\r\n")
-        if not sep or not head.startswith(b"WARC/"):
+        return
+    at = 0
+    while at < len(data):
+        end = data.find(b"\r\n\r\n", at)
+        if end < 0 or not data.startswith(b"WARC/", at):
             raise ValueError("not a WARC record")
-        headers = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in head.decode("utf-8", "replace").split("\r\n")[1:])
+        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+        headers = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines)
         n = int(headers["Content-Length"])
-        yield headers.get("WARC-Type", ""), headers, rest[:n]
-        data = rest[n:].removeprefix(b"\r\n\r\n")
+        yield headers.get("WARC-Type", ""), headers, data[end + 4 : end + 4 + n]
+        at = end + 4 + n
+        at += 4 * data.startswith(b"\r\n\r\n", at)
 
 
 def build_derivatives(pages: DataFrame) -> DataFrame:
@@ -145,12 +309,20 @@ def build_derivatives(pages: DataFrame) -> DataFrame:
 
 
 def derive_files(files: DataFrame) -> DataFrame:
-    """(path, warc): for each WARC file of (path, content), its derivatives as WARC bytes."""
+    """(path, place, warc): the derivatives of each response in the WARC files of (path, content).
+
+    One row a derived record, in the order of the file; ``warc`` is its bytes, so
+    the rows of a path in order of place are a WARC file.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                made = [serialize(list(derive(r))) for r in parse(bytes(content or b"")) if r[0] == "response"]
-                yield pd.DataFrame({"path": [path], "warc": [b"".join(made)]})
-
-    return files.select("path", "content").mapInPandas(run, "path string, warc binary")
+                place = 0
+                for source in parse(bytes(content or b"")):
+                    made = derive(source) if source[0] == "response" else ()
+                    if made:
+                        yield pd.DataFrame({"path": path, "place": range(place, place + len(made)), "warc": [serialize([r]) for r in made]})
+                        place += len(made)
+
+    return files.select("path", "content").mapInPandas(run, "path string, place long, warc binary")

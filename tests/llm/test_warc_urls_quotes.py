@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import codecs
 import gzip
 import hashlib
 import random
 import re
+import time
+import zlib
+from html.parser import HTMLParser
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from marginalia.llm import quote_links, url_trust, warc
@@ -52,8 +57,85 @@ def test_pages_and_files(spark):
     assert len({r.record_id for r in out}) == 8  # repeated pages repeat their records
     assert warc.build_derivatives(pages.limit(0)).count() == 0
     files = spark.createDataFrame([("f", bytearray(warc.serialize([warc.response("u", PAGE), warc.derive(warc.response("u", PAGE))[0]])))], "path string, content binary")
-    made = list(warc.parse(bytes(warc.derive_files(files).first().warc)))
-    assert made == list(warc.derive(warc.response("u", PAGE)))
+    made = warc.derive_files(files).orderBy("place").collect()
+    assert [r.place for r in made] == [0, 1]
+    assert list(warc.parse(b"".join(bytes(r.warc) for r in made))) == list(warc.derive(warc.response("u", PAGE)))
+
+
+class Reader(HTMLParser):
+    """Plain text by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.out, self.hidden, self.links = [], 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in warc.HIDDEN
+        self.out.append("\n" if tag in warc.BREAKS else " " if tag in warc.HIDDEN else "")
+        self.links += [v for k, v in attrs if tag == "a" and k == "href"]
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in warc.HIDDEN
+        self.out.append("\n" if tag in warc.BREAKS else "")
+
+    def handle_data(self, data):
+        self.out.append("" if self.hidden else data)
+
+    def handle_comment(self, data):
+        self.out.append(" ")
+
+    handle_decl = handle_comment
+
+
+def test_pages_read_as_by_another_parser(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()
+    assert len(rows) >= 50
+    for html in [PAGE, *(r.html for r in rows)]:
+        plain = Reader()
+        plain.feed(html)
+        plain.close()
+        text = "\n".join(x for x in (" ".join(y.split()) for y in "".join(plain.out).split("\n")) if x)
+        page = warc.read_page(html)
+        assert page.text == text and page.links == [" ".join(x.split()) for x in plain.links]
+
+
+def test_charsets_and_codings():
+    def text(head, body):
+        block = ("HTTP/1.1 200 OK\r\n" + head + "\r\n").encode() + body
+        meta, made = warc.derive(("response", {"WARC-Record-ID": "<urn:x>"}, block))
+        return made[2].decode(), meta[2].decode()
+
+    kind = "Content-Type: text/html; charset="
+    page = "<p>café ßß</p>"
+    assert text(f"{kind}iso-8859-1\r\n", page.encode("latin-1"))[0] == "café ßß"
+    assert text(f"{kind}\"Shift_JIS\"\r\n", "<p>日本</p>".encode("shift_jis"))[0] == "日本"
+    assert text("", b"<meta http-equiv=x content='text/html; charset=windows-1251'>" + "да".encode("cp1251"))[0] == "да"
+    assert text(f"{kind}utf-8\r\n", codecs.BOM_UTF16_LE + page.encode("utf-16-le"))[0] == "café ßß"
+    for label in ("nonsense", "hex", "punycode", "\x00"):
+        assert text(f"{kind}{label}\r\n", page.encode())[0] == "café ßß"
+    raw, plain = zlib.compressobj(9, zlib.DEFLATED, -15), page.encode()
+    for coding, body in (("gzip", gzip.compress(plain)), ("x-gzip", gzip.compress(plain)), ("deflate", zlib.compress(plain)), ("deflate", raw.compress(plain) + raw.flush()), ("zstd", zstandard.compress(plain)), ("identity", plain)):
+        assert text(f"Content-Encoding: {coding}\r\n", body)[0] == "café ßß", coding
+    assert text("Transfer-Encoding: chunked\r\nContent-Encoding: gzip\r\n", b"".join(b"%x;e=1\r\n%s\r\n" % (len(x), x) for x in (gzip.compress(plain)[:10], gzip.compress(plain)[10:])) + b"0\r\n\r\n")[0] == "café ßß"
+    made, meta = text("Content-Encoding: br\r\n", b"\x0b\x02")
+    assert made == "" and "unreadContentEncoding: br" in meta
+    assert text("Content-Encoding: gzip\r\n", gzip.compress(plain * 1000)[:-30])[0].startswith("café")
+    assert warc.plain_text("a&#" + "9" * 5000 + ";b &#65;") == "a\ufffdb A"
+
+
+def test_hostile_markup_and_large_files_take_linear_time():
+    began = time.time()
+    for bad in ("<title>", "<a ", "<!--", "<script ", "<script>", "</script", "<a href=\"", "<html lang", "&#", " ", "\n ", "<", "</title", "<meta "):
+        page = bad * (5_000_000 // len(bad))
+        warc.derive(warc.response("u", page))
+    assert time.time() - began < 60
+    one = warc.response("u", "<p>" + "word " * 2000)
+    plain = gzip.decompress(warc.serialize([one])) * 10_000  # 100 MB
+    assert len(plain) > 100_000_000
+    began = time.time()
+    assert sum(1 for _ in warc.parse(plain)) == 10_000
+    assert sum(1 for _ in warc.parse(warc.serialize([one]) * 10_000)) == 10_000
+    assert time.time() - began < 20
 
 
 # -- urls ----------------------------------------------------------------------------
