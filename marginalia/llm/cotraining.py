@@ -5,19 +5,23 @@
 * page view: source, language and layout counts (lines, characters, shares of
   capitals, digits and symbols), none of which look at what the text says.
 
-Both views start from the same labelled rows. In each round each classifier
-labels the pool rows it is surest of for the other one. Scores are calibrated on
-held-out labelled rows, which also weigh the two views in the combined score.
-All documents are scored on executors.
+Both views start from the same labelled rows. In each round both score every
+unlabelled row on the executors, and each labels those it is surest of, in the
+proportions of the labels, for the other one. Scores are calibrated on held-out
+labelled rows, which also weigh the two views in the combined score; the weights
+are drawn towards equal ones and neither falls below ``LEAST_WEIGHT``, so both
+views count. All documents are scored on executors.
 
-Fitting reads bounded samples, chosen by a hash of doc_id: ``LABELLED`` labelled
-and ``POOL`` unlabelled rows; scoring covers every row and whole texts.
+The driver fits on bounded sets: ``LABELLED`` labelled rows, chosen by a hash of
+doc_id, and at most ``TAUGHT`` rows a view and round, the surest of all; everything
+else covers every row and whole texts.
 
 Defined cases: null text is empty; null source or language is its own value;
 labels outside 0 and 1 or of unknown documents are ignored, repeated labels of a
 document count by majority (a tie is 1); without both classes among the labels
-every document gets the prior (1.0 without labels) and is kept; repeated rows
-and null doc_ids are scored row by row; an empty table gives an empty table.
+every document gets the prior (1.0 without labels) and is kept; rows without
+doc_id teach nothing, and of rows that share one only that of the least text
+hash teaches; all are scored row by row; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,19 +31,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
 
-LABELLED, POOL, HELD_OUT = 5000, 4000, 0.25
-ROUNDS, SHARE = 4, 0.1
+LABELLED, HELD_OUT = 5000, 0.25
+#: Rounds of exchange, and the rows that each view labels for the other in one: a share of all, and at most so many.
+ROUNDS, SHARE, TAUGHT = 3, 0.025, 400
+#: How strongly the views' weights are drawn to equal ones, and the least weight.
+PULL, LEAST_WEIGHT = 0.02, 0.15
 #: Rows are rejected below this probability of being good.
 THRESHOLD = 0.5
 TRIGRAMS, SLOTS = 1 << 12, 64
 LAGS = (1, 2, 3, 4, 6, 8)
 DIMS = TRIGRAMS + len(LAGS)
 LAYOUT = 9
+L2 = 1e-5
 #: Characters and words of ordinary text that the shares of a short text are mixed with.
 SOFT_CHARS, SOFT_WORDS = 100, 20
 
@@ -86,15 +95,20 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 300) -> np.ndarray:
-    """Weights (bias last) of a class-balanced logistic regression, by Nesterov steps."""
+def logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 300, prior: np.ndarray | float = 0.0, least: np.ndarray | None = None) -> np.ndarray:
+    """Weights (bias last) of a class-balanced logistic regression, by Nesterov steps.
+
+    They are drawn to ``prior`` and kept at or above ``least``.
+    """
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())).astype(x.dtype)
     rate = 1 / (0.25 * float((weight * (np.einsum("ij,ij->i", x, x) + 1)).sum()) + l2)
     w = ahead = np.zeros(x.shape[1] + 1, x.dtype)
     for i in range(steps):
         off = weight * (sigmoid(_score(x, ahead)) - y).astype(x.dtype)
-        grad = np.append(x.T @ off, off.sum()) + l2 * ahead
+        grad = np.append(x.T @ off, off.sum()) + l2 * (ahead - prior)
         new = ahead - rate * grad
+        if least is not None:
+            new = np.maximum(new, least)
         ahead = new + (i / (i + 3)) * (new - w)
         w = new
     return w
@@ -142,96 +156,106 @@ def _platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 0.0) / size), float(b)
 
 
-def cotrain(views: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, held_y: np.ndarray, rounds: int = ROUNDS, share: float = SHARE) -> Model:
-    """Exchange confident pseudo-labels over rounds, then calibrate on held-out rows.
+def combination(odds: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Weights of the two views' log-odds, and the offset."""
+    made = logistic(odds, y.astype(float), PULL, 2000, np.array([0.5, 0.5, 0.0]), np.array([LEAST_WEIGHT, LEAST_WEIGHT, -np.inf]))
+    return tuple(float(x) for x in made)
 
-    ``views``: for each view its rows and its held-out rows. Rows hold the
-    labelled ones (``y``) first and then the pool; pool rows that a view is
-    taught move up to its labelled ones, in place.
-    """
-    n, size = len(y), len(views[0][0]) - len(y)
-    good, l2 = float((y == 1).mean()), 1e-5
-    labels = [y.astype(np.float32), y.astype(np.float32)]
-    at = [np.arange(size), np.arange(size)]  # the pool row behind each place
-    place = [np.arange(size), np.arange(size)]  # and the reverse
-    free = np.ones(size, bool)
-    fit_view = lambda k: logistic(views[k][0][: len(labels[k])], labels[k], l2)
-    weights = [fit_view(0), fit_view(1)]
-    for _ in range(rounds):
-        taught = []
-        for k in (0, 1):
-            score = _score(views[k][0][n:], weights[k])[place[k]]
-            order = np.argsort(np.where(free, score, np.inf), kind="stable")[: int(free.sum())]
-            m = int(size * share / rounds)
-            low, high = order[: round(m * (1 - good))], order[len(order) - round(m * good) :]
-            taught.append([(r, 0.0) for r in low[score[low] < 0]] + [(r, 1.0) for r in high[score[high] > 0]])
-        for k, own in enumerate(taught):  # what view k is sure of teaches the other
-            x, o = views[1 - k][0], 1 - k
-            for r, label in own:
-                to, now = len(labels[o]) - n, place[o][r]
-                if now < to:
-                    continue  # taught before
-                x[[n + to, n + now]] = x[[n + now, n + to]]
-                other = at[o][to]
-                at[o][to], at[o][now], place[o][r], place[o][other] = r, other, to, now
-                labels[o] = np.append(labels[o], np.float32(label))
-                free[r] = False
-        weights = [fit_view(0), fit_view(1)]
-    calibration = tuple(_platt(_score(v[1], w), held_y) for v, w in zip(views, weights, strict=True))
-    odds = np.stack([np.clip(_score(v[1], w) * c[0] + c[1], -6, 6) for v, w, c in zip(views, weights, calibration, strict=True)], 1)
-    mix = logistic(odds, held_y.astype(float), 1e-3)
-    if mix[:2].min() < 0:  # evidence of a view never counts against itself
-        only = int(mix[:2].argmax())
-        alone = logistic(odds[:, [only]], held_y.astype(float), 1e-3)
-        mix = np.array([alone[0] * (only == 0), alone[0] * (only == 1), alone[1]])
-    return Model(weights[0], weights[1], calibration, tuple(float(x) for x in mix))
+
+def calibrated(weights: list[np.ndarray], held: list[np.ndarray], held_y: np.ndarray) -> Model:
+    """The model of two views' weights, calibrated and combined on held-out rows."""
+    calibration = tuple(_platt(_score(x, w), held_y) for x, w in zip(held, weights, strict=True))
+    odds = np.stack([np.clip(_score(x, w) * c[0] + c[1], -6, 6) for x, w, c in zip(held, weights, calibration, strict=True)], 1)
+    return Model(weights[0], weights[1], calibration, combination(odds, held_y))
 
 
 def _column(docs: DataFrame, name: str):
     return F.col(name) if name in docs.columns else F.lit(None).cast("string")
 
 
-def _features(rows: DataFrame) -> DataFrame:
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null").select("doc_id", "text", _column(docs, "source").alias("source"), _column(docs, "lang").alias("lang"))
+
+
+def features(docs: DataFrame, chosen: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """{id: (text view, page view)} on the driver, one row an id; ``chosen``: some thousand ids."""
+    own = _rows(docs).join(F.broadcast(chosen.select("id")), F.col("doc_id") == F.col("id"))
+    own = own.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "source", "lang")).alias("r")).select("id", "r.*")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = list(zip(pdf["text"], pdf["source"], pdf["lang"], strict=True))
+            yield pd.DataFrame({"id": pdf["id"], "t": [text_view(t).astype(np.float16).tobytes() for t, _, _ in rows], "p": [page_view(*x).tobytes() for x in rows]})
+
+    made = settle(own.mapInPandas(run, "id long, t binary, p binary"), "features")
+    # As many rows as were chosen, of fixed size; they come one file at a time.
+    return {r["id"]: (np.frombuffer(r["t"], np.float16).astype(np.float32), np.frombuffer(r["p"], np.float32)) for r in made.toLocalIterator()}
+
+
+def view_scores(docs: DataFrame, weights: list[np.ndarray]) -> DataFrame:
+    """(id, text, page): both views' scores of every id, uncalibrated."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)  # two vectors of fixed size
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            own = list(zip(pdf["text"], pdf["source"], pdf["lang"], strict=True))
-            yield pd.DataFrame({"rank": pdf["rank"], "y": pdf["y"].astype("Int32"), "t": [text_view(t).astype(np.float16).tobytes() for t, _, _ in own], "p": [page_view(*x).tobytes() for x in own]})
+            text = [float(_score(text_view(t), shared.value[0])) for t in pdf["text"]]
+            page = [float(_score(page_view(*x), shared.value[1])) for x in zip(pdf["text"], pdf["source"], pdf["lang"], strict=True)]
+            yield pd.DataFrame({"id": pdf["doc_id"], "h": pdf["h"], "text": text, "page": page})
+
+    made = _rows(docs).withColumn("h", F.xxhash64("text")).mapInPandas(run, "id long, h long, text double, page double")
+    return made.groupBy("id").agg(F.min(F.struct("h", "text", "page")).alias("r")).select("id", "r.text", "r.page")
 
-    return rows.mapInPandas(run, "rank long, y int, t binary, p binary")
 
+def surest(free: DataFrame, view: str, good: float, taught: int) -> list[tuple[int, float]]:
+    """(id, label) of the rows that a view is surest of, in the proportions of the labels."""
+    order = [_rank(F.col("id")), "id"]
+    low = free.where(F.col(view) < 0).orderBy(F.col(view), *order).limit(round(taught * (1 - good)))
+    high = free.where(F.col(view) > 0).orderBy(F.col(view).desc(), *order).limit(round(taught * good))
+    return [(r["id"], 0.0) for r in low.collect()] + [(r["id"], 1.0) for r in high.collect()]
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | float:
+
+def _rank(col):
+    return F.xxhash64(F.lit(11), col)
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, share: float = SHARE, taught: int = TAUGHT) -> Model | float:
     """The model, or the prior where the labels hold fewer than two classes."""
-    votes = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").alias("label_id")).agg(F.avg("quality").alias("q"))
-    rank = F.xxhash64(F.lit(11), F.col("id"))
-    ids = docs.where("doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
-    known = ids.join(votes, F.col("id") == F.col("label_id"), "left")
-    chosen = known.select("id", rank.alias("rank"), F.when(F.col("q") >= 0.5, 1).when(F.col("q").isNotNull(), 0).cast("int").alias("y"))
-    # Samples of fixed size, whatever the table: the smallest hashes of each kind.
-    sample = chosen.where("y is not null").orderBy("rank", "id").limit(labelled).unionByName(chosen.where("y is null").orderBy("rank", "id").limit(pool))
-    texts = docs.select("doc_id", "text", _column(docs, "source").alias("source"), _column(docs, "lang").alias("lang"))
-    features = settle(_features(texts.join(F.broadcast(sample), texts["doc_id"] == sample["id"]).select("rank", "y", "text", "source", "lang")), "features")
-    # Fixed numbers of fixed-size rows; they come one file at a time.
-    rows = [(r["rank"], r["y"], bytes(r["t"]), bytes(r["p"])) for r in features.toLocalIterator()]
-    rows.sort(key=lambda r: (r[0], r[2]))
-    given = [r for r in rows if r[1] is not None]
-    held, seen = [r for i, r in enumerate(given) if i % round(1 / HELD_OUT) == 0], [r for i, r in enumerate(given) if i % round(1 / HELD_OUT)]
-    if any(len({r[1] for r in part}) < 2 for part in (held, seen)):
-        return float(np.mean([r[1] for r in given])) if given else 1.0
-    kept = seen + [r for r in rows if r[1] is None]
-    del rows, given
-    y, held_y = np.array([r[1] for r in seen]), np.array([r[1] for r in held])
-    del seen
-
-    def stacked(own: list, key: int, kind: type, width: int) -> np.ndarray:
-        out = np.empty((len(own), width), np.float32)
-        for i, r in enumerate(own):
-            out[i] = np.frombuffer(r[key], kind)
-        return out
-
-    views = [(stacked(kept, *v), stacked(held, *v)) for v in ((3, np.float32, SLOTS), (2, np.float16, DIMS))][::-1]
-    del kept, held
-    return cotrain(views, y, held_y)
+    spark = docs.sparkSession
+    votes = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.avg("quality").alias("q"))
+    known = _rows(docs).select(F.col("doc_id").alias("id")).distinct().join(votes, "id").select("id", (F.col("q") >= 0.5).cast("int").alias("y"))
+    # A sample of fixed size, whatever the table: the smallest hashes.
+    sample = [(r["id"], r["y"]) for r in known.orderBy(_rank(F.col("id")), "id").limit(labelled).collect()]
+    held = [x for i, x in enumerate(sample) if i % round(1 / HELD_OUT) == 0]
+    seen = [x for i, x in enumerate(sample) if i % round(1 / HELD_OUT)]
+    if any(len({y for _, y in part}) < 2 for part in (held, seen)):
+        return float(np.mean([y for _, y in sample])) if sample else 1.0
+
+    def gathered(ids: list[int]) -> dict:
+        return features(docs, spark.createDataFrame(pa.table({"id": pa.array(ids, pa.int64())})))
+
+    made = gathered([i for i, _ in sample])
+    views = [np.stack([made[i][k] for i, _ in seen]) for k in (0, 1)]
+    held_views, held_y = [np.stack([made[i][k] for i, _ in held]) for k in (0, 1)], np.array([y for _, y in held])
+    del made
+    ys = [np.array([y for _, y in seen], np.float32)] * 2
+    good, gone = float(ys[0].mean()), set()
+    weights = [logistic(x, y, L2) for x, y in zip(views, ys, strict=True)]
+    for _ in range(rounds):
+        scores = settle(view_scores(docs, weights).join(votes, "id", "left_anti"), "view-scores")
+        free = scores.where(~F.col("id").isin(sorted(gone))) if gone else scores  # at most 2 * TAUGHT a round
+        most = min(taught, int(np.ceil(free.count() * share)))
+        picked = [surest(free, view, good, most) for view in ("text", "page")]
+        if not any(picked):
+            break
+        gone |= {i for own in picked for i, _ in own}
+        made = gathered(sorted({i for own in picked for i, _ in own}))
+        for k, own in enumerate(picked):  # what one view is sure of teaches the other
+            if own:
+                views[1 - k] = np.concatenate([views[1 - k], np.stack([made[i][1 - k] for i, _ in own])])
+                ys[1 - k] = np.append(ys[1 - k], np.array([y for _, y in own], np.float32))
+        del made
+        weights = [logistic(x, y, L2) for x, y in zip(views, ys, strict=True)]
+    return calibrated(weights, held_views, held_y)
 
 
 def score(docs: DataFrame, model: Model | float, threshold: float = THRESHOLD) -> DataFrame:

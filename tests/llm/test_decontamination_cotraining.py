@@ -6,6 +6,8 @@ import random
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from marginalia.llm import cotraining, decontamination
 from marginalia.llm.decontamination import PassageIndex, banded, codes, normal
 
@@ -147,6 +149,48 @@ def test_held_out_accuracy(spark):
     assert again == scored
 
 
+def test_exchange_equals_plain_python(spark):
+    docs, labels, rows = table(spark, 500, 3)
+    rank = {r.i: r.h for r in spark.range(500).select(F.col("id").alias("i"), F.xxhash64(F.lit(11), "id").alias("h")).collect()}
+    known = sorted(((rank[r.doc_id], r.doc_id, r.quality) for r in labels.collect()))[:100]
+    held, seen = known[::4], [x for i, x in enumerate(known) if i % 4]
+    named = {r.doc_id for r in labels.collect()}
+    made = {r[0]: (cotraining.text_view(r[1]).astype(np.float16).astype(np.float32), cotraining.page_view(r[1], r[3], r[2])) for r in rows}
+    full = {r[0]: (cotraining.text_view(r[1]), made[r[0]][1]) for r in rows}
+    sets = [[(made[i][k], y) for _, i, y in seen] for k in (0, 1)]
+    fitted = lambda: [cotraining.logistic(np.stack([x for x, _ in s]), np.array([y for _, y in s], np.float32), cotraining.L2) for s in sets]
+    weights, gone, good = fitted(), set(), np.mean([y for _, _, y in seen])
+    for _ in range(2):
+        free = [i for i in full if i not in named and i not in gone]
+        picked = []
+        for k in (0, 1):
+            score = {i: float(full[i][k] @ weights[k][:-1] + weights[k][-1]) for i in free}
+            order = lambda i: (rank[i], i)
+            low = sorted((i for i in free if score[i] < 0), key=lambda i: (score[i], order(i)))[: round(20 * (1 - good))]
+            high = sorted((i for i in free if score[i] > 0), key=lambda i: (-score[i], order(i)))[: round(20 * good)]
+            picked.append([(i, 0.0) for i in low] + [(i, 1.0) for i in high])
+        for k in (0, 1):
+            sets[1 - k] += [(made[i][1 - k], y) for i, y in picked[k]]
+            gone |= {i for i, _ in picked[k]}
+        weights = fitted()
+    assert len(sets[0]) > len(seen) + 20 and len(sets[1]) > len(seen) + 20
+    want = cotraining.calibrated(weights, [np.stack([made[i][k] for _, i, _ in held]) for k in (0, 1)], np.array([y for _, _, y in held]))
+    got = cotraining.fit(docs, labels, labelled=100, rounds=2, share=1.0, taught=20)
+    assert np.allclose(got.text, want.text, atol=1e-4) and np.allclose(got.page, want.page, atol=1e-4)
+    assert np.allclose(got.mix, want.mix, atol=1e-3) and min(got.mix[:2]) >= cotraining.LEAST_WEIGHT - 1e-9
+    scored = {r.doc_id: r.p_good for r in cotraining.score(docs, got).collect()}
+    for i, _, text, source, lang in [(r[0], 0, r[1], r[3], r[2]) for r in rows[:50]]:
+        assert abs(scored[i] - want.score(text, source, lang)[2]) < 1e-3
+
+
+def test_one_row_an_id_teaches(spark):
+    docs, labels, _ = table(spark, 200, 4)
+    again = docs.unionByName(docs.where("doc_id < 20").crossJoin(spark.range(30)).drop("id"))
+    got = cotraining.features(again, spark.createDataFrame([(i,) for i in range(20)], "id long"))
+    assert sorted(got) == list(range(20))
+    assert isinstance(cotraining.fit(again, labels), cotraining.Model)
+
+
 def test_odd_rows_and_labels(spark):
     docs, labels, _ = table(spark, 300, 2)
     odd = spark.createDataFrame([(9001, None, None, None, None, 1), (None, "x", None, "s", 1, 1), (9003, "", "en", None, 0, 1), (9003, "", "en", None, 0, 1), (9004, "word " * 50_000, "en", "s", 1, 1)], docs.schema)
