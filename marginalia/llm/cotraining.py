@@ -2,8 +2,9 @@
 
 * text view: hashed byte trigrams of the whole text, and how often words recur
   a few words later;
-* page view: source, language and layout counts (lines, characters, shares of
-  capitals, digits and symbols), none of which look at what the text says.
+* page view: source, language, stored size (how far the text compresses) and
+  layout counts (lines, characters, shares of capitals, digits and symbols), none
+  of which look at what the text says.
 
 Both views start from the same labelled rows. In each round both score every
 unlabelled row on the executors, and each labels those it is surest of, in the
@@ -26,6 +27,7 @@ hash teaches; all are scored row by row; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,7 +49,7 @@ THRESHOLD = 0.5
 TRIGRAMS, SLOTS = 1 << 12, 64
 LAGS = (1, 2, 3, 4, 6, 8)
 DIMS = TRIGRAMS + len(LAGS)
-LAYOUT = 9
+LAYOUT = 11
 L2 = 1e-5
 #: Characters and words of ordinary text that the shares of a short text are mixed with.
 SOFT_CHARS, SOFT_WORDS = 100, 20
@@ -68,8 +70,6 @@ def text_view(text: str | None) -> np.ndarray:
 
 
 def _slot(value, salt: int) -> int:
-    import zlib
-
     return LAYOUT + zlib.crc32(f"{salt}:{value}".encode()) % (SLOTS - LAYOUT)
 
 
@@ -81,10 +81,13 @@ def page_view(text: str | None, source, lang) -> np.ndarray:
     c = np.bincount(a, minlength=256)
     letters, capitals = c[97:123].sum() + c[65:91].sum() + c[128:].sum(), c[65:91].sum()
     lines = c[10] + 1
+    raw = a.tobytes()
+    stored = (len(zlib.compress(raw, 1)) + SOFT_CHARS / 2) / n
     plain = letters + c[48:58].sum() + c[9:14].sum() + c[32] + c[44] + c[46]
     out[:LAYOUT] = (
         1.0, np.log1p(n) / 10, np.log1p(lines) / 5, np.log1p(n / lines) / 5, capitals / (letters + SOFT_CHARS), c[48:58].sum() / n,
         (len(a) - plain) / n, c[32] / n, (c[33] + c[63]) / n,
+        2 * stored, np.log(stored),
     )
     out[_slot(source, 1)] += 0.3
     out[_slot(lang, 2)] += 0.3
@@ -95,13 +98,13 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 300, prior: np.ndarray | float = 0.0, least: np.ndarray | None = None) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, l2: float | np.ndarray, steps: int = 300, prior: np.ndarray | float = 0.0, least: np.ndarray | None = None) -> np.ndarray:
     """Weights (bias last) of a class-balanced logistic regression, by Nesterov steps.
 
     They are drawn to ``prior`` and kept at or above ``least``.
     """
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())).astype(x.dtype)
-    rate = 1 / (0.25 * float((weight * (np.einsum("ij,ij->i", x, x) + 1)).sum()) + l2)
+    rate = 1 / (0.25 * float((weight * (np.einsum("ij,ij->i", x, x) + 1)).sum()) + np.max(l2))
     w = ahead = np.zeros(x.shape[1] + 1, x.dtype)
     for i in range(steps):
         off = weight * (sigmoid(_score(x, ahead)) - y).astype(x.dtype)
@@ -158,7 +161,7 @@ def _platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def combination(odds: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     """Weights of the two views' log-odds, and the offset."""
-    made = logistic(odds, y.astype(float), PULL, 2000, np.array([0.5, 0.5, 0.0]), np.array([LEAST_WEIGHT, LEAST_WEIGHT, -np.inf]))
+    made = logistic(odds, y.astype(float), np.array([PULL, PULL, 1e-3]), 2000, np.array([0.5, 0.5, 0.0]), np.array([LEAST_WEIGHT, LEAST_WEIGHT, -np.inf]))
     return tuple(float(x) for x in made)
 
 
