@@ -60,7 +60,8 @@ def op7_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate with its score; the candidate itself only as a digest."""
-    out = secret_scan.scan(table(spark, sf_dir, "documents"))
+    words = secret_scan.dictionary(public_tokenizers.path(TOKENIZER))
+    out = secret_scan.scan(table(spark, sf_dir, "documents"), words=words)
     shown = F.sha2("candidate", 256).alias("candidate_sha256")
     return out.select("doc_id", "finding", F.char_length("candidate").alias("length"), shown, "score", "secret")
 
