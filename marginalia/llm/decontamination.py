@@ -12,8 +12,10 @@ at least ``m - q + 1 - k*q`` of its q-grams with the text, all on diagonals
 Texts are compared lower-cased with white space collapsed; reported positions
 are in that normalised text. The whole text is searched, in overlapping chunks.
 
-Defined cases: null or empty texts and items match nothing; items of fewer than
-``q`` characters match only a whole equal text; repeated rows are reported each;
+Items of fewer than ``q`` characters have no q-gram, and no edit is within their
+budget: they are looked up directly, wherever they stand as whole words.
+
+Defined cases: null or empty texts and items match nothing; repeated rows are reported each;
 a null doc_id or item_id is reported as null; empty tables give no rows.
 """
 
@@ -80,6 +82,7 @@ class PassageIndex:
         for i, t in texts:
             if 0 < len(t) < q:
                 self.short.setdefault(t, []).append(i)
+        self.short_words = sorted({t.count(" ") + 1 for t in self.short})
         texts = [(i, t) for i, t in texts if len(t) >= q]
         self.ids, self.texts = [i for i, _ in texts], [t for _, t in texts]
         self.length = np.array([len(t) for t in self.texts], np.int64)
@@ -109,7 +112,7 @@ class PassageIndex:
     def found(self, text: str | None) -> list[Hit]:
         """Passages of the index in ``text``."""
         t = normal(text)
-        hits = [Hit(i, 0, len(t), 0) for i in self.short.get(t, ())]
+        hits = self._short(t) if self.short else []
         if not len(self.gram) or len(t) < self.q:
             return hits
         best: dict[int, list[Hit]] = {}
@@ -124,6 +127,18 @@ class PassageIndex:
                     known[known.index(near)] = h
         return hits + [Hit(self.ids[h.item], h.start, h.length, h.edits) for own in best.values() for h in own]
 
+    def _short(self, t: str) -> list[Hit]:
+        """Items without a q-gram, as whole words; each once, where it first stands."""
+        words, out, seen = t.split(" "), [], set()
+        starts = np.cumsum([0, *(len(w) + 1 for w in words)]).tolist()
+        for n in self.short_words:
+            for k in range(len(words) - n + 1):
+                own = words[k] if n == 1 else " ".join(words[k : k + n])
+                if own in self.short and own not in seen:
+                    seen.add(own)
+                    out += [Hit(i, starts[k], len(own), 0) for i in self.short[own]]
+        return out
+
     def _chunk(self, t: str) -> list[Hit]:
         a = codes(t)
         h = gram_hashes(a, self.q)

@@ -109,6 +109,15 @@ def test_odd_texts_and_items(spark):
     assert decontamination.drop_contaminated(docs, bench.limit(0)).count() == 8
 
 
+def test_short_items_match_as_whole_words():
+    index = PassageIndex([(1, "Ab"), (2, "to be"), (3, "ab"), (4, "xyz"), (5, "a longer passage of words")])
+    found = lambda t: sorted((h.item, h.start, h.length) for h in index.found(t))
+    assert found("cab abc to bee") == []
+    assert found("the AB and\nto  be ab") == [(1, 4, 2), (2, 11, 5), (3, 4, 2)]
+    assert found("xyz") == [(4, 0, 3)] and found("") == [] and found(None) == []
+    assert found("it has a longer passage of words xyz") == [(4, 33, 3), (5, 7, 25)]
+
+
 def test_chunks_of_a_long_text(monkeypatch):
     rng = random.Random(5)
     passage = normal(words(rng, 25))
