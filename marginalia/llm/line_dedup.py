@@ -67,7 +67,7 @@ def without_positions(lines, gone):
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_lines, n_dropped, kept): each document with its kept text."""
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    drops = dropped_positions(texts, min_chars, min_docs).hint("shuffle_hash")
+    drops = dropped_positions(texts, min_chars, min_docs)
     joined = texts.withColumn("text_hash", F.xxhash64("text")).join(drops, ["id", "text_hash"], "left")
     lines = F.split("text", "\n", -1)
     return joined.select(
@@ -84,7 +84,7 @@ def dedup_documents(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     Only texts that lose a line change; ``n_chars``, where present, follows.
     """
     row = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    drops = dropped_positions(row.select("id", "text"), min_chars, min_docs).hint("shuffle_hash")
+    drops = dropped_positions(row.select("id", "text"), min_chars, min_docs)
     joined = row.withColumn("text_hash", F.xxhash64("text")).join(drops, ["id", "text_hash"], "left")
     lines = F.split("text", "\n", -1)
     kept = joined.select("row", F.when(F.col("gone").isNotNull(), F.array_join(without_positions(lines, F.col("gone")), "\n")).alias("kept"))

@@ -2,17 +2,18 @@
 
 Each document gets a fingerprint of ``64 * words`` bits. Equal fingerprints are
 grouped first, so a group of copies is one row from then on. Distinct
-fingerprints are cut into tiles; tile pairs that can't hold a link are skipped
-(population counts of the halves beyond the radius, or shingle counts whose
-ratio is below the wanted similarity); every other pair of tiles is compared
-exactly with numpy exclusive-or and bit counts. A task reports a spanning
+fingerprints are cut into tiles by population counts, or by shingle counts where
+a similarity is wanted; pairs of tiles that can't hold a link are skipped, every
+other pair is compared exactly with numpy exclusive-or and bit counts, 256 by
+256 rows at a time and with the same skips. A pair of tiles reports a spanning
 forest of what it links, never all pairs; :func:`common.components` joins the
-forests.
+forests. A task holds one pair of tiles at a time, whatever the table.
 
 The comparison is exact and so grows with the square of the distinct
 fingerprints, less what the skips save.
 
-With a wanted similarity, links within the radius are candidates only. Groups of
+With a wanted similarity, links within the radius are candidates only, and rows
+are grouped by their shingle sets (count and sum of hashes) besides. Groups of
 candidates are cut into blocks, and pairs of blocks compared by the exact
 Jaccard index of the shingle sets; only what that confirms is joined. A group's
 rows are read once a block of it.
@@ -25,11 +26,12 @@ columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,10 +40,14 @@ from .common import batches_of, components, settle
 SEED = 42
 #: Fixed odd multipliers that spread one 64-bit hash over further words.
 SPREAD = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-#: Fingerprints a tile holds at most, while there are fewer than 2000 tiles' worth of them.
-TILE = 16_384
+#: Fingerprints in a tile: at most, and at least while there are fewer.
+TILE, LEAST_TILE = 131_072, 4096
+#: Pairs of tiles that a partition gets, about, and partitions at most.
+PAIRS_A_PART, MOST_PARTS = 4, 100_000
 #: Rows and shingles of a block of a candidate group, until it has MOST_BLOCKS of them.
 BLOCK_ROWS, BLOCK_SHINGLES, MOST_BLOCKS = 4096, 1_000_000, 64
+#: MB of kept ids that a partition hashes at most.
+KEPT_MB = 64
 #: Sets of fewer shingles than this need the radius ``short``.
 SHORT = 5
 SUB = 256
@@ -103,23 +109,36 @@ def fingerprint(text: str | None, method: Method) -> tuple[np.ndarray, int]:
     h = shingle_hashes(text or "", method.shingle)
     if method.distinct:
         h = np.unique(h)
+    return majority(h, method), len(h)
+
+
+def majority(h: np.ndarray, method: Method) -> np.ndarray:
+    """The words whose bits are set in over half the hashes."""
     on = np.zeros(64 * method.words, np.int64)
     for i in range(0, len(h), 65_536):  # bounded memory for very long texts
         on += np.unpackbits(_mixed(h[i : i + 65_536], method.words).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits((on * 2 > len(h)), bitorder="little").view(np.uint64), len(h)
+    return np.packbits((on * 2 > len(h)), bitorder="little").view(np.uint64)
+
+
+def _sum(h: np.ndarray) -> int:
+    return int(h.sum(dtype=np.uint64).view(np.int64)) if len(h) else 0
 
 
 def fingerprints(docs: DataFrame, method: Method = CONTRACT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, w0 .. w{words-1}: the fingerprint's words as bigint, n: shingles)."""
+    """(doc_id, w0 .. w{words-1}: the fingerprint's words as bigint, n: shingles, s: sum of their hashes)."""
     names = [f"w{i}" for i in range(method.words)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            made = [fingerprint(t, method) for t in pdf["text"]]
-            words = np.array([m[0] for m in made], np.uint64).reshape(-1, method.words).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), **{n: words[:, i] for i, n in enumerate(names)}, "n": [m[1] for m in made]})
-
-    schema = "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", n long"
+            rows = []
+            for t in pdf["text"]:
+                h = shingle_hashes(t or "", method.shingle)
+                h = np.unique(h) if method.distinct else h
+                rows.append((majority(h, method), len(h), _sum(h)))
+            words = np.array([r[0] for r in rows], np.uint64).reshape(-1, method.words).view(np.int64)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), **{n: words[:, i] for i, n in enumerate(names)}, "n": [r[1] for r in rows], "s": [r[2] for r in rows]})
+
+    schema = "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", n long, s long"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
 
 
@@ -134,37 +153,35 @@ def _class_column(method: Method):
     return (F.bit_count(F.shiftrightunsigned("w0", 32)) * 33 + F.bit_count(F.col("w0").bitwiseAND(half))).cast("int")
 
 
-def _compatible(method: Method) -> Callable[[int, int], bool]:
-    """Whether rows of two classes can link."""
+def _reach(method: Method, c: int) -> int:
+    """The greatest class whose rows can link to rows of class ``c``."""
     if method.ratio:
-        # The larger class starts at GROWTH**hi, the smaller ends below GROWTH**(lo + 1).
-        return lambda a, b: GROWTH ** max(a, b) * method.ratio <= GROWTH ** (min(a, b) + 1) * (1 + 1e-9)
-    return lambda a, b: abs(a // 33 - b // 33) + abs(a % 33 - b % 33) <= method.radius
+        return c + 2 + int(np.log(1 / method.ratio) / np.log(GROWTH))
+    return (c // 33 + method.radius) * 33 + 32
 
 
-def plan_tiles(sizes: dict[int, int], method: Method, parts: int, tile: int = TILE):
-    """Tiles of each class, and for each of ``parts`` partitions its tile pairs.
+def plan_tiles(sizes: dict[int, int], method: Method, tile: int) -> list[tuple[int, int, int, int, int]]:
+    """(class, first tile, tiles, lowest and highest tile to compare with) of each class.
 
-    The driver holds classes (1,089, or a few hundred) and tiles (about 3,000
-    at most, as tiles grow with the table), never fingerprints.
+    Classes of at most ``tile`` rows share tiles, larger ones are cut. Tiles
+    follow the classes, so what one compares with is a range. The driver holds
+    a row a class: 1,089, or a few hundred.
     """
-    total = sum(sizes.values())
-    tile = max(tile, total // 2000)
-    classes, tiles = {}, []
+    spans, first, rows = [], {}, 0  # of each tile: least and greatest class
     for c in sorted(sizes):
         n = -(-sizes[c] // tile)
-        classes[c] = (len(tiles), n)
-        tiles += [(c, sizes[c] / n)] * n
-    fits = _compatible(method)
-    near = {c: [d for d in classes if d >= c and fits(c, d)] for c in classes}
-    pairs = [(i, j) for i, (c, _) in enumerate(tiles) for d in near[c] for j in range(classes[d][0], sum(classes[d])) if j >= i]
-    cost = np.array([tiles[i][1] * tiles[j][1] / (1 + (i == j)) + 50 * (tiles[i][1] + tiles[j][1]) for i, j in pairs])
-    ends = np.cumsum(cost)
-    owner = np.minimum((ends - cost / 2) * parts // max(ends[-1] if len(ends) else 1, 1), parts - 1).astype(int)
-    dealt: dict[int, list[tuple[int, int]]] = {}
-    for p, ij in zip(owner.tolist(), pairs, strict=True):
-        dealt.setdefault(p, []).append(ij)
-    return classes, dealt
+        if n > 1 or not spans or rows + sizes[c] > tile:
+            first[c] = (len(spans), n)
+            spans += [(c, c)] * n
+            rows = sizes[c] if n == 1 else tile
+        else:
+            first[c] = (len(spans) - 1, 1)
+            spans[-1] = (spans[-1][0], c)
+            rows += sizes[c]
+    least, most = np.array([x[0] for x in spans]), np.array([_reach(method, x[1]) for x in spans])
+    highest = np.searchsorted(least, most, "right") - 1
+    lowest = np.searchsorted(highest, np.arange(len(spans)))
+    return [(c, t, n, int(lowest[t]), int(highest[t])) for c, (t, n) in first.items()]
 
 
 class Forest:
@@ -188,96 +205,86 @@ class Forest:
                 self.root = flat
 
 
-def _subtiles(fps: np.ndarray, skip: bool) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(start, end, least, most) byte population counts of runs of SUB rows."""
-    out = []
-    for s in range(0, len(fps), SUB):
-        own = np.bitwise_count(fps[s : s + SUB, 0].copy().view(np.uint8).reshape(-1, 8)) if skip else np.zeros((1, 8), np.uint8)
-        out.append((s, min(s + SUB, len(fps)), own.min(0).astype(int), own.max(0).astype(int)))
-    return out
-
-
-def link_tiles(fps: np.ndarray, tile_of: np.ndarray, pairs: list[tuple[int, int]], method: Method, short: int = 0) -> Forest:
-    """Compare the tile pairs; rows are sorted by tile. Tiles below ``short`` have the wider radius."""
-    forest = Forest(len(fps))
-    ids, first = np.unique(tile_of, return_index=True)
-    bounds = dict(zip(ids.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(fps)], strict=True), strict=True))
-    skip = method.words == 1
-    subs: dict[int, tuple] = {}
-
-    def cut(t: int):
-        if t not in subs:
-            s, e = bounds[t]
-            got = _subtiles(fps[s:e], skip)
-            subs[t] = ([(s + a, s + b) for a, b, _, _ in got], np.array([x[2] for x in got]), np.array([x[3] for x in got]))
-        return subs[t]
-
-    for i, j in pairs:
-        if i not in bounds or j not in bounds:
-            continue
-        (at_i, lo_i, hi_i), (at_j, lo_j, hi_j) = cut(i), cut(j)
-        radius = method.short if min(i, j) < short else method.radius
-        for k, (s, e) in enumerate(at_i):
-            gap = np.maximum(0, np.maximum(lo_j - hi_i[k], lo_i[k] - hi_j)).sum(1)
-            own = fps[s:e]
-            for m in np.flatnonzero(gap <= radius).tolist():
-                s2, e2 = at_j[m]
-                if i == j and s2 < s:
+def _order(fps: np.ndarray, n: np.ndarray, node: np.ndarray, method: Method) -> np.ndarray:
+    """Rows that skip alike next to each other."""
+    halves = np.bitwise_count(fps[:, 0].copy().view(np.uint16).reshape(-1, 4))
+    return np.lexsort((node, *halves.T, n) if method.ratio else (node, *halves.T))
+
+
+def _runs(at: np.ndarray, fps: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Starts and ends in ``at`` of runs of SUB rows, with the ranges of their byte population counts and shingle counts."""
+    starts = np.arange(0, len(at), SUB)
+    counts = np.bitwise_count(fps[at, 0].copy().view(np.uint8).reshape(-1, 8)).astype(np.int64)
+    least, most = (np.array([f(counts[s : s + SUB], 0) for s in starts]) for f in (np.min, np.max))
+    low, high = (np.array([f(n[at[s : s + SUB]]) for s in starts]) for f in (np.min, np.max))
+    return starts, np.minimum(starts + SUB, len(at)), least, most, low, high
+
+
+def link_tiles(fps: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, method: Method) -> Forest:
+    """Compare rows ``left`` with rows ``right``, the same or others, each in :func:`_order`."""
+    forest, same = Forest(len(fps)), left is right
+    if not len(left) or not len(right):
+        return forest
+    starts, ends, least, most, low, high = _runs(left, fps, n)
+    starts2, ends2, least2, most2, low2, high2 = (starts, ends, least, most, low, high) if same else _runs(right, fps, n)
+    for k in range(len(starts)):
+        radius = np.where(np.minimum(low[k], low2) < SHORT, method.short, method.radius)
+        if method.words == 1:
+            on = np.maximum(0, np.maximum(least2 - most[k], least[k] - most2)).sum(1) <= radius
+        else:
+            on = np.ones(len(starts2), bool)
+        if method.ratio:
+            on &= (low[k] * method.ratio <= high2 + 1e-9) & (low2 * method.ratio <= high[k] + 1e-9)
+        if same:
+            on[:k] = False
+        rows = left[starts[k] : ends[k]]
+        own = fps[rows]
+        for m in np.flatnonzero(on).tolist():
+            others = right[starts2[m] : ends2[m]]
+            other = fps[others]
+            bits = np.bitwise_count(own[:, None, 0] ^ other[None, :, 0])
+            for w in range(1, method.words):
+                bits = bits + np.bitwise_count(own[:, None, w] ^ other[None, :, w]).astype(np.uint16)
+            hit = bits <= radius[m]
+            if same and m == k:
+                if hit.sum() == len(own):  # each row meets itself only
                     continue
-                other = fps[s2:e2]
-                bits = np.bitwise_count(own[:, None, 0] ^ other[None, :, 0])
-                for w in range(1, method.words):
-                    bits = bits + np.bitwise_count(own[:, None, w] ^ other[None, :, w]).astype(np.uint16)
-                hit = bits <= radius
-                if i == j and s2 == s:
-                    if hit.sum() == len(own):  # each row meets itself only
-                        continue
-                elif not hit.any():
-                    continue
-                a, b = np.nonzero(hit)
-                forest.link(a + s, b + s2)
+            elif not hit.any():
+                continue
+            a, b = np.nonzero(hit)
+            forest.link(rows[a], others[b])
     return forest
 
 
-def links(distinct: DataFrame, method: Method, parts: int | None = None, tile: int = TILE) -> DataFrame:
+def links(distinct: DataFrame, method: Method, parts: int | None = None, tile: int | None = None) -> DataFrame:
     """Spanning forests (a, b) over ``distinct`` (node, n, w0 ..), one row a fingerprint."""
     spark, names = distinct.sparkSession, [f"w{i}" for i in range(method.words)]
     classed = distinct.withColumn("class", _class_column(method))
     sizes = {r[0]: r[1] for r in classed.groupBy("class").count().collect()}  # some hundred classes
-    total = sum(sizes.values())
-    parts = parts or int(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), total // 200_000))
-    classes, dealt = plan_tiles(sizes, method, parts, tile)
-    short = sum(n for c, (_, n) in classes.items() if method.ratio and GROWTH**c < SHORT)  # the first tiles
-    wanted: dict[int, set[int]] = {}
-    for p, pairs in dealt.items():
-        for ij in pairs:
-            for t in ij:
-                wanted.setdefault(t, set()).add(p)
-    first = spark.createDataFrame([(c, s, n) for c, (s, n) in classes.items()] or [(-1, 0, 1)], "class int, first int, tiles int")
-    owners = spark.createDataFrame([(t, sorted(ps)) for t, ps in sorted(wanted.items())] or [(-1, [0])], "tile int, parts array<int>")
+    parts = parts or int(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # Tiles small enough that each partition has pairs of them to do, while there are few rows.
+    tile = tile or int(min(TILE, max(LEAST_TILE, sum(sizes.values()) / np.sqrt(2 * PAIRS_A_PART * parts))))
+    plan = plan_tiles(sizes, method, tile)
+    pairs = sum(n * (high - low + 1) for _, _, n, low, high in plan) // 2
+    parts = min(MOST_PARTS, max(parts, pairs // PAIRS_A_PART))
+    rows = pa.table([pa.array([r[i] for r in plan], pa.int32()) for i in range(5)], ["class", "first", "tiles", "lowest", "highest"])
+    own = F.col("first") + F.pmod(F.xxhash64(*names), F.col("tiles").cast("long")).cast("int")
     placed = (
-        classed.join(F.broadcast(first), "class")  # at most 1,089 rows
-        .withColumn("tile", (F.col("first") + F.pmod(F.xxhash64(*names), F.col("tiles").cast("long"))).cast("int"))
-        .join(F.broadcast(owners), "tile")  # at most some 3,000 rows
-        .select(F.explode("parts").alias("part"), "tile", "node", *names)
+        classed.join(F.broadcast(spark.createDataFrame(rows)), "class")  # at most 1,089 rows
+        .select(own.alias("tile"), F.explode(F.sequence("lowest", "highest")).alias("other"), "node", "n", *names)
+        .select(F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "n", *names)
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = [b for b in batches if len(b)]
-        if not got:
-            return
-        own = pd.concat(got, ignore_index=True)
-        for part, rows in own.groupby("part"):
-            keys = rows[names].to_numpy(np.int64).view(np.uint64)
-            tile_of, node = rows["tile"].to_numpy(), rows["node"].to_numpy()
-            halves = np.bitwise_count(keys[:, 0].copy().view(np.uint16).reshape(-1, 4))
-            order = np.lexsort((node, *halves.T, tile_of))
-            keys, tile_of, node = np.ascontiguousarray(keys[order]), tile_of[order], node[order]
-            root = link_tiles(keys, tile_of, dealt.get(int(part), []), method, short).root
-            on = np.flatnonzero(root != np.arange(len(root)))
-            yield pd.DataFrame({"a": node[on], "b": node[root[on]]})
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        fps = np.ascontiguousarray(pdf[names].to_numpy(np.int64).view(np.uint64).reshape(-1, method.words))
+        n, node, tile_of = (pdf[c].to_numpy() for c in ("n", "node", "tile"))
+        order = _order(fps, n, node, method)
+        left, right = (order[tile_of[order] == t] for t in key)
+        root = link_tiles(fps, n, left, left if key[0] == key[1] else right, method).root
+        on = np.flatnonzero(root != np.arange(len(root)))
+        return pd.DataFrame({"a": node[on], "b": node[root[on]]})
 
-    return placed.repartitionById(parts, F.col("part")).mapInPandas(run, "a long, b long")
+    return placed.repartition(parts, "i", "j").groupBy("i", "j").applyInPandas(run, "a long, b long")
 
 
 # -- exact similarity ----------------------------------------------------------
@@ -316,16 +323,15 @@ def verified(docs: DataFrame, distinct: DataFrame, groups: DataFrame, method: Me
     cut = settle(cut, "simhash-groups")
     total = cut.agg(F.sum(F.col("shingles") * F.col("blocks"))).first()[0] or 0
     parts = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 2_000_000))
-    rows = members.join(cut.drop("shingles"), "component").select("node", "component", "blocks", *names)
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(rows.hint("shuffle_hash"), "node")
+    rows = members.join(cut.drop("shingles"), "component").select("node", "component", "blocks", "n", "s", *names)
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(rows, "node")
 
     def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = [np.unique(shingle_hashes(t or "", method.shingle)) for t in pdf["text"]]
-            made = np.array([fingerprint(t, method)[0] for t in pdf["text"]], np.uint64).reshape(-1, method.words).view(np.int64)
             # Another text under the same doc_id is not this row's.
-            own = (made == pdf[names].to_numpy(np.int64)).all(1)
-            yield pdf.drop(columns="text").assign(shingles=[x.tobytes() for x in sets])[own]
+            own = [(len(x), _sum(x)) == (n, s) for x, n, s in zip(sets, pdf["n"], pdf["s"], strict=True)]
+            yield pdf.drop(columns=["text", "n", "s"]).assign(shingles=[x.tobytes() for x in sets])[own]
 
     schema = "node long, component long, blocks int, " + ", ".join(f"{n} long" for n in names) + ", shingles binary"
     # Each pair of a group's blocks is a unit.
@@ -360,17 +366,22 @@ def classes(docs: DataFrame, method: Method = CONTRACT, id_col: str = "doc_id",
     names = [f"w{i}" for i in range(method.words)]
     with batches_of(docs.sparkSession, 1000):
         prints = settle(fingerprints(docs, method, id_col, text_col), "simhash")
-    distinct = settle(prints.where("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("node"), F.max("n").alias("n")), "simhash-distinct")
+    named = prints.where("doc_id is not null")
     if method.ratio:
+        keys = [*names, "n", "s"]
+        distinct = settle(named.groupBy(*keys).agg(F.min("doc_id").alias("node")), "simhash-distinct")
         # Sets too small to reach the similarity unless equal link nothing.
         groups = components(links(distinct.where((F.col("n") + 1) * method.ratio <= F.col("n") + 1e-9), method))
         with batches_of(docs.sparkSession, 1000):
             found = components(verified(docs, distinct, groups, method, id_col, text_col))
     else:
+        keys = names
+        distinct = settle(named.groupBy(*keys).agg(F.min("doc_id").alias("node"), F.max("n").alias("n")), "simhash-distinct")
         found = components(links(distinct, method))
-    rooted = distinct.join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("component"))
-    out = prints.join(rooted, names, "left")
-    return out.select("doc_id", *names, "n", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
+    rooted = distinct.join(found, "node", "left").select(*keys, F.coalesce("component", "node").alias("component"))
+    # Rows without doc_id are in no class and meet in no join.
+    out = named.join(rooted, keys).select("doc_id", *names, "n", F.col("component").alias("component_id"))
+    return out.unionByName(prints.where("doc_id is null").select("doc_id", *names, "n", F.lit(None).cast("long").alias("component_id")))
 
 
 def keep_representatives(docs: DataFrame, method: Method = NEAR) -> DataFrame:
@@ -381,7 +392,10 @@ def keep_representatives(docs: DataFrame, method: Method = NEAR) -> DataFrame:
     found = classes(docs, method).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
     kept = settle(found.withColumnRenamed("doc_id", "kept_id"), "simhash-kept")
     # The kept ids grow with the table: one plan at every size, never a broadcast.
-    joined = lambda rows: docs.join(rows.hint("shuffle_hash"), docs["doc_id"] == rows["kept_id"], "left_semi")
+    # Hashed while a partition's ids, which are unique, take at most KEPT_MB.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small = kept.count() * 64 / parts <= KEPT_MB * 1e6
+    joined = lambda rows: docs.join(rows.hint("shuffle_hash" if small else "merge"), docs["doc_id"] == rows["kept_id"], "left_semi")
     out = joined(kept).unionByName(docs.where("doc_id is null"))
     if kept.where("rows > 1").limit(1).count():  # two documents under one id
         out = joined(kept.where("rows = 1")).unionByName(joined(kept.where("rows > 1")).dropDuplicates(["doc_id"])).unionByName(docs.where("doc_id is null"))

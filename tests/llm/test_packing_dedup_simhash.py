@@ -227,14 +227,18 @@ def test_small_tiles_lose_no_link(tile):
     high, low = np.bitwise_count(fps >> np.uint64(32)), np.bitwise_count(fps & np.uint64(0xFFFFFFFF))
     of = (high.astype(int) * 33 + low).tolist()
     sizes = {c: of.count(c) for c in set(of)}
-    classes, dealt = simhash.plan_tiles(sizes, simhash.CONTRACT, 5, tile)
-    tiles = np.array([classes[c][0] + int(f) % classes[c][1] for c, f in zip(of, fps, strict=True)])
-    order = np.argsort(tiles, kind="stable")
-    fps, tiles = fps[order], tiles[order]
-    whole = simhash.Forest(len(fps))
-    for pairs in dealt.values():
-        root = simhash.link_tiles(fps[:, None], tiles, pairs, simhash.CONTRACT).root
-        whole.link(np.arange(len(fps)), root)
+    plan = {c: row for c, *row in simhash.plan_tiles(sizes, simhash.CONTRACT, tile)}
+    tiles = np.array([plan[c][0] + int(f) % plan[c][1] for c, f in zip(of, fps, strict=True)])
+    assert max(np.bincount(tiles)) <= 4 * tile
+    none, whole = np.zeros(len(fps), np.int64), simhash.Forest(len(fps))
+    order = simhash._order(fps[:, None], none, none, simhash.CONTRACT)
+    ranges = {int(tiles[k]): plan[c][2:] for k, c in enumerate(of)}
+    for i, (low, high) in ranges.items():
+        assert all(ranges[j][0] <= i <= ranges[j][1] for j in range(low, high + 1) if j in ranges)
+        for j in range(i, high + 1):
+            left, right = order[tiles[order] == i], order[tiles[order] == j]
+            root = simhash.link_tiles(fps[:, None], none, left, left if i == j else right, simhash.CONTRACT).root
+            whole.link(np.arange(len(fps)), root)
     want = simhash.Forest(len(fps))
     for i in range(len(fps)):
         near = np.flatnonzero(np.bitwise_count(fps[i] ^ fps) <= 4)
@@ -279,6 +283,36 @@ def test_near_links_are_the_exact_similarity(spark, monkeypatch, rows):
     assert {r.doc_id for r in simhash.keep_representatives(docs).collect()} == set(range(len(texts))) - gone
 
 
+def test_a_shorter_member_of_a_fingerprint_links(spark):
+    # Without shingles of its own, each text has its set of one; sums tell sets of equal count apart.
+    base = [f"w{i}" for i in range(40)]
+    texts = [" ".join(base[: 40 - i]) for i in range(6)] + [" ".join(base)] * 3
+    gone = {r.doc_id for r in simhash.classes(documents(spark, texts), simhash.NEAR).collect() if r.component_id != r.doc_id}
+    assert gone == set(range(1, 9))
+
+
+def test_near_classes_equal_all_pairs(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    sets = {i: set(simhash.shingle_hashes(t or "", 5).tolist()) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for x, i in enumerate(ids):
+        for j in ids[x + 1 :]:
+            if min(len(sets[i]), len(sets[j])) >= 0.8 * max(len(sets[i]), len(sets[j])) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    got = {r.doc_id: r.component_id for r in simhash.classes(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), simhash.NEAR).collect()}
+    linked = [i for i in ids if find(i) != i]
+    caught = sum(got[i] == find(i) for i in linked) / len(linked)
+    print(f"near classes: {len(linked)} linked by all pairs, {caught:.3f} caught")
+    assert caught >= 0.99 and all(got[i] == i for i in ids if find(i) == i and all(find(j) != i for j in linked))
+
+
 def test_one_large_group(spark):
     rng = random.Random(6)
     text = " ".join(f"w{i}" for i in range(400))
