@@ -41,7 +41,7 @@ from .common import settle
 
 LABELLED, HELD_OUT = 5000, 0.25
 #: Rounds of exchange, and the rows that each view labels for the other in one: a share of all, and at most so many.
-ROUNDS, SHARE, TAUGHT = 3, 0.025, 400
+ROUNDS, SHARE, TAUGHT = 2, 0.025, 400
 #: How strongly the views' weights are drawn to equal ones, and the least weight.
 PULL, LEAST_WEIGHT = 0.02, 0.15
 #: Rows are rejected below this probability of being good.
