@@ -36,7 +36,7 @@ from .common import batches_of, settle
 CAPACITY, END_ID = 4096, 1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Parts that a worker keeps the ids of, and slots of their hash table (a power of two).
-KNOWN_PARTS, SLOT_BITS, KNOWN_IDS = 200_000, 19, 1 << 22
+KNOWN_PARTS, SLOT_BITS, KNOWN_IDS = 450_000, 20, 1 << 23
 CHARS_AT_ONCE = 400_000
 #: Rounds of the linear program at most, how fast prices move, and the gap to the bound that ends it.
 ROUNDS, RATE, GAP = 256, 0.1, 0.002
