@@ -153,6 +153,7 @@ class Vault:
 
     def remember(self, title: str, body: str, updated: str, zone: str | None = None, kind: str = "topic", note_labels: list[str] | None = None, links: list[str] | None = None, expected: int | None = None) -> Vault:
         """The vault with one note written; a wrong expected version is an error."""
+        # Fixed value: the zone of each type.
         place = {"person": "people", "project": "projects", "preference": "identity", "fact": "knowledge", "topic": "knowledge", "session": "journal"}
         row = self.spark.createDataFrame([(title, zone if zone is not None else place.get(kind, ""), kind, note_labels or [], links or [], updated, body)], "title string, zone string, type string, labels array<string>, links array<string>, updated string, body string")
         write = settle(row.select(
@@ -172,12 +173,24 @@ class Vault:
         return replace(self, log=settle(self.log.unionByName(row), "log"))
 
     def curate(self, answer: str, now: str) -> tuple[Vault, DataFrame]:
-        """The vault after the accepted part of a plan, and every operation with its reason."""
+        """The vault after the accepted part of a plan, and every operation with its reason.
+
+        Notes that the plan moves are linked to mates of their new zone.
+        """
         plan = control.extract_plans(self.spark.createDataFrame([(answer,)], "text string")).drop("reason")
         strength = self.strength(now).select(F.col("doc_id").alias("key"), "eff")
         judged = settle(gate.validate(plan, self.notes, strength), "judged")
-        notes = control.apply_plan(self.notes.select("key", "zone", "links", "body"), judged.where("reason is null"))
-        rest = self.notes.drop("zone", "links", "body")
+        accepted = judged.where("reason is null")
+        moves = accepted.where("op = 'rezone'").select(F.col("slug").alias("key"), "zone")
+        gone = accepted.where("op = 'supersede'").select(F.explode(F.array("stale", "by")).alias("key"))
+        target = T.slug(F.col("t"))
+        linked = self.notes.select("key", F.explode("links").alias("t")).select(F.least("key", target).alias("a"), F.greatest("key", target).alias("b"))
+        asked = accepted.where("op = 'link'").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        dense = gate.dense_links(moves, self.notes, linked.unionByName(asked), gone)
+        none = {c: F.lit(None).cast("string") for c in ("slug", "zone", "stale", "by", "reason")}
+        extra = dense.select("a", "b").withColumns({"seq": F.lit(-1), "op": F.lit("link"), **none}).select(*judged.columns)
+        notes = control.apply_plan(self.notes.select("key", "title", "zone", "links", "body"), accepted.unionByName(extra))
+        rest = self.notes.drop("title", "zone", "links", "body")
         return replace(self, notes=settle(rest.join(notes, "key").select(*self.notes.columns), "notes")), judged
 
     def forget(self, key: str, now: str) -> tuple[Vault, DataFrame]:

@@ -16,39 +16,41 @@ from ..functions import text as T
 # -- plans from model text -------------------------------------------------------
 
 
-def balanced_objects(text: str) -> list[str]:
-    """Top-level ``{...}`` spans; braces inside JSON strings don't count."""
-    out, depth, start, quoted, i = [], 0, 0, False, 0
-    while i < len(text):
-        c = text[i]
-        if quoted:
-            if c == "\\":
-                i += 1
-            elif c == '"':
-                quoted = False
-        elif c == '"' and depth:
-            quoted = True
-        elif c == "{":
-            start, depth = (i if not depth else start), depth + 1
-        elif c == "}" and depth:
-            depth -= 1
-            if not depth:
-                out.append(text[start : i + 1])
-        i += 1
+PLAN_VERSION = 1
+_DECODER = json.JSONDecoder()
+_MARKS = re.compile(r'"(?:[^"\\]|\\.)*"|[{}]', re.S)
+
+
+def json_objects(text: str) -> list[dict]:
+    """JSON objects that start outside of any brace or quote, decoded where they stand."""
+    out, depth, until = [], 0, 0
+    for mark in _MARKS.finditer(text):
+        if mark.start() < until or mark[0][0] == '"':
+            continue
+        if mark[0] == "}":
+            depth = max(0, depth - 1)
+            continue
+        if not depth:
+            try:
+                got, until = _DECODER.raw_decode(text, mark.start())
+                out.append(got)
+                continue
+            except (ValueError, RecursionError):
+                pass
+        depth += 1
     return out
 
 
 def plan_of(text: str | None) -> dict | None:
-    """The first plan (an object with a list ``ops``): fenced JSON first, then balanced objects."""
-    fenced = re.findall(r"```(?:json)?\s*\n(.*?)```", text or "", re.S)
-    for candidate in [*fenced, *balanced_objects(text or "")]:
-        try:
-            got = json.loads(candidate)
-        except ValueError:
-            continue
-        if isinstance(got, dict) and isinstance(got.get("ops"), list):
-            return got
-    return None
+    """The plan in a model's answer: an object with a list ``ops``.
+
+    One of version 1 comes first, fenced ones before others, then one without
+    any version; a plan of another version is none.
+    """
+    fenced = [o for part in re.findall(r"```(?:json)?\s(.*?)```", text or "", re.S) for o in json_objects(part)]
+    plans = [o for o in [*fenced, *json_objects(text or "")] if isinstance(o.get("ops"), list)]
+    ours = [o for o in plans if o.get("plan_version") == PLAN_VERSION]
+    return next(iter(ours + [o for o in plans if "plan_version" not in o]), None)
 
 
 OPS = "array<struct<op:string,slug:string,zone:string,a:string,b:string,stale:string,by:string,reason:string>>"
@@ -73,16 +75,23 @@ def extract_plans(answers: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def apply_plan(notes: DataFrame, accepted: DataFrame) -> DataFrame:
-    """``notes`` (key, zone, links, body) after accepted operations.
+    """``notes`` (key, zone, links, body, perhaps title) after accepted operations.
 
-    The last rezone or archive of a note wins; links are added on both sides;
-    a superseded note gets one line. Operations on unknown notes change nothing.
+    The last rezone or archive of a note wins; links, by title, are added on
+    both sides; a superseded note gets one line that names its successor's
+    title, and the successor a link to it. Operations on unknown notes change
+    nothing.
     """
+    title = F.coalesce("title", "key") if "title" in notes.columns else F.col("key")
+    named = notes.select(F.col("key").alias("other"), title.alias("t"))
     moves = accepted.where(F.col("op").isin("rezone", "archive")).groupBy(F.col("slug").alias("key")).agg(F.max_by(F.when(F.col("op") == "archive", "_archive").otherwise(F.col("zone")), "seq").alias("to"))
-    pairs = accepted.where("op = 'link'").select(F.explode(F.array(F.struct(F.col("a").alias("key"), F.col("b").alias("t")), F.struct(F.col("b").alias("key"), F.col("a").alias("t")))).alias("p")).select("p.*")
+    link = lambda key, other: F.struct(F.col(key).alias("key"), F.col(other).alias("other"))
+    sides = F.when(F.col("op") == "link", F.array(link("a", "b"), link("b", "a"))).when(F.col("op") == "supersede", F.array(link("by", "stale")))
+    pairs = accepted.select(F.explode(sides).alias("p")).select("p.*").join(named, "other")
     added = pairs.groupBy("key").agg(F.array_sort(F.collect_set("t")).alias("more"))
-    stale = accepted.where("op = 'supersede'").groupBy(F.col("stale").alias("key")).agg(F.max_by("by", "seq").alias("next"))
-    rows = notes.join(moves, "key", "left").join(added, "key", "left").join(stale, "key", "left")
+    # A successor that isn't there supersedes nothing.
+    stale = accepted.where("op = 'supersede'").select(F.col("stale").alias("key"), F.col("by").alias("other"), "seq").join(named, "other")
+    rows = notes.join(moves, "key", "left").join(added, "key", "left").join(stale.groupBy("key").agg(F.max_by("t", "seq").alias("next")), "key", "left")
     line = F.concat(F.lit("\n> Superseded by [["), F.col("next"), F.lit("]]\n"))
     body = F.when(F.col("next").isNotNull() & ~F.contains("body", line), F.concat("body", line)).otherwise(F.col("body"))
     links = F.when(F.col("more").isNotNull(), F.array_union("links", "more")).otherwise(F.col("links"))
@@ -188,41 +197,75 @@ def encode_records(records: DataFrame, columns: list[str], kind: str = "capture"
 # -- label edits and splits ----------------------------------------------------------------
 
 
-def edit_labels(raw: bytes, labels: list[str]) -> bytes:
-    """The file's bytes with its ``labels`` field set; all other bytes stay.
+#: Fixed patterns of headers: a key at the start of a line; values that YAML reads as anchors,
+#: aliases, tags or merges; characters that other readers take for line ends.
+HEADER_KEY = re.compile(rb"([A-Za-z_][A-Za-z0-9_-]*)[ \t]*:")
+AMBIGUOUS = re.compile(rb"^\s*(?:<<:|[^#:\r\n]+:\s*[&*!])", re.M)
+ODD_BREAK = re.compile(rb"[\x0b\x0c\x1c-\x1e]|\xc2\x85|\xe2\x80[\xa8\xa9]")
+
 
-    Line ends follow the file; a file without a header gets one.
+def edit_labels(raw: bytes, labels: list[str]) -> tuple[bytes, str | None]:
+    """(the file's bytes with its ``labels`` field set, None), or (the same bytes, a warning).
+
+    All other bytes stay; line ends follow the file; a file without a header
+    gets one. A header that isn't closed, repeats a key, has a ``labels`` value
+    over several lines, or holds what readers of YAML disagree on is left alone.
     """
-    eol = b"\r\n" if raw.count(b"\r\n") * 2 > raw.count(b"\n") else b"\n"
     quoted = ", ".join('"' + x.replace("\\", "\\\\").replace('"', '\\"') + '"' for x in labels)
     line = f"labels: [{quoted}]".encode()
     bom, rest = (raw[:3], raw[3:]) if raw.startswith(b"\xef\xbb\xbf") else (b"", raw)
-    lines = rest.splitlines(keepends=True)
+    lines = re.findall(rb"[^\n]*\n|[^\n]+", rest)
     if not lines or lines[0].rstrip() != b"---":
-        return bom + b"---" + eol + line + eol + b"---" + eol + rest
-    end = next((i for i in range(1, len(lines)) if lines[i].rstrip() == b"---"), None)
+        eol = b"\r\n" if raw.count(b"\r\n") * 2 > raw.count(b"\n") else b"\n"
+        return bom + b"---" + eol + line + eol + b"---" + eol + rest, None
+    end = next((i for i, x in enumerate(lines) if i and x.rstrip() == b"---"), None)
     if end is None:
-        raise ValueError("the header is not closed")
-    found = [i for i in range(1, end) if re.match(rb"labels[ \t]*:", lines[i])]
-    if len(found) > 1:
-        raise ValueError("the header has several labels fields")
-    if found:
-        at, stop = found[0], found[0] + 1
-        while stop < end and re.match(rb"[ \t]+\S|-[ \t]", lines[stop]):
-            stop += 1
-        lines[at:stop] = [line + eol]
-    else:
-        lines[end:end] = [line + eol]
-    return bom + b"".join(lines)
+        return raw, "unterminated frontmatter retained"
+    header = lines[1:end]
+    eol = b"\r\n" if lines[0].endswith(b"\r\n") else b"\n"
+    plain = [x for x in header if x.strip() and not x.lstrip().startswith(b"#")]
+    keyed = [(x, m) for x in plain if (m := HEADER_KEY.match(x))]
+    keys = [m[1] for _, m in keyed]
+    # Block scalars, and lines at the margin that are neither a key nor a list's.
+    odd = any(x[m.end() :].strip().startswith((b"|", b">")) for x, m in keyed) or any(x[:1] not in b" \t-" and not HEADER_KEY.match(x) for x in plain)
+    joined = b"".join(header)
+    if odd or len(set(keys)) < len(keys) or AMBIGUOUS.search(joined) or ODD_BREAK.search(joined):
+        return raw, "ambiguous frontmatter retained"
+    at = next((i for i, x in enumerate(lines[:end]) if i and (m := HEADER_KEY.match(x)) and m[1] == b"labels"), None)
+    if at is None:
+        return bom + b"".join([*lines[:end], line + eol, *lines[end:]]), None
+    value = lines[at].split(b":", 1)[1].strip()
+    below = next((x for x in lines[at + 1 : end] if x.strip() and not x.lstrip().startswith(b"#")), b"")
+    if (not value or value.startswith(b"#")) and (below[:1] in (b" ", b"\t") or below.startswith(b"-")):
+        return raw, "multiline labels field retained"
+    if below[:1] in (b" ", b"\t"):  # the value goes on below
+        return raw, "multiline labels field retained"
+    return bom + b"".join([*lines[:at], line + eol, *lines[at + 1 :]]), None
 
 
 def annotate(files: DataFrame) -> DataFrame:
-    """(path, before, after) plan of label edits from (path, content, labels)."""
+    """(path, before, after, warning) plan of label edits from (path, content, labels).
+
+    ``before`` is the digest that the file must still have when it is written;
+    a file with a warning keeps its bytes.
+    """
+
+    def run(contents: pd.Series, labels: pd.Series) -> pd.DataFrame:
+        made = [edit_labels(bytes(c), list(x)) for c, x in zip(contents, labels, strict=True)]
+        return pd.DataFrame({"after": [m[0] for m in made], "warning": [m[1] for m in made]})
 
-    def run(contents: pd.Series, labels: pd.Series) -> pd.Series:
-        return pd.Series([edit_labels(bytes(c), list(x)) for c, x in zip(contents, labels, strict=True)])
+    edited = F.pandas_udf(run, "after binary, warning string")("content", "labels")
+    return files.select("path", F.sha2("content", 256).alias("before"), edited.alias("e")).select("path", "before", "e.after", "e.warning")
 
-    return files.select("path", F.sha2("content", 256).alias("before"), F.pandas_udf(run, "binary")("content", "labels").alias("after"))
+
+def still_current(plan: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, after, problem): edits of :func:`annotate` against the files as they are now.
+
+    Only an edit without a problem may be written.
+    """
+    now = files.select(F.col("path").alias("p"), F.sha2("content", 256).alias("digest"))
+    problem = F.when(F.col("p").isNull(), "file is gone").when(F.col("digest") != F.col("before"), "file has changed").otherwise(F.col("warning"))
+    return plan.join(now, F.col("path") == F.col("p"), "left").select("path", "after", problem.alias("problem"))
 
 
 def split_topics(blocks: DataFrame, most_tokens: int) -> DataFrame:

@@ -62,14 +62,17 @@ def validate(ops: DataFrame, notes: DataFrame, strength: DataFrame) -> DataFrame
     return capped.select(*ops.columns, final.alias("reason"))
 
 
-def dense_links(moves: DataFrame, notes: DataFrame, existing: DataFrame) -> DataFrame:
+def dense_links(moves: DataFrame, notes: DataFrame, existing: DataFrame, superseded: DataFrame | None = None) -> DataFrame:
     """(zone, a, b): links of moved notes to zone-mates, ten a mover, 500 a plan.
 
     ``moves``: (key, zone) accepted; ``notes``: (key, zone, type, polarity);
-    ``existing``: (a, b) sorted pairs. Movers link to each other first, in key
+    ``existing``: (a, b) sorted pairs; ``superseded``: (key) of notes on either
+    side of an accepted supersede, which get no links. Movers link to each other first, in key
     order; a pair counts for the mover that comes first.
     """
     open_ = notes.where(~archived(F.coalesce("zone", F.lit(""))) & (F.coalesce("polarity", F.lit("")) != "negative") & ~F.coalesce(F.col("type").isin(*PROTECTED_TYPES), F.lit(False)))
+    if superseded is not None:
+        open_ = open_.join(superseded, "key", "left_anti")
     moved = open_.select("key", F.col("zone").alias("was")).join(moves.select("key", F.col("zone").alias("to")), "key").where("was <> to")
     final = open_.join(moved, "key", "left").select("key", F.coalesce("to", "zone").alias("zone"), F.col("to").isNotNull().alias("mover"))
     mover, mate = final.where("mover").alias("m"), final.alias("o")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import dynamics as D
 
 STATE = "strength double, stability double, access_count long, last_us long"
-OUTPUT = "key long, strength double, stability double, access_count long, last_access timestamp"
+OUTPUT = "strength double, stability double, access_count long, last_access timestamp"
 
 
 def fold_stream(log: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def fold_stream(log: DataFrame) -> DataFrame:
         state.update((strength, stability, count, last))
         yield pd.DataFrame({"key": [key[0]], "strength": [strength], "stability": [stability], "access_count": [count], "last_access": [pd.Timestamp(last, unit="us")]})
 
-    return log.select("key", "ts").groupBy("key").applyInPandasWithState(fold, OUTPUT, STATE, "update", "NoTimeout")
+    out = f"key {log.schema['key'].dataType.simpleString()}, {OUTPUT}"  # keys keep their type
+    return log.select("key", "ts").groupBy("key").applyInPandasWithState(fold, out, STATE, "update", "NoTimeout")
 
 
 def zone_stream(log: DataFrame, watermark: str = "1 day") -> DataFrame:
@@ -58,18 +59,18 @@ def stamp_stream(records: DataFrame) -> DataFrame:
     """Stream (scope, capture_id, stamp) with strictly increasing stamps a scope.
 
     ``records``: (scope, capture_id, stamp) in microseconds; a late or equal stamp
-    becomes the previous one plus 1.
+    becomes the previous one plus 1. A batch's rows of a scope go in order of their
+    stamps, whatever frames they come in.
     """
 
     def bump(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        for frame in frames:
-            frame = frame.sort_values(["stamp", "capture_id"])
-            out = []
-            for s in frame["stamp"]:
-                last = int(s) if last is None else max(int(s), last + 1)
-                out.append(last)
-            yield pd.DataFrame({"scope": frame["scope"], "capture_id": frame["capture_id"], "stamp": out})
+        rows = pd.concat(list(frames), ignore_index=True).sort_values(["stamp", "capture_id"])
+        out = []
+        for s in rows["stamp"]:
+            last = int(s) if last is None else max(int(s), last + 1)
+            out.append(last)
+        yield pd.DataFrame({"scope": rows["scope"], "capture_id": rows["capture_id"], "stamp": out})
         if last is not None:
             state.update((last,))
 

@@ -16,6 +16,25 @@ def test_plans_from_text(spark):
     assert got == {(0, 0): ("link", "x", None), (1, 0): ("archive", None, "{z"), (1, 1): ("?", None, None)}
 
 
+@pytest.mark.parametrize(
+    ("text", "ops"),
+    [
+        ('{"plan_version":2,"ops":[{"op":"archive","slug":"z"}]}', None), ('{"ops":[1]} and {"plan_version":1,"ops":[2]}', [2]), ('{"plan_version":2,"ops":[1]} {"ops":[2]}', [2]),
+        ('{"plan_version":1,"ops":[1]} ```json\n{"plan_version":1,"ops":[2]}\n```', [2]), ('say {this} then {"ops":[3]}', [3]), ('{bad: {"ops":[4]}}', None), ("{broken", None), ("", None), (None, None),
+        ('{"plan_version":1,"summary":"use {curly} braces","ops":[]}', []), ('{"x": {"ops": [5]}}', None), ('{"plan_version":null,"ops":[6]}', None), ("{" * 5000, None),
+    ],
+)
+def test_versions_of_plans(text, ops):
+    assert (control.plan_of(text) or {}).get("ops") == ops
+
+
+def test_apply_names_titles(spark):
+    notes = spark.createDataFrame([("a", "Note A", "z", [], "A"), ("b", "Note B", "z", [], "B")], "key string, title string, zone string, links array<string>, body string")
+    ops = spark.createDataFrame([(0, "supersede", None, None, None, None, "b", "a"), (1, "supersede", None, None, None, None, "a", "gone")], "seq int, op string, slug string, zone string, a string, b string, stale string, by string")
+    rows = {r.key: r for r in control.apply_plan(notes, ops).collect()}
+    assert rows["b"].body == "B\n> Superseded by [[Note A]]\n" and rows["a"].links == ["Note B"] and rows["a"].body == "A"
+
+
 def test_apply_journal_and_undo(spark):
     notes = spark.createDataFrame([("a", "z", [], "A"), ("b", "z", ["q"], "B"), ("c", "", [], "C")], "key string, zone string, links array<string>, body string")
     ops = [(0, "rezone", "a", "w", None, None, None, None), (1, "link", None, None, "a", "b", None, None), (2, "archive", "c", None, None, None, None, None), (3, "supersede", None, None, None, None, "b", "a"), (4, "rezone", "gone", "w", *[None] * 4)]
@@ -55,12 +74,34 @@ def test_records_round_trip(spark):
         (b"body", b'---\nlabels: ["a:b"]\n---\nbody'),
         (b"---\ntitle: x\n---\nbody\r", b'---\ntitle: x\nlabels: ["a:b"]\n---\nbody\r'),
         (b"---\r\nlabels: [old]\r\nz: 1\r\n---\r\nb", b'---\r\nlabels: ["a:b"]\r\nz: 1\r\n---\r\nb'),
-        (b"\xef\xbb\xbf---\nlabels:\n  - x\n- y\nk: v\n---\n", b'\xef\xbb\xbf---\nlabels: ["a:b"]\nk: v\n---\n'),
+        (b"\xef\xbb\xbf---\n# note\nlabels:\nk: v\ntags:\n  - x\n---\n", b'\xef\xbb\xbf---\n# note\nlabels: ["a:b"]\nk: v\ntags:\n  - x\n---\n'),
     ],
 )
 def test_label_edits_keep_other_bytes(raw, want):
-    assert control.edit_labels(raw, ["a:b"]) == want
-    assert control.edit_labels(want, ["a:b"]) == want
+    assert control.edit_labels(raw, ["a:b"]) == (want, None)
+    assert control.edit_labels(want, ["a:b"]) == (want, None)
+
+
+@pytest.mark.parametrize(
+    ("raw", "warning"),
+    [
+        (b"---\nlabels:\n  - x\nk: v\n---\n", "multiline"), (b"---\nlabels:\n- x\n---\n", "multiline"), (b"---\ntitle: x\nbody", "unterminated"),
+        (b"---\nk: 1\nk: 2\n---\n", "ambiguous"), (b"---\nk: &a x\n---\n", "ambiguous"), (b"---\nk: |\n  text\n---\n", "ambiguous"), (b"---\nno key here\n---\n", "ambiguous"),
+        (b"---\nk: x\xe2\x80\xa8y\n---\n", "ambiguous"),
+    ],
+)
+def test_unclear_headers_are_left_alone(raw, warning):
+    same, said = control.edit_labels(raw, ["a:b"])
+    assert same == raw and warning in said
+
+
+def test_label_plans_are_checked_again(spark):
+    schema = "path string, content binary, labels array<string>"
+    files = spark.createDataFrame([("a", bytearray(b"x"), ["k:v"]), ("b", bytearray(b"---\nopen"), ["k:v"]), ("c", bytearray(b"y"), []), ("d", bytearray(b"z"), [])], schema)
+    plan = control.annotate(files)
+    now = spark.createDataFrame([("a", bytearray(b"x")), ("b", bytearray(b"---\nopen")), ("c", bytearray(b"edited"))], "path string, content binary")
+    got = {r.path: r.problem for r in control.still_current(plan, now).collect()}
+    assert got == {"a": None, "b": "unterminated frontmatter retained", "c": "file has changed", "d": "file is gone"}
 
 
 def test_split_topics(spark):

@@ -185,6 +185,19 @@ def test_sections_and_coverage(spark):
     got = sections.sections(docs, "path").where("path = 'p'").orderBy("section").collect()
     assert [(r.heading, r.level, r.ancestry) for r in got] == [("Preamble", 0, []), ("One", 1, []), ("Two", 2, ["One"]), ("Three", 2, ["One"]), ("One", 1, [])]
     assert len({r.anchor for r in got}) == 5 and "".join(r.text for r in got) == MARKDOWN.split("---\n", 2)[2]
+    odd = frame(spark, [(1, "a\n---\n---\nb\n===\n\n==="), (2, "# A\n### B\n## C\n#### D\n# A ##\n"), (3, "\n \n#\n####### no\n    # code"), (4, "\ufeff---\nk: v\n---\n\n# T\nx"), (4, "---\nno end"), (None, None)], "doc_id int, text string")
+    rows = sections.sections(odd).orderBy("doc_id", "first_line").collect()
+    found = lambda i: [(r.heading, r.level, r.ancestry) for r in rows if r.doc_id == i]
+    assert found(1) == [("a", 2, []), ("b", 1, [])]
+    assert found(2) == [("A", 1, []), ("B", 3, ["A"]), ("C", 2, ["A"]), ("D", 4, ["A", "C"]), ("A", 1, [])]
+    assert found(3) == [("", 1, [])] and [r.section for r in rows if r.doc_id == 2] == [0, 1, 2, 3, 4]
+    assert sorted(found(4)) == [("Preamble", 0, []), ("T", 1, [])]
+    asked = frame(spark, [(0, "again"), (1, "nothing here")], "query_id int, text string")
+    best = sections.search(sections.sections(docs, "path"), asked, id_col="path").collect()
+    assert [(r.query_id, r.path, r.heading, r.rank) for r in best if r.query_id == 0] == [(0, "p", "One", 1)]
+    anchor = got[2].anchor
+    shown = sections.read(sections.sections(docs, "path"), frame(spark, [("p", anchor)], "path string, anchor string"), "path").orderBy("section").collect()
+    assert [r.heading for r in shown] == ["Preamble", "Two"]
     plain = frame(spark, [("p", MARKDOWN.split("---\n", 2)[2]), ("q", ""), ("r", "no heading")], "path string, text string")
     blocks = sections.blocks(plain)
     assert {r.path: r.ok for r in sections.verify_blocks(blocks, plain).collect()} == {"p": True, "q": True, "r": True}
@@ -230,6 +243,11 @@ def test_recall(spark):
     assert got == {0: None, 1: "unoffered-or-protected", 2: "already-surfaced-or-duplicate", 3: "addresses-agent", 4: "secret-like", 5: None, 6: "cap"}
     hits = frame(spark, [("x " * 300 + "café beta " + "y " * 200, ["cafe", "beta"])], "text string, terms array<string>")
     assert "café beta" in recall.snippets(hits).first().snippet
+    assert recall.snippet_of("  no term  ", ["zz"]) == "no term"
+    far = "alpha " + "- " * 200 + "beta\ngamma" + " -" * 200
+    assert "beta gamma" in recall.snippet_of(far, ["alpha", "beta", "gamma"]) and recall.snippet_of(far, ["alpha"]).startswith("alpha")
+    assert "verlangen" in recall.snippet_of("x " * 200 + "verlangen " + "y " * 200, ["verla~"]) and "verla" not in recall.snippet_of("x " * 200 + "verla", ["verla~"])
+    assert "ＡＰＩ" in recall.snippet_of("一 " * 200 + "ＡＰＩ ende", ["api"]) and "cafe\u0301" in recall.snippet_of("z " * 200 + "cafe\u0301 x", ["cafe"])
 
 
 def test_operators_fold_by_default(spark):

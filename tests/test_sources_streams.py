@@ -46,10 +46,15 @@ def test_whole_header():
     got = notes.parse_header(NOTE.split("---\n")[1])
     assert got["nested"] == {"k": [1, 2.5, "q"], "list": ["one", "two"]} and got["tags"] == ["a", "b c"]
     assert notes.parse_header("a: 01\nb: 1e3\nc: -2\nbad line\nd: 'it''s'\ne: true\nf:\n- x: 1\n  y: 2\n- x: 3") == {
-        "a": "01", "b": "1e3", "c": -2, "d": "it's", "e": True, "f": [{"x": 1, "y": 2}, {"x": 3}]
+        "a": "01", "b": "1e3", "c": -2, "bad line": {}, "d": "it''s", "e": True, "f": [{"x": 1, "y": 2}, {"x": 3}]
     }
 
 
+def test_scalars_of_headers():
+    assert notes.parse_header('a:b\nc: "C:\\new"\nd: "q \\" \\\\ z"\ne:\nf: []\ng: k: v\nh:\n  i: 1') == {"a": "b", "c": "C:\\new", "d": 'q " \\ z', "e": {}, "f": [], "g": "k: v", "h": {"i": 1}}
+    assert notes.scalar('["D:\\dir\\", "x"]') == ["D:\\dir\\", "x"] and notes.scalar('["a, b", c]') == ["a, b", "c"]
+
+
 def test_imports(spark):
     rows = [("d/A.txt", bytearray(b"x ``` y")), ("d/a.json", bytearray(b'{"k": 1}')), ("d/b.json", bytearray(b"{bad")), ("d/c.md", bytearray(b"# t")), ("d/x.png", bytearray(b"1"))]
     got = {r.path: r for r in notes.import_candidates(spark.createDataFrame(rows, "path string, content binary")).collect()}
