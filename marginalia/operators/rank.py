@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.tables import settle
 
 # Fixed values of the ranking.
 K1, B = 1.5, 0.75
@@ -40,23 +41,26 @@ def expansion_terms(expansions: DataFrame, literal: DataFrame, exact: bool = Tru
 
 
 def _small(df: DataFrame, bound: int = BROADCAST_TERMS) -> DataFrame:
-    """``df`` with a broadcast hint if it is counted below ``bound`` rows."""
+    """``df`` with a broadcast hint if it is counted below ``bound`` rows; for written tables, else it runs twice."""
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 
-def bm25(terms: DataFrame, post: DataFrame, lengths: DataFrame, stats: DataFrame, script_bonus: bool = True) -> DataFrame:
+def bm25(terms: DataFrame, post: DataFrame, lengths: DataFrame, stats: DataFrame, script_bonus: bool = True, dfs: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score) of every document that shares a term.
 
-    Only postings of asked terms pass the first join, so df is counted on them
-    alone. Queries of several scripts multiply a document's score by 1 + 0.5 for
-    each further script that it matches.
+    Only postings of asked terms pass the first join. Their document frequencies
+    come from ``dfs`` or are counted on these postings alone; they are written,
+    with the queries' terms, before the postings are scored. Queries of several
+    scripts multiply a document's score by 1 + 0.5 for each further script that
+    it matches.
     """
+    terms = settle(terms, "query-terms")
     asked = _small(terms.select("term").distinct())
-    hit = post.join(asked, "term")
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
+    df = dfs.join(asked, "term") if dfs is not None else post.join(asked, "term").groupBy("term").agg(F.count("*").alias("df"))
     n, avgdl = F.col("n_docs"), F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
-    weighted = _small(terms.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", (F.col("weight") * F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"), avgdl.alias("avgdl")))
-    scored = hit.join(weighted, "term").join(lengths, "doc_id")
+    idf = F.col("weight") * F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = settle(terms.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", idf.alias("idf"), avgdl.alias("avgdl")), "query-weights")
+    scored = post.join(_small(weighted), "term").join(lengths, "doc_id")
     tf = F.col("tf")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doclen") / F.col("avgdl")))
     aggs = [F.sum(part).alias("score")]
@@ -69,19 +73,24 @@ def bm25(terms: DataFrame, post: DataFrame, lengths: DataFrame, stats: DataFrame
     return out.select("query_id", "doc_id", F.round("score", PLACES).alias("score"))
 
 
-def tfidf_cosine(counts: DataFrame, post: DataFrame, stats: DataFrame) -> DataFrame:
+def tfidf_cosine(counts: DataFrame, post: DataFrame, stats: DataFrame, dfs: DataFrame | None = None, norms: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score) by (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1) vectors.
 
     ``counts``: (query_id, term, tf); unlike BM25, repeated query terms count.
+    ``dfs`` and ``norms`` (doc_id, norm) are those of a stored index, or made here.
     """
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    df = dfs if dfs is not None else post.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(stats)).select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighted = post.join(idf, "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    norms = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    asked = counts.withColumnRenamed("tf", "q").join(idf, "term").withColumn("qw", (1 + F.log("q")) * F.col("idf"))
+    w = (1 + F.log("tf")) * F.col("idf")
+    if norms is None:
+        norms = post.join(idf, "term").groupBy("doc_id").agg(F.sqrt(F.sum(w * w)).alias("norm"))
+    counts = settle(counts, "query-counts")
+    asked = counts.withColumnRenamed("tf", "q").join(idf.join(_small(counts.select("term").distinct()), "term"), "term").withColumn("qw", (1 + F.log("q")) * F.col("idf"))
+    asked = settle(asked.select("query_id", "term", "idf", "qw"), "query-weights")
     qnorm = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    asked = _small(asked.join(qnorm, "query_id").select("query_id", "term", (F.col("qw") / F.col("qnorm")).alias("qw")))
-    sums = weighted.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
+    weighted = asked.join(qnorm, "query_id").select("query_id", "term", "idf", (F.col("qw") / F.col("qnorm")).alias("qw"))
+    small = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    sums = post.join(F.broadcast(weighted) if small else weighted, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * w).alias("dot"))
     return sums.join(norms, "doc_id").select("query_id", "doc_id", F.round(F.col("dot") / F.col("norm"), PLACES).alias("score")).where("score > 0")
 
 
@@ -165,14 +174,16 @@ def union_channels(channels: DataFrame, width: int = 32) -> DataFrame:
     return first.select("query_id", "doc_id", F.row_number().over(Window.partitionBy("query_id").orderBy("at")).alias("position"))
 
 
-def related(post: DataFrame, lengths: DataFrame, stats: DataFrame, linked: DataFrame, limit: int = 5, terms: int = 12) -> DataFrame:
+def related(post: DataFrame, lengths: DataFrame, stats: DataFrame, linked: DataFrame, limit: int = 5, terms: int = 12, asking=None, dfs: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): neighbours of every document by its top terms.
 
-    ``linked``: (src, dst) pairs that are links already.
+    ``linked``: (src, dst) pairs that are links already; ``asking``: a condition
+    on doc_id that the asking documents meet, all without one.
     """
     w = Window.partitionBy("doc_id").orderBy(F.col("tf").desc(), F.col("term"))
-    top = post.where(~F.col("term").endswith(T.STEM_MARK)).withColumn("place", F.row_number().over(w)).where(F.col("place") <= terms)
+    own = post.where(~F.col("term").endswith(T.STEM_MARK))
+    top = (own if asking is None else own.where(asking)).withColumn("place", F.row_number().over(w)).where(F.col("place") <= terms)
     asked = top.select(F.col("doc_id").alias("query_id"), "term", F.lit(1.0).alias("weight"))
-    scores = bm25(asked, post, lengths, stats, script_bonus=False).where("query_id <> doc_id")
+    scores = bm25(asked, post, lengths, stats, script_bonus=False, dfs=dfs).where("query_id <> doc_id")
     free = scores.join(linked.select(F.col("src").alias("query_id"), F.col("dst").alias("doc_id")), ["query_id", "doc_id"], "left_anti")
     return top_k(free, limit)

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import control, dynamics, evaluate, gate, index, labels, pairs, rank, recall, records, rerank, routing, sections, vector
-from .tables import settle
+from ..operators import control, dynamics, evaluate, gate, index, labels, pairs, rank, recall, records, rerank, routing, sections, store, vector
+from .tables import settle, stamps
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -191,12 +191,21 @@ def newest_per_stem(s, d):
 # -- ranking -----------------------------------------------------------------
 
 
+_INDEXES: dict[tuple, store.Index] = {}
+
+
+def _stored(s, d) -> store.Index:
+    """The stored index of ``documents``: built once a session, and anew when the files change."""
+    key = (s.sparkContext.applicationId, d, stamps(s, f"{d}/documents.parquet"))
+    if key not in _INDEXES:
+        _INDEXES[key] = store.build(table(s, d, "documents"))
+    return _INDEXES[key]
+
+
 def _scores(s, d):
-    docs, post = table(s, d, "documents"), settle(_post(s, d), "postings")
-    lengths = settle(index.doc_lengths(post), "lengths")
-    stats = settle(index.corpus_stats(docs, lengths), "stats")
+    docs, own = table(s, d, "documents"), _stored(s, d)
     terms = rank.query_terms(_queries(s, d))
-    return docs, post, lengths, stats, terms, rank.bm25(terms, post, lengths, stats)
+    return docs, own.post, own.lengths, own.stats, terms, rank.bm25(terms, own.post, own.lengths, own.stats, dfs=own.dfs)
 
 
 _RANKED = "SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {}) WHERE rank <= {}"
@@ -210,8 +219,9 @@ def bm25_batch_topk(s, d):
 
 @query("bm25_topk", sql(_RANKED.format("(SELECT * FROM bm25 WHERE query_id = 0)", 10), *_BM25))
 def bm25_topk(s, d):
-    docs, post, lengths, stats, terms, _ = _scores(s, d)
-    return rank.top_k(rank.bm25(terms.where("query_id = 0"), post, lengths, stats), 10)
+    """The first query alone, as a single search asks it."""
+    own, terms = _stored(s, d), rank.query_terms(_queries(s, d).where("query_id = 0"))
+    return rank.top_k(rank.bm25(terms, own.post, own.lengths, own.stats, dfs=own.dfs), 10)
 
 
 @query(
@@ -230,14 +240,14 @@ cos AS (SELECT qw.query_id, w.doc_id, round(sum(qw.w / qn.n * w.w) / any_value(n
     ).replace("\n, qc", ", qc"),
 )
 def tfidf_cosine_topk(s, d):
-    docs, post, _, stats, _, _ = _scores(s, d)
+    own = _stored(s, d)
     counts = index.postings(_queries(s, d).withColumnRenamed("query_id", "doc_id")).withColumnRenamed("doc_id", "query_id")
-    return rank.top_k(rank.tfidf_cosine(counts, post, stats), 5)
+    return rank.top_k(rank.tfidf_cosine(counts, own.post, own.stats, own.dfs, own.norms), 5)
 
 
 @query("coverage_division", sql("SELECT query_id, doc_id FROM q JOIN post USING (term) WHERE NOT ends_with(term, '~') GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM q u WHERE u.query_id = q.query_id AND NOT ends_with(u.term, '~'))", "toks", "asked"))
 def coverage_division(s, d):
-    return rank.covering(rank.query_terms(_queries(s, d)), _post(s, d))
+    return rank.covering(rank.query_terms(_queries(s, d)), _stored(s, d).post)
 
 
 ORACLE["coverage_division"] = sql(
@@ -276,7 +286,7 @@ total AS (SELECT query_id, doc_id, round(sum(score), 6) AS score FROM both_ GROU
 )
 def expansion_weighted_topk(s, d):
     docs, post, lengths, stats, terms, literal = _scores(s, d)
-    added = rank.bm25(rank.expansion_terms(_expansions(s, d), terms), post, lengths, stats, script_bonus=False)
+    added = rank.bm25(rank.expansion_terms(_expansions(s, d), terms), post, lengths, stats, script_bonus=False, dfs=_stored(s, d).dfs)
     return rank.top_k(rank.expanded(literal, added, rank.covering(terms, post)), 5)
 
 
@@ -383,21 +393,25 @@ def boosted_topk(s, d):
     return rank.top_k(out, 5)
 
 
-@query("related_notes")
+_TOPS = """, tops AS (SELECT doc_id AS query_id, term FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) AS place FROM post WHERE NOT ends_with(term, '~') AND doc_id % 100 = 0) WHERE place <= 12),
+near AS (SELECT query_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * doclen / avgdl))), 6) AS score
+  FROM tops JOIN post USING (term) JOIN dfs USING (term) JOIN lens USING (doc_id), st WHERE query_id <> doc_id GROUP BY 1, 2)
+"""
+
+
+@query("related_notes", sql(_TOPS + _RANKED.format("near", 5), "toks", "lens", "stats", "dfs").replace("\n, tops", ", tops"))
 def related_notes(s, d):
-    """Top-5 neighbours of every benchmark item among all items, by its own top terms."""
-    items = table(s, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    post = settle(index.postings(items), "postings")
-    lengths = index.doc_lengths(post)
+    """Top-5 neighbours among all documents by a document's own top terms; every hundredth one asks."""
+    own = _stored(s, d)
     none = s.createDataFrame([], "src long, dst long")
-    return rank.related(post, lengths, index.corpus_stats(items, lengths), none)
+    return rank.related(own.post, own.lengths, own.stats, none, asking=F.col("doc_id") % 100 == 0, dfs=own.dfs)
 
 
 @query("recall_select", sql("""SELECT query_id, doc_id, round(1 / (1 + score), 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
 SELECT query_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * doclen / (SELECT avg(doclen) FROM lens)))), 6) AS score
 FROM q JOIN post USING (term) JOIN dfs USING (term) JOIN lens USING (doc_id), st GROUP BY 1, 2)) WHERE rank <= 3""", "toks", "lens", "stats", "asked", "dfs"))
 def recall_select(s, d):
-    docs, post = table(s, d, "documents"), settle(_post(s, d), "postings")
+    docs, post = table(s, d, "documents"), _stored(s, d).post
     none = s.createDataFrame([], "query_id long, doc_id long")
     return recall.select(docs, post, _queries(s, d), none).drop("excerpt")
 
@@ -661,7 +675,7 @@ def _sides(s, d):
     docs, post, _, stats, _, scores = _scores(s, d)
     counts = index.postings(_queries(s, d).withColumnRenamed("query_id", "doc_id")).withColumnRenamed("doc_id", "query_id")
     judged = lambda x: rank.top_k(x, rerank.WIDTH).withColumn("score", F.round(((F.col("doc_id") * 37 + F.col("query_id")) % 101) / 100, 6))
-    return settle(judged(scores), "left"), settle(judged(rank.tfidf_cosine(counts, post, stats)), "right")
+    return settle(judged(scores), "left"), settle(judged(rank.tfidf_cosine(counts, post, stats, _stored(s, d).dfs, _stored(s, d).norms)), "right")
 
 
 @query("merge_mean_top5")

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-LOCAL = "file:///tmp/checkpoints/marginalia"
-
 
 def work_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a local folder only where it is unset (tests)."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or LOCAL).rstrip("/")
+    """``spark.checkpoint.dir``; where it is unset, a local folder for a local master and an error on a cluster."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{tempfile.gettempdir()}/marginalia-checkpoints"
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
@@ -19,3 +24,10 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = f"{work_dir(df.sparkSession)}/marginalia/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stamps(spark: SparkSession, path: str) -> tuple:
+    """(name, length, modification time) of the files of a table, as its file system tells them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in fs.listStatus(at)))

@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.operators import dynamics, evaluate, gate, index, labels, pairs, rank, recall, records, rerank, routing, sections, vector
+from marginalia.operators import dynamics, evaluate, gate, index, labels, pairs, rank, recall, records, rerank, routing, sections, store, vector
 
 
 def frame(spark, rows, schema):
@@ -261,3 +261,28 @@ def test_operators_fold_by_default(spark):
     sets = {r.doc_id: r.terms for r in pairs.token_sets(docs).collect()}
     assert sets[1] == sets[2]
     assert {(r.doc_id, r.class_id) for r in pairs.exact_duplicates(docs).collect()} == {(1, 1), (2, 1)}
+
+
+def test_index_refresh_equals_rebuild(spark, tmp_path):
+    rows = {i: f"alpha beta{i % 3} gamma " * (i % 4) for i in range(30)}
+    before = frame(spark, list(rows.items()), "doc_id int, text string")
+    old = store.build(before)
+    seen = before.select("doc_id", F.sha2("text", 256).alias("digest"))
+    rows |= {3: "beta1 delta", 40: "new words alpha", 41: ""}
+    del rows[5], rows[7]
+    after = frame(spark, list(rows.items()), "doc_id int, text string")
+    moved = store.changes(after, seen)
+    assert sorted(r.doc_id for r in moved.collect()) == [3, 5, 7, 40, 41]
+    got, want = store.refresh(old, moved), store.build(after)
+    for name in ("post", "lengths", "dfs", "stats", "norms"):
+        both = [sorted(map(str, getattr(x, name).collect())) for x in (got, want)]
+        assert both[0] == both[1], name
+    store.save(got, f"{tmp_path}/index")
+    again = store.load(spark, f"{tmp_path}/index")
+    assert sorted(map(str, again.post.collect())) == sorted(map(str, want.post.collect()))
+    assert store.load(spark, f"{tmp_path}/index", 2) is None
+    with pytest.raises(Exception, match="exist"):
+        store.save(got, f"{tmp_path}/index")
+    terms = rank.query_terms(frame(spark, [(0, "alpha delta")], "query_id int, text string"))
+    scores = [sorted((r.doc_id, r.score) for r in rank.bm25(terms, x.post, x.lengths, x.stats, dfs=dfs).collect()) for x, dfs in ((got, got.dfs), (want, None))]
+    assert scores[0] == scores[1] and scores[0]
