@@ -180,8 +180,8 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text", _column(docs, "source").alias("source"), _column(docs, "lang").alias("lang"))
 
 
-def features(docs: DataFrame, chosen: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """{id: (text view, page view)} on the driver, one row an id; ``chosen``: some thousand ids."""
+def features(docs: DataFrame, chosen: DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(id, text view, page view) on the driver, one row an id; ``chosen``: some thousand ids."""
     own = _rows(docs).join(F.broadcast(chosen.select("id")), F.col("doc_id") == F.col("id"))
     own = own.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "source", "lang")).alias("r")).select("id", "r.*")
 
@@ -192,7 +192,7 @@ def features(docs: DataFrame, chosen: DataFrame) -> dict[int, tuple[np.ndarray,
 
     made = settle(own.mapInPandas(run, "id long, t binary, p binary"), "features")
     # As many rows as were chosen, of fixed size; they come one file at a time.
-    return {r["id"]: (np.frombuffer(r["t"], np.float16).astype(np.float32), np.frombuffer(r["p"], np.float32)) for r in made.toLocalIterator()}
+    return ((r["id"], np.frombuffer(r["t"], np.float16), np.frombuffer(r["p"], np.float32)) for r in made.toLocalIterator())
 
 
 def view_scores(docs: DataFrame, weights: list[np.ndarray]) -> DataFrame:
@@ -233,16 +233,25 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
     if any(len({y for _, y in part}) < 2 for part in (held, seen)):
         return float(np.mean([y for _, y in sample])) if sample else 1.0
 
-    def gathered(ids: list[int]) -> dict:
-        return features(docs, spark.createDataFrame(pa.table({"id": pa.array(ids, pa.int64())})))
-
-    made = gathered([i for i, _ in sample])
-    views = [np.stack([made[i][k] for i, _ in seen]) for k in (0, 1)]
-    held_views, held_y = [np.stack([made[i][k] for i, _ in held]) for k in (0, 1)], np.array([y for _, y in held])
-    del made
-    ys = [np.array([y for _, y in seen], np.float32)] * 2
-    good, gone = float(ys[0].mean()), set()
-    weights = [logistic(x, y, L2) for x, y in zip(views, ys, strict=True)]
+    # Rows are held out, labelled, taught; both views have room for all that will be taught.
+    n = len(sample)
+    views = [np.zeros((n + rounds * taught, width), np.float32) for width in (DIMS, SLOTS)]
+    ys = [np.array([y for _, y in held + seen] + [0] * (rounds * taught), np.float32) for _ in views]
+    upto = [n, n]
+
+    def fill(to: list[dict[int, int]]) -> None:
+        """Put the features of ids in their rows of each view as they come."""
+        ids = pa.table({"id": pa.array(sorted(to[0].keys() | to[1].keys()), pa.int64())})
+        for i, *own in features(docs, spark.createDataFrame(ids)):
+            for k in (0, 1):
+                if i in to[k]:
+                    views[k][to[k][i]] = own[k]
+
+    def fitted() -> list[np.ndarray]:
+        return [logistic(views[k][len(held) : upto[k]], ys[k][len(held) : upto[k]], L2) for k in (0, 1)]
+
+    fill([{i: at for at, (i, _) in enumerate(held + seen)}] * 2)
+    good, gone, weights = float(ys[0][len(held) : n].mean()), set(), fitted()
     for _ in range(rounds):
         scores = settle(view_scores(docs, weights).join(votes, "id", "left_anti"), "view-scores")
         free = scores.where(~F.col("id").isin(sorted(gone))) if gone else scores  # at most 2 * TAUGHT a round
@@ -250,15 +259,15 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
         picked = [surest(free, view, good, most) for view in ("text", "page")]
         if not any(picked):
             break
-        gone |= {i for own in picked for i, _ in own}
-        made = gathered(sorted({i for own in picked for i, _ in own}))
+        to: list[dict[int, int]] = [{}, {}]
         for k, own in enumerate(picked):  # what one view is sure of teaches the other
-            if own:
-                views[1 - k] = np.concatenate([views[1 - k], np.stack([made[i][1 - k] for i, _ in own])])
-                ys[1 - k] = np.append(ys[1 - k], np.array([y for _, y in own], np.float32))
-        del made
-        weights = [logistic(x, y, L2) for x, y in zip(views, ys, strict=True)]
-    return calibrated(weights, held_views, held_y)
+            for i, y in own:
+                to[1 - k][i], ys[1 - k][upto[1 - k]] = upto[1 - k], y
+                upto[1 - k] += 1
+        gone |= to[0].keys() | to[1].keys()
+        fill(to)
+        weights = fitted()
+    return calibrated(weights, [v[: len(held)] for v in views], ys[0][: len(held)])
 
 
 def score(docs: DataFrame, model: Model | float, threshold: float = THRESHOLD) -> DataFrame:
