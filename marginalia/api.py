@@ -99,7 +99,7 @@ class Vault:
         own = self.notes if zone is None else self.notes.where(F.col("zone") == zone)
         if wanted:
             own = own.where(labels.has_all(F.col("labels"), F.array(*map(F.lit, wanted))))
-        return own.select("key", "title", "zone", "type", "labels", "updated").orderBy(F.col("updated").desc(), F.col("key").desc()).offset(offset).limit(limit)
+        return index.listing(own.select("key", "title", "zone", "type", "labels", "updated"), offset, limit)
 
     def label_counts(self) -> DataFrame:
         return labels.histogram(self.notes)

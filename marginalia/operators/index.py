@@ -61,6 +61,11 @@ def upsert_postings(post: DataFrame, changed: DataFrame, exact: bool = True, tex
     return kept.unionByName(postings(changed.where(F.col(text_col).isNotNull()), exact=exact).select(*post.columns))
 
 
+def listing(notes: DataFrame, offset: int = 0, limit: int = 50, newest: str = "updated", key: str = "key") -> DataFrame:
+    """A page of ``notes``, newest first, then by key."""
+    return notes.orderBy(F.col(newest).desc(), F.col(key).desc()).offset(offset).limit(limit)
+
+
 def aliases(notes: DataFrame) -> DataFrame:
     """(alias, key): each slug's newest note."""
     return notes.groupBy(T.slug(F.col("title")).alias("alias")).agg(F.max_by("key", F.struct("mtime", "key")).alias("key"))

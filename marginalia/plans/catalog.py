@@ -224,10 +224,7 @@ def bm25_topk(s, d):
     return rank.top_k(rank.bm25(terms, own.post, own.lengths, own.stats, dfs=own.dfs), 10)
 
 
-@query(
-    "tfidf_cosine_topk",
-    sql(
-        """, qc AS (SELECT query_id, term, count(*) AS qtf FROM qall GROUP BY ALL),
+_COS = """, qc AS (SELECT query_id, term, count(*) AS qtf FROM qall GROUP BY ALL),
 idf AS (SELECT term, ln((1 + n_docs) / (1 + df)) + 1 AS idf FROM dfs, st),
 w AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM post JOIN idf USING (term)),
 norms AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM w GROUP BY 1),
@@ -235,10 +232,9 @@ qw AS (SELECT query_id, term, (1 + ln(qtf)) * idf AS w FROM qc JOIN idf USING (t
 qn AS (SELECT query_id, sqrt(sum(w * w)) AS n FROM qw GROUP BY 1),
 cos AS (SELECT qw.query_id, w.doc_id, round(sum(qw.w / qn.n * w.w) / any_value(norms.n), 6) AS score FROM qw JOIN qn USING (query_id) JOIN w USING (term) JOIN norms USING (doc_id) GROUP BY 1, 2)
 """
-        + _RANKED.format("cos", 5),
-        "toks", "lens", "stats", "asked", "dfs",
-    ).replace("\n, qc", ", qc"),
-)
+
+
+@query("tfidf_cosine_topk", sql(_COS + _RANKED.format("cos", 5), "toks", "lens", "stats", "asked", "dfs").replace("\n, qc", ", qc"))
 def tfidf_cosine_topk(s, d):
     own = _stored(s, d)
     counts = index.postings(_queries(s, d).withColumnRenamed("query_id", "doc_id")).withColumnRenamed("doc_id", "query_id")
@@ -374,13 +370,13 @@ def zone_priority(s, d):
 
 
 @query("stale_notes", """WITH n AS (SELECT c_custkey AS "key", 1.0 + c_nationkey % 5 * 0.25 AS strength, 7.0 AS stability, max(o_orderdate) AS last_access, c_mktsegment AS "zone" FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
-e AS (SELECT "key", "zone", last_access, round(greatest(0.05, strength * exp(-greatest(0.0, epoch_us(TIMESTAMP '1996-01-01') / 1e6 - epoch_us(last_access) / 1e6) / 86400 / stability)), 6) AS eff FROM n WHERE last_access IS NOT NULL)
-SELECT "key", eff FROM e WHERE eff < 0.1 AND (epoch_us(TIMESTAMP '1996-01-01') - epoch_us(last_access)) / 1e6 / 86400 > 90 AND "zone" <> 'identity'""")
+e AS (SELECT "key", "zone", last_access, round(greatest(0.05, strength * exp(-greatest(0.0, epoch_us(TIMESTAMP '2001-09-01') / 1e6 - epoch_us(last_access) / 1e6) / 86400 / stability)), 6) AS eff FROM n WHERE last_access IS NOT NULL)
+SELECT "key", eff FROM e WHERE eff < 0.1 AND (epoch_us(TIMESTAMP '2001-09-01') - epoch_us(last_access)) / 1e6 / 86400 > 90 AND "zone" <> 'identity'""")
 def stale_notes(s, d):
     last = table(s, d, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("last_access"))
     c = table(s, d, "customer").join(last, F.col("c_custkey") == F.col("o_custkey"), "left")
     notes = c.select(F.col("c_custkey").alias("key"), (1 + F.col("c_nationkey") % 5 * 0.25).alias("strength"), F.lit(7.0).alias("stability"), "last_access", F.col("c_mktsegment").alias("zone"), F.lit(None).cast("string").alias("expires_at"))
-    return dynamics.stale(notes, F.lit("1996-01-01").cast("timestamp")).select("key", "eff")
+    return dynamics.stale(notes, F.lit("2001-09-01").cast("timestamp")).select("key", "eff")
 
 
 @query("boosted_topk", sql("""SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
@@ -447,7 +443,7 @@ def label_histogram(s, d):
 
 @query("list_paginated", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id DESC LIMIT 20 OFFSET 40")
 def list_paginated(s, d):
-    return table(s, d, "documents").select("doc_id", "n_chars").orderBy(F.col("n_chars").desc(), F.col("doc_id").desc()).offset(40).limit(20)
+    return index.listing(table(s, d, "documents").select("doc_id", "n_chars"), 40, 20, "n_chars", "doc_id")
 
 
 @query("zone_normalize", "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN '' WHEN n_nationkey % 3 = 1 THEN lower(n_name) END AS \"zone\" FROM nation")
@@ -548,9 +544,15 @@ def _routes(s, d):
     return table(s, d, "part").select(F.col("p_partkey").alias("seq"), F.col("p_name").alias("trigger"), F.concat(F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit("/"), (F.col("p_size") % 7).cast("string"), F.lit(".md")).alias("document"))
 
 
-@query("trigger_match")
+_NOUNS = ("ring", "widget", "bolt", "gear", "gizmo")
+
+
+@query("trigger_match", """SELECT r_regionkey AS task_id, p_partkey AS seq, p_name AS trigger, lower(replace(p_brand, '#', '')) || '/' || p_size % 7 || '.md' AS document
+FROM region JOIN part ON list_contains(string_split(p_name, ' '), ['ring', 'widget', 'bolt', 'gear', 'gizmo'][r_regionkey + 1])""")
 def trigger_match(s, d):
-    return routing.match(_routes(s, d), table(s, d, "region").select(F.col("r_regionkey").alias("task_id"), F.concat(F.lit("opening the part "), "r_name").alias("task")))
+    """Tasks that name a kind of part against all parts' triggers."""
+    noun = F.element_at(F.array(*map(F.lit, _NOUNS)), F.col("r_regionkey") + 1)
+    return routing.match(_routes(s, d), table(s, d, "region").select(F.col("r_regionkey").alias("task_id"), F.concat(F.lit("the "), noun).alias("task")))
 
 
 _ROUTES = """WITH r AS (SELECT p_partkey AS seq, p_name AS trigger_, lower(replace(p_brand, '#', '')) || '/' || (p_size % 7) || '.md' AS document FROM part)
@@ -609,7 +611,9 @@ def retire_running_total(s, d):
     return gate.retire(_notes(s, d), 300, 15_000, 50)
 
 
-@query("plan_validate")
+@query("plan_validate", _NOTES + """, o(seq, op, slug, "zone", reason) AS (VALUES (1, 'rezone', 1, 'Deep Work', NULL), (2, 'rezone', 1, NULL, 'rezone_to_archive_rejected'), (3, 'link', NULL, NULL, 'self-link'), (4, 'link', NULL, NULL, NULL),
+(5, 'supersede', NULL, NULL, 'unknown slug'), (6, 'archive', 2, NULL, NULL), (7, 'archive', 10, NULL, NULL), (8, 'burn', 2, NULL, 'unknown op'), (9, 'rezone', 2, NULL, 'invalid zone name'))
+SELECT seq, op, o."zone", CASE WHEN op = 'archive' AND starts_with(p."zone", '_archive') THEN 'already archived' WHEN op = 'archive' AND prot THEN 'protected note' ELSE reason END AS reason FROM o LEFT JOIN p ON p."key" = slug""")
 def plan_validate(s, d):
     ops = s.createDataFrame(
         [(1, "rezone", "1", " Deep Work ", *[None] * 4), (2, "rezone", "1", "_archive", *[None] * 4), (3, "link", None, None, "1", "1", None, None), (4, "link", None, None, "1", "2", None, None),
@@ -655,17 +659,26 @@ def last_role_text(s, d):
     return records.last_by_role(table(s, d, "conversations"))
 
 
-@query("transcript_sections")
+@query("transcript_sections", """WITH m AS (SELECT conv_id, turn, role || ' ' || turn AS item FROM conversations WHERE role IN ('user', 'assistant'))
+SELECT conv_id, 'decisions' AS family, list(item ORDER BY turn) AS items FROM m GROUP BY 1""")
 def transcript_sections(s, d):
-    return records.transcript_sections(table(s, d, "conversations"))
+    """Every message with a headed list put after its text, fenced and unnamed parts included."""
+    after = F.concat(F.lit("\n## Decisions\n- "), "role", F.lit(" "), F.col("turn").cast("string"), F.lit("\n```\ncode\n```\n# Other\n1. none"))
+    return records.transcript_sections(table(s, d, "conversations").withColumn("text", F.concat(F.coalesce("text", F.lit("")), after)))
 
 
-@query("document_sections")
+@query("document_sections", """WITH t AS (SELECT doc_id, source, lang, coalesce("text", '') AS x FROM documents),
+n AS (SELECT *, length(x) - length(replace(x, chr(10), '')) + 1 AS k FROM t)
+SELECT doc_id, 0 AS section, substr(sha256(source || chr(0) || '1'), 1, 16) AS anchor, source AS heading, 1 AS level, 1 AS first_line, CAST(1 + k AS INT) AS last_line FROM n
+UNION ALL SELECT doc_id, 1, substr(sha256(source || chr(0) || lang || chr(0) || '1'), 1, 16), lang, 2, CAST(2 + k AS INT), CAST(3 + k AS INT) FROM n""")
 def document_sections(s, d):
-    return sections.sections(table(s, d, "documents")).select("doc_id", "section", "anchor", "heading", "level", "first_line", "last_line")
+    """Each text under a heading of its source, with a second one of its language after it."""
+    text = F.concat(F.lit("# "), "source", F.lit(" #\n"), F.coalesce("text", F.lit("")), F.lit("\n"), "lang", F.lit("\n-----"))
+    rows = sections.sections(table(s, d, "documents").withColumn("text", text))
+    return rows.select("doc_id", "section", "anchor", "heading", "level", "first_line", "last_line")
 
 
-@query("block_coverage")
+@query("block_coverage", "SELECT doc_id AS path, TRUE AS ok FROM documents")
 def block_coverage(s, d):
     docs = table(s, d, "documents").select(F.col("doc_id").alias("path"), "text")
     return sections.verify_blocks(sections.blocks(docs), docs)
@@ -678,13 +691,25 @@ def _sides(s, d):
     return settle(judged(scores), "left"), settle(judged(rank.tfidf_cosine(counts, post, stats, _stored(s, d).dfs, _stored(s, d).norms)), "right")
 
 
-@query("merge_mean_top5")
+_MERGED = _COS + """, lft AS (SELECT query_id, doc_id, r AS ra FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM bm25) WHERE r <= 32),
+rgt AS (SELECT query_id, doc_id, r AS rb FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM cos WHERE score > 0) WHERE r <= 32),
+cards AS (SELECT query_id, doc_id, ra, rb, round(((doc_id * 37 + query_id) % 101) / 100, 6) AS score FROM lft FULL JOIN rgt USING (query_id, doc_id)),
+five AS (SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ra NULLS LAST, rb NULLS LAST, doc_id) AS rank FROM cards) WHERE rank <= 5)
+"""
+
+
+@query("merge_mean_top5", sql(_MERGED + "SELECT * FROM five", *_BM25).replace("\n, qc", ", qc").replace("\n, lft", ", lft"))
 def merge_mean_top5(s, d):
     """Both retrievers' cards with a stand-in judge that depends on the ids alone."""
     return rerank.merge_top(*_sides(s, d))
 
 
-@query("pairwise_preference")
+_PAIRED = _MERGED + """, pr AS (SELECT a.query_id, a.rank AS i, a.doc_id, ((a.doc_id * 13 + b.doc_id * 7) % 11) / 10 AS p, ((b.doc_id * 13 + a.doc_id * 7) % 11) / 10 AS r FROM five a JOIN five b ON a.query_id = b.query_id AND a.rank <> b.rank),
+tot AS (SELECT query_id, i, doc_id, round(sum((p + 1 - r) / 2), 6) AS preference FROM pr GROUP BY ALL)
+SELECT query_id, doc_id, preference, row_number() OVER (PARTITION BY query_id ORDER BY preference DESC, i) AS rank FROM tot"""
+
+
+@query("pairwise_preference", sql(_PAIRED, *_BM25).replace("\n, qc", ", qc").replace("\n, lft", ", lft").replace("\n, pr", ", pr"))
 def pairwise_preference(s, d):
     answers = rerank.ordered_pairs(rerank.merge_top(*_sides(s, d))).withColumn("p", ((F.col("a") * 13 + F.col("b") * 7) % 11) / 10)
     return rerank.pairwise_order(answers)
@@ -705,7 +730,10 @@ def latency_percentiles(s, d):
 ORACLE["latency_percentiles"] = "SELECT CAST(50 AS DOUBLE) AS point, round(quantile_cont(\"value\", 0.5), 6) AS \"value\" FROM events UNION ALL SELECT 95.0, round(quantile_cont(\"value\", 0.95), 6) FROM events UNION ALL SELECT 99.0, round(quantile_cont(\"value\", 0.99), 6) FROM events"
 
 
-@query("prompt_digest")
+@query("prompt_digest", """WITH n AS (SELECT doc_id AS "key", CASE source WHEN 'src0' THEN 'identity' WHEN 'src1' THEN '' ELSE source END AS "zone", n_chars % 100 / 10 AS eff, n_chars AS updated FROM documents),
+k AS (SELECT *, CASE "zone" WHEN 'identity' THEN 0 WHEN '' THEN 2 ELSE 1 END AS kind, CASE "zone" WHEN 'src2' THEN 1.0 WHEN 'src3' THEN 0.5 ELSE 0 END AS p FROM n),
+o AS (SELECT *, row_number() OVER (PARTITION BY kind = 0 ORDER BY kind, p DESC, "zone", eff DESC, updated DESC, "key") AS own, row_number() OVER (ORDER BY kind, p DESC, "zone", eff DESC, updated DESC, "key") AS ord FROM k)
+SELECT row_number() OVER (ORDER BY ord) AS place, "zone", "key" FROM o WHERE own <= CASE WHEN kind = 0 THEN 5 ELSE 20 END QUALIFY place <= 20""")
 def prompt_digest(s, d):
     notes = table(s, d, "documents").select(F.col("doc_id").alias("key"), F.when(F.col("source") == "src0", "identity").when(F.col("source") == "src1", "").otherwise(F.col("source")).alias("zone"), (F.col("n_chars") % 100 / 10).alias("eff"), F.col("n_chars").alias("updated"))
     return gate.digest(notes, s.createDataFrame([("src2", 1.0), ("src3", 0.5)], "zone string, priority double"), 20)
@@ -716,11 +744,11 @@ def content_hashes(s, d):
     return table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
-@query("set_difference", "SELECT c_custkey AS \"key\" FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("set_difference", sql("SELECT doc_id, term, tf FROM post WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)", "toks"))
 def set_difference(s, d):
-    return table(s, d, "customer").select(F.col("c_custkey").alias("key")).join(table(s, d, "orders").select(F.col("o_custkey").alias("key")), "key", "left_anti")
-
-
+    """Postings without those of vanished documents, for which the bad ones stand in."""
+    gone = table(s, d, "labels").where("quality = 0").select("doc_id", F.lit(None).cast("string").alias("text")).distinct()
+    return index.upsert_postings(_stored(s, d).post, gone)
 
 
 @query("capture_dedupe", """WITH r AS (SELECT event_type AS scope, user_id AS capture_id, CAST("value" AS BIGINT) % 3 AS payload, ts FROM events)

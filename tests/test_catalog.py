@@ -16,7 +16,8 @@ QUICK = [
     "tokenize_terms", "doc_length", "corpus_stats", "slug_titles", "text_scalars", "redact_secrets", "iso_dates", "byte_offsets", "refresh_diff", "newest_per_stem", "bm25_topk",
     "shared_ranks", "access_strength", "effective_strength", "zone_priority", "label_filter_and", "list_paginated", "sign_dot_topk", "exact_duplicates", "token_classes", "band_neighbours",
     "orphans_dangling", "capacity_report", "retire_running_total", "keep_newest", "latest_per_scope", "fold_distinct", "monotonic_stamps", "last_role_text", "rank_metrics_grouping_sets",
-    "latency_percentiles", "capture_dedupe", "gold_ranks",
+    "latency_percentiles", "capture_dedupe", "gold_ranks", "related_notes", "tfidf_cosine_topk", "merge_mean_top5", "pairwise_preference", "prompt_digest", "plan_validate", "trigger_match",
+    "transcript_sections", "document_sections", "block_coverage", "set_difference", "stale_notes",
 ]
 
 
