@@ -46,7 +46,7 @@ ROUNDS, SHARE, TAUGHT = 2, 0.025, 400
 PULL, LEAST_WEIGHT = 0.02, 0.15
 #: Rows are rejected below this probability of being good.
 THRESHOLD = 0.5
-TRIGRAMS, SLOTS = 1 << 12, 64
+TRIGRAMS, SLOTS = 1 << 11, 64
 LAGS = (1, 2, 3, 4, 6, 8)
 DIMS = TRIGRAMS + len(LAGS)
 LAYOUT = 11
@@ -63,7 +63,7 @@ def text_view(text: str | None) -> np.ndarray:
     for s in range(0, len(a) - 2, 1 << 20):
         b = a[s : s + (1 << 20) + 2]
         h = ((b[:-2] << 16) | (b[1:-1] << 8) | b[2:]) * np.uint32(2654435761)
-        out += np.bincount(h >> np.uint32(20), minlength=TRIGRAMS)
+        out += np.bincount(h >> np.uint32(21), minlength=TRIGRAMS)
     words = np.fromiter(map(hash, raw.split()), np.int64)
     again = [(words[k:] == words[:-k]).sum() / (len(words) + SOFT_WORDS) for k in LAGS]
     return np.concatenate((np.sqrt(out / (out.sum() + SOFT_CHARS)), again)).astype(np.float32)
