@@ -45,15 +45,16 @@ _JOINED = rf"{NAME}[\"']?\s{{0,2}}[:=]"
 
 
 def candidate_pattern(least: int = LEAST, shortest: int = SHORTEST) -> str:
-    """Values of ``shortest`` characters after a name, or runs of ``least`` that aren't a name and its value."""
-    ahead = rf"(?<=[:=\s\"'])(?=[^\s\"'<>]{{{shortest}}})"
-    value = (
-        rf"{ahead}(?<=(?i:{_SPACED}))(?!(?i:bearer)\s)[^\s\"'<>]{{{shortest - 1},}}[^\s\"'<>.,;:)\]}}]"
-        rf"|{ahead}(?<=(?i:{_JOINED}))[^\s\"'<>&]{{{shortest - 1},}}[^\s\"'<>&.,;:)\]}}]"
-    )
-    return rf"{value}|(?<![{RUN}])(?=[={RUN}]{{{least}}})(?![{RUN}]{{0,64}}?(?i:{NAME})=)[={RUN}]{{{least},}}+"
+    """A name and its value of ``shortest`` characters, or runs of ``least`` that aren't a name before its value.
+
+    Names are matched forward, not looked back for at every character.
+    """
+    value = rf"(?i:{_SPACED})(?!(?i:bearer)\s)[^\s\"'<>]{{{shortest - 1},}}[^\s\"'<>.,;:)\]}}]|(?i:{_JOINED})[^\s\"'<>&]{{{shortest - 1},}}[^\s\"'<>&.,;:)\]}}]"
+    return rf"{value}|(?<![{RUN}])(?=[={RUN}]{{{least}}})(?![{RUN}]{{0,64}}?(?i:{NAME})[\"']?\s{{0,2}}[:=])[={RUN}]{{{least},}}+"
 
 
+#: What a match begins with where it is a value: the name is no part of the candidate.
+NAMED = rf"^((?i:{_SPACED})(?!(?i:bearer)\s)|(?i:{_JOINED}))"
 ASSIGNED = f"({_SPACED}|{_JOINED})$"
 #: Fixed word lists. Words that names and placeholders are made of:
 DICTIONARY = (
@@ -102,11 +103,14 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), path.alias("path"))
     pattern = candidate_pattern(least, shortest)
     found = rows.select("doc_id", "path", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("own"), "text").where(F.size("own") > 0)
-    split = found.select("doc_id", "path", "own", F.split("text", pattern, -1).alias("rest"))
-    zipped = split.select("doc_id", "path", F.arrays_zip(F.col("own").alias("candidate"), F.slice("rest", 1, F.size("own")).alias("before"), F.slice("rest", 2, F.size("own")).alias("after")).alias("z"))
+    near = lambda c, i, rest: F.struct(c.alias("match"), F.get(rest, i).alias("before"), F.get(rest, i + 1).alias("after"))
+    # The texts between matches are bound once.
+    zipped = F.transform(F.array(F.split("text", pattern, -1)), lambda rest: F.transform("own", lambda c, i: near(c, i, rest)))[0]
+    each = found.select("doc_id", "path", F.posexplode(zipped).alias("finding", "f")).select("doc_id", "path", "finding", "f.*")
+    name = F.regexp_extract("match", NAMED, 0)
+    before = F.lower(F.right(F.concat("before", name), F.lit(NEAR_BEFORE)))
     return (
-        zipped.select("doc_id", "path", F.posexplode("z").alias("finding", "f"))
-        .select("doc_id", "finding", F.col("f.candidate").alias("candidate"), F.lower(F.right(F.col("f.before"), F.lit(NEAR_BEFORE))).alias("before"), F.lower(F.left(F.col("f.after"), F.lit(NEAR_AFTER))).alias("after"), "path")
+        each.select("doc_id", "finding", F.regexp_replace("match", NAMED, "").alias("candidate"), before.alias("before"), F.lower(F.left("after", F.lit(NEAR_AFTER))).alias("after"), "path")
         .where((F.col("candidate").rlike("[0-9]") & (F.char_length("candidate") >= least)) | F.col("before").rlike(ASSIGNED))
     )
 
