@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, decontamination, fingerprints, line_dedup, packing, quote_links, secret_scan, simhash, url_trust, warc
+from . import cotraining, decontamination, fill_middle, fingerprints, line_dedup, packing, quote_links, secret_scan, simhash, url_trust, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -77,6 +77,13 @@ def op10_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quote_links.format_chat(table(spark, sf_dir, "conversations"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's form, cuts and the digests of its output and of the text rebuilt from it."""
+    out = fill_middle.transform(table(spark, sf_dir, "documents"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return out.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
@@ -88,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_url_trust": op9_url_trust,
     "op10_quote_links": op10_quote_links,
+    "op11_fill_middle": op11_fill_middle,
 }
 #: Operators that SQL can express; the others are tested against brute force.
-ORACLE: dict[str, str] = {"op3_line_dedup": line_dedup.OP3_SQL}
+ORACLE: dict[str, str] = {"op3_line_dedup": line_dedup.OP3_SQL, "op11_fill_middle": fill_middle.OP11_SQL}
