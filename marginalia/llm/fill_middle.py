@@ -16,8 +16,9 @@ stays plain, a fourth its order. Texts that hold a sentinel stay plain, so that
 Defined cases: null text is empty; an empty text is plain with no units; a null
 doc_id hashes as the empty string; rows that share a doc_id are cut by the same
 hashes, each in its own text; bytes that are no UTF-8 count as units unless they
-continue one, and are kept; an empty table gives an empty table; other columns
-are not read.
+continue one and are kept in the output (:func:`restored` gives U+FFFD for them,
+as Spark's string functions do); an empty table gives an empty table; other
+columns are not read.
 """
 
 from __future__ import annotations
