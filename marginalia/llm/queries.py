@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, decontamination, fill_middle, fingerprints, line_dedup, packing, quote_links, secret_scan, simhash, url_trust, warc
+from . import cotraining, decontamination, fill_middle, fingerprints, line_dedup, packing, quote_links, secret_scan, simhash, token_alignment, url_trust, warc
 
 TOKENIZER = "word_bpe_49k.json"
+ALIGNED = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +85,13 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), *digests)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's tokens, groups and links of two tokenizers, its links' corpus counts, and the digest of its groups."""
+    out = token_alignment.align(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, ALIGNED))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
@@ -96,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_trust": op9_url_trust,
     "op10_quote_links": op10_quote_links,
     "op11_fill_middle": op11_fill_middle,
+    "op12_token_alignment": op12_token_alignment,
 }
 #: Operators that SQL can express; the others are tested against brute force.
 ORACLE: dict[str, str] = {"op3_line_dedup": line_dedup.OP3_SQL, "op11_fill_middle": fill_middle.OP11_SQL}
