@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, decontamination, fill_middle, fingerprints, line_dedup, packing, quote_links, secret_scan, simhash, token_alignment, url_trust, warc
+from . import cotraining, decontamination, fill_middle, fingerprints, line_dedup, packing, quote_links, secret_scan, simhash, token_alignment, toxicity, url_trust, warc
 
 TOKENIZER = "word_bpe_49k.json"
 ALIGNED = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -92,6 +92,11 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's toxicity and whether its label was held out."""
+    return toxicity.score_fitted(toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quote_links": op10_quote_links,
     "op11_fill_middle": op11_fill_middle,
     "op12_token_alignment": op12_token_alignment,
+    "op13_toxicity": op13_toxicity,
 }
 #: Operators that SQL can express; the others are tested against brute force.
 ORACLE: dict[str, str] = {"op3_line_dedup": line_dedup.OP3_SQL, "op11_fill_middle": fill_middle.OP11_SQL}
