@@ -113,11 +113,46 @@ def test_short_items_match_as_whole_words():
     index = PassageIndex([(1, "Ab"), (2, "to be"), (3, "ab"), (4, "xyz"), (5, "a longer passage of words")])
     found = lambda t: sorted((h.item, h.start, h.length) for h in index.found(t))
     assert found("cab abc to bee") == []
-    assert found("the AB and\nto  be ab") == [(1, 4, 2), (2, 11, 5), (3, 4, 2)]
+    assert found("the AB and\nto  be ab") == [(1, 4, 2), (1, 17, 2), (2, 11, 5), (3, 4, 2), (3, 17, 2)]
     assert found("xyz") == [(4, 0, 3)] and found("") == [] and found(None) == []
     assert found("it has a longer passage of words xyz") == [(4, 33, 3), (5, 7, 25)]
 
 
+def test_short_items_beside_punctuation_and_in_scripts_without_blanks():
+    index = PassageIndex([(1, "secret7"), (2, "秘密の質問"), (3, "ああ"), (4, "c++"), (5, "é"), (6, "رمز")])
+    found = lambda t: sorted((h.item, h.start) for h in index.found(t))
+    assert found("the secret7. end, (secret7) secret77 xsecret7 secret7") == [(1, 4), (1, 19), (1, 46)]
+    assert found("これは秘密の質問です") == [(2, 3)] and found("abc秘密の質問7") == [(2, 3)]
+    assert found("あああ") == [(3, 0), (3, 1)]
+    assert found("in c++, not c++x or xc++") == [(4, 3), (4, 12)]
+    assert found("é né é") == [(5, 0), (5, 5)] and found("(رمز) رمزي") == [(6, 1)]
+
+
+def test_short_items_equal_brute_force():
+    rng = random.Random(9)
+    items = ["".join(rng.choices("ab .秘", k=rng.randint(1, 4))) for _ in range(40)]
+    index = PassageIndex(list(enumerate(items)))
+    for _ in range(200):
+        t = normal("".join(rng.choices("ab .秘c", k=rng.randint(0, 60))))
+        joined = lambda i: 0 < i < len(t) and t[i - 1] in "abc" and t[i] in "abc"  # noqa: B023, E731
+        want = [(k, i) for k, own in enumerate(map(normal, items)) if own for i in range(len(t)) if t.startswith(own, i) and not joined(i) and not joined(i + len(own))]
+        assert sorted((h.item, h.start) for h in index.found(t)) == sorted(want)
+
+
+def test_repeats_of_a_passage_take_linear_time():
+    import time
+
+    rng = random.Random(6)
+    passage = normal(words(rng, 14))
+    index, took = PassageIndex([(1, passage), (2, "so7")]), []
+    for n in (4000, 8000, 16000):
+        text, at = (passage + " qqzz so7 ") * n, time.process_time()
+        hits = index.found(text)
+        took.append(time.process_time() - at)
+        assert sum(h.item == 1 for h in hits) == n and sum(h.item == 2 for h in hits) == n
+    assert took[2] < 8 * took[0] + 0.5
+
+
 def test_chunks_of_a_long_text(monkeypatch):
     rng = random.Random(5)
     passage = normal(words(rng, 25))
