@@ -30,7 +30,8 @@ from .common import settle
 
 #: Turns in a window at most.
 BLOCK = 1024
-MARKS = r"^(?:[ \t]*>)+"
+#: One class and no repeated group: Java's matcher recurses a level for each turn of a group.
+MARKS = r"^[ \t>]*>"
 #: A line that introduces a quotation, dropped with it.
 ATTRIBUTION = r"(?i)^[ \t]*(on\b.{1,200}\bwrote|[^>]{1,80} (wrote|said)):[ \t]*$"
 

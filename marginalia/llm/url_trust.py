@@ -39,7 +39,8 @@ RULES = (
 DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-6, 0.5
 #: Lineage is cut each so many steps.
 SETTLE_STEPS = 5
-LINK = r"""(?i)href\s*=\s*["']?\s*[a-z][a-z0-9+.-]*://([^/?#"'\s<>]+)"""
+#: Every run of white space is taken by one possessive part, so no run is tried in two ways.
+LINK = r"""(?i)href\s*+=\s*+(?:["']\s*+)?+[a-z][a-z0-9+.-]*://([^/?#"'\s<>]+)"""
 
 
 def host_of(url):
