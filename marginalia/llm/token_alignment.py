@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -48,15 +49,20 @@ from pyspark.sql import functions as F
 from .common import drop_table, work_dir, write_table
 
 #: Parts, distinct pairs of parts and bytes of their groups beyond which a worker forgets what it knows.
-KNOWN_PARTS, KNOWN_PAIRS, KNOWN_BYTES = 200_000, 4_000_000, 1 << 26
+KNOWN_PARTS, KNOWN_PAIRS, KNOWN_BYTES = 400_000, 4_000_000, 1 << 26
 #: Text bytes, pairs of parts and packed pairs that are worked on at a time.
-BYTES_AT_ONCE, PAIRS_AT_ONCE = 1 << 21, 1 << 21
+BYTES_AT_ONCE, PAIRS_AT_ONCE = 1 << 20, 1 << 19
+#: Characters of parts that are tokenized as one text.
+CHARS_AT_ONCE = 1 << 14
 #: Distinct pairs with counts that a task holds before it gives them on.
-HELD = 1 << 21
+HELD = 1 << 20
 #: Links of one group beyond which they are made from its distinct ids.
 WIDE_GROUP = 1 << 12
 B_BITS = 32
 _SPACE = "▁"
+#: Fixed value: how byte-level tokenizers part a text before merging.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_NOT_LATIN = re.compile("[^\x00-\u024f]")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -90,17 +96,42 @@ class Tokenizers:
         b_pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(b_pieces)]
         self.a_size, self.b_size = (np.array([len(x) for x in own], np.int64) for own in (self.a_bytes, self.b_bytes))
-        self.a_name, self.b_name = ([str(i).encode() for i in range(len(own))] for own in (self.a_bytes, self.b_bytes))
+        names = [str(i).encode() for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        self.digits, self.name_size = np.frombuffer(b"".join(names), np.uint8), np.array([len(x) for x in names], np.int64)
+        self.name_first = np.cumsum(self.name_size) - self.name_size
         with open(a_path, encoding="utf-8") as file:
             made = json.load(file)
         split = made.get("pre_tokenizer") or {}
         bytewise = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not made.get("normalizer")
+        self.quick = self._ranked(made) if bytewise else None
         self.parted = bytewise and not any(_SPACE in p.lstrip(_SPACE) for p in b_pieces)
 
-    def encode(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of blank + part by A, and of part by B, which adds the blank."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
-        return a, self.b.encode(parts, num_threads=1)
+    def _ranked(self, made: dict):
+        """The same encoder by ranks, where ids are the order of the merges, or None."""
+        import tiktoken
+
+        merges = [m.split(" ") if isinstance(m, str) else m for m in made["model"]["merges"]]
+        special = {x["id"] for x in made.get("added_tokens", [])}
+        ids = {x: i for x, i in made["model"]["vocab"].items() if i not in special}
+        first = len(ids) - len(merges)
+        if first != 256 or any(ids.get(a + b) != first + k for k, (a, b) in enumerate(merges)):
+            return None
+        ranks = {x: i for i, x in enumerate(self.a_bytes) if i not in special}
+        return tiktoken.Encoding("a", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+
+    def _a(self, texts: list[str]) -> list[list[int]]:
+        """Ids by A. Latin text goes by ranks; of newer letters the two libraries might hold other classes."""
+        other = [i for i, t in enumerate(texts) if not self.quick or _NOT_LATIN.search(t)]
+        out = dict(zip(other, (e.ids for e in self.a.encode_batch_fast([texts[i] for i in other], add_special_tokens=False)), strict=True))
+        return [out[i] if i in out else self.quick.encode_ordinary(t) for i, t in enumerate(texts)]
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of blank + text by A, and of text by B, which adds the blank."""
+        return [np.array(x, np.int64) for x in self._a([" " + t for t in texts])], [np.array(x, np.int64) for x in self.b.encode(texts, num_threads=1)]
+
+    def whole(self, a: np.ndarray, b: np.ndarray, raw: bytes) -> bool:
+        """Whether the bytes of both sides' tokens are the text's."""
+        return b"".join(map(self.a_bytes.__getitem__, a.tolist())) == raw == b"".join(map(self.b_bytes.__getitem__, b.tolist()))
 
 
 def links(a: np.ndarray, b: np.ndarray, a_of: np.ndarray, b_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,7 +158,7 @@ class Parts:
 
     Of part i: ``n[i]`` is (A tokens, B tokens, groups, links), ``good[i]`` whether
     both tokenizers keep its bytes, ``open[i]`` whether no text may be parted after
-    it, ``text[i]`` its groups in decimal ids, and its distinct pairs with their
+    it, ``text[i]`` its groups in decimal ids (each with its ``;``), and its distinct pairs with their
     numbers are at ``first[i]`` .. ``first[i] + size[i]`` of ``pair`` and ``times``.
     """
 
@@ -146,48 +177,83 @@ class Parts:
     def full(self) -> bool:
         return len(self.text) > KNOWN_PARTS or len(self.pair) > KNOWN_PAIRS or self.bytes > KNOWN_BYTES
 
+    def _tokens(self, parts: list[str], opens: list[bool]) -> Iterator[tuple[np.ndarray, np.ndarray, list[int], list[bool]]]:
+        """(A ids, B ids, bytes, good) of runs of parts, the bytes of bad ones counted as none.
+
+        Parts are tokenized joined, which no token crosses; a run whose tokens do,
+        or lose bytes, is tokenized part by part.
+        """
+        t, at = self.tokenizers, 0
+        runs = []
+        while at < len(parts):
+            end, size = at, 0
+            while end < len(parts) and (end == at or size < CHARS_AT_ONCE and t.parted and not opens[end - 1]):
+                size += len(parts[end]) + 1
+                end += 1
+            runs.append(parts[at:end])
+            at = end
+        for run, a, b in zip(runs, *t.encode([" ".join(run) for run in runs]), strict=True):
+            raw = [(" " + p).encode("utf-8", "replace") for p in run]
+            size = [len(r) for r in raw]
+            ends = np.cumsum(size)
+            if t.whole(a, b, b"".join(raw)) and all(np.isin(ends, np.cumsum(n[x]), assume_unique=True).all() for n, x in ((t.a_size, a), (t.b_size, b))):
+                yield a, b, size, [True] * len(run)
+                continue
+            one = list(zip(*t.encode(run), strict=True))
+            good = [t.whole(x, y, r) for (x, y), r in zip(one, raw, strict=True)]
+            none = [np.zeros(0, np.int64)]
+            a, b = (np.concatenate(none + [x[k] for x, g in zip(one, good, strict=True) if g]) for k in (0, 1))
+            yield a, b, [n if g else 0 for n, g in zip(size, good, strict=True)], good
+
     def learn(self, parts: list[str]) -> None:
         """Tokenize and align new parts, all at a time."""
         t = self.tokenizers
-        raw = [(" " + p).encode("utf-8", "replace") for p in parts]
-        a, b = t.encode(parts)
-        good = np.array([b"".join(map(t.a_bytes.__getitem__, x)) == r == b"".join(map(t.b_bytes.__getitem__, y)) for x, y, r in zip(a, b, raw, strict=True)])
-        a, b = ([x if g else [] for x, g in zip(own, good.tolist(), strict=True)] for own in (a, b))
-        base = np.cumsum([0, *(len(r) if g else 0 for r, g in zip(raw, good.tolist(), strict=True))])
-        na, nb = (np.array([len(x) for x in own], np.int64) for own in (a, b))
-        a, b = (np.fromiter((i for x in own for i in x), np.int64, n.sum()) for own, n in ((a, na), (b, nb)))
+        opens = [not p or p[-1].isspace() for p in parts]
+        a, b, size, good = zip(*self._tokens(parts, opens), strict=True)
+        a, b, good = np.concatenate(a), np.concatenate(b), np.array([g for own in good for g in own])
+        base = np.cumsum([0, *(n for own in size for n in own)])
         a_end, b_end = np.cumsum(t.a_size[a]), np.cumsum(t.b_size[b])
         # Bytes of good parts follow each other, so ends of tokens are places in all of them together.
         both = np.intersect1d(a_end, b_end, assume_unique=True)
         a_of, b_of = np.searchsorted(both, a_end), np.searchsorted(both, b_end)
-        part = np.searchsorted(base, both, "left") - 1  # of each group
+        part = np.searchsorted(base, both) - 1  # of each group
         group, pair, times = links(a, b, a_of, b_of)
-        order = np.lexsort((pair, part[group]))
-        own, pair, times = part[group][order], pair[order], times[order]
+        own = part[group]
+        order = np.lexsort((pair, own))
+        own, pair, times = own[order], pair[order], times[order]
         new = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (pair[1:] != pair[:-1]))) if len(own) else np.zeros(0, np.int64)
         times = np.add.reduceat(times, new) if len(new) else times
         own, pair = own[new], pair[new]
-        size = np.bincount(own, minlength=len(parts))
-        total = np.bincount(own, times, len(parts)).astype(np.int64)
+        n = len(parts)
+        counts = [np.bincount(x, minlength=n) for x in (part[a_of], part[b_of], part)]
+        size, total = np.bincount(own, minlength=n), np.bincount(own, times, n).astype(np.int64)
         self.first = np.concatenate((self.first, len(self.pair) + np.cumsum(size) - size))
         self.size = np.concatenate((self.size, size))
         self.pair, self.times = np.concatenate((self.pair, pair)), np.concatenate((self.times, times))
-        self.n = np.concatenate((self.n, np.stack((na, nb, np.bincount(part, minlength=len(parts)), total), 1)))
+        self.n = np.concatenate((self.n, np.stack((*counts, total), 1)))
         self.good = np.concatenate((self.good, good))
-        self.open = np.concatenate((self.open, np.array([not p or p[-1].isspace() for p in parts])))
-        self.code.update(zip(parts, range(len(self.text), len(self.text) + len(parts)), strict=True))
-        self.text += self._texts(len(parts), part, a, b, a_of, b_of)
-        self.bytes += sum(map(len, self.text[-len(parts) :]))
+        self.open = np.concatenate((self.open, np.array(opens)))
+        self.code.update(zip(parts, range(len(self.text), len(self.text) + n), strict=True))
+        self.text += self._texts(n, part, a, b, a_of, b_of)
+        self.bytes += sum(map(len, self.text[-n:]))
 
     def _texts(self, n: int, part: np.ndarray, a, b, a_of, b_of) -> list[bytes]:
-        """The groups of each part, in decimal ids."""
-        t, groups = self.tokenizers, len(part)
-        a_names, b_names = list(map(t.a_name.__getitem__, a.tolist())), list(map(t.b_name.__getitem__, b.tolist()))
-        a_at, b_at = (np.searchsorted(of, np.arange(groups + 1)).tolist() for of in (a_of, b_of))
-        join = b",".join
-        made = [join(a_names[i:j]) + b"|" + join(b_names[k:m]) for i, j, k, m in zip(a_at, a_at[1:], b_at, b_at[1:], strict=False)]
-        at = np.searchsorted(part, np.arange(n + 1)).tolist()
-        return [b";".join(made[i:j]) for i, j in zip(at, at[1:], strict=False)]
+        """The groups of each part, in decimal ids, each with its ``;``."""
+        t, groups = self.tokenizers, np.arange(len(part) + 1)
+        a_at, b_at = np.searchsorted(a_of, groups), np.searchsorted(b_of, groups)
+        # Every id is followed by one mark: A's by the last of its group's |, B's by ;.
+        a_place, b_place = np.arange(len(a)) + b_at[a_of], np.arange(len(b)) + a_at[b_of + 1]
+        name, mark = np.zeros(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        name[a_place], name[b_place] = a, b
+        mark[a_place[a_at[1:] - 1]], mark[b_place[b_at[1:] - 1]] = ord("|"), ord(";")
+        size = t.name_size[name]
+        end = np.cumsum(size + 1)
+        out = np.empty(int(end[-1]) if len(end) else 0, np.uint8)
+        out[expand(end - size - 1, size)] = t.digits[expand(t.name_first[name], size)]
+        out[end - 1] = mark
+        upto = np.append(0, end)[(a_at + b_at)[np.searchsorted(part, np.arange(n + 1))]].tolist()
+        raw = out.tobytes()
+        return [raw[i:j] for i, j in zip(upto, upto[1:], strict=False)]
 
 
 def _words(text: str) -> list[str]:
@@ -445,7 +511,7 @@ def score(docs: DataFrame, shards: Shards, a_path: str, b_path: str) -> DataFram
                     sums[doc[starts], 5] += np.add.reduceat(times * count[back], starts)
                 bounds = np.searchsorted(own.doc, np.arange(own.rows + 1)).tolist()
                 code, text = own.code.tolist(), parts.text
-                groups = [b";".join([text[c] for c in code[i:j]]).decode() for i, j in zip(bounds, bounds[1:], strict=False)]
+                groups = [b"".join([text[c] for c in code[i:j]])[:-1].decode() for i, j in zip(bounds, bounds[1:], strict=False)]
                 columns = [batch.column(0).slice(at, own.rows), *(pa.array(sums[:, k]) for k in range(6)), pa.array(groups, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *names, "groups"])
 
