@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from .common import drop_table, work_dir, write_table
 
 #: Parts, distinct pairs of parts and bytes of their groups beyond which a worker forgets what it knows.
-KNOWN_PARTS, KNOWN_PAIRS, KNOWN_BYTES = 400_000, 4_000_000, 1 << 26
+KNOWN_PARTS, KNOWN_PAIRS, KNOWN_BYTES = 250_000, 4_000_000, 1 << 26
 #: Text bytes, pairs of parts and packed pairs that are worked on at a time.
 BYTES_AT_ONCE, PAIRS_AT_ONCE = 1 << 20, 1 << 19
 #: Characters of parts that are tokenized as one text.
@@ -382,28 +382,38 @@ def partial_counts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "pair long, n long")
 
 
-def sorted_counts(partial: DataFrame) -> DataFrame:
-    """(pair, n) of the whole corpus, sorted by pair over all partitions: the sums of runs of partial counts.
+def _runs(given: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct keys and the sums of their runs, of sorted (pair, n) batches; a run may go on in the next batch."""
+    last: tuple[np.ndarray, np.ndarray] | None = None
+    for batch in given:
+        keys, counts = (np.asarray(batch.column(i)) for i in (0, 1))
+        if last is not None:
+            keys, counts = np.concatenate((last[0], keys)), np.concatenate((last[1], counts))
+        keys, counts = summed(keys, counts)
+        if len(keys):
+            last = keys[-1:], counts[-1:]
+            yield keys[:-1], counts[:-1]
+    if last is not None:
+        yield last
+
+
+def _sorted(partial: DataFrame) -> DataFrame:
+    """Partial counts dealt by ranges of the pair and sorted: a global sort.
 
     ``partial`` is read twice, for the bounds of the ranges and for its rows: give a written table.
     """
-    spark = partial.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = int(partial.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return partial.repartitionByRange(ranges, "pair").sortWithinPartitions("pair")
+
+
+def sorted_counts(partial: DataFrame) -> DataFrame:
+    """(pair, n) of the whole corpus, sorted by pair over all partitions: the sums of runs of partial counts."""
 
     def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[np.ndarray, np.ndarray] | None = None
-        for batch in given:
-            keys, counts = (np.asarray(batch.column(i)) for i in (0, 1))
-            if last is not None:
-                keys, counts = np.concatenate((last[0], keys)), np.concatenate((last[1], counts))
-            keys, counts = summed(keys, counts)
-            if len(keys):  # the last run may go on in the next batch
-                last = keys[-1:], counts[-1:]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[:-1]), pa.array(counts[:-1])], names=["pair", "n"])
-        if last is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names=["pair", "n"])
+        for keys, counts in _runs(given):
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["pair", "n"])
 
-    return partial.repartitionByRange(ranges, "pair").sortWithinPartitions("pair").mapInArrow(run, "pair long, n long")
+    return _sorted(partial).mapInArrow(run, "pair long, n long")
 
 
 def vocabulary(a_path: str) -> int:
@@ -456,9 +466,9 @@ def _read(uri: str) -> bytes:
         return file.read()
 
 
-def write_shards(counts: DataFrame, a_ids: int) -> Shards:
-    """Write sorted counts as shards of raw int64 in the shared folder; an A id is below ``a_ids``."""
-    spark = counts.sparkSession
+def write_shards(partial: DataFrame, a_ids: int) -> Shards:
+    """Sort and sum partial counts, and write each range as a shard of raw int64 in the shared folder; an A id is below ``a_ids``."""
+    spark = partial.sparkSession
     folder = f"{work_dir(spark)}/marginalia/pair-shards-{uuid.uuid4().hex}"
 
     def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -467,10 +477,9 @@ def write_shards(counts: DataFrame, a_ids: int) -> Shards:
         name = uuid.uuid4().hex  # a repeated attempt writes files of its own
         n, first, best = 0, None, np.zeros(a_ids, np.int64)
         with store.open_output_stream(f"{path}/{name}.keys") as keys_to, store.open_output_stream(f"{path}/{name}.counts") as counts_to:
-            for batch in given:
-                if not batch.num_rows:
+            for keys, own in _runs(given):
+                if not len(keys):
                     continue
-                keys, own = (np.ascontiguousarray(np.asarray(batch.column(i)), np.int64) for i in (0, 1))
                 first = int(keys[0]) if first is None else first
                 keys_to.write(keys.tobytes())
                 counts_to.write(own.tobytes())
@@ -482,7 +491,7 @@ def write_shards(counts: DataFrame, a_ids: int) -> Shards:
             yield pa.RecordBatch.from_pydict(row, pa.schema([("keys", pa.string()), ("counts", pa.string()), ("n", pa.int64()), ("first", pa.int64()), ("a", pa.binary()), ("best", pa.binary())]))
 
     # One row a range; the A ids of all ranges together are the vocabulary and one more a range.
-    made = sorted(counts.mapInArrow(run, "keys string, counts string, n long, first long, a binary, best binary").collect(), key=lambda r: r["first"])
+    made = sorted(_sorted(partial).mapInArrow(run, "keys string, counts string, n long, first long, a binary, best binary").collect(), key=lambda r: r["first"])
     best = np.zeros(a_ids, np.int64)
     for r in made:
         np.maximum.at(best, np.frombuffer(r["a"], np.int64), np.frombuffer(r["best"], np.int64))
@@ -529,6 +538,6 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """Alignment, links and their corpus counts of each document; see :func:`score`."""
     spark = docs.sparkSession
     path = write_table(partial_counts(docs, a_path, b_path), "pair-counts")
-    shards = write_shards(sorted_counts(spark.read.parquet(path)), vocabulary(a_path))
+    shards = write_shards(spark.read.parquet(path), vocabulary(a_path))
     drop_table(spark, path)
     return score(docs, shards, a_path, b_path)
