@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,20 +38,90 @@ def int8_rows(v: Column) -> Column:
     return F.struct(scale.alias("scale"), F.transform(v, lambda x: F.rint(x.cast("double") / scale).cast("int")).alias("values"))
 
 
+def dequantised(row: Column) -> Column:
+    """The vector of (scale, values)."""
+    return F.transform(row["values"], lambda x: x * row["scale"])
+
+
+#: Numbers of one block of scores (queries x rows) in a task.
+SCORES_AT_ONCE = 1 << 22
+
+
+def _best_of(score: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` best by (score desc, doc), ties at the cut included in the choice."""
+    if len(score) > k:
+        least = np.partition(score, len(score) - k)[len(score) - k]
+        at = np.flatnonzero(score >= least)
+    else:
+        at = np.arange(len(score))
+    return at[np.lexsort((doc[at], -score[at]))[:k]]
+
+
+def _task_best(batches: Iterator[pa.RecordBatch], asked: np.ndarray, ids: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """(query_id, doc_id, score): each query's ``k`` best documents among a task's rows, by their best row."""
+    held = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        doc = np.asarray(batch.column(0))
+        order = np.argsort(doc, kind="stable")
+        starts = np.flatnonzero(np.append(True, np.diff(doc[order]) != 0))
+        rows = np.asarray(batch.column(1).flatten(), np.float64).reshape(len(doc), -1)[order]
+        docs = doc[order][starts]
+        step = max(1, SCORES_AT_ONCE // len(doc))
+        for q in range(0, len(ids), step):
+            scores = np.round(np.maximum.reduceat(asked[q : q + step] @ rows.T, starts, axis=1), 6)
+            for i, own in enumerate(scores, q):
+                score, of = np.concatenate((held[i][0], own)), np.concatenate((held[i][1], docs))
+                # A document of an earlier batch may come again: its better row counts.
+                first = np.lexsort((-score, of)) if np.isin(held[i][1], docs, assume_unique=True).any() else None
+                if first is not None:
+                    first = first[np.append(True, np.diff(of[first]) != 0)]
+                    score, of = score[first], of[first]
+                best = _best_of(score, of, k)
+                held[i] = score[best], of[best]
+    sizes = [len(s) for s, _ in held]
+    columns = [np.repeat(ids, sizes), np.concatenate([d for _, d in held]), np.concatenate([s for s, _ in held])] if sizes else []
+    if columns:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "doc_id", "score"])
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int, bound: int = 10_000) -> DataFrame:
+    """(query_id, doc_id, score, rank): the ``k`` best documents of each normalised query by their best row.
+
+    ``vectors``: (doc_id, row: array of one length), several rows a document;
+    ``queries``: (query_id, embedding). Each task keeps a query's ``k`` best
+    documents of its own rows, so tasks x queries x k rows are exchanged and no row
+    is: a document among the best overall is among the best where its best row is.
+    Queries are counted and go ``bound`` at a time. Rows without doc_id or vector
+    are no candidates.
+    """
+    spark = vectors.sparkSession
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), l2_normalize(F.col("embedding")).alias("q")).where("query_id is not null and size(q) > 0")
+    blocks = max(1, -(-asked.count() // bound))
+    rows = vectors.where("doc_id is not null and size(row) > 0").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("row").cast("array<double>").alias("row"))
+    out = None
+    for b in range(blocks):
+        # At most about ``bound`` queries, a block at a time.
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+        if not part and blocks > 1:
+            continue
+        shared = spark.sparkContext.broadcast((np.array([r["q"] for r in part], np.float64).reshape(len(part), -1), np.array([r["query_id"] for r in part], np.int64)))
+        best = rows.mapInArrow(lambda batches, shared=shared: _task_best(batches, *shared.value, k), "query_id long, doc_id long, score double")
+        out = best if out is None else out.unionByName(best)
+    best = out.groupBy("query_id", "doc_id").agg(F.round(F.max("score"), 6).alias("score"))
+    return top_k(best, k)
+
+
 def sign_search(vectors: DataFrame, queries: DataFrame, k: int, bound: int = 10_000) -> DataFrame:
     """Top ``k`` documents by the normalised query times the signs; best chunk a document.
 
     ``vectors``: (doc_id, embedding), several rows a document; ``queries``:
-    (query_id, embedding), a stated set, broadcast while counted below ``bound``
-    and otherwise compared block by block.
+    (query_id, embedding), a stated set; see :func:`search`.
     """
-    asked = queries.select("query_id", l2_normalize(F.col("embedding")).alias("q"))
-    n = asked.count()
-    blocks = max(1, -(-n // bound))
-    bits = vectors.select("doc_id", signs(F.col("embedding")).alias("bits"))
-    out = None
-    for b in range(blocks):
-        part = F.broadcast(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b))
-        best = bits.join(part).groupBy("query_id", "doc_id").agg(F.round(F.max(dot(F.col("q"), F.col("bits"))), 6).alias("score"))
-        out = best if out is None else out.unionByName(best)
-    return top_k(out, k)
+    return search(vectors.select("doc_id", signs(F.col("embedding")).alias("row")), queries, k, bound)
+
+
+def int8_search(vectors: DataFrame, queries: DataFrame, k: int, bound: int = 10_000) -> DataFrame:
+    """Top ``k`` documents by the normalised query times the dequantised rows; ``vectors``: (doc_id, scale, values)."""
+    return search(vectors.select("doc_id", dequantised(F.struct("scale", "values")).alias("row")), queries, k, bound)
