@@ -6,6 +6,7 @@ changing calls write the new state to a table of its own and return a new vault.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -194,7 +195,7 @@ class Vault:
         return replace(self, notes=settle(rest.join(notes, "key").select(*self.notes.columns), "notes")), judged
 
     def forget(self, key: str, now: str) -> tuple[Vault, DataFrame]:
-        return self.curate('{"ops": [{"op": "archive", "slug": "' + key + '"}]}', now)
+        return self.curate(json.dumps({"ops": [{"op": "archive", "slug": key}]}), now)
 
     def register(self, trigger: str, document: str) -> Vault:
         return replace(self, routes=settle(routing.register(self.routes, self.spark.createDataFrame([(0, trigger, document)], ROUTE)), "routes"))

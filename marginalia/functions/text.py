@@ -29,13 +29,42 @@ _ACCENTED, _PLAIN = _accent_map()
 _NATIVE = r"^[\x00-\x7f\xa1-\xa7\xa9\xab-\xae\xb0\xb1\xb6\xb7\xbb\xbf-\xff\x{0100}-\x{012f}\x{3041}-\x{3096}\x{30a1}-\x{30fa}\x{30fc}\x{4e00}-\x{9fff}\x{ac00}-\x{d7a3}\x{0430}-\x{044f}]*$"
 
 
-def _unicode_fold(text: Column) -> Column:
+def _unicode_fold(text: Column, form: str = "NFKC") -> Column:
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+        return texts.map(lambda t: None if t is None else unicodedata.normalize(form, t).casefold())
 
     return F.pandas_udf(run, "string")(text)
 
 
+#: Characters that composing (NFC) leaves alone, whatever stands beside them.
+_COMPOSED = r"^[\x00-\x{2ff}]*$"
+
+
+def nfc(text: Column) -> Column:
+    """Composed text. An Arrow UDF for rows beyond Latin letters; the others stay as they are."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+    return F.coalesce(F.pandas_udf(run, "string")(F.when(~text.rlike(_COMPOSED), text)), text)
+
+
+def nfc_all(texts: Column) -> Column:
+    """:func:`nfc` of each string of an array (functions over arrays take no UDF inside)."""
+
+    def run(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda own: None if own is None else [None if t is None else unicodedata.normalize("NFC", t) for t in own])
+
+    other = F.exists(texts, lambda t: F.coalesce(~t.rlike(_COMPOSED), F.lit(False)))
+    return F.coalesce(F.pandas_udf(run, "array<string>")(F.when(other, texts)), texts)
+
+
+def identity(text: Column) -> Column:
+    """The key under which names that differ in case or composition only are one: NFC and case folding."""
+    native = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    return F.coalesce(_unicode_fold(F.when(~text.rlike(_NATIVE), text), "NFC"), native)
+
+
 def lower_fold(text: Column, exact: bool = True) -> Column:
     """NFKC and case folding.
 
@@ -122,8 +151,8 @@ def counts_in_length(token: Column) -> Column:
 
 
 def slug(title: Column) -> Column:
-    """File name and link slug; composed characters are expected (NFC)."""
-    kept = F.regexp_replace(F.lower(F.btrim(title)), r"(?U)[^\w\s-]", "")
+    """File name and link slug, of the composed title."""
+    kept = F.regexp_replace(F.lower(F.btrim(nfc(title))), r"(?U)[^\w\s-]", "")
     out = F.regexp_replace(F.regexp_replace(kept, r"(?U)[\s_-]+", "-"), "^-+|-+$", "")
     return F.when(F.coalesce(out, F.lit("")) == "", "note").otherwise(out)
 
@@ -294,7 +323,10 @@ FUNCTION_WORDS = (
 
 
 def task_terms(text: Column, exact: bool = True) -> Column:
-    """Distinct tokens without stems and function words, with English base forms."""
+    """Distinct tokens without stems and function words, with English base forms.
+
+    The endings of ``variants`` are fixed values: other ones would match other routes.
+    """
     own = F.array_distinct(F.filter(tokens(text, exact), lambda t: ~t.endswith(STEM_MARK) & ~t.isin(FUNCTION_WORDS)))
 
     def variants(t: Column) -> Column:

@@ -20,7 +20,8 @@ def normal_label(label: Column) -> Column:
 
 
 def normalize(labels: Column) -> Column:
-    """Sorted distinct labels; null if any of them is malformed."""
+    """Sorted distinct labels, composed; null if any of them is malformed."""
+    labels = T.nfc_all(labels)
     parts = F.transform(labels, normal_label)
     whole = F.array_sort(F.array_distinct(parts))
     joined = F.transform(whole, lambda p: F.concat(p["namespace"], F.lit(":"), p["value"]))
@@ -52,8 +53,24 @@ def suggest(notes: DataFrame) -> DataFrame:
     return notes.select("key", normalize(found).alias("labels"))
 
 
+#: Stand-ins for an escaped backslash and an escaped quote while items are parted; no character has these codes.
+_BACKSLASH, _QUOTE = "\ufffe", "\uffff"
+
+
 def read_inline(header: Column) -> Column:
-    """Labels of a one-line ``labels: [..]`` header field, or null without one."""
+    """Labels of a one-line ``labels: [..]`` header field, or null without one.
+
+    Escapes are replaced first, so a quoted item is a run of one class of characters:
+    Java's matcher recurses a level for each turn of a repeated group, and a long
+    label would end the executor.
+    """
     raw = F.regexp_extract(header, r"(?m)^labels:[ \t]*\[(.*)\][ \t]*$", 1)
-    items = F.transform(F.regexp_extract_all(raw, F.lit(r"\"((?:[^\"\\]|\\.)*)\"|'([^']*)'|([^,\s][^,]*)"), F.lit(0)), lambda x: F.btrim(F.regexp_replace(x, "^[\"']|[\"']$", "")))
-    return F.when(header.rlike(r"(?m)^labels:[ \t]*\["), normalize(items))
+    raw = F.replace(F.replace(raw, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+    found = F.regexp_extract_all(raw, F.lit(r"\"[^\"]*+\"|'[^']*+'|[^,\s\"'][^,]*+"), F.lit(0))
+
+    def item(x: Column) -> Column:
+        inner = F.substr(x, F.lit(2), F.char_length(x) - 2)
+        back = lambda t, slash, quote: F.replace(F.replace(t, F.lit(_BACKSLASH), F.lit(slash)), F.lit(_QUOTE), F.lit(quote))
+        return F.btrim(F.when(x.startswith('"'), back(inner, "\\", '"')).when(x.startswith("'"), back(inner, "\\\\", '\\"')).otherwise(back(x, "\\\\", '\\"')))
+
+    return F.when(header.rlike(r"(?m)^labels:[ \t]*\["), normalize(F.transform(found, item)))

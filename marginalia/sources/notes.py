@@ -46,11 +46,16 @@ def field(header: Column, name: str) -> Column:
 
 
 def items(header: Column, name: str) -> Column:
-    """A flat header list, inline or in ``- `` lines."""
+    """A flat header list, inline or in the ``- `` lines right below the field."""
     inline = F.regexp_extract(header, rf"(?m)^{name}:[ \t]*\[(.*)\][ \t]*\r?$", 1)
-    block = F.regexp_extract(header, rf"(?m)^{name}:[ \t]*\r?\n((?:[ \t]*- .*(?:\r?\n|$))+)", 1)
+    lines = F.split(header, "\r?\n", -1)
+    at = F.array_position(F.transform(lines, lambda x: x.rlike(f"^{name}:[ \t]*$")), True)
+    below = F.slice(lines, (at + 1).cast("int"), F.greatest(F.size(lines), F.lit(1)))
+    # The list ends at the first line that is no item: lines are split and counted, no pattern repeats a group.
+    end = F.array_position(F.transform(below, lambda x: x.rlike(r"^[ \t]*- ")), False)
+    block = F.when(at > 0, F.when(end > 0, F.slice(below, 1, (end - 1).cast("int"))).otherwise(below)).otherwise(F.array().cast("array<string>"))
     clean = lambda x: F.btrim(F.regexp_replace(F.btrim(x), "^[\"']|[\"']$", ""))
-    parts = F.when(inline != "", F.transform(F.split(inline, ","), clean)).otherwise(F.transform(F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]*- (.*?)\r?$"), F.lit(1)), clean))
+    parts = F.when(inline != "", F.transform(F.split(inline, ","), clean)).otherwise(F.transform(block, lambda x: clean(F.regexp_replace(x, r"^[ \t]*- ", ""))))
     return F.filter(parts, lambda x: x != "")
 
 
@@ -155,7 +160,7 @@ def header_json(header: Column) -> Column:
 def import_candidates(files: DataFrame) -> DataFrame:
     """(path, target, body, problem) of .md, .txt and .json files (path, content).
 
-    Text and JSON are fenced verbatim; names that differ only in case collide.
+    Text and JSON are fenced verbatim; names that differ only in case or composition collide.
     """
     text = F.decode("content", "UTF-8")
     kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))
@@ -163,7 +168,7 @@ def import_candidates(files: DataFrame) -> DataFrame:
     target = F.concat(F.regexp_replace(F.regexp_extract("path", "([^/]+)$", 1), r"\.[A-Za-z]+$", ""), F.lit(".md"))
     body = F.when(F.col("kind") == "md", F.col("text")).when(F.col("kind") == "json", T.fence(F.col("text"), "json")).otherwise(T.fence(F.col("text")))
     broken = (F.col("kind") == "json") & F.try_parse_json("text").isNull()
-    rows = rows.select("path", target.alias("target"), body.alias("body"), broken.alias("broken")).withColumn("fold", F.lower("target"))
+    rows = rows.select("path", target.alias("target"), body.alias("body"), broken.alias("broken")).withColumn("fold", T.identity(F.col("target")))
     twice = rows.groupBy("fold").agg(F.count("*").alias("n"))
     return rows.join(twice, "fold").select("path", "target", "body", F.when(F.col("n") > 1, "duplicate target").when(F.col("broken"), "invalid JSON").alias("problem"))
 

@@ -68,18 +68,26 @@ def test_records_round_trip(spark):
     assert rows[0].name.startswith("capture-20261011123456123456-") and control.decode_record(rows[0].text) == {"scope": "s", "payload": "p"}
 
 
+def edited(spark, raw, labels):
+    files = spark.createDataFrame([("p", bytearray(raw), labels)], "path string, content binary, labels array<string>")
+    row = control.annotate(files).first()
+    return bytes(row.after), row.warning
+
+
 @pytest.mark.parametrize(
     ("raw", "want"),
     [
+        (b"", b'---\nlabels: ["a:b"]\n---\n'), (b"a\r\nb\r\n", b'---\r\nlabels: ["a:b"]\r\n---\r\na\r\nb\r\n'), (b"---\n---", b'---\nlabels: ["a:b"]\n---'),
+        (b"\xef\xbb\xbfbody \xff\x00", b'\xef\xbb\xbf---\nlabels: ["a:b"]\n---\nbody \xff\x00'), (b"---\nlabels: x\n- y\n---\n", b'---\nlabels: ["a:b"]\n- y\n---\n'),
         (b"body", b'---\nlabels: ["a:b"]\n---\nbody'),
         (b"---\ntitle: x\n---\nbody\r", b'---\ntitle: x\nlabels: ["a:b"]\n---\nbody\r'),
         (b"---\r\nlabels: [old]\r\nz: 1\r\n---\r\nb", b'---\r\nlabels: ["a:b"]\r\nz: 1\r\n---\r\nb'),
         (b"\xef\xbb\xbf---\n# note\nlabels:\nk: v\ntags:\n  - x\n---\n", b'\xef\xbb\xbf---\n# note\nlabels: ["a:b"]\nk: v\ntags:\n  - x\n---\n'),
     ],
 )
-def test_label_edits_keep_other_bytes(raw, want):
-    assert control.edit_labels(raw, ["a:b"]) == (want, None)
-    assert control.edit_labels(want, ["a:b"]) == (want, None)
+def test_label_edits_keep_other_bytes(spark, raw, want):
+    assert edited(spark, raw, ["a:b"]) == (want, None)
+    assert edited(spark, want, ["a:b"]) == (want, None)
 
 
 @pytest.mark.parametrize(
@@ -90,8 +98,8 @@ def test_label_edits_keep_other_bytes(raw, want):
         (b"---\nk: x\xe2\x80\xa8y\n---\n", "ambiguous"),
     ],
 )
-def test_unclear_headers_are_left_alone(raw, warning):
-    same, said = control.edit_labels(raw, ["a:b"])
+def test_unclear_headers_are_left_alone(spark, raw, warning):
+    same, said = edited(spark, raw, ["a:b"])
     assert same == raw and warning in said
 
 
@@ -101,7 +109,7 @@ def test_label_plans_are_checked_again(spark):
     plan = control.annotate(files)
     now = spark.createDataFrame([("a", bytearray(b"x")), ("b", bytearray(b"---\nopen")), ("c", bytearray(b"edited"))], "path string, content binary")
     got = {r.path: r.problem for r in control.still_current(plan, now).collect()}
-    assert got == {"a": None, "b": "unterminated frontmatter retained", "c": "file has changed", "d": "file is gone"}
+    assert got == {"a": None, "b": control.UNTERMINATED, "c": "file has changed", "d": "file is gone"}
 
 
 def test_split_topics(spark):
@@ -131,6 +139,8 @@ def test_vault(spark):
     assert [h.key for h in done.search("borrow checker", now).collect()] == ["rust-borrow-checker"]
     refused = v.forget("nobody", now)[1].first()
     assert refused.reason == "unknown slug"
+    hostile = v.forget('x"}, {"op": "archive", "slug": "kitchen', now)
+    assert [r.reason for r in hostile[1].collect()] == ["unknown slug"] and hostile[0].get("kitchen").first().zone != "_archive"
     routed = v.register("baking bread", "kitchen.md").register("memory safety", "rust.md").register("baking bread", "kitchen.md")
     assert routed.routes.count() == 2
     assert [r.document for r in routed.open("bread").collect()] == ["kitchen.md"]
