@@ -48,8 +48,8 @@ from pyspark.sql import functions as F
 
 from .common import drop_table, work_dir, write_table
 
-#: Parts, distinct pairs of parts and bytes of their groups beyond which a worker forgets what it knows.
-KNOWN_PARTS, KNOWN_PAIRS, KNOWN_BYTES = 250_000, 4_000_000, 1 << 26
+#: Parts, distinct pairs of parts and bytes of their groups beyond which a worker forgets the rare ones.
+KNOWN_PARTS, KNOWN_PAIRS, KNOWN_BYTES = 400_000, 4_000_000, 1 << 26
 #: Text bytes, pairs of parts and packed pairs that are worked on at a time.
 BYTES_AT_ONCE, PAIRS_AT_ONCE = 1 << 20, 1 << 19
 #: Characters of parts that are tokenized as one text.
@@ -172,11 +172,25 @@ class Parts:
         self.n, self.good, self.open = np.zeros((0, 4), np.int64), np.zeros(0, bool), np.zeros(0, bool)
         self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pair, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.bytes = 0
+        self.used, self.bytes = np.zeros(0, np.int64), 0
 
     def full(self) -> bool:
         return len(self.text) > KNOWN_PARTS or len(self.pair) > KNOWN_PAIRS or self.bytes > KNOWN_BYTES
 
+    def forget(self) -> None:
+        """Keep what texts have held more than once, the most used half at most."""
+        most = min(KNOWN_PARTS, len(self.text)) // 2
+        kept = np.flatnonzero(self.used > 1)
+        kept = np.sort(kept[np.argsort(-self.used[kept], kind="stable")[:most]])
+        room = (np.cumsum(self.size[kept]) <= KNOWN_PAIRS // 2) & (np.cumsum([len(self.text[i]) for i in kept.tolist()]) <= KNOWN_BYTES // 2)
+        kept = kept[room]
+        names, at = list(self.code), expand(self.first[kept], self.size[kept])
+        self.code = {names[i]: k for k, i in enumerate(kept.tolist())}
+        self.text = [self.text[i] for i in kept.tolist()]
+        self.n, self.good, self.open, self.size = self.n[kept], self.good[kept], self.open[kept], self.size[kept]
+        self.pair, self.times, self.first = self.pair[at], self.times[at], np.cumsum(self.size) - self.size
+        self.used, self.bytes = np.zeros(len(kept), np.int64), sum(map(len, self.text))
+
     def _tokens(self, parts: list[str], opens: list[bool]) -> Iterator[tuple[np.ndarray, np.ndarray, list[int], list[bool]]]:
         """(A ids, B ids, bytes, good) of runs of parts, the bytes of bad ones counted as none.
 
@@ -233,6 +247,7 @@ class Parts:
         self.n = np.concatenate((self.n, np.stack((*counts, total), 1)))
         self.good = np.concatenate((self.good, good))
         self.open = np.concatenate((self.open, np.array(opens)))
+        self.used = np.concatenate((self.used, np.zeros(n, np.int64)))
         self.code.update(zip(parts, range(len(self.text), len(self.text) + n), strict=True))
         self.text += self._texts(n, part, a, b, a_of, b_of)
         self.bytes += sum(map(len, self.text[-n:]))
@@ -304,10 +319,10 @@ def _batch(texts: list[bytes | None], parts: Parts) -> Batch:
             text = ""
         own.append([] if not text else text.split(" ") if parts.tokenizers.parted else [text])
     if parts.full():
-        parts.clear()
+        parts.forget()
 
     def coded(lists: list[list[str]]) -> list[np.ndarray]:
-        new = sorted({p for x in lists for p in x} - parts.code.keys())
+        new = list({p for x in lists for p in x} - parts.code.keys())
         if new:
             parts.learn(new)
         get = parts.code.__getitem__
@@ -319,7 +334,9 @@ def _batch(texts: list[bytes | None], parts: Parts) -> Batch:
         codes[i] = c
     codes = [c if parts.good[c].all() else c[:0] for c in codes]
     doc = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
-    return Batch(len(codes), np.concatenate(codes) if codes else np.zeros(0, np.int64), doc)
+    code = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+    parts.used += np.bincount(code, minlength=len(parts.used))
+    return Batch(len(codes), code, doc)
 
 
 def weighted(batch: Batch, parts: Parts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
