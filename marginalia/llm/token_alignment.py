@@ -130,8 +130,9 @@ class Tokenizers:
         return [np.array(x, np.int64) for x in self._a([" " + t for t in texts])], [np.array(x, np.int64) for x in self.b.encode(texts, num_threads=1)]
 
     def whole(self, a: np.ndarray, b: np.ndarray, raw: bytes) -> bool:
-        """Whether the bytes of both sides' tokens are the text's."""
-        return b"".join(map(self.a_bytes.__getitem__, a.tolist())) == raw == b"".join(map(self.b_bytes.__getitem__, b.tolist()))
+        """Whether the bytes of both sides' tokens are the text's; those of a byte-level A without a normalizer always are."""
+        same = b"".join(map(self.b_bytes.__getitem__, b.tolist())) == raw
+        return same and (self.quick is not None or b"".join(map(self.a_bytes.__getitem__, a.tolist())) == raw)
 
 
 def links(a: np.ndarray, b: np.ndarray, a_of: np.ndarray, b_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,6 +154,19 @@ def links(a: np.ndarray, b: np.ndarray, a_of: np.ndarray, b_of: np.ndarray) -> t
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
+class Codes(dict):
+    """Numbers of parts; one that is asked for the first time gets the next number and is kept in ``new``."""
+
+    def __init__(self, known: dict[str, int] | None = None):
+        super().__init__(known or {})
+        self.new: list[str] = []
+
+    def __missing__(self, part: str) -> int:
+        self.new.append(part)
+        self[part] = code = len(self)
+        return code
+
+
 class Parts:
     """What a worker knows of the parts of texts, as growing arrays.
 
@@ -167,7 +181,7 @@ class Parts:
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[str, int] = {}
+        self.code = Codes()
         self.text: list[bytes] = []
         self.n, self.good, self.open = np.zeros((0, 4), np.int64), np.zeros(0, bool), np.zeros(0, bool)
         self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -185,7 +199,7 @@ class Parts:
         room = (np.cumsum(self.size[kept]) <= KNOWN_PAIRS // 2) & (np.cumsum([len(self.text[i]) for i in kept.tolist()]) <= KNOWN_BYTES // 2)
         kept = kept[room]
         names, at = list(self.code), expand(self.first[kept], self.size[kept])
-        self.code = {names[i]: k for k, i in enumerate(kept.tolist())}
+        self.code = Codes({names[i]: k for k, i in enumerate(kept.tolist())})
         self.text = [self.text[i] for i in kept.tolist()]
         self.n, self.good, self.open, self.size = self.n[kept], self.good[kept], self.open[kept], self.size[kept]
         self.pair, self.times, self.first = self.pair[at], self.times[at], np.cumsum(self.size) - self.size
@@ -219,8 +233,17 @@ class Parts:
             a, b = (np.concatenate(none + [x[k] for x, g in zip(one, good, strict=True) if g]) for k in (0, 1))
             yield a, b, [n if g else 0 for n, g in zip(size, good, strict=True)], good
 
-    def learn(self, parts: list[str]) -> None:
-        """Tokenize and align new parts, all at a time."""
+    def coded(self, lists: list[list[str]]) -> list[np.ndarray]:
+        """The numbers of lists of parts; new ones are learned."""
+        get = self.code.__getitem__
+        out = [np.fromiter(map(get, own), np.int64, len(own)) for own in lists]
+        if self.code.new:
+            self._learn(self.code.new)
+            self.code.new = []
+        return out
+
+    def _learn(self, parts: list[str]) -> None:
+        """Tokenize and align new parts, all at a time, in the order of their numbers."""
         t = self.tokenizers
         opens = [not p or p[-1].isspace() for p in parts]
         a, b, size, good = zip(*self._tokens(parts, opens), strict=True)
@@ -248,7 +271,6 @@ class Parts:
         self.good = np.concatenate((self.good, good))
         self.open = np.concatenate((self.open, np.array(opens)))
         self.used = np.concatenate((self.used, np.zeros(n, np.int64)))
-        self.code.update(zip(parts, range(len(self.text), len(self.text) + n), strict=True))
         self.text += self._texts(n, part, a, b, a_of, b_of)
         self.bytes += sum(map(len, self.text[-n:]))
 
@@ -321,16 +343,9 @@ def _batch(texts: list[bytes | None], parts: Parts) -> Batch:
     if parts.full():
         parts.forget()
 
-    def coded(lists: list[list[str]]) -> list[np.ndarray]:
-        new = list({p for x in lists for p in x} - parts.code.keys())
-        if new:
-            parts.learn(new)
-        get = parts.code.__getitem__
-        return [np.fromiter(map(get, x), np.int64, len(x)) for x in lists]
-
-    codes = coded(own)
+    codes = parts.coded(own)
     again = [i for i, c in enumerate(codes) if parts.tokenizers.parted and parts.open[c].any()]
-    for i, c in zip(again, coded([_words(texts[i].decode()) for i in again]), strict=True):
+    for i, c in zip(again, parts.coded([_words(texts[i].decode()) for i in again]), strict=True):
         codes[i] = c
     codes = [c if parts.good[c].all() else c[:0] for c in codes]
     doc = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
