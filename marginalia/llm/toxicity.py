@@ -101,13 +101,13 @@ def _grouped(texts: list[bytes | None]) -> Iterator[tuple[list[int], list[np.nda
         yield rows, held, True
 
 
-def grams(pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(piece, bucket) of every gram: bytes of one word, a blank before and after it included."""
+def grams_by_size(pieces: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(piece, bucket) of every gram of each size, in order: bytes of one word, a blank before and after it included."""
     a = np.concatenate(pieces)
     of = np.repeat(np.arange(len(pieces), dtype=np.uint32), [len(p) for p in pieces])
     blank = a == 32
     h, inner = a.astype(np.uint32), np.zeros(len(a), bool)
-    which, bucket = [], []
+    out = []
     for n in range(2, max(SIZES) + 1):
         m = len(a) - n + 1
         if m <= 0:
@@ -118,31 +118,41 @@ def grams(pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
             own = np.flatnonzero(~inner)
             g = h[own]
             g = (g ^ (g >> np.uint32(15))) * np.uint32(0x85EBCA6B + 2 * n)
-            bucket.append(g >> np.uint32(32 - BITS))
-            which.append(of[own])
+            out.append((of[own], g >> np.uint32(32 - BITS)))
+    return out
+
+
+def grams(pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, bucket) of every gram of all sizes."""
     none = np.zeros(0, np.uint32)
-    return np.concatenate([none, *which]), np.concatenate([none, *bucket])
+    made = [(none, none), *grams_by_size(pieces)]
+    return np.concatenate([w for w, _ in made]), np.concatenate([b for _, b in made])
 
 
 def _document_counts(texts: list[bytes | None], flags: np.ndarray, all_: np.ndarray, confirmed: np.ndarray) -> None:
-    """Add each document once to the counts of its grams."""
-    part = (-1, None)
-    for rows, pieces, whole in _grouped(texts):
-        which, bucket = grams(pieces)
-        if whole:
-            both = np.unique((which << np.uint32(BITS)) | bucket)
-            which, bucket = both >> np.uint32(BITS), both & np.uint32(BUCKETS - 1)
-            all_ += np.bincount(bucket, minlength=BUCKETS)
-            confirmed += np.bincount(bucket[flags[rows][which]], minlength=BUCKETS)
-        else:
-            if part[0] != rows[0]:
-                part = (rows[0], np.zeros(BUCKETS, bool))
-            new = np.unique(bucket)
-            new = new[~part[1][new]]
-            part[1][new] = True
-            all_[new] += 1
-            if flags[rows[0]]:
-                confirmed[new] += 1
+    """Add each document once to the counts of its grams.
+
+    ``stamp`` holds, for each bucket, the number of the last gram that fell in it:
+    a gram is its document's first of a bucket if no gram of the document did before
+    (its stamp is older than the document) and it is the one whose number stayed. So
+    no document is sorted.
+    """
+    stamp, number, since, last = np.full(BUCKETS, -1, np.int64), 0, 0, -1
+    for rows, pieces, _ in _grouped(texts):
+        sizes = [(bucket, np.searchsorted(which, np.arange(len(rows) + 1)).tolist()) for which, bucket in grams_by_size(pieces)]
+        for k, row in enumerate(rows):
+            if row != last:  # else another piece of the same document
+                last, since = row, number
+            for bucket, at in sizes:
+                own = bucket[at[k] : at[k + 1]]
+                own = own[stamp[own] < since]
+                mine = np.arange(number, number + len(own))
+                stamp[own] = mine
+                own = own[stamp[own] == mine]
+                number += len(mine)
+                all_[own] += 1
+                if flags[row]:
+                    confirmed[own] += 1
 
 
 def ratios(confirmed: np.ndarray, all_: np.ndarray, n_confirmed: int, n_all: int, prior: float) -> np.ndarray:
@@ -153,20 +163,23 @@ def ratios(confirmed: np.ndarray, all_: np.ndarray, n_confirmed: int, n_all: int
 
 def numbers(texts: list[bytes | None], tables: list[np.ndarray], which_table: np.ndarray) -> np.ndarray:
     """The numbers of each text, by the ratios of its table."""
-    bins = [np.searchsorted(EDGES, t).astype(np.int64) for t in tables]
+    bins = [np.searchsorted(EDGES, t).astype(np.int32) for t in tables]
+    good = [np.maximum(t, 0) for t in tables]
+    square_of = [t * t for t in good]
     spread, top, square = np.zeros((len(texts), BINS)), np.zeros(len(texts)), np.zeros(len(texts))
     for rows, pieces, _ in _grouped(texts):
-        which, bucket = grams(pieces)
         rows = np.array(rows)
-        for k in np.unique(which_table[rows]).tolist():
-            own = which_table[rows][which] == k
-            w, b = which[own], bucket[own]
-            spread[rows] += np.bincount(w * np.int64(BINS) + bins[k][b], minlength=len(rows) * BINS).reshape(-1, BINS)
-            r = np.maximum(tables[k][b], 0)
-            square[rows] += np.bincount(w, r * r, len(rows))
-            most = np.zeros(len(rows))
-            np.maximum.at(most, w, r)
-            top[rows] = np.maximum(top[rows], most)
+        for which, bucket in grams_by_size(pieces):
+            for k in np.unique(which_table[rows]).tolist():
+                own = slice(None) if len(tables) == 1 else which_table[rows][which] == k
+                w, b = which[own].astype(np.int32), bucket[own]
+                if not len(w):
+                    continue
+                spread[rows] += np.bincount(w * np.int32(BINS) + bins[k][b], minlength=len(rows) * BINS).reshape(-1, BINS)
+                starts = np.flatnonzero(np.append(True, w[1:] != w[:-1]))  # grams come in the order of their documents
+                at = rows[w[starts]]
+                square[at] += np.add.reduceat(square_of[k][b], starts, dtype=np.float64)
+                top[at] = np.maximum(top[at], np.maximum.reduceat(good[k][b], starts))
     n = spread.sum(1)
     shares, counts = np.sqrt(spread / (n + 20)[:, None]), np.log1p(spread[:, COUNTED:]) / 5
     return np.column_stack((shares, counts, top, square / (n + 20) * 5, np.log1p(n) / 10)).astype(np.float32)
