@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import segment
-from ..operators import sidecar, vector
+from ..operators import bundle, handoffs, sidecar, vector
 from .catalog import query, table
 from .tables import settle
 
@@ -104,3 +104,78 @@ def int8_scores(s, d):
     row = vector.int8_rows(F.col("embedding"))
     asked = added.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
     return vector.int8_search(added.select("doc_id", row["scale"].alias("scale"), row["values"].alias("values")), asked, 10)
+
+
+# -- handoff records ---------------------------------------------------------------------
+
+KEEP, CAP = 3, 4
+
+
+@query("handoff_fold", f"""WITH r AS (
+  SELECT user_id, event_id, event_type = 'purchase' AS protected, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS age FROM events),
+o AS (SELECT *, age > {KEEP} AS old FROM r),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id, old AND NOT protected ORDER BY age DESC) AS place FROM o)
+SELECT event_id, CASE WHEN age = 1 THEN 'pinned' WHEN NOT old THEN 'kept' WHEN protected THEN 'protected note' WHEN place <= {CAP} THEN 'accepted' ELSE 'archive_capped (>{CAP})' END AS verdict FROM n""")
+def handoff_fold(s, d):
+    """Each user's events as captures of a scope; purchases are protected."""
+    rows = table(s, d, "events").select("user_id", "event_id", "ts", (F.col("event_type") == "purchase").alias("protected"))
+    return handoffs.judge_fold(rows, KEEP, F.lit(CAP), ("ts", "event_id"), ["user_id"]).select("event_id", "verdict")
+
+
+def _images(s, d):
+    """Messages as records, three to a capture id; some images altered, misplaced or with values that no record has."""
+    m = table(s, d, "conversations")
+    none = F.array().cast("array<string>")
+    stamp = F.date_format(F.timestamp_seconds(F.col("conv_id") * 1000 + F.col("turn")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    values = {
+        "capture_id": F.concat(F.lit("c"), F.floor(F.col("conv_id") / 3).cast("string")), "decisions": none, "event": F.when(F.col("turn") % 13 == 5, "fold").otherwise("explicit"), "kind": F.lit("capture"),
+        "links": none, "next_step": F.lit(""), "open_items": none, "open_questions": none, "project_key": F.col("role"), "provenance": F.array().cast("array<struct<path:string,sha256:string>>"),
+        "recorded_at": stamp, "session_id": F.lit(""), "source": F.lit("api"), "task_key": F.lit(None).cast("string"), "version": F.lit(1), "work": F.col("text"),
+    }
+    rows = handoffs.encode(m.select(*(c.alias(n) for n, c in values.items())))
+    at = F.regexp_extract("text", '"recorded_at":"[^"]*:([0-9]{2})', 1).cast("int")
+    altered = F.when(at % 7 == 3, F.concat(F.lit(" "), "text")).when(at % 7 == 4, F.replace("text", F.lit('"source":"api"'), F.lit('"source":"cli"'))).otherwise(F.col("text"))
+    moved = F.when(at % 11 == 2, F.concat(F.lit("elsewhere/"), F.substring_index("path", "/", -1))).otherwise(F.col("path"))
+    return rows.select(moved.alias("path"), altered.alias("text"))
+
+
+@query("handoff_problems", """WITH m AS (SELECT *, (conv_id * 1000 + turn) % 60 AS sec, 'c' || CAST(conv_id // 3 AS VARCHAR) AS capture FROM conversations),
+p AS (SELECT role, capture, conv_id, turn, "text", CASE WHEN sec % 7 = 3 THEN 'not a record' WHEN trim(coalesce("text", '')) = '' THEN 'invalid fields' WHEN turn % 13 = 5 THEN 'invalid kind'
+  WHEN sec % 7 = 4 THEN 'forged' WHEN sec % 11 = 2 THEN 'another scope' END AS problem FROM m),
+f AS (SELECT role, capture, count(DISTINCT conv_id * 1000 + turn) > 1 AS forked FROM p WHERE problem IS NULL GROUP BY 1, 2)
+SELECT CASE WHEN problem = 'not a record' THEN NULL ELSE role END AS project_key, coalesce(problem, CASE WHEN forked THEN 'forked' END, 'none') AS problem, count(*) AS records FROM p LEFT JOIN f USING (role, capture) GROUP BY 1, 2""")
+def handoff_problems(s, d):
+    """Every message as a record's image, read back with what is wrong with it."""
+    out = handoffs.read(_images(s, d)).withColumn("problem", F.coalesce("problem", F.lit("none")))
+    return out.groupBy("project_key", "problem").agg(F.count("*").alias("records"))
+
+
+# -- startup bundles -----------------------------------------------------------------------
+
+
+def _linked_documents(s, d):
+    """Documents in folders of a hundred; each requires two others, some in fences, by steps up, or gone."""
+    i = F.col("doc_id")
+    there = lambda k: F.concat((k - k % 100).cast("string"), F.lit("/"), k.cast("string"), F.lit(".md"))
+    near = F.floor(i / 2)
+    first = F.when(near - near % 100 == i - i % 100, F.concat(near.cast("string"), F.lit(".md"))).otherwise(F.concat(F.lit("../"), there(near)))
+    lines = F.concat_ws(
+        "\n", F.lit(""), F.concat(F.lit("MUST READ: "), first), F.when(i % 5 == 0, F.concat(F.lit("```\nMUST READ: ../"), there(i + 1), F.lit("\n```"))),
+        F.when(i % 7 == 0, F.concat(F.lit("- must read: `../"), there((i * 3) % 200), F.lit("`"))), F.when(i % 97 == 0, F.lit("MUST READ: ../../out.md")),
+    )
+    return table(s, d, "documents").select(there(i).alias("path"), F.concat(F.lit("Title "), i.cast("string"), lines).alias("text"), i.alias("id"))
+
+
+@query("startup_bundles", """WITH RECURSIVE d AS (SELECT doc_id AS i, doc_id // 2 AS near FROM documents),
+f AS (SELECT i, near, CASE WHEN near - near % 100 = i - i % 100 THEN CAST(near AS VARCHAR) || '.md' ELSE '../' || (near - near % 100) || '/' || near || '.md' END AS first FROM d),
+t AS (SELECT i, 'Title ' || i || chr(10) || 'MUST READ: ' || first || CASE WHEN i % 5 = 0 THEN chr(10) || '```' || chr(10) || 'MUST READ: ../' || ((i + 1) - (i + 1) % 100) || '/' || (i + 1) || '.md' || chr(10) || '```' ELSE '' END
+  || CASE WHEN i % 7 = 0 THEN chr(10) || '- must read: `../' || ((i * 3) % 200 - ((i * 3) % 200) % 100) || '/' || ((i * 3) % 200) || '.md`' ELSE '' END || CASE WHEN i % 97 = 0 THEN chr(10) || 'MUST READ: ../../out.md' ELSE '' END AS text FROM f),
+e AS (SELECT i AS src, near AS dst FROM f UNION SELECT i, (i * 3) % 200 FROM f WHERE i % 7 = 0),
+r AS (SELECT i AS bundle, i AS doc FROM d WHERE i % 100 = 0 UNION SELECT bundle, dst FROM r JOIN e ON e.src = r.doc),
+b AS (SELECT bundle, count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS bytes, bool_or(doc % 97 = 0) AS wrong FROM r JOIN t ON t.i = r.doc GROUP BY 1)
+SELECT bundle, NOT wrong AS complete, files, bytes FROM b""")
+def startup_bundles(s, d):
+    """The bundle of every hundredth document over all documents' references."""
+    docs = _linked_documents(s, d)
+    made = bundle.bundle(docs.select("path", "text"), docs.where("id % 100 = 0").select(F.col("id").alias("bundle"), "path"))
+    return made.summary.select("bundle", "complete", "files", "bytes")
