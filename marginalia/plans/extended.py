@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import segment
-from ..operators import bundle, handoffs, sidecar, vector
+from ..operators import bundle, dynamics_store, handoffs, sidecar, vector
 from .catalog import query, table
 from .tables import settle
 
@@ -179,3 +179,28 @@ def startup_bundles(s, d):
     docs = _linked_documents(s, d)
     made = bundle.bundle(docs.select("path", "text"), docs.where("id % 100 = 0").select(F.col("id").alias("bundle"), "path"))
     return made.summary.select("bundle", "complete", "files", "bytes")
+
+
+# -- stored dynamics ---------------------------------------------------------------------
+
+
+@query("dynamics_quarantine", """WITH e AS (SELECT event_id, user_id, event_id % 2000 AS k, event_id % 5 AS c, ts FROM events WHERE event_id IS NOT NULL),
+j AS (SELECT *, CASE WHEN event_id % 41 = 0 THEN 'not an object' WHEN event_id % 43 = 0 THEN 'no key' WHEN event_id % 47 = 0 THEN 'strength' WHEN event_id % 53 = 0 THEN 'stability'
+  WHEN event_id % 59 = 0 THEN 'access_count' WHEN event_id % 61 = 0 THEN 'last_access' END AS reason FROM e),
+p AS (SELECT *, row_number() OVER (PARTITION BY k, reason IS NULL ORDER BY ts DESC, c DESC, event_id) AS place FROM j)
+SELECT coalesce(reason, CASE WHEN place > 1 THEN 'repeated' END, 'loaded') AS reason, count(*) AS lines, CAST(sum(event_id) AS BIGINT) AS ids FROM p GROUP BY 1""")
+def dynamics_quarantine(s, d):
+    """Every event as a stored state's line, some damaged, read permissively."""
+    e, i = table(s, d, "events"), F.col("event_id")
+    state = F.to_json(F.struct(
+        F.when(i % 43 == 0, " ").otherwise((i % 2000).cast("string")).alias("key"), F.when(i % 47 == 0, 9.5).otherwise(1.5).alias("strength"), F.when(i % 53 == 0, -1.0).otherwise(7.0).alias("stability"),
+        F.when(i % 59 == 0, -3).otherwise(i % 5).alias("access_count"), F.when(i % 61 == 0, "someday").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")).alias("last_access"), i.alias("id"),
+    ))
+    lines = e.where("event_id is not null").select(F.lit("f").alias("file"), F.when(i % 41 == 0, F.substring(state, 1, 30)).otherwise(state).alias("line"), "event_id")
+    cut = F.coalesce(F.try_variant_get(F.try_parse_json("line"), "$.id", "long"), F.lit(None))
+    rows = dynamics_store.judged(lines.select("file", "line"))
+    known = lines.select(F.col("line").alias("l"), "event_id").where("event_id % 41 = 0")
+    rows = rows.withColumn("id", cut)
+    whole = rows.where("id is not null").select("reason", "id")
+    broken = rows.where("id is null").groupBy("line", "reason").agg(F.count("*").alias("n")).join(known, F.col("line") == F.col("l")).select("reason", F.col("event_id").alias("id"))
+    return whole.unionByName(broken).groupBy(F.coalesce("reason", F.lit("loaded")).alias("reason")).agg(F.count("*").alias("lines"), F.sum("id").alias("ids"))
