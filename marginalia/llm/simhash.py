@@ -44,10 +44,8 @@ SPREAD = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 TILE, LEAST_TILE = 131_072, 4096
 #: Pairs of tiles that a partition gets, about, and partitions at most.
 PAIRS_A_PART, MOST_PARTS = 4, 100_000
-#: Rows and shingles of a block of a candidate group, until it has MOST_BLOCKS of them.
-BLOCK_ROWS, BLOCK_SHINGLES, MOST_BLOCKS = 4096, 1_000_000, 64
-#: MB of kept ids that a partition hashes at most.
-KEPT_MB = 64
+#: Rows and shingles of a block of a candidate group, about; groups of one block go some together.
+BLOCK_ROWS, BLOCK_SHINGLES, TOGETHER = 4096, 1_000_000, 2_000_000
 #: Sets of fewer shingles than this need the radius ``short``.
 SHORT = 5
 SUB = 256
@@ -125,8 +123,11 @@ def _sum(h: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, method: Method = CONTRACT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, w0 .. w{words-1}: the fingerprint's words as bigint, n: shingles, s: sum of their hashes)."""
-    names = [f"w{i}" for i in range(method.words)]
+    """(doc_id, w0 .. w{words-1}: the fingerprint's words as bigint, n: shingles, s: sum of their hashes).
+
+    With a ``ratio`` also h, the text's hash, which tells texts under one doc_id apart.
+    """
+    names, extra = [f"w{i}" for i in range(method.words)], _extra(method)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -136,10 +137,15 @@ def fingerprints(docs: DataFrame, method: Method = CONTRACT, id_col: str = "doc_
                 h = np.unique(h) if method.distinct else h
                 rows.append((majority(h, method), len(h), _sum(h)))
             words = np.array([r[0] for r in rows], np.uint64).reshape(-1, method.words).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), **{n: words[:, i] for i, n in enumerate(names)}, "n": [r[1] for r in rows], "s": [r[2] for r in rows]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), **{n: words[:, i] for i, n in enumerate(names)}, "n": [r[1] for r in rows], "s": [r[2] for r in rows], **{c: pdf[c] for c in extra}})
 
-    schema = "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", n long, s long"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    schema = "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", n long, s long" + "".join(f", {c} long" for c in extra)
+    hashes = [F.xxhash64(text_col).alias(c) for c in extra]
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *hashes).mapInPandas(run, schema)
+
+
+def _extra(method: Method) -> list[str]:
+    return ["h"] if method.ratio else []
 
 
 # -- tiles -------------------------------------------------------------------
@@ -319,10 +325,9 @@ def verified(docs: DataFrame, distinct: DataFrame, groups: DataFrame, method: Me
     spark, names = docs.sparkSession, [f"w{i}" for i in range(method.words)]
     members = distinct.join(groups, "node")
     cells = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES))
-    cut = members.groupBy("component").agg(F.least(cells, F.lit(MOST_BLOCKS)).cast("int").alias("blocks"), F.sum("n").alias("shingles"))
-    cut = settle(cut, "simhash-groups")
-    total = cut.agg(F.sum(F.col("shingles") * F.col("blocks"))).first()[0] or 0
-    parts = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 2_000_000))
+    cut = settle(members.groupBy("component").agg(cells.cast("int").alias("blocks"), F.sum("n").alias("shingles")), "simhash-groups")
+    whole = cut.where("blocks = 1").agg(F.sum("shingles")).first()[0] or 0
+    lots = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), whole // TOGETHER))
     rows = members.join(cut.drop("shingles"), "component").select("node", "component", "blocks", "n", "s", *names)
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(rows, "node")
 
@@ -334,31 +339,32 @@ def verified(docs: DataFrame, distinct: DataFrame, groups: DataFrame, method: Me
             yield pdf.drop(columns=["text", "n", "s"]).assign(shingles=[x.tobytes() for x in sets])[own]
 
     schema = "node long, component long, blocks int, " + ", ".join(f"{n} long" for n in names) + ", shingles binary"
-    # Each pair of a group's blocks is a unit.
+    # Each pair of a group's blocks is a unit of two blocks of rows, however large the group;
+    # a group of one block is small, and lots of these are a unit.
     block, other = F.pmod(F.xxhash64("node", *names), F.col("blocks").cast("long")).cast("int"), F.col("other")
     dealt = (
         texts.mapInPandas(shingled, schema)
         .withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("node", "component", "block", F.least("block", other).alias("i"), F.greatest("block", other).alias("j"), *names, "shingles")
-        .repartition(parts, "component", "i", "j")
+        .withColumn("lot", F.when(F.col("blocks") == 1, -1 - F.pmod(F.xxhash64("component"), F.lit(lots))).otherwise(F.col("component")))
+        .withColumn("blocks_one", F.col("blocks") == 1)
+        .select("node", "component", "lot", "blocks_one", "block", F.least("block", other).alias("i"), F.greatest("block", other).alias("j"), *names, "shingles")
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = [b for b in batches if len(b)]
-        if not got:
-            return
-        for (_, i, j), unit in pd.concat(got, ignore_index=True).groupby(["component", "i", "j"]):
-            unit = unit.sort_values(["node", *names])
-            fps = unit[names].to_numpy(np.int64).view(np.uint64).reshape(-1, method.words)
-            sets = [np.frombuffer(x, np.uint64) for x in unit["shingles"]]
-            block, node = unit["block"].to_numpy(), unit["node"].to_numpy()
-            root = link_similar(np.ascontiguousarray(fps), sets, np.flatnonzero(block == i), np.flatnonzero(block == j), method).root
+    def run(unit: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"a": [], "b": []}, dtype=np.int64)]
+        for _, own in unit.groupby("component"):
+            own = own.sort_values(["node", *names])
+            fps = own[names].to_numpy(np.int64).view(np.uint64).reshape(-1, method.words)
+            sets = [np.frombuffer(x, np.uint64) for x in own["shingles"]]
+            block, node = own["block"].to_numpy(), own["node"].to_numpy()
+            root = link_similar(np.ascontiguousarray(fps), sets, np.flatnonzero(block == own["i"].iat[0]), np.flatnonzero(block == own["j"].iat[0]), method).root
             on = np.flatnonzero(root != np.arange(len(root)))
-            if len(on):
-                yield pd.DataFrame({"a": node[on], "b": node[root[on]]})
+            out.append(pd.DataFrame({"a": node[on], "b": node[root[on]]}))
+        return pd.concat(out, ignore_index=True)
 
-    return dealt.mapInPandas(run, "a long, b long")
+    # Components are doc_ids; lots are told from them by whether the unit's group is one block.
+    return dealt.groupBy("lot", F.col("blocks_one").alias("one"), "i", "j").applyInPandas(run, "a long, b long")
 
 
 def classes(docs: DataFrame, method: Method = CONTRACT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -380,23 +386,24 @@ def classes(docs: DataFrame, method: Method = CONTRACT, id_col: str = "doc_id",
         found = components(links(distinct, method))
     rooted = distinct.join(found, "node", "left").select(*keys, F.coalesce("component", "node").alias("component"))
     # Rows without doc_id are in no class and meet in no join.
-    out = named.join(rooted, keys).select("doc_id", *names, "n", F.col("component").alias("component_id"))
-    return out.unionByName(prints.where("doc_id is null").select("doc_id", *names, "n", F.lit(None).cast("long").alias("component_id")))
+    shown = ["doc_id", *names, "n", *_extra(method)]
+    out = named.join(rooted, keys).select(*shown, F.col("component").alias("component_id"))
+    return out.unionByName(prints.where("doc_id is null").select(*shown, F.lit(None).cast("long").alias("component_id")))
 
 
 def keep_representatives(docs: DataFrame, method: Method = NEAR) -> DataFrame:
     """``docs`` with one document of each class: that of its smallest doc_id.
 
-    Rows without doc_id pass. Repeated rows of one doc_id become one row.
+    Rows without doc_id pass. Repeated rows of one doc_id become one row. Of different
+    texts under the smallest doc_id that of the least text hash stays, and none of the
+    others comes back with it: rows are joined by id and text hash.
     """
-    found = classes(docs, method).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    found = classes(docs, method).where("doc_id = component_id").groupBy("doc_id").agg(F.min("h").alias("kept_hash"), F.count("*").alias("rows"))
     kept = settle(found.withColumnRenamed("doc_id", "kept_id"), "simhash-kept")
-    # The kept ids grow with the table: one plan at every size, never a broadcast.
-    # Hashed while a partition's ids, which are unique, take at most KEPT_MB.
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = kept.count() * 64 / parts <= KEPT_MB * 1e6
-    joined = lambda rows: docs.join(rows.hint("shuffle_hash" if small else "merge"), docs["doc_id"] == rows["kept_id"], "left_semi")
+    # The kept ids grow with the table: one plan at every size, never a broadcast; a sort-merge join can spill.
+    at = F.xxhash64(docs["text"])
+    joined = lambda rows: docs.join(rows.hint("merge"), (docs["doc_id"] == rows["kept_id"]) & (at == rows["kept_hash"]), "left_semi")
     out = joined(kept).unionByName(docs.where("doc_id is null"))
-    if kept.where("rows > 1").limit(1).count():  # two documents under one id
+    if kept.where("rows > 1").limit(1).count():  # repeated rows, or two texts under one id
         out = joined(kept.where("rows = 1")).unionByName(joined(kept.where("rows > 1")).dropDuplicates(["doc_id"])).unionByName(docs.where("doc_id is null"))
     return out

@@ -259,6 +259,19 @@ def test_near_copies_go_and_clean_documents_stay(spark):
     assert sorted(str(r.doc_id) for r in simhash.keep_representatives(twice).collect()) == ["0", "1", "2", "None"]
 
 
+def test_two_texts_under_one_id(spark):
+    rng = random.Random(12)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    one, two, three = text(), text(), text()
+    rows = [(3, one), (5, one + " x"), (5, two), (7, two + " y"), (9, three), (9, three), (11, text())]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [sorted((r.doc_id, r.text) for r in simhash.keep_representatives(docs.repartition(n)).collect()) for n in (1, 3)]
+    # 5 joins both classes to 3, whose text is the one that stays.
+    assert kept[0] == kept[1] == sorted([(3, one), (9, three), rows[-1]])
+    alone = docs.where("doc_id = 5")
+    assert len({tuple(r) for n in (1, 2) for r in simhash.keep_representatives(alone.repartition(n)).collect()}) == 1
+
+
 @pytest.mark.parametrize("rows", [4096, 3])
 def test_near_links_are_the_exact_similarity(spark, monkeypatch, rows):
     monkeypatch.setattr(simhash, "BLOCK_ROWS", rows)
