@@ -344,3 +344,27 @@ def test_one_long_conversation(spark):
 
 def test_digest_is_of_the_payload():
     assert warc.sha1_digest(b"") == "sha1:" + __import__("base64").b32encode(hashlib.sha1(b"").digest()).decode()
+
+
+def test_hostile_quote_marks(spark):
+    """A megabyte of marks, deep marks apart by blanks, and blanks without a mark end no executor."""
+    texts = [">" * (1 << 20) + " deep", "> " * 300_000 + "deep", " \t" * 500_000, "> plain\nanswer"]
+    messages = spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    got = messages.select("turn", quote_links.split_lines(F.col("text")).alias("l")).select("turn", F.col("l")[0]["level"].alias("level")).collect()
+    assert {r.turn: r.level for r in got} == {0: 1 << 20, 1: 300_000, 2: 0, 3: 1}
+    out = {r.turn: r.text for r in quote_links.format_chat(messages).select("turn", "text").collect()}
+    assert out[3] == "answer" and out[0] == "" and len(out) == 4
+
+
+def test_links_after_long_runs_of_blanks_take_linear_time(spark):
+
+    html = spark.range(1).select(F.repeat(F.lit("<a href="), F.lit(1)).alias("a"))
+    took = []
+    for n in (1 << 18, 1 << 19, 1 << 20):
+        own = html.select(F.concat("a", F.repeat(F.lit(" "), F.lit(n)), F.lit("x>"), F.lit("<a href  =  \"  http://b.org/x\">"), F.repeat(F.lit("href"), F.lit(n // 4))).alias("h"))
+        at = time.perf_counter()
+        assert own.select(F.regexp_extract_all("h", F.lit(url_trust.LINK), F.lit(1)).alias("l")).first().l == ["b.org"]
+        took.append(time.perf_counter() - at)
+    assert took[2] < 2
+    for text, want in {"href=http://a/": "a", "HREF = 'HTTP://A.b:1/x'": "A.b:1", "href=\"  ftp://q?": "q", "href= x://y": "y", "href='/local'": None}.items():
+        assert (spark.range(1).select(F.regexp_extract_all(F.lit(text), F.lit(url_trust.LINK), F.lit(1)).alias("l")).first().l or [None])[0] == want
