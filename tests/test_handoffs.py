@@ -45,11 +45,12 @@ def test_images_round_trip_and_problems_are_named(spark):
         (path, text.replace('{"capture_id"', '{"capture_id":"x","capture_id"'), "forged"), ("other/" + path.split("/")[1], text, "another scope"), (path, "prose", "not a record"), (path, None, "not a record"),
         (path.replace("/", "/deep/er/"), text, "not a record"), (path, text + "x" * (1 << 20), "too large"),
     ]
-    for p, t, want in forged:
-        got = H.read(spark.createDataFrame([(p, t)], H.FILES)).collect()
-        assert [r.problem for r in got] == [want], (p, want)
+    # Told apart by their place: a name of its own would make them other images.
+    given = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(forged)], "i int, path string, text string")
+    got = {(r.path, r.sha256): r.problem for r in H.read(given.drop("i")).collect()}
+    want = {(r.path, r.h): forged[r.i][2] for r in given.select("i", "path", F.sha2("text", 256).alias("h")).collect()}
+    assert got == want
     assert H.read(spark.createDataFrame([("a/.hidden.md", "x"), ("a/b.txt", "x")], H.FILES)).count() == 0
-    assert H.read(spark.createDataFrame([], H.FILES)).count() == 0
 
 
 def test_forks_and_retries(spark):
@@ -81,8 +82,7 @@ def verdicts(records, keep, other=0):
     return out
 
 
-@pytest.mark.parametrize("keep", [1, 3])
-def test_fold_equals_plain_python(spark, keep):
+def test_fold_equals_plain_python(spark, keep=2):
     rng = random.Random(keep)
     records = [record(i, rng.choice("pq"), rng.choice([None, "t"]), links=["x"] if rng.random() < 0.2 else [], work=rng.choice(["plain", "see [[Note]]", "w"]) + str(i)) for i in range(40)]
     fold = H.fold_plan(files_of(spark, records), journal_of(spark), keep, 7)
@@ -90,11 +90,12 @@ def test_fold_equals_plain_python(spark, keep):
     assert got == verdicts(records, keep, 7)
     plans = fold.plans.collect()
     assert len({p.plan_id for p in plans}) == len(plans) == len({k[:2] for k in got})
+    summaries = {r.path: r for r in H.read(fold.plans.where("summary is not null").select(F.col("summary_path").alias("path"), F.col("summary").alias("text"))).collect()}
     for p in plans:
         own = sorted((r for r in records if got[(r["project_key"], r["task_key"], r["capture_id"])] == "accepted" and (r["project_key"], r["task_key"]) == (p.project_key, p.task_key)), key=lambda r: r["recorded_at"])
         assert p.accepted == len(own)
         if own:
-            summary = H.read(spark.createDataFrame([(p.summary_path, p.summary)], H.FILES)).first()
+            summary = summaries[p.summary_path]
             assert summary.problem is None and summary.kind == "summary" and summary.recorded_at == own[-1]["recorded_at"]
             assert summary.work == "\n".join(dict.fromkeys(r["work"] for r in own)) and len(summary.provenance) == len(own)
 
@@ -112,8 +113,6 @@ def test_apply_is_bound_to_content_and_idempotent(spark):
     files, journal = files_of(spark, records), journal_of(spark)
     plans = {p.project_key: p for p in H.fold_plan(files, journal, 3).plans.collect()}
     assert plans["q"].accepted == 0 and H.apply_fold(files, journal, plans["q"].plan_id, 3)[2] == "noop"
-    with pytest.raises(ValueError, match="stale"):
-        H.apply_fold(files, journal, "0" * 64, 3)
     with pytest.raises(ValueError, match="stale"):
         H.apply_fold(files, journal, plans["p"].plan_id, 2)
     # A capture that comes between preview and apply makes the plan stale.
