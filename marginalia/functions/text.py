@@ -354,3 +354,32 @@ def fence(raw: Column, language: str = "") -> Column:
     longest = F.coalesce(F.array_max(F.transform(F.regexp_extract_all(raw, F.lit("(`+)"), F.lit(1)), F.char_length)), F.lit(0))
     mark = F.repeat(F.lit("`"), F.greatest(F.lit(3), longest + 1))
     return F.concat(mark, F.lit(language + "\n"), raw, F.when(raw.endswith("\n"), "").otherwise("\n"), mark, F.lit("\n"))
+
+
+#: Function words that content units leave out (English, Spanish, German).
+CONTENT_STOPWORDS = (
+    "a an the of to in on at by for with and or but is are was were be been do does did what which who whom when where why how i my me we our us you your it its "
+    "this that these those if so not no than then there from into after before about should can could would will must have has had get got up out s "
+    "el la los las de del en y que es un una por para con se mi mis su sus lo al como cuando donde cuanto hay le me tras "
+    "der die das den dem des ein eine einen und im an am zu mit von bei fur ist wie wann wo was welche welcher mein meine meinen unser wir ich es auf aus nicht vor bis"
+).split()
+#: Fixed value: the runs that content units cut into pairs.
+CONTENT_RUNS = r"\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7a3}"
+
+
+def content_units(text: Column, exact: bool = True) -> Column:
+    """Distinct Latin words without function words, and pairs of characters of Han, kana and Hangul runs.
+
+    A second tokenizer, apart from :func:`tokens`, to judge with what is not judged.
+    """
+    folded = strip_latin_accents(lower_fold(F.coalesce(text, F.lit("")), exact))
+    words = F.filter(F.regexp_extract_all(folded, F.lit("([a-z0-9]+)"), F.lit(1)), lambda w: ~w.isin(CONTENT_STOPWORDS))
+    runs = F.regexp_extract_all(folded, F.lit(f"([{CONTENT_RUNS}]+)"), F.lit(1))
+    pairs = lambda r: F.when(F.char_length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.char_length(r) - 1), lambda i: F.substring(r, i, F.lit(2))))
+    return F.array_distinct(F.concat(words, F.flatten(F.transform(runs, pairs))))
+
+
+def vocabulary_union(*channels: Column) -> Column:
+    """Terms of several channels in order, each where it comes first; a null channel has none."""
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(*(F.coalesce(c, none) for c in channels)))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import segment
+from ..functions import redact, segment
+from ..functions import text as T
 from ..operators import bundle, dynamics_store, handoffs, sidecar, vector
 from .catalog import query, table
 from .tables import settle
@@ -204,3 +205,34 @@ def dynamics_quarantine(s, d):
     whole = rows.where("id is not null").select("reason", "id")
     broken = rows.where("id is null").groupBy("line", "reason").agg(F.count("*").alias("n")).join(known, F.col("line") == F.col("l")).select("reason", F.col("event_id").alias("id"))
     return whole.unionByName(broken).groupBy(F.coalesce("reason", F.lit("loaded")).alias("reason")).agg(F.count("*").alias("lines"), F.sum("id").alias("ids"))
+
+
+# -- redaction, content units ------------------------------------------------------------
+
+_STOPS = ", ".join(f"'{w}'" for w in T.CONTENT_STOPWORDS)
+
+
+@query("content_units", f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(replace("text", 'ß', 'ss'))), '[a-z0-9]+')) AS w FROM documents),
+u AS (SELECT DISTINCT doc_id, w FROM w WHERE w NOT IN ({_STOPS})),
+l AS (SELECT doc_id, unnest([lang, source, 'the']) AS w FROM documents),
+b AS (SELECT doc_id, w FROM u UNION SELECT doc_id, w FROM l)
+SELECT d.doc_id, (SELECT count(*) FROM u WHERE u.doc_id = d.doc_id) AS units, (SELECT count(*) FROM b WHERE b.doc_id = d.doc_id) AS vocabulary FROM documents AS d""")
+def content_units(s, d):
+    """Each document's content units, and how many terms they have together with its language and source."""
+    units = T.content_units(F.col("text"))
+    rows = table(s, d, "documents").select("doc_id", "lang", "source", units.alias("u"))
+    both = T.vocabulary_union(F.col("u"), F.array("lang", "source"), F.array(F.lit("the")))
+    return rows.select("doc_id", F.size("u").cast("long").alias("units"), F.size(both).cast("long").alias("vocabulary"))
+
+
+@query("canary_redaction", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '[redacted-canary] ' || event_type || ' [redacted-canary]' WHEN event_id % 3 = 1 THEN event_type || ' all notes archived' ELSE 'ok [redacted-canary]' END AS text,
+CASE WHEN event_id % 3 = 0 THEN 3 WHEN event_id % 3 = 1 THEN 0 ELSE 1 END AS found FROM events""")
+def canary_redaction(s, d):
+    """Every event as a nested value; the phrase in wide letters, split by characters of no width, or cut short."""
+    i, wide = F.col("event_id"), "".join(chr(ord(c) + 0xFEE0) for c in "ALLNOTES")
+    text = F.when(i % 3 == 0, F.concat(F.lit("All n​otes\narchived  SUCCESSFULLY "), "event_type", F.lit(f" {wide} archived successfully"))).when(i % 3 == 1, F.concat("event_type", F.lit(" all notes archived"))).otherwise(F.lit("ok allnotesarchivedsuccessfully"))
+    inner = F.array(F.struct(F.when(i % 3 == 0, F.lit("ALL﻿NOTES ARCHIVED SUCCESSFULLY")).otherwise(F.lit("fine")).alias("note"), i.alias("id")))
+    rows = table(s, d, "events").select("event_id", F.struct(text.alias("text"), inner.alias("inner")).alias("v"))
+    out = redact.redact(rows, "v")
+    count = F.regexp_count(F.to_json("v"), F.lit(r"\[redacted-canary\]"))
+    return out.select("event_id", F.col("v.text").alias("text"), count.cast("int").alias("found"))
