@@ -74,3 +74,31 @@ def test_hostile_files_keep_their_bytes(spark):
     got = {r.path: (bytes(r.after), r.warning) for r in control.annotate(files).collect()}
     assert got["blank"] == (blank.replace(b"k: v\n---", b'k: v\nlabels: ["a:b"]\n---'), None) and got["deep"][1] is None
     assert got["none"] == (b"---\nlabels: []\n---\n", None)
+
+
+def test_canaries_in_nested_rows(spark):
+    from pyspark.sql import Row
+
+    from marginalia.functions import redact
+
+    wide = "".join(chr(ord(c) + 0xFEE0) for c in "ALLNOTES")
+    texts = ["all notes\tarchived\nsuccessfully!", "ALL​NOTES‍ARCHIVEDSUCCESSFULLY", f"{wide}ArchivedSuccessfully x", "all notes archived", "ﬁne é", None, "x" * 1000, 'say "all notes archived successfully"']
+    rows = [(i, t, Row(a=[Row(b=t, n=i)], m={"k": t, "all notes archived successfully": "v"}, d=None), [[t, "x"], []]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "i int, t string, s struct<a:array<struct<b:string,n:int>>,m:map<string,string>,d:date>, l array<array<string>>")
+    got = redact.redact(df, "t", "s", "l").collect()
+    for r, t in zip(sorted(got), texts, strict=True):
+        want = None if t is None else redact.plain(t)
+        assert r.t == want and r.s.a[0].b == want and r.s.a[0].n == r.i and r.l == [[want, "x"], []]
+        assert r.s.m == {"k": want, "all notes archived successfully": "v"}
+    assert [redact.REDACTED in (r.t or "") for r in sorted(got)] == [True, True, True, False, False, False, False, True]
+    texts = ['{"a": ["all notes archived successfully", 1.0], "b": null}', '{"a": "\\u0061ll notes archived successfully"}', "no JSON: All Notes Archived Successfully", "[1]", None]
+    shown = [r.y for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string").orderBy("i").select(redact.redact_json(F.col("x")).alias("y")).collect()]
+    assert shown == ['{"a": ["[redacted-canary]", 1.0], "b": null}', '{"a": "[redacted-canary]"}', "no JSON: [redacted-canary]", "[1]", None]
+
+
+def test_content_units(spark):
+    text = "The Café of Straße: it's 42 秘密の質問 와 한국어 a ß"
+    assert sorted(one(spark, text, T.content_units)) == sorted(["cafe", "strasse", "42", "秘密", "密の", "の質", "質問", "와", "한국", "국어", "ss"])
+    assert one(spark, None, T.content_units) == []
+    row = spark.sql("select array('b','a','b') as x, cast(null as array<string>) as y, array('c','a') as z").select(T.vocabulary_union(F.col("x"), F.col("y"), F.col("z")).alias("u")).first()
+    assert row.u == ["b", "a", "c"]
