@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import control, dynamics, gate, index, labels, pairs, rank, recall, routing, sections
+from .operators import control, dynamics, gate, index, labels, pairs, rank, recall, routing, sections, store
 from .plans.tables import settle
 
 NOTE = "key string, title string, zone string, type string, labels array<string>, links array<string>, updated string, polarity string, expires_at string, body string, size long, version long"
@@ -29,6 +29,8 @@ class Vault:
     log: DataFrame
     routes: DataFrame
     exact: bool = True
+    #: The stored index of ``documents()``, made at the first search and refreshed by what a change touches.
+    held: tuple[store.Index, ...] = ()
 
     @classmethod
     def empty(cls, spark: SparkSession) -> Vault:
@@ -43,8 +45,24 @@ class Vault:
     def documents(self) -> DataFrame:
         return self.notes.select(F.col("key").alias("doc_id"), F.concat_ws(" ", "title", "body").alias("text"))
 
-    def _index(self, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Postings, lengths and statistics, each computed once."""
+    def index(self) -> store.Index:
+        """The stored index of all notes."""
+        if not self.held:
+            object.__setattr__(self, "held", (store.build(self.documents(), self.exact),))
+        return self.held[0]
+
+    def _with(self, notes: DataFrame) -> Vault:
+        """The vault with other notes; its index, if it has one, takes in those that differ."""
+        made = replace(self, notes=settle(notes, "notes"), held=())
+        if self.held:
+            seen = self.documents().select("doc_id", F.sha2("text", 256).alias("digest"))
+            changed = settle(store.changes(made.documents(), seen), "changed-notes")
+            object.__setattr__(made, "held", (store.refresh(self.held[0], changed, self.exact) if changed.limit(1).count() else self.held[0],))
+        return made
+
+    def _triggers(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Postings, lengths and statistics of the routes' triggers, each computed once."""
+        docs = self.routes.select(F.col("seq").cast("long").alias("doc_id"), F.col("trigger").alias("text"))
         post = settle(index.postings(docs, exact=self.exact), "postings")
         lengths = settle(index.doc_lengths(post), "lengths")
         return post, lengths, settle(index.corpus_stats(docs, lengths), "stats")
@@ -68,8 +86,8 @@ class Vault:
 
     def search(self, query: str, now: str, limit: int = 8, zone: str | None = None, include_archive: bool = False, wanted: list[str] | None = None, expansions: dict[str, str] | None = None) -> DataFrame:
         """Ranked hits with snippets: labels filter before the cut, visibility after it."""
-        today, docs = now[:10], self.documents()
-        post, lengths, stats = self._index(docs)
+        today, own = now[:10], self.index()
+        post, lengths, stats = own.post, own.lengths, own.stats
         asked = self.spark.createDataFrame([(0, query)], "query_id int, text string")
         terms = rank.query_terms(asked, self.exact)
         terms = settle(terms, "terms")
@@ -107,8 +125,8 @@ class Vault:
 
     def related(self, limit: int = 5) -> DataFrame:
         """Neighbours of every note that it doesn't link yet."""
-        docs = self.documents()
-        post, lengths, stats = self._index(docs)
+        own = self.index()
+        post, lengths, stats = own.post, own.lengths, own.stats
         linked = self.notes.select(F.col("key").alias("src"), F.explode("links").alias("t")).select("src", T.slug(F.col("t")).alias("dst"))
         return settle(rank.related(post, lengths, stats, linked, limit), "related")
 
@@ -138,8 +156,7 @@ class Vault:
 
     def open(self, query: str, limit: int = 3) -> DataFrame:
         """Documents by their best triggers."""
-        own = self.routes.select(F.col("seq").cast("long").alias("doc_id"), F.col("trigger").alias("text"))
-        post, lengths, stats = self._index(own)
+        post, lengths, stats = self._triggers()
         asked = rank.query_terms(self.spark.createDataFrame([(0, query)], "query_id int, text string"), self.exact)
         ranked = rank.top_k(rank.bm25(asked, post, lengths, stats), 100).join(self.routes, F.col("doc_id") == F.col("seq"))
         return routing.open_documents(ranked.select("query_id", "rank", "document"), limit)
@@ -166,7 +183,7 @@ class Vault:
         notes, refused = control.upsert_versioned(self.notes, write)
         if refused.limit(1).count():
             raise ValueError("the note has another version")
-        return replace(self, notes=settle(notes, "notes"))
+        return self._with(notes)
 
     def accessed(self, key: str, ts: str) -> Vault:
         """The vault with one access logged; an unknown key changes nothing."""
@@ -192,7 +209,7 @@ class Vault:
         extra = dense.select("a", "b").withColumns({"seq": F.lit(-1), "op": F.lit("link"), **none}).select(*judged.columns)
         notes = control.apply_plan(self.notes.select("key", "title", "zone", "links", "body"), accepted.unionByName(extra))
         rest = self.notes.drop("title", "zone", "links", "body")
-        return replace(self, notes=settle(rest.join(notes, "key").select(*self.notes.columns), "notes")), judged
+        return self._with(rest.join(notes, "key").select(*self.notes.columns)), judged
 
     def forget(self, key: str, now: str) -> tuple[Vault, DataFrame]:
         return self.curate(json.dumps({"ops": [{"op": "archive", "slug": key}]}), now)

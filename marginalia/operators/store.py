@@ -1,4 +1,9 @@
-"""The stored index: postings, frequencies, lengths and statistics as tables, refreshed by what changed."""
+"""The stored index: postings, frequencies, lengths and statistics as tables, refreshed by what changed.
+
+A refresh writes what changed and no more: the new postings and lengths, the ids that
+they replace, the moves of the frequencies. Readers merge them with what was there. After
+``MOST_DELTAS`` refreshes the merged tables are written and reading starts from these.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +17,8 @@ from . import index
 
 FORMAT_VERSION = 1
 TABLES = ("post", "lengths", "dfs", "stats")
+#: Refreshes that readers merge before the tables are written anew.
+MOST_DELTAS = 8
 
 
 @dataclass
@@ -22,6 +29,7 @@ class Index:
     lengths: DataFrame
     dfs: DataFrame
     stats: DataFrame
+    deltas: int = 0
     _norms: list = field(default_factory=list)
 
     @property
@@ -45,8 +53,16 @@ def _stats(lengths: DataFrame) -> DataFrame:
     return total.withColumn("avgdl", F.when(F.col("n_docs") > 0, F.col("total_len") / F.col("n_docs")).otherwise(0.0))
 
 
+def _checked(docs: DataFrame) -> None:
+    """Ids must be there, and once: a repeated id would count its postings twice."""
+    n, ids, distinct = docs.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
+    if not n == ids == distinct:
+        raise ValueError(f"of {n} rows {n - ids} have no doc_id and {ids - distinct} repeat one")
+
+
 def build(docs: DataFrame, exact: bool = True) -> Index:
-    """The index of ``docs`` (doc_id, text), each table written once; doc_ids are unique and not null."""
+    """The index of ``docs`` (doc_id, text), each table written once; a null or repeated doc_id is an error."""
+    _checked(docs)
     post = settle(index.postings(docs, exact=exact), "postings")
     lengths = settle(_lengths(docs, post), "lengths")
     return Index(post, lengths, settle(index.doc_frequencies(post), "frequencies"), settle(_stats(lengths), "stats"))
@@ -55,18 +71,27 @@ def build(docs: DataFrame, exact: bool = True) -> Index:
 def refresh(old: Index, changed: DataFrame, exact: bool = True) -> Index:
     """The index after ``changed`` (doc_id, text): new or edited documents, null text for deleted ones.
 
-    Only these are tokenised; frequencies and statistics change by their postings.
+    Only these are tokenised, and only what they change is written; a null or repeated
+    doc_id among them is an error.
     """
     changed = settle(changed.select("doc_id", "text"), "changed")
-    live = changed.where("text is not null")
+    _checked(changed)
+    live, ids = changed.where("text is not null"), changed.select("doc_id")
     new = settle(index.postings(live, exact=exact), "new-postings")
-    gone = old.post.join(changed.select("doc_id"), "doc_id", "left_semi")
-    post = settle(old.post.join(changed.select("doc_id"), "doc_id", "left_anti").unionByName(new), "postings")
-    lengths = settle(old.lengths.join(changed.select("doc_id"), "doc_id", "left_anti").unionByName(_lengths(live, new)), "lengths")
-    moved = new.select("term", F.lit(1).cast("long").alias("d")).unionByName(gone.select("term", F.lit(-1).cast("long").alias("d")))
-    moved = moved.groupBy("term").agg(F.sum("d").alias("df"))
+    added = settle(_lengths(live, new), "new-lengths")
+    gone = old.post.join(ids, "doc_id", "left_semi")
+    moved = new.select("term", F.lit(1).cast("long").alias("df")).unionByName(gone.select("term", F.lit(-1).cast("long").alias("df")))
+    moved = settle(moved.groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0"), "moved-frequencies")
+    post = old.post.join(ids, "doc_id", "left_anti").unionByName(new)
+    lengths = old.lengths.join(ids, "doc_id", "left_anti").unionByName(added)
     dfs = old.dfs.unionByName(moved).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
-    return Index(post, lengths, settle(dfs, "frequencies"), settle(_stats(lengths), "stats"))
+    out = Index(post, lengths, dfs, settle(_stats(lengths), "stats"), old.deltas + 1)
+    return compact(out) if out.deltas >= MOST_DELTAS else out
+
+
+def compact(idx: Index) -> Index:
+    """The same index with its merged tables written."""
+    return Index(settle(idx.post, "postings"), settle(idx.lengths, "lengths"), settle(idx.dfs, "frequencies"), idx.stats)
 
 
 def changes(docs: DataFrame, seen: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import redact, segment
 from ..functions import text as T
-from ..operators import bundle, dynamics_store, handoffs, sidecar, vector
-from .catalog import query, table
+from ..operators import bundle, dynamics_store, handoffs, sidecar, store, vector
+from .catalog import query, sql, table
 from .tables import settle
 
 # -- segmentation --------------------------------------------------------------------
@@ -236,3 +236,17 @@ def canary_redaction(s, d):
     out = redact.redact(rows, "v")
     count = F.regexp_count(F.to_json("v"), F.lit(r"\[redacted-canary\]"))
     return out.select("event_id", F.col("v.text").alias("text"), count.cast("int").alias("found"))
+
+
+# -- the stored index, refreshed -----------------------------------------------------------
+
+
+@query("index_refresh", sql("""SELECT term, df, (SELECT n_docs FROM st) AS n_docs, (SELECT total_len FROM st) AS total_len FROM dfs""", "toks", "lens", "stats", "dfs").replace('FROM documents),\nterms', 'FROM documents WHERE doc_id % 10 <> 5),\nterms').replace("(SELECT count(*) FROM documents)", "(SELECT count(*) FROM documents WHERE doc_id % 10 <> 5)"))
+def index_refresh(s, d):
+    """An index of older documents (some missing, some with another's text, some since deleted) after two refreshes."""
+    docs, k = table(s, d, "documents").select("doc_id", "text"), F.col("doc_id") % 10
+    before = docs.where(k != 3).withColumn("text", F.when(k == 4, F.reverse("text")).when(k == 6, F.lit(None).cast("string")).otherwise(F.col("text")))
+    old = store.build(before.withColumn("text", F.coalesce("text", F.lit(""))))
+    first = store.refresh(old, docs.where(k.isin(3, 4)))
+    last = store.refresh(first, docs.where(k.isin(5, 6)).withColumn("text", F.when(k == 6, F.col("text"))))
+    return last.dfs.crossJoin(F.broadcast(last.stats)).select("term", "df", "n_docs", "total_len")
