@@ -73,8 +73,12 @@ def sketch(keys):
 
 
 def fingerprint(keys):
-    """The sketch of a digest array as text: count, then the cells in order."""
-    shown = F.transform(sketch(keys), lambda a: F.concat(F.lpad(F.hex(a["n"]), 4, "0"), F.lpad(F.hex(a["k"]), 16, "0"), F.lpad(F.hex(a["c"]), 16, "0")))
+    """The sketch of a digest array as text: count, then the cells in order.
+
+    A cell is its count, in four hex digits or as many as it takes, and 32 digits of sums.
+    """
+    count = lambda n: F.lpad(F.hex(n), F.greatest(F.lit(4), F.length(F.hex(n))), F.lit("0"))  # noqa: E731  (lpad cuts what is longer)
+    shown = F.transform(sketch(keys), lambda a: F.concat(count(a["n"]), F.lpad(F.hex(a["k"]), 16, "0"), F.lpad(F.hex(a["c"]), 16, "0")))
     return F.lower(F.concat_ws(".", F.hex(F.size(keys)), shown))
 
 

@@ -59,6 +59,20 @@ def test_long_lines_share_their_kept_half(spark):
     assert max(r.n for r in pieces) > 50
 
 
+def test_counts_of_long_texts_are_whole(spark):
+    """The text form of a sketch gives every cell back, also one of more than 65,535 digests."""
+    from pyspark.sql import functions as F
+
+    n = 600_000
+    keys = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.xxhash64(i)).alias("k"))
+    row = keys.select(fingerprints.fingerprint(F.col("k")).alias("text"), fingerprints.sketch(F.col("k")).alias("cells")).first()
+    head, *cells = row["text"].split(".")
+    assert int(head, 16) == n and len(cells) == fingerprints.CELLS
+    signed = lambda x: int(x, 16) - (1 << 64 if int(x, 16) >> 63 else 0)
+    assert [(int(c[:-32], 16), signed(c[-32:-16]), signed(c[-16:])) for c in cells] == [tuple(c) for c in row["cells"]]
+    assert max(len(c) for c in cells) > 36 and sum(int(c[:-32], 16) for c in cells) == 3 * n
+
+
 def test_sketches_peel_at_one_size(spark):
     keys = list(range(100, 104))
     pairs = spark.createDataFrame([(1, keys, keys[:2] + [7]), (2, keys, keys), (3, list(range(500)), [])], "uid long, a array<long>, b array<long>")
