@@ -78,11 +78,12 @@ class Bundle:
     summary: DataFrame
 
 
-def bundle(docs: DataFrame, starts: DataFrame, most_files: int = MOST_FILES, most_bytes: int = MOST_BYTES) -> Bundle:
+def bundle(docs: DataFrame, starts: DataFrame, most_files: int | None = MOST_FILES, most_bytes: int | None = MOST_BYTES) -> Bundle:
     """The bundles of ``starts`` (bundle, path) over ``docs`` (path, text).
 
     ``docs`` hold a path once. A bundle over ``most_files`` stops growing there and is
-    incomplete: the budget is a part of what a bundle is.
+    incomplete: the budget is a part of what a bundle is. None is no budget: all that is
+    reached is in.
     """
     found = settle(references(docs), "references")
     edges = found.where("target is not null").select(F.col("path").alias("src"), F.col("target").alias("dst")).distinct()
@@ -90,8 +91,10 @@ def bundle(docs: DataFrame, starts: DataFrame, most_files: int = MOST_FILES, mos
     seen = settle(asked.where("path is not null").select("bundle", "path", F.lit(0).alias("depth")).distinct(), "bundle")
     front = seen
     for depth in range(1, ROUNDS):
-        small = seen.groupBy("bundle").agg(F.count("*").alias("n")).where(F.col("n") <= most_files).select("bundle")
-        step = front.join(small, "bundle", "left_semi").join(edges, front["path"] == edges["src"]).select("bundle", F.col("dst").alias("path")).distinct()
+        if most_files is not None:
+            small = seen.groupBy("bundle").agg(F.count("*").alias("n")).where(F.col("n") <= most_files).select("bundle")
+            front = front.join(small, "bundle", "left_semi")
+        step = front.join(edges, front["path"] == edges["src"]).select("bundle", F.col("dst").alias("path")).distinct()
         front = settle(step.join(seen, ["bundle", "path"], "left_anti").withColumn("depth", F.lit(depth)), "bundle")
         if not front.limit(1).count():
             break
@@ -104,7 +107,7 @@ def bundle(docs: DataFrame, starts: DataFrame, most_files: int = MOST_FILES, mos
     files = settle(seen.join(known, "path", "left"), "bundle-files")
     have = files.where("sha256 is not null").select("bundle", "path", "depth", "sha256", "bytes", "lines")
     totals = have.groupBy("bundle").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
-    over = F.when(F.col("files") > most_files, "over the file budget").when(F.col("bytes") > most_bytes, "over the byte budget")
+    over = F.when(F.col("files") > F.lit(most_files), "over the file budget").when(F.col("bytes") > F.lit(most_bytes), "over the byte budget")
     problems = (
         files.where("sha256 is null").select("bundle", "path", F.lit("missing").alias("problem"))
         .unionByName(asked.where("path is null").select("bundle", F.col("named").alias("path"), F.lit("outside the root or hidden").alias("problem")))
@@ -112,7 +115,7 @@ def bundle(docs: DataFrame, starts: DataFrame, most_files: int = MOST_FILES, mos
         .unionByName(totals.select("bundle", F.lit(None).cast("string").alias("path"), over.alias("problem")).where("problem is not null"))
     )
     problems = settle(problems, "bundle-problems")
-    # At most the budgeted files of a bundle, and the step that passed it, are one row; the receipt binds all of them in order.
+    # A bundle's files (within a budget: these, and the step that passed it) are one row; the receipt binds all of them in order.
     images = F.array_sort(F.collect_list(F.struct("depth", "path", "sha256", "bytes")))
     receipt = have.groupBy("bundle").agg(F.sha2(F.to_json(images), 256).alias("receipt"))
     wrong = problems.select("bundle").distinct().withColumn("wrong", F.lit(True))
