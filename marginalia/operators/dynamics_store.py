@@ -52,12 +52,12 @@ def judged(lines: DataFrame) -> DataFrame:
         .when(~F.coalesce(F.col("access_count") >= 0, F.lit(False)), "access_count").when(F.col("stamp").isNotNull() & F.col("last_access").isNull(), "last_access")
     )
     rows = rows.withColumn("reason", reason)
-    # The rest of a key's rows; a key is on few lines.
+    # The rest of a key's rows; a key is on few lines. Lines that don't hold are dealt by what
+    # they are, so that all go through one read of the lines and no group of them is large.
     order = [F.col("last_access").desc_nulls_last(), F.col("access_count").desc(), F.col("strength").desc(), F.col("stability").desc(), F.col("line"), F.col("file")]
-    place = F.row_number().over(Window.partitionBy("key", F.col("reason").isNull()).orderBy(*order))
-    sound = rows.where("reason is null").withColumn("place", place)
-    columns = ["file", "line", *COLUMNS]
-    return sound.select(*columns, F.when(F.col("place") > 1, "repeated").alias("reason")).unionByName(rows.where("reason is not null").select(*columns, "reason"))
+    group = F.when(F.col("reason").isNull(), F.col("key")).otherwise(F.xxhash64("file", "line").cast("string"))
+    place = F.row_number().over(Window.partitionBy(F.col("reason").isNull(), group).orderBy(*order))
+    return rows.withColumn("place", place).select("file", "line", *COLUMNS, F.coalesce("reason", F.when(F.col("place") > 1, "repeated")).alias("reason"))
 
 
 @dataclass
