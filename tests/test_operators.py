@@ -100,6 +100,26 @@ def test_similar_pairs_equal_brute_force(spark):
     assert sizes[215] == (0, 31)
 
 
+def test_similar_pairs_exchange_no_candidates(spark, monkeypatch):
+    """Candidates stay in their tasks, over several blocks of one length, with rare terms and terms that share a hash."""
+    monkeypatch.setattr(pairs, "FREQUENT", 9)
+    monkeypatch.setattr(pairs, "BLOCK_TERMS", 150)
+    monkeypatch.setattr(pairs, "NUMBERS_AT_ONCE", 1 << 10)
+    monkeypatch.setattr(pairs, "_rare_key", lambda t: F.when(t.isin("t3", "t4", "t31"), F.lit(-7).cast("long")).otherwise(F.xxhash64(t).bitwiseOR(F.lit(-(1 << 63)))))
+    rng = random.Random(12)
+    rows = [(f"d{i}", sorted(rng.sample([f"t{j}" for j in range(40)], rng.choice((3, 8, 8, 20))))) for i in range(160)]
+    rows += [(f"e{i}", sorted({*rows[i][1], f"u{i}"})) for i in range(60)]
+    heads = {}
+    for i, t in sorted(rows):
+        heads.setdefault(tuple(t), i)
+    own = sorted((i, set(t)) for t, i in heads.items())
+    want = {(a, b, len(s & t), round(len(s & t) / len(s | t), 6)) for x, (a, s) in enumerate(own) for b, t in own[x + 1 :] if len(s & t) >= 3 and len(s & t) / len(s | t) >= 0.55}
+    got = pairs.similar_pairs(frame(spark, rows, "doc_id string, terms array<string>"))
+    assert len(want) > 30 and {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_labels(spark):
     rows = [([" Lang: En ", "a:B", "a:A", "a:B"],), (["bad"],), ([],), (None,)]
     got = [r.y for r in frame(spark, rows, "x array<string>").select(labels.normalize(F.col("x")).alias("y")).collect()]
