@@ -120,6 +120,22 @@ def test_similar_pairs_exchange_no_candidates(spark, monkeypatch):
     assert "Exchange" not in plan and "Join" not in plan
 
 
+def test_partners_exchange_no_candidates(spark):
+    """Both cuts, by hand; the pairs that they rank come from no join."""
+    base = [f"t{j}" for j in range(12)]
+    rows = [(i, sorted([*base, *(f"u{i}_{j}" for j in range(i))])) for i in range(6)]
+    found = pairs.similar_pairs(frame(spark, rows, "doc_id long, terms array<string>"))
+    got = pairs.partners(found, prefilter=3, keep=2)
+    share = lambda a, b: round(12 / (12 + a + b), 6)
+    want = set()
+    for a in range(6):
+        near = [b for b in range(6) if b != a and share(a, b) >= 0.55][:3]  # all have 12 in common: by id
+        best = sorted(near, key=lambda b: (-share(a, b), b))[:2]
+        want |= {(a, b, share(a, b), r + 1) for r, b in enumerate(best)}
+    assert {tuple(r) for r in got.collect()} == want
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_labels(spark):
     rows = [([" Lang: En ", "a:B", "a:A", "a:B"],), (["bad"],), ([],), (None,)]
     got = [r.y for r in frame(spark, rows, "x array<string>").select(labels.normalize(F.col("x")).alias("y")).collect()]
