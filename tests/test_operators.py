@@ -120,6 +120,13 @@ def test_similar_pairs_exchange_no_candidates(spark, monkeypatch):
     assert "Exchange" not in plan and "Join" not in plan
 
 
+def test_similar_pairs_of_nothing(spark):
+    kind = "doc_id long, terms array<string>"
+    assert pairs.similar_pairs(frame(spark, [], kind)).count() == 0
+    few = [(1, []), (2, None), (3, ["a"]), (4, ["a", "b", "c"]), (5, ["a", "b", "c", "d"]), (6, [])]
+    assert [tuple(r) for r in pairs.similar_pairs(frame(spark, few, kind)).collect()] == [(4, 5, 3, 0.75)]
+
+
 def test_partners_exchange_no_candidates(spark):
     """Both cuts, by hand; the pairs that they rank come from no join."""
     base = [f"t{j}" for j in range(12)]
