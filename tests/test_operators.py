@@ -143,6 +143,33 @@ def test_partners_exchange_no_candidates(spark):
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_set_keys_are_short_and_one_terms(spark, monkeypatch):
+    """Four bytes a key, sorted, no wide row sorted for a join; terms that share the short hash keep keys of their own."""
+    monkeypatch.setattr(pairs, "FREQUENT", 2)
+    monkeypatch.setattr(pairs, "BLOCK_TERMS", 90)
+    # t0 to t9 have hashes that differ below the upper half only.
+    monkeypatch.setattr(pairs, "_rare_key", lambda t: F.when(F.length(t) == 2, F.lit(-(1 << 63)) + F.ascii(F.substring(t, 2, 1))).otherwise(F.xxhash64(t).bitwiseOR(F.lit(-(1 << 63)))))
+    rng = random.Random(5)
+    rows = [(i, sorted(rng.sample([f"t{j}" for j in range(24)], rng.randint(4, 14)))) for i in range(60)]
+    sets = frame(spark, rows, "doc_id long, terms array<string>")
+    keyed = pairs.term_keys(sets)
+    assert keyed.schema["keys"].dataType.simpleString() == "array<int>"
+    plan = keyed._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    own = {r.doc_id: r["keys"] for r in keyed.collect()}
+    names = dict(rows)
+    assert all(k == sorted(set(k)) and len(k) == len(names[i]) for i, k in own.items())
+    assert all(len(set(own[a]) & set(own[b])) == len(set(names[a]) & set(names[b])) for a in own for b in own)
+    seen, want = {}, set()
+    for i, terms in rows:
+        seen.setdefault(tuple(terms), i)
+    for a, b in ((a, b) for a in seen.values() for b in seen.values() if a < b):
+        x, y = set(names[a]), set(names[b])
+        if len(x & y) >= 3 and len(x & y) / len(x | y) >= 0.55 - 1e-12:
+            want.add((a, b, len(x & y)))
+    assert want and {(r.a, r.b, r.common) for r in pairs.similar_pairs(sets).collect()} == want
+
+
 def test_labels(spark):
     rows = [([" Lang: En ", "a:B", "a:A", "a:B"],), (["bad"],), ([],), (None,)]
     got = [r.y for r in frame(spark, rows, "x array<string>").select(labels.normalize(F.col("x")).alias("y")).collect()]
