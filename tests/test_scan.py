@@ -82,3 +82,26 @@ def test_counts_equal_the_column_tokens(spark):
     twice = docs.unionByName(docs)
     assert sorted(map(tuple, index.postings(twice).collect())) == sorted((i, t, 2 * n) for i, t, n in post.collect())
     assert index.unique_ids(docs) and not index.unique_ids(twice)
+
+
+def test_plain_sums_are_scored_many_queries_at_a_time(spark, world, monkeypatch):
+    _, own, _ = world
+    none = spark.createDataFrame([], "src long, dst long")
+    want = rows(rank.related(own.post, own.lengths, own.stats, none, dfs=own.dfs))
+    calls = []
+    one = scan.Kept.offer
+
+    def offer(self, q, *rest):
+        calls.append(len(q))
+        return one(self, q, *rest)
+
+    monkeypatch.setattr(scan.Kept, "offer", offer)
+    blocks = []
+    monkeypatch.setattr(scan, "_each", lambda df, asked, task, schema: blocks.append((asked, task)) or df.sparkSession.createDataFrame([], schema))
+    rank.related_best(own.rows, own.stats, own.dfs, none).count()
+    (asked, task) = blocks[0]
+    monkeypatch.undo()
+    monkeypatch.setattr(scan.Kept, "offer", offer)
+    batches = scan._long(own.rows.withColumn("size", F.col("doclen").cast("double")).drop("doclen")).toArrow().to_batches()
+    assert sum(b.num_rows for b in task(iter(batches), asked[0])) and len(calls) <= len(batches) and max(calls) > 50
+    assert rows(rank.related_best(own.rows, own.stats, own.dfs, none)) == want
