@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rank import top_k
+from .scan import PLACES, Kept
 
 
 def norm(v: Column) -> Column:
@@ -44,22 +45,12 @@ def dequantised(row: Column) -> Column:
 
 
 #: Numbers of one block of scores (queries x rows) in a task.
-SCORES_AT_ONCE = 1 << 22
-
-
-def _best_of(score: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
-    """Places of the ``k`` best by (score desc, doc), ties at the cut included in the choice."""
-    if len(score) > k:
-        least = np.partition(score, len(score) - k)[len(score) - k]
-        at = np.flatnonzero(score >= least)
-    else:
-        at = np.arange(len(score))
-    return at[np.lexsort((doc[at], -score[at]))[:k]]
+SCORES_AT_ONCE = 1 << 20
 
 
 def _task_best(batches: Iterator[pa.RecordBatch], asked: np.ndarray, ids: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
     """(query_id, doc_id, score): each query's ``k`` best documents among a task's rows, by their best row."""
-    held = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]
+    kept = Kept(len(ids), k)
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -70,20 +61,12 @@ def _task_best(batches: Iterator[pa.RecordBatch], asked: np.ndarray, ids: np.nda
         docs = doc[order][starts]
         step = max(1, SCORES_AT_ONCE // len(doc))
         for q in range(0, len(ids), step):
-            scores = np.round(np.maximum.reduceat(asked[q : q + step] @ rows.T, starts, axis=1), 6)
-            for i, own in enumerate(scores, q):
-                score, of = np.concatenate((held[i][0], own)), np.concatenate((held[i][1], docs))
-                # A document of an earlier batch may come again: its better row counts.
-                first = np.lexsort((-score, of)) if np.isin(held[i][1], docs, assume_unique=True).any() else None
-                if first is not None:
-                    first = first[np.append(True, np.diff(of[first]) != 0)]
-                    score, of = score[first], of[first]
-                best = _best_of(score, of, k)
-                held[i] = score[best], of[best]
-    sizes = [len(s) for s, _ in held]
-    columns = [np.repeat(ids, sizes), np.concatenate([d for _, d in held]), np.concatenate([s for s, _ in held])] if sizes else []
-    if columns:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "doc_id", "score"])
+            scores = asked[q : q + step] @ rows.T
+            if len(starts) < len(doc):
+                scores = np.maximum.reduceat(scores, starts, axis=1)
+            kept.offer(np.arange(q, q + len(scores)), scores, docs, lambda x: np.round(x, PLACES))
+    if len(ids):
+        yield kept.batch(ids)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, bound: int = 10_000) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions import segment
 from marginalia.functions import text as T
-from marginalia.operators import bundle, dynamics_store, pairs, sidecar
+from marginalia.operators import bundle, dynamics_store, pairs, sidecar, vector
 
 
 @pytest.mark.parametrize(("most", "want"), [(None, (True, 66)), (64, (False, 65))])
@@ -60,3 +62,19 @@ def test_a_long_batch_is_segmented_in_pieces(spark):
     texts = spark.createDataFrame([(i, "ab " * (i % 7)) for i in range(600)], "i int, text string").coalesce(1)
     got = {r.i: list(r.ids) for r in texts.select("i", segment.segments(spark, F.col("text"), vocab).alias("ids")).collect()}
     assert got == {i: [1, 2] * (i % 7) for i in range(600)}
+
+
+def test_scores_are_sifted_before_they_are_rounded(monkeypatch):
+    rng = np.random.default_rng(4)
+    docs, rows = rng.permutation(np.repeat(np.arange(300), 2)), rng.normal(size=(600, 4)).round(1)
+    rows[::3] = rows[0]
+    asked = rng.normal(size=(40, 4)).round(1)
+    parts = [(docs[i : i + 150], rows[i : i + 150]) for i in range(0, 600, 150)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(d), pa.array(list(r))], names=["doc_id", "row"]) for d, r in parts]
+    looked, one = [], np.round
+    monkeypatch.setattr(np, "round", lambda x, *a, **k: looked.append(np.size(x)) or one(x, *a, **k))
+    got = pa.Table.from_batches(vector._task_best(iter(batches), asked, np.arange(40), 5)).to_pylist()
+    assert sum(looked) < 40 * 300
+    monkeypatch.undo()
+    best = [[(-max(np.round(asked[q] @ r, 6) for r in rows[docs == d]), d) for d in range(300)] for q in range(40)]
+    assert [(r["query_id"], -r["score"], r["doc_id"]) for r in got] == [(q, s, d) for q in range(40) for s, d in sorted(best[q])[:5]]
