@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +17,14 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once a row: within a lambda it would be made anew for each number."""
+    return F.transform(F.array(value), use)[0]
+
+
 def l2_normalize(v: Column) -> Column:
     """Unit length; a zero vector stays zero."""
-    n = norm(v)
-    return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0))
+    return _once(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0)))
 
 
 def signs(v: Column) -> Column:
@@ -36,12 +40,12 @@ def int8_rows(v: Column) -> Column:
     """(scale, values): scale = greatest magnitude / 127."""
     top = F.array_max(F.transform(v, lambda x: F.abs(x).cast("double")))
     scale = F.when(top > 0, top / 127).otherwise(1.0)
-    return F.struct(scale.alias("scale"), F.transform(v, lambda x: F.rint(x.cast("double") / scale).cast("int")).alias("values"))
+    return _once(scale, lambda s: F.struct(s.alias("scale"), F.transform(v, lambda x: F.rint(x.cast("double") / s).cast("int")).alias("values")))
 
 
 def dequantised(row: Column) -> Column:
     """The vector of (scale, values)."""
-    return F.transform(row["values"], lambda x: x * row["scale"])
+    return _once(row["scale"], lambda s: F.transform(row["values"], lambda x: x * s))
 
 
 #: Numbers of one block of scores (queries x rows) in a task.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -78,3 +79,14 @@ def test_scores_are_sifted_before_they_are_rounded(monkeypatch):
     monkeypatch.undo()
     best = [[(-max(np.round(asked[q] @ r, 6) for r in rows[docs == d]), d) for d in range(300)] for q in range(40)]
     assert [(r["query_id"], -r["score"], r["doc_id"]) for r in got] == [(q, s, d) for q in range(40) for s, d in sorted(best[q])[:5]]
+
+
+def test_a_scale_is_made_once_a_row(spark):
+    long = spark.range(1).select(F.transform(F.sequence(F.lit(-9_999), F.lit(10_000)), lambda x: x.cast("double")).alias("v"))
+    row = vector.int8_rows(F.col("v"))
+    rows = long.select("v", row["scale"].alias("scale"), row["values"].alias("values"))
+    back = rows.select(F.size(vector.l2_normalize(F.col("v"))), vector.dequantised(F.struct("scale", "values")).alias("d"))
+    began = time.time()
+    got = back.first()
+    # 20,000 numbers: a scale for each of them would be 400 million steps a use.
+    assert time.time() - began < 5 and got[0] == 20_000 and got["d"][-1] == pytest.approx(10_000) and got["d"][9_999] == 0
