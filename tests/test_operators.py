@@ -6,6 +6,7 @@ import math
 import random
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +121,22 @@ def test_similar_pairs_exchange_no_candidates(spark, monkeypatch):
     assert "Exchange" not in plan and "Join" not in plan
 
 
+def test_prefixes_shorten_with_the_length_of_the_other_set():
+    rng = random.Random(8)
+    sets = [sorted(rng.sample(range(400), rng.randint(20, 60))) for _ in range(150)]
+    sets += [sorted(set(s[: int(len(s) * rng.uniform(0.5, 1))] + rng.sample(range(400), 3))) for s in sets]
+    sets.sort(key=len)
+    table = pa.table({"doc_id": list(range(len(sets))), "n": pa.array([len(s) for s in sets], pa.int32()), "keys": pa.array(sets, pa.list_(pa.int32()))})
+    jaccard = lambda i, j: len(set(sets[i]) & set(sets[j])) / len(set(sets[i]) | set(sets[j]))
+    got, want = set(), {(i, j) for i in range(len(sets)) for j in range(i) if jaccard(i, j) >= 0.55}
+    for low in range(0, len(sets), 60):
+        block = pairs._block(table.slice(low, 60), 0.55)
+        assert pairs._against(block, 50, 0.55).entries.size < block.entries.size
+        for batch in table.slice(low).sort_by([("n", "descending")]).to_batches(max_chunksize=40):
+            got |= {(r["x"], r["y"]) for out in pairs._near(iter([batch]), block, 0.55, 3) for r in out.to_pylist()}
+    assert want and {(max(p), min(p)) for p in got} == want
+
+
 def test_similar_pairs_of_nothing(spark):
     kind = "doc_id long, terms array<string>"
     assert pairs.similar_pairs(frame(spark, [], kind)).count() == 0
